@@ -28,14 +28,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemap.functions.scalar import blend_score, dot, normalise
+from tastemap.functions.scalar import blend_score, dot, l2_norm
 
 _EPS = 1e-9
 
 
+def with_unit(df: DataFrame, vec: str, out: str) -> DataFrame:
+    """Add the unit vector of ``vec`` (NULL for zero/empty vectors).  The norm
+    is computed once per row in its own projection (inside a lambda it would
+    be re-evaluated for every element)."""
+    n = "_norm_" + out
+    return (df.withColumn(n, l2_norm(vec))
+            .withColumn(out, F.when(F.col(n) > 0, F.transform(vec, lambda x: x / F.col(n))))
+            .drop(n))
+
+
+def with_prefix(df: DataFrame, unit: str, threshold: float, out: str) -> DataFrame:
+    """Add the prefix dimensions of unit vector ``unit``: its dimensions in
+    order of decreasing |x|, kept while the norm of the dimensions from there
+    on (inclusive) exceeds ``threshold``; zero entries are never kept.
+    Sorted entries and suffix sums are each computed once per row."""
+    t2 = threshold * threshold - _EPS
+    e, c = "_ent_" + out, "_suf_" + out
+    ent = F.array_sort(F.transform(
+        unit, lambda x, i: F.struct((-F.abs(x)).alias("na"), i.alias("k"), (x * x).alias("sq"))))
+    # running sums over the reversed entries give the inclusive suffix sums
+    cum = F.aggregate(
+        F.reverse(F.col(e)),
+        F.struct(F.array().cast("array<double>").alias("a"), F.lit(0.0).alias("s")),
+        lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"] + x["sq"])).alias("a"),
+                                (acc["s"] + x["sq"]).alias("s")),
+        lambda acc: F.reverse(acc["a"]))
+    keep = F.filter(F.arrays_zip(F.col(e).alias("e"), F.col(c).alias("s")),
+                    lambda z: (z["s"] > F.lit(t2)) & (z["e"]["na"] < 0))
+    return (df.withColumn(e, ent).withColumn(c, cum)
+            .withColumn(out, F.transform(keep, lambda z: z["e"]["k"]))
+            .drop(e, c))
+
+
 def prefix_dims(u: Column, threshold: float) -> Column:
-    """Dimensions of unit vector ``u`` (largest |x| first) whose suffix norm,
-    counted from that dimension on, exceeds ``threshold``; zero entries skipped."""
+    """Column form of the prefix (for small inputs and tests)."""
     t2 = threshold * threshold - _EPS
     entries = F.array_sort(F.transform(
         u, lambda x, i: F.struct((-F.abs(x)).alias("na"), i.alias("k"), (x * x).alias("sq"))))
@@ -56,31 +88,72 @@ def _salt(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+# Largest indexed side (bytes, estimated from its row count and vector
+# length) that is broadcast; beyond it the index join is a salted shuffle join.
+BROADCAST_INDEX_BYTES = 256 * 1024 * 1024
+
+
+def _index_stats(right: DataFrame, vec: str) -> tuple[int, int]:
+    """(upper bound of the broadcast index bytes, longest vector).  The index
+    has one entry per non-zero dimension, each carrying the whole vector.
+    One aggregate job over the indexed side."""
+    r = right.agg(F.count(F.lit(1)).alias("n"),
+                  F.max(F.size(vec)).alias("k")).first()
+    n, k = int(r["n"] or 0), int(r["k"] or 0)
+    return n * k * (8 * k + 64), k
+
+
 def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                 left_vec: str, right_vec: str, threshold: float,
-                salt_buckets: int = 8, out: str = "sim") -> DataFrame:
+                salt_buckets: int = 8, out: str = "sim",
+                broadcast_bytes: int | None = None) -> DataFrame:
     """All pairs with cosine(left_vec, right_vec) > threshold (exact).
 
     Returns ``left_keys + right_keys + [out]``.  Zero vectors never match.
-    Key names of the two sides must be distinct.
+    Key names of the two sides must be distinct.  ``right`` is the side that
+    gets indexed (new articles); it is broadcast only if its index is at most
+    ``broadcast_bytes`` (checked with a count), otherwise both sides are
+    shuffled on the salted dimension.
     """
     if threshold < 0:
         raise ValueError("cosine_join needs threshold >= 0 (pairs sharing no "
                          "dimension have cosine 0)")
-    lu = (left.select(*left_keys, normalise(left_vec).alias("_lu"))
-          .where(F.col("_lu").isNotNull()))
-    ru = (right.select(*right_keys, normalise(right_vec).alias("_ru"))
-          .where(F.col("_ru").isNotNull()))
-    probe = (lu.withColumn("_pre", prefix_dims(F.col("_lu"), threshold))
-             .select(*left_keys, "_lu", "_pre",
-                     F.posexplode("_pre").alias("_j", "_k"),
-                     _salt(left_keys, salt_buckets).alias("_salt")))
-    index = (ru.select(*right_keys, "_ru", F.explode(nonzero_dims(F.col("_ru"))).alias("_k"))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1)))))
-    j = probe.join(index, ["_k", "_salt"])
-    # keep the pair only at its first shared prefix dimension
-    first = F.forall(F.slice("_pre", 1, F.col("_j")),
-                     lambda d: F.coalesce(F.get(F.col("_ru"), d), F.lit(0.0)) == 0)
+    limit = BROADCAST_INDEX_BYTES if broadcast_bytes is None else broadcast_bytes
+    lu = with_unit(left.select(*left_keys, left_vec), left_vec, "_lu").where(F.col("_lu").isNotNull())
+    lu = with_prefix(lu.select(*left_keys, "_lu"), "_lu", threshold, "_pre")
+    ru = (with_unit(right.select(*right_keys, right_vec), right_vec, "_ru")
+          .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
+    size_bytes, width = _index_stats(right, right_vec)
+    small = size_bytes <= limit
+    if width <= 64:
+        # dimension sets as 64-bit masks: the "first shared dimension" test is
+        # one AND per joined row, inside whole-stage codegen
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        cm = F.aggregate("_pre", F.struct(F.array().cast("array<bigint>").alias("a"),
+                                          F.lit(0).cast("long").alias("m")),
+                         lambda acc, k: F.struct(F.concat(acc["a"], F.array(acc["m"])).alias("a"),
+                                                 (acc["m"].bitwiseOR(bit(k))).alias("m")),
+                         lambda acc: acc["a"])
+        probe = (lu.withColumn("_cm", cm)
+                 .select(*left_keys, "_lu", F.posexplode(F.arrays_zip("_pre", "_cm")).alias("_j", "_z"))
+                 .select(*left_keys, "_lu", F.col("_z._pre").alias("_k"), F.col("_z._cm").alias("_cmj")))
+        rm = F.aggregate(nonzero_dims(F.col("_ru")), F.lit(0).cast("long"),
+                         lambda m, k: m.bitwiseOR(bit(k)))
+        index = (ru.withColumn("_rm", rm)
+                 .select(*right_keys, "_ru", "_rm", F.explode(nonzero_dims(F.col("_ru"))).alias("_k")))
+        first = (F.col("_cmj").bitwiseAND(F.col("_rm"))) == 0
+    else:
+        probe = lu.select(*left_keys, "_lu", "_pre", F.posexplode("_pre").alias("_j", "_k"))
+        index = ru.select(*right_keys, "_ru", F.explode(nonzero_dims(F.col("_ru"))).alias("_k"))
+        first = F.forall(F.slice("_pre", 1, F.col("_j")),
+                         lambda d: F.coalesce(F.get(F.col("_ru"), d), F.lit(0.0)) == 0)
+    if small:
+        j = probe.join(F.broadcast(index), "_k")
+    else:
+        probe = probe.withColumn("_salt", _salt(left_keys, salt_buckets))
+        index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+        j = probe.join(index, ["_k", "_salt"])
+    # keep the pair only at its first shared prefix dimension (no dedup shuffle)
     sim = dot("_lu", "_ru")
     return (j.where(first).select(*left_keys, *right_keys, sim.alias(out))
             .where(F.col(out) > F.lit(threshold)))
@@ -90,8 +163,8 @@ def cosine_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame,
                     left_keys: list[str], right_keys: list[str],
                     left_vec: str, right_vec: str, out: str = "sim") -> DataFrame:
     """Exact cosine for given (left, right) key pairs (0.0 for zero vectors)."""
-    lu = left.select(*left_keys, normalise(left_vec).alias("_lu"))
-    ru = right.select(*right_keys, normalise(right_vec).alias("_ru"))
+    lu = with_unit(left.select(*left_keys, left_vec), left_vec, "_lu").drop(left_vec)
+    ru = with_unit(right.select(*right_keys, right_vec), right_vec, "_ru").drop(right_vec)
     j = pairs.join(lu, left_keys, "left").join(ru, right_keys, "left")
     sim = F.when(F.col("_lu").isNotNull() & F.col("_ru").isNotNull(),
                  dot("_lu", "_ru")).otherwise(F.lit(0.0))
@@ -130,7 +203,8 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
     keyword index and gets its exact cosine.  Returns keys + sim_t, sim_k, score.
     """
     norm = (sigma * sigma + beta * beta) ** 0.5
-    t_topic = threshold * norm / sigma if sigma > 0 else float("inf")
+    # slightly lower bound so float rounding cannot drop a qualifying pair
+    t_topic = max(threshold * norm / sigma - 1e-12, 0.0) if sigma > 0 else float("inf")
     kw = jaccard_join(left_terms, right_terms, left_keys, right_keys, term,
                       salt_buckets, out="sim_k").drop("shared")
     keys = left_keys + right_keys

@@ -78,8 +78,9 @@ def describe(model: TopicModel, max_terms: int = 10) -> DataFrame:
 def top_topics(vectors: DataFrame, key: str, vec: str, n: int) -> DataFrame:
     """Keep the n largest components of every vector (ties by index), zeros
     elsewhere; the array keeps its length (indexed by topic).  Pure array
-    expressions: no explode, no shuffle."""
+    expressions: no explode, no shuffle; the sort runs once per row."""
     ranked = F.array_sort(F.transform(vec, lambda x, i: F.struct((-x).alias("nx"), i.alias("k"))))
-    keep = F.transform(F.slice(ranked, 1, n), lambda e: e["k"])
-    kept = F.transform(vec, lambda x, i: F.when(F.array_contains(keep, i), x).otherwise(F.lit(0.0)))
-    return vectors.select(key, kept.alias(vec))
+    kept = F.transform(F.col("_ranked"), lambda e, j: F.struct(
+        e["k"].alias("k"), F.when(j < n, -e["nx"]).otherwise(F.lit(0.0)).alias("x")))
+    return (vectors.select(key, ranked.alias("_ranked"))
+            .select(key, F.transform(F.array_sort(kept), lambda e: e["x"]).alias(vec)))
