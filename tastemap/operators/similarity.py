@@ -153,9 +153,12 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
         probe = probe.withColumn("_salt", _salt(left_keys, salt_buckets))
         index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
         j = probe.join(index, ["_k", "_salt"])
-    # keep the pair only at its first shared prefix dimension (no dedup shuffle)
-    sim = dot("_lu", "_ru")
-    return (j.where(first).select(*left_keys, *right_keys, sim.alias(out))
+    # Keep the pair only at its first shared prefix dimension (no dedup
+    # shuffle).  The dot product sits behind that test in a CASE, so any
+    # predicate Catalyst infers or pushes into the join (isnotnull(sim),
+    # sim > t) evaluates the cheap test first.
+    sim = F.when(first, dot("_lu", "_ru"))
+    return (j.select(*left_keys, *right_keys, sim.alias(out))
             .where(F.col(out) > F.lit(threshold)))
 
 
@@ -214,11 +217,16 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
         tp = cosine_join(left_vecs, right_vecs, left_keys, right_keys, left_vec, right_vec,
                          t_topic, salt_buckets, out="sim_t")
         cand = tp.join(kw, keys, "full_outer")
-    missing = cand.where(F.col("sim_t").isNull()).drop("sim_t")
-    have = cand.where(F.col("sim_t").isNotNull())
-    filled = cosine_of_pairs(missing.select(*keys, "sim_k"), left_vecs, right_vecs,
-                             left_keys, right_keys, left_vec, right_vec, out="sim_t")
-    allp = have.unionByName(filled).withColumn("sim_k", F.coalesce("sim_k", F.lit(0.0)))
+    # one pass: pairs found only through keywords get their exact cosine from
+    # the unit vectors (left join; a pair found by the cosine index keeps its value)
+    lu = with_unit(left_vecs.select(*left_keys, left_vec), left_vec, "_lu").drop(left_vec)
+    ru = with_unit(right_vecs.select(*right_keys, right_vec), right_vec, "_ru").drop(right_vec)
+    j = cand.join(lu, left_keys, "left").join(ru, right_keys, "left")
+    computed = F.when(F.col("_lu").isNotNull() & F.col("_ru").isNotNull(),
+                      dot("_lu", "_ru")).otherwise(F.lit(0.0))
+    allp = j.select(*keys, F.when(F.col("sim_t").isNull(), computed)
+                    .otherwise(F.col("sim_t")).alias("sim_t"),
+                    F.coalesce("sim_k", F.lit(0.0)).alias("sim_k"))
     score = blend_score("sim_t", "sim_k", sigma, beta)
     return (allp.select(*keys, "sim_t", "sim_k", score.alias("score"))
             .where(F.col("score") > F.lit(threshold)))

@@ -37,19 +37,33 @@ def drop_stopwords(toks: DataFrame, stopwords=None, term: str = "term") -> DataF
 
 
 def term_freq(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "words",
-              tokenizer: str = "ws", stopwords=False, extra: list[str] | None = None) -> DataFrame:
-    """(doc_col, [extra], term, tf)."""
+              tokenizer: str = "ws", stopwords=False, extra: list[str] | None = None,
+              by_doc: bool = True) -> DataFrame:
+    """(doc_col, [extra], term, tf).
+
+    With ``by_doc`` the documents are hash-partitioned on the document key
+    before tokenising: the text is shuffled once (smaller than its tokens; a
+    document is bounded, so no hot key) and the (doc, term) aggregation and
+    any later per-document window run without another exchange."""
+    if by_doc:
+        docs = docs.repartition(doc_col)
     t = tokens(docs, doc_col, text_col, tokenizer, extra)
     if stopwords is not False:
         t = drop_stopwords(t, stopwords)
     return t.groupBy(doc_col, *(extra or []), "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def doc_freq(tf: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(term, df): number of documents containing the term (map-side combined,
+    so a term present in most documents is not a hot key for the shuffle)."""
+    return tf.groupBy(*(scope or []), "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def idf(tf: DataFrame, n_docs: Column, doc_col: str = "doc_id",
         scope: list[str] | None = None) -> DataFrame:
     """(term, df, idf) with idf = ln((m+1)/(df+1)); ``n_docs`` is m, usually a
     scalar subquery over the document table."""
-    df = tf.groupBy(*(scope or []), "term").agg(F.count(F.lit(1)).alias("df"))
+    df = doc_freq(tf, scope)
     return df.withColumn("idf", F.log((n_docs + F.lit(1)) / (F.col("df") + F.lit(1))))
 
 
@@ -93,17 +107,24 @@ def keywords(docs: DataFrame, top: int = 10, doc_col: str = "doc_id",
 
 
 def keywords_new_vs_corpus(new_docs: DataFrame, corpus: DataFrame, top: int = 10,
-                           round_to: int | None = 6) -> DataFrame:
+                           round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
     """Top keywords of new documents with the IDF over new ∪ corpus (both
-    (doc_id, words)); corpus ids may collide with new ids, so the union
-    carries an ``is_new`` flag.  Returns (doc_id, term, weight, rk)."""
-    u = (new_docs.select("doc_id", "words", F.lit(True).alias("is_new"))
-         .unionByName(corpus.select("doc_id", "words", F.lit(False).alias("is_new"))))
-    tf = term_freq(u, "doc_id", "words", extra=["is_new"])
-    m = u.select(F.count(F.lit(1))).scalar()
-    df = idf(tf, m)
-    w = tfidf(tf.where(F.col("is_new")), df, "doc_id")
-    return top_per_group(w, ["doc_id"], "weight", top, rank_col="rk", round_to=round_to)
+    (doc_id, words)).  Returns (doc_id, term, weight, rk).
+
+    The union's document frequency is df_corpus + df_new, so the corpus side
+    is the same term-frequency plan as every other corpus query (Spark reuses
+    its shuffle) and only the new documents' terms are looked up in it."""
+    tf_n = term_freq(new_docs)
+    df_n = doc_freq(tf_n)
+    df_c = doc_freq(term_freq(corpus)).withColumnRenamed("df", "df_c")
+    m = (new_docs.select(F.count(F.lit(1))).scalar()
+         + corpus.select(F.count(F.lit(1))).scalar())
+    df = (df_n.join(df_c, "term", "left")
+          .select("term", (F.col("df") + F.coalesce("df_c", F.lit(0))).alias("df")))
+    idf_u = df.withColumn("idf", F.log((m + F.lit(1)) / (F.col("df") + F.lit(1))))
+    w = tfidf(tf_n, idf_u, "doc_id")
+    return top_per_group(w, ["doc_id"], "weight", top, rank_col="rk", round_to=round_to,
+                         keep_raw=keep_raw)
 
 
 def keywords_user_scope(reads: DataFrame, corpus: DataFrame, top: int = 10,
