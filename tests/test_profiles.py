@@ -1,0 +1,103 @@
+"""Profile merges: goldens and the mergeable sum/count property."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tastemap.operators import profile as P
+from tastemap.operators.blend import blend_lists
+from tastemap.sources import testdata as TD
+
+from conftest import SF_SMALL
+
+
+def kw(spark, rows):
+    return spark.createDataFrame([(1, "上午", t, w) for t, w in rows],
+                                 "user_id long, bucket string, term string, weight double")
+
+
+def as_map(df):
+    return {r["term"]: round(r["weight"], 6) for r in df.collect()}
+
+
+def test_keyword_merge_add_median(spark):
+    old = kw(spark, [("a", 0.4), ("b", 0.2), ("c", 0.1)])
+    new = kw(spark, [("a", 0.3), ("d", 0.3), ("e", 0.15)])
+    assert as_map(P.merge_keywords(old, new, "add", "median")) == {
+        "a": 0.7, "b": 0.2, "c": 0.1, "d": 0.3}
+
+
+def test_keyword_merge_keep_max(spark):
+    old = kw(spark, [("a", 0.4), ("b", 0.2), ("c", 0.1)])
+    new = kw(spark, [("a", 0.3), ("d", 0.3), ("e", 0.15)])
+    assert as_map(P.merge_keywords(old, new, "keep", "max")) == {"a": 0.4, "b": 0.2, "c": 0.1}
+
+
+def test_keyword_threshold_max_needs_two(spark):
+    old = kw(spark, [("a", 0.4)])
+    new = kw(spark, [("d", 0.1)])
+    assert as_map(P.merge_keywords(old, new, "keep", "max")) == {"a": 0.4, "d": 0.1}
+
+
+def test_keyword_merge_into_empty_store(spark):
+    new = kw(spark, [("x", 0.5), ("y", 0.0)])
+    assert as_map(P.initial_keywords(new)) == {"x": 0.5}
+
+
+def test_topic_merge_golden(spark):
+    old = spark.createDataFrame([(1, "上午", [0.12, 0.32], 10), (2, "下午", [0.44, 0.45], 20)],
+                                "user_id long, bucket string, topic array<double>, news_cnt long")
+    delta = spark.createDataFrame([(1, "上午", [0.3, 0.1, 0.2], 2), (3, "晚上", [0.4, 0.2], 2)],
+                                  "user_id long, bucket string, topic_sum array<double>, n long")
+    got = {(r[0], r[1]): ([round(x, 6) for x in r[2]], r[3]) for r in P.merge_topics(old, delta).collect()}
+    assert got[(1, "上午")] == ([0.125, 0.275, 0.016667], 12)
+    assert got[(2, "下午")] == ([0.44, 0.45], 20)       # no new events: unchanged
+    assert got[(3, "晚上")] == ([0.2, 0.1], 2)          # new user: plain mean
+
+
+def test_read_topics_defaults(spark):
+    topics = spark.createDataFrame([(1, "上午", [0.5], 3)],
+                                   "user_id long, bucket string, topic array<double>, news_cnt long")
+    users = spark.createDataFrame([(1, "上午"), (0, "上午")], "user_id long, bucket string")
+    got = {r["user_id"]: (r["topic"], r["news_cnt"]) for r in P.read_topics(topics, users).collect()}
+    assert got == {1: ([0.5], 3), 0: ([], 0)}
+
+
+def test_incremental_equals_full(spark):
+    log = TD.behaviour_log(spark, SF_SMALL)
+    vecs = TD.article_topics(spark, SF_SMALL)
+    split = F.lit(TD.SPLIT_TS).cast("timestamp")
+    old = P.topics_from_delta(P.topic_delta(log.where(F.col("ts") < split), vecs))
+    merged = P.merge_topics(old, P.topic_delta(log.where(F.col("ts") >= split), vecs))
+    full = P.topics_from_delta(P.topic_delta(log, vecs))
+    a = {(r[0], r[1]): (r[2], r[3]) for r in merged.collect()}
+    b = {(r[0], r[1]): (r[2], r[3]) for r in full.collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][1] == b[k][1]
+        assert a[k][0] == pytest.approx(b[k][0], abs=1e-9)
+
+
+def test_nested_round_trip(spark):
+    topics = spark.createDataFrame([(1, "上午", [0.12, 0.32], 10), (1, "下午", [0.44, 0.45], 20)],
+                                   "user_id long, bucket string, topic array<double>, news_cnt long")
+    kws = spark.createDataFrame([(1, "上午", "体育", 0.12), (1, "下午", "音乐", 0.12)],
+                                "user_id long, bucket string, term string, weight double")
+    nested = P.to_nested(topics, kws)
+    assert nested.schema["interest"].dataType.elementType.names == ["time", "topic", "newsCnt", "keywords"]
+    assert sorted(map(tuple, P.nested_topics(nested).collect())) == sorted(map(tuple, topics.collect()))
+    assert sorted(map(tuple, P.nested_keywords(nested).collect())) == sorted(map(tuple, kws.collect()))
+    u = P.users_for_bucket(nested, "上午").first()
+    assert u["topic"] == [0.12, 0.32] and u["keywords"] == ["体育"]
+
+
+def test_blend_quota(spark):
+    content = spark.createDataFrame(
+        [(1, d, 1.0 - d / 100) for d in range(5)] + [(2, d, 1.0 - d / 100) for d in range(12)],
+        "user_id long, doc_id long, score double")
+    cf = spark.createDataFrame([(u, 100 + d, float(10 - d)) for u in (1, 2, 3) for d in range(5)],
+                               "user_id long, doc_id long, score double")
+    out = blend_lists(content, cf, 0.2)
+    n_cf = {r[0]: r[1] for r in out.where("source = 'cf'").groupBy("user_id").count().collect()}
+    assert n_cf == {1: 1, 2: 2}
+    ranks = [r["rk"] for r in out.where("user_id = 2").orderBy("rk").collect()]
+    assert ranks == list(range(1, 15))
