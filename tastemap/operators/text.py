@@ -139,12 +139,13 @@ def keywords_user_scope(reads: DataFrame, corpus: DataFrame, top: int = 10,
     """
     tf = term_freq(corpus, "doc_id", "words")
     m = corpus.select(F.count(F.lit(1))).scalar()
-    df_c = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df_c"))
+    df_c = doc_freq(tf).withColumnRenamed("df", "df_c")
     rc = reads.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("r"))
     m_u = rc.groupBy("user_id").agg(F.sum("r").alias("m_u"))
-    ut = rc.join(tf, "doc_id")  # (user, doc, r, term, tf)
-    df_u = ut.groupBy("user_id", "term").agg(F.sum("r").alias("df_u"))
-    w = (ut.join(df_u, ["user_id", "term"]).join(df_c, "term").join(m_u, "user_id")
+    # per-user document frequency as a window over (user, term): no self-join
+    ut = (rc.join(tf, "doc_id")
+          .withColumn("df_u", F.sum("r").over(Window.partitionBy("user_id", "term"))))
+    w = (ut.join(df_c, "term").join(m_u, "user_id")
          .select("user_id", "doc_id", "term",
                  (F.col("tf") * F.log((F.lit(m) + F.col("m_u") + 1)
                                       / (F.col("df_c") + F.col("df_u") + 1))).alias("weight")))

@@ -20,6 +20,16 @@ from tastemap.operators.similarity import cosine_join
 from tastemap.sources.store import append_batch
 
 
+def kafka_source(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
+    """New-article keys from a Kafka topic (message value = article key).
+    Needs the Spark Kafka connector on the classpath."""
+    reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+              .option("subscribe", topic))
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    return reader.load().selectExpr("CAST(value AS STRING) AS value")
+
+
 def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics: DataFrame,
                        params: Params = DEFAULT_PARAMS) -> DataFrame:
     """keys (doc_id) -> (user_id, doc_id, sim) with sim > min_similarity."""

@@ -82,3 +82,12 @@ def test_queue_unread_and_mark_read(spark):
     done = spark.createDataFrame([(3, "news"), (4, "video")], "doc_id long, doc_type string")
     m = {r["doc_id"]: r["has_read"] for r in ST.mark_read(q, done).collect()}
     assert m == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_read_text_corpus_one_doc_per_line(spark, tmp_path):
+    from tastemap.sources.news import read_text_corpus
+    (tmp_path / "a.txt").write_text("x y\nx y\nz\n")
+    (tmp_path / "b.txt").write_text("w\n")
+    df = read_text_corpus(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
+    rows = df.collect()
+    assert len(rows) == 4 and len({r["doc_id"] for r in rows}) == 4
