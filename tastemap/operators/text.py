@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tastemap.config import STOP_WORDS
 from tastemap.functions.text import tokens_regex_gap, tokens_regex_match, tokens_ws
+from tastemap.session import spread
 
 TOKENIZERS = {"ws": tokens_ws, "gap": tokens_regex_gap, "match": tokens_regex_match}
 
@@ -155,7 +156,7 @@ def keywords_user_scope(reads: DataFrame, corpus: DataFrame, top: int = 10,
 
 def word_count_topk(docs: DataFrame, k: int, text_col: str = "words") -> DataFrame:
     """(term, n): the k most frequent single-space tokens (ties by term)."""
-    t = docs.select(F.explode(tokens_ws(F.col(text_col))).alias("term"))
+    t = spread(docs).select(F.explode(tokens_ws(F.col(text_col))).alias("term"))
     return (t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("n"), F.asc("term")).limit(k))
 
@@ -167,7 +168,7 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "words",
 
     The top-``size`` cut runs first (per-partition top-k then a merge), so the
     index is assigned over at most ``size`` rows."""
-    t = drop_stopwords(tokens(docs, doc_col, text_col, "gap"), stopwords)
+    t = drop_stopwords(tokens(spread(docs), doc_col, text_col, "gap"), stopwords)
     top = (t.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
            .orderBy(F.desc("n"), F.asc("term")).limit(size))
     w = Window.orderBy(F.desc("n"), F.asc("term"))
@@ -179,7 +180,7 @@ def count_vectors(docs: DataFrame, vocab: DataFrame, doc_col: str = "doc_id",
     """(doc_col, idx, tf): token counts restricted to the vocabulary (out-of-
     vocabulary tokens dropped).  The vocabulary is bounded by its size
     parameter, so broadcasting it is safe."""
-    t = tokens(docs, doc_col, text_col, "gap")
+    t = tokens(spread(docs), doc_col, text_col, "gap")
     return (t.join(F.broadcast(vocab.select("term", "idx")), "term")
             .groupBy(doc_col, "idx").agg(F.count(F.lit(1)).alias("tf")))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tastemap.config import DEFAULT_PARAMS, STOP_WORDS, Params
 from tastemap.operators.text import vocabulary
+from tastemap.session import spread
 
 
 class TopicModel:
@@ -55,13 +56,13 @@ def build_topic_model(corpus: DataFrame, params: Params = DEFAULT_PARAMS,
     if optimizer == "online":
         n = corpus.count()
         lda.setSubsamplingRate(min(1.0, 2.0 / max_iter + 1.0 / max(n, 1)))
-    model = Pipeline(stages=featurizer(vocab, text_col) + [lda]).fit(corpus)
+    model = Pipeline(stages=featurizer(vocab, text_col) + [lda]).fit(spread(corpus))
     return TopicModel(model, vocab)
 
 
 def infer(model: TopicModel, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, topic array<double>) topic mixture of each (possibly unseen) document."""
-    out = model.pipeline.transform(docs)
+    out = model.pipeline.transform(spread(docs))
     return out.select(key, vector_to_array("_dist").alias("topic"))
 
 

@@ -53,3 +53,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder inside the shared checkpoint area."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tastemap/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Round-robin ``df`` to the default parallelism when it has fewer
+    partitions (a few large files or row groups); a no-op for inputs that
+    are already split finer, as on a cluster.  Used before CPU-heavy ML work."""
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
