@@ -46,6 +46,9 @@ def term_freq(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "words",
     before tokenising: the text is shuffled once (smaller than its tokens; a
     document is bounded, so no hot key) and the (doc, term) aggregation and
     any later per-document window run without another exchange."""
+    # documents without an id cannot be keyed; filtering them here also keeps
+    # every use of this plan identical, so Spark reuses one shuffle for all
+    docs = docs.where(F.col(doc_col).isNotNull())
     if by_doc:
         docs = docs.repartition(doc_col)
     t = tokens(docs, doc_col, text_col, tokenizer, extra)

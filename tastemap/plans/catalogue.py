@@ -336,11 +336,16 @@ def q_top_topics(spark, d):
         "vec_id", "k", _r("weight"))
 
 
+QUEUE_SNAPSHOT_TS = "2024-01-02"
+
+
 def _queue(spark, d):
-    """Queue of new articles: read once any log event points at the same id."""
+    """Queue of new articles as of the end of the log's first day: an entry
+    is read once a log event before that time points at the same id."""
     from tastemap.sources.store import queue_from
     arts = TD.new_articles(spark, d).select("doc_id")
-    seen = TD.behaviour_log(spark, d).select("doc_id")
+    seen = (TD.behaviour_log(spark, d)
+            .where(F.col("ts") < F.lit(QUEUE_SNAPSHOT_TS).cast("timestamp")).select("doc_id"))
     return queue_from(arts, seen, "benchmark")
 
 

@@ -126,7 +126,8 @@ CTES: dict[str, str] = {
           AND user_id IS NOT NULL AND user_id <> '' AND rowkey IS NOT NULL AND rowkey <> ''""",
     "queue": """SELECT b.item_id AS doc_id, 'benchmark' AS doc_type,
         CAST(b.item_id AS VARCHAR) AS rowkey, s.doc_id IS NOT NULL AS has_read
-        FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id FROM ulog) s ON s.doc_id = b.item_id""",
+        FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id FROM ulog
+                                    WHERE ts < TIMESTAMP '2024-01-02') s ON s.doc_id = b.item_id""",
 }
 ORDER = list(CTES)
 
