@@ -20,9 +20,20 @@ TOKENIZERS = {"ws": tokens_ws, "gap": tokens_regex_gap, "match": tokens_regex_ma
 
 def tokens(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "words",
            tokenizer: str = "ws", extra: list[str] | None = None) -> DataFrame:
-    """(doc_col, term) one row per token occurrence (whole texts)."""
-    tok = TOKENIZERS[tokenizer](F.col(text_col))
-    return docs.select(doc_col, *(extra or []), F.explode(tok).alias("term"))
+    """(doc_col, term) one row per token occurrence (whole texts).
+
+    The split tokenisers only drop empty strings; that test runs on the
+    exploded rows (a codegen'd filter) rather than as a lambda per array."""
+    keep = list(extra or [])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if tokenizer == "ws":
+        raw = F.split(text, " ")
+    elif tokenizer == "gap":
+        raw = F.split(F.lower(text), r"\s+")
+    else:
+        return docs.select(doc_col, *keep, F.explode(TOKENIZERS[tokenizer](F.col(text_col))).alias("term"))
+    return (docs.select(doc_col, *keep, F.explode(raw).alias("term"))
+            .where(F.col("term") != ""))
 
 
 def drop_stopwords(toks: DataFrame, stopwords=None, term: str = "term") -> DataFrame:
