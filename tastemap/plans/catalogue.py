@@ -407,6 +407,41 @@ def q_stream_recommend(spark, d):
     return run_file_stream_once(spark, d, PARAMS).select("user_id", "doc_id", _r("sim"))
 
 
+# -- single-capability checks of scalar helpers --------------------------------
+
+PAD_TO = 72
+
+
+def q_in_zone(spark, d):
+    from tastemap.config import BUCKETS
+    from tastemap.functions.scalar import in_zone
+    ev = TD.table(spark, d, "events").where(F.col("ts").isNotNull())
+    _label, start, end = BUCKETS[1]
+    return ev.select("event_id", in_zone("ts", start, end).alias("in_zone"))
+
+
+def q_pad_vectors(spark, d):
+    from tastemap.functions.scalar import pad
+    emb = TD.table(spark, d, "embeddings").select(
+        "vec_id", pad(F.col("embedding").cast("array<double>"), PAD_TO).alias("v"))
+    return emb.select("vec_id", F.posexplode("v").alias("k", "x")).select("vec_id", "k", _r("x"))
+
+
+def q_topic_unscale(spark, d):
+    from tastemap.functions.scalar import unscale
+    log = TD.behaviour_log(spark, d)
+    prof = P.topics_from_delta(P.topic_delta(log, TD.article_topics(spark, d)))
+    back = prof.select("user_id", "bucket", unscale("topic", "news_cnt").alias("s"))
+    return back.select("user_id", "bucket", F.posexplode("s").alias("k", "topic_sum")).select(
+        "user_id", "bucket", "k", _r("topic_sum"))
+
+
+def q_user_dictionary(spark, d):
+    from tastemap.operators.cf import dictionaries, ratings
+    users, _items = dictionaries(ratings(TD.behaviour_log(spark, d)))
+    return users
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_log": q_parse_log,
     "quarantine": q_quarantine,
@@ -455,4 +490,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lda_online": q_lda_online,
     "cf_recommend": q_cf_recommend,
     "stream_recommend": q_stream_recommend,
+    "in_zone": q_in_zone,
+    "pad_vectors": q_pad_vectors,
+    "topic_unscale": q_topic_unscale,
+    "user_dictionary": q_user_dictionary,
 }

@@ -342,4 +342,15 @@ ORACLE: dict[str, str] = {
                 UNION ALL SELECT user_id, doc_id, 'cf' AS source FROM cfl))
         GROUP BY ALL"""),
     "stream_recommend": SCORE_SINGLE,
+    "in_zone": """SELECT event_id,
+        strftime(ts, '%H:%M:%S') BETWEEN '06:00:00' AND '11:59:59' AS in_zone
+        FROM events WHERE ts IS NOT NULL""",
+    "pad_vectors": f"""SELECT vec_id, CAST(k AS INTEGER) AS k,
+        round(CASE WHEN k < len(embedding) THEN CAST(embedding[k + 1] AS DOUBLE) ELSE 0.0 END, 6) AS x
+        FROM (SELECT vec_id, embedding, UNNEST(range(greatest(len(embedding), {C.PAD_TO}))) AS k
+              FROM embeddings)""",
+    "topic_unscale": sql(TOPIC, """SELECT p.user_id, p.bucket, CAST(p.k AS INTEGER) AS k,
+        round(p.x * c.c, 6) AS topic_sum FROM prof p JOIN tcnt c USING (user_id, bucket)"""),
+    "user_dictionary": sql(BASE, """SELECT DISTINCT user_id, CAST(user_id AS INTEGER) AS user_idx
+        FROM ulog"""),
 }

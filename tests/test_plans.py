@@ -46,3 +46,11 @@ def test_entry_smoke(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_hot_groups_are_cut_before_the_shuffle(spark):
+    """Per-group top-k: partial WindowGroupLimit before the exchange, final after."""
+    p = plan(E.queries()["keyword_delta"](spark, SF_SMALL))
+    assert "WindowGroupLimit" in p and ", Partial" in p and ", Final" in p
+    p = plan(E.queries()["ratings"](spark, SF_SMALL))
+    assert "partial_sum" in p  # map-side combine before the shuffle
