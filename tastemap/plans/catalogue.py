@@ -23,7 +23,6 @@ R = 6  # rounding of floating results
 SCAN_LIMIT = 100
 WORD_TOPK = 20
 TOP_TOPICS = 3
-CHECK_USER = 7
 LONG_DOC_CHARS = 5000
 
 
@@ -119,7 +118,12 @@ def q_distinct_users(spark, d):
 
 
 def q_user_events(spark, d):
-    return (TD.behaviour_log(spark, d).where(F.col("user_id") == CHECK_USER)
+    """Typed point lookup by user id (the operator itself): the events of the
+    most active user (ties: smallest id), chosen by a scalar subquery."""
+    log = TD.behaviour_log(spark, d)
+    top = (log.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.desc("n"), F.asc("user_id")).limit(1).select("user_id"))
+    return (log.where(F.col("user_id") == top.scalar())
             .select("event_id", "ts", "doc_id", "behaviour"))
 
 

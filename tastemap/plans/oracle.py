@@ -221,8 +221,9 @@ ORACLE: dict[str, str] = {
         FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
     "behaviour_weight": sql(BASE, "SELECT event_id, behaviour AS code, weight FROM ulog"),
     "distinct_users": sql(BASE, "SELECT DISTINCT user_id FROM ulog"),
-    "user_events": sql(BASE, f"""SELECT event_id, ts, doc_id, behaviour FROM ulog
-        WHERE user_id = {C.CHECK_USER}"""),
+    "user_events": sql(BASE, """SELECT event_id, ts, doc_id, behaviour FROM ulog
+        WHERE user_id = (SELECT user_id FROM ulog GROUP BY user_id
+                         ORDER BY count(*) DESC, user_id LIMIT 1)"""),
     "ratings": sql(BASE, """SELECT user_id, doc_id, round(sum(weight), 6) AS rating
         FROM ulog GROUP BY ALL"""),
     "item_dictionary": sql(BASE + " lines parsed good", """SELECT rowkey,
