@@ -36,8 +36,9 @@ def main() -> None:
     from tastemap.session import local_session
     from tastemap.plans.catalogue import QUERIES
 
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2 if cpus.isdigit() else 16,
-                          app="tastemap-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS",
+                               int(cpus) * 2 if cpus.isdigit() else 16))
+    spark = local_session(cpus, shuffle_partitions=parts, app="tastemap-bench")
     # warm-up on the smallest tables (JIT / codegen), not timed
     warm = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm):
