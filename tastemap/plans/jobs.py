@@ -28,7 +28,12 @@ from tastemap.sources import store as ST
 
 @dataclass
 class Paths:
+    """Where a deployment keeps its state.  With ``n_buckets > 0`` the profile
+    tables are versioned catalog tables bucketed by (user_id, bucket) under
+    ``table_prefix``, so each merge shuffles only the new delta."""
     base: str
+    table_prefix: str = ""
+    n_buckets: int = 0
 
     @property
     def model(self): return f"{self.base}/lda"
@@ -44,6 +49,21 @@ class Paths:
     def recs(self): return f"{self.base}/recs"
 
 
+UB = ["user_id", "bucket"]
+
+
+def _read_state(spark: SparkSession, paths: Paths, kind: str) -> DataFrame | None:
+    if paths.n_buckets > 0:
+        return ST.read_latest_table(spark, f"{paths.table_prefix}{kind}")
+    return ST.read_latest(spark, getattr(paths, kind))
+
+
+def _write_state(spark: SparkSession, df: DataFrame, paths: Paths, kind: str) -> int:
+    if paths.n_buckets > 0:
+        return ST.write_table_version(spark, df, f"{paths.table_prefix}{kind}", UB, paths.n_buckets)
+    return ST.write_version(spark, df, getattr(paths, kind))
+
+
 def _corpus(news: DataFrame) -> DataFrame:
     return news.select(F.col("rowkey").alias("doc_id"), F.coalesce("words", F.lit("")).alias("words"))
 
@@ -78,17 +98,17 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
         model = model or TP.TopicModel.load(paths.model)
         article_topics = article_topics_from_model(model, news, log)
     delta = P.topic_delta(log, article_topics)
-    old_t = ST.read_latest(spark, paths.topics)
+    old_t = _read_state(spark, paths, "topics")
     topics = P.topics_from_delta(delta) if old_t is None else P.merge_topics(old_t, delta)
-    vt = ST.write_version(spark, topics, paths.topics)
+    vt = _write_state(spark, topics, paths, "topics")
 
     # article keywords: IDF over the whole corpus (the read articles are part of it)
     kw = T.keywords(_corpus(news), params.keywords_per_doc, keep_raw=True)
     new_kw = P.keyword_delta(log, kw, params.keywords_per_update)
-    old_k = ST.read_latest(spark, paths.keywords)
+    old_k = _read_state(spark, paths, "keywords")
     keywords = (P.initial_keywords(new_kw) if old_k is None else
                 P.merge_keywords(old_k, new_kw, params.keyword_existing, params.keyword_threshold))
-    vk = ST.write_version(spark, keywords, paths.keywords)
+    vk = _write_state(spark, keywords, paths, "keywords")
     if train_cf:
         cf.train(log, params).save(paths.cf)
     return vt, vk
@@ -98,7 +118,7 @@ def recommend_cf(spark: SparkSession, paths: Paths, params: Params = DEFAULT_PAR
                  batch_id: int = 0) -> DataFrame:
     """P4: CF picks for every user with a profile in the recommendation bucket."""
     model = cf.CFModel.load(spark, paths.cf)
-    users = (ST.read_latest(spark, paths.topics)
+    users = (_read_state(spark, paths, "topics")
              .where(F.col("bucket") == params.profile_bucket).select("user_id"))
     recs = cf.recommend(model, users, params.cf_items)
     ST.append_batch(recs.select("user_id", "doc_id", F.lit("cf").alias("source")),
@@ -114,8 +134,8 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
     if new_topics is None:
         new_topics = TP.infer(TP.TopicModel.load(paths.model), new_docs)
     b = params.profile_bucket
-    prof = ST.read_latest(spark, paths.topics).where(F.col("bucket") == b).select("user_id", "topic")
-    terms = ST.read_latest(spark, paths.keywords).where(F.col("bucket") == b).select("user_id", "term")
+    prof = _read_state(spark, paths, "topics").where(F.col("bucket") == b).select("user_id", "topic")
+    terms = _read_state(spark, paths, "keywords").where(F.col("bucket") == b).select("user_id", "term")
     new_kw = T.keywords_new_vs_corpus(new_docs, _corpus(news), params.keywords_per_doc)
     scored = S.hybrid_join(prof, new_topics, terms, new_kw.select("doc_id", "term"),
                            ["user_id"], ["doc_id"], "topic", "topic", params.min_similarity,

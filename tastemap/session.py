@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,6 +24,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # local runs only: catalog tables go to a temp folder, not the cwd
+        .config("spark.sql.warehouse.dir",
+                os.environ.get("TASTEMAP_WAREHOUSE", tempfile.mkdtemp(prefix="tastemap-wh-")))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -87,3 +87,39 @@ def mark_read(queue: DataFrame, done: DataFrame) -> DataFrame:
     j = queue.join(d, ["doc_id", "doc_type"], "left")
     return j.select("doc_id", "doc_type", "rowkey",
                     (F.col("has_read") | F.coalesce(F.col("_m"), F.lit(False))).alias("has_read"))
+
+
+# -- bucketed catalog tables (co-located merges) -----------------------------
+
+def _table(name: str, v: int) -> str:
+    return f"{name}_v{v}"
+
+
+def table_versions(spark: SparkSession, name: str) -> list[int]:
+    """Committed versions of a versioned catalog table ``<name>_v<n>``."""
+    db, _, base = name.rpartition(".")
+    tables = spark.catalog.listTables(db) if db else spark.catalog.listTables()
+    out = []
+    for t in tables:
+        if t.name.startswith(base + "_v") and t.name[len(base) + 2:].isdigit():
+            out.append(int(t.name[len(base) + 2:]))
+    return sorted(out)
+
+
+def read_latest_table(spark: SparkSession, name: str) -> DataFrame | None:
+    v = table_versions(spark, name)
+    return spark.table(_table(name, v[-1])) if v else None
+
+
+def write_table_version(spark: SparkSession, df: DataFrame, name: str, keys: list[str],
+                        n_buckets: int) -> int:
+    """Write the next version as a table bucketed (and sorted) by ``keys``.
+
+    A later merge that joins on exactly these keys reads the stored side
+    without a shuffle; only the (smaller) delta is hash-partitioned to match.
+    """
+    v = table_versions(spark, name)
+    nxt = (v[-1] + 1) if v else 0
+    (df.write.bucketBy(n_buckets, *keys).sortBy(*keys).mode("errorifexists")
+       .saveAsTable(_table(name, nxt)))
+    return nxt

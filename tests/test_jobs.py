@@ -35,3 +35,20 @@ def test_jobs_end_to_end(spark):
     assert out
     assert {r["source"] for r in out} <= {"content", "cf"}
     assert ST.read_recs(spark, paths.recs).count() > 0
+
+
+def test_profile_update_with_bucketed_tables(spark):
+    import uuid
+    p = Params(min_similarity=0.0)
+    paths = J.Paths(scratch_path(spark, "jobs-bucketed"), table_prefix=f"t{uuid.uuid4().hex[:6]}_",
+                    n_buckets=4)
+    news = TD.news(spark, SF_SMALL)
+    log = TD.behaviour_log(spark, SF_SMALL)
+    vecs = TD.article_topics(spark, SF_SMALL)
+    split = F.lit(TD.SPLIT_TS).cast("timestamp")
+    assert J.update_profiles(spark, log.where(F.col("ts") < split), news, paths, vecs, params=p,
+                             train_cf=False) == (0, 0)
+    assert J.update_profiles(spark, log.where(F.col("ts") >= split), news, paths, vecs, params=p,
+                             train_cf=False) == (1, 1)
+    t = ST.read_latest_table(spark, f"{paths.table_prefix}topics")
+    assert t.groupBy().sum("news_cnt").first()[0] == log.count()

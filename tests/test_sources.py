@@ -91,3 +91,23 @@ def test_read_text_corpus_one_doc_per_line(spark, tmp_path):
     df = read_text_corpus(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")])
     rows = df.collect()
     assert len(rows) == 4 and len({r["doc_id"] for r in rows}) == 4
+
+
+def test_bucketed_profile_merge_shuffles_only_the_delta(spark):
+    import uuid
+    from tastemap.operators import profile as P
+    name = "topics_" + uuid.uuid4().hex[:8]
+    old = spark.createDataFrame([(u, "上午", [0.1 * u, 0.2], 3) for u in range(50)],
+                                "user_id long, bucket string, topic array<double>, news_cnt long")
+    assert ST.write_table_version(spark, old, name, ["user_id", "bucket"], 4) == 0
+    stored = ST.read_latest_table(spark, name)
+    delta = spark.createDataFrame([(1, "上午", [0.3, 0.1], 2), (77, "下午", [0.5, 0.5], 1)],
+                                  "user_id long, bucket string, topic_sum array<double>, n long")
+    merged = P.merge_topics(stored, delta)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    # exactly one exchange (the delta side); the bucketed table is read in place
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    got = {r["user_id"]: r["news_cnt"] for r in merged.collect()}
+    assert got[1] == 5 and got[77] == 1 and len(got) == 51
+    assert ST.write_table_version(spark, merged, name, ["user_id", "bucket"], 4) == 1
+    assert ST.table_versions(spark, name) == [0, 1]
