@@ -30,10 +30,27 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, **options) -> Da
     return reader.load().selectExpr("CAST(value AS STRING) AS value")
 
 
-def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics: DataFrame,
+def topics_from_model(model, news: DataFrame):
+    """Topic provider for new articles: look the texts up in ``news``
+    (rowkey, words; '' when missing) and infer their topic mixtures."""
+    from tastemap.operators.topics import infer
+    from tastemap.sources.news import attach_words
+
+    def provide(keys: DataFrame) -> DataFrame:
+        texts = attach_words(keys.select("doc_id").distinct(), news)
+        return infer(model, texts.select("doc_id", "words"))
+    return provide
+
+
+def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics,
                        params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """keys (doc_id) -> (user_id, doc_id, sim) with sim > min_similarity."""
-    vecs = keys.select("doc_id").distinct().join(article_topics, "doc_id")
+    """keys (doc_id) -> (user_id, doc_id, sim) with sim > min_similarity.
+
+    ``article_topics`` is a (doc_id, topic) table or a callable that turns
+    the batch keys into one (e.g. ``topics_from_model``)."""
+    keys = keys.select("doc_id").distinct()
+    vecs = (article_topics(keys) if callable(article_topics)
+            else keys.join(article_topics, "doc_id"))
     return cosine_join(profiles, vecs, ["user_id"], ["doc_id"], "topic", "topic",
                        params.min_similarity, params.salt_buckets)
 

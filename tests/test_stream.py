@@ -14,3 +14,29 @@ def test_stream_equals_batch(spark):
     a = {(r[0], r[1]): round(r[2], 9) for r in stream.collect()}
     b = {(r[0], r[1]): round(r[2], 9) for r in batch.collect()}
     assert a == b and len(a) > 0
+
+
+def test_stream_with_topic_model_equals_batch(spark):
+    from tastemap.config import Params
+    from tastemap.operators import topics as TP
+    from tastemap.session import scratch_path
+    from tastemap.sources import testdata as TD
+    from tastemap.streaming.recommend import (score_new_articles, start_recommend_stream,
+                                              topics_from_model)
+    p = Params(n_topics=4, vocab_multiplier=25, min_similarity=0.3)
+    news = TD.news(spark, SF_SMALL)
+    corpus = news.select(F.col("rowkey").alias("doc_id"), "words")
+    model = TP.build_topic_model(corpus, p, max_iter=3)
+    profiles = TP.infer(model, corpus.limit(30)).withColumnRenamed("doc_id", "user_id")
+    provider = topics_from_model(model, news)
+    base = scratch_path(spark, "stream-lda")
+    keys = news.select(F.col("rowkey").cast("string").alias("value")).orderBy("value").limit(12)
+    keys.repartition(2).write.text(f"{base}/in")
+    src = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/in")
+    q = start_recommend_stream(src, profiles, provider, f"{base}/out", f"{base}/ckpt", p,
+                               trigger={"availableNow": True})
+    q.awaitTermination()
+    got = {(r[0], r[1]) for r in spark.read.parquet(f"{base}/out").collect()}
+    batch_keys = keys.select(F.col("value").cast("long").alias("doc_id"))
+    exp = {(r[0], r[1]) for r in score_new_articles(batch_keys, profiles, provider, p).collect()}
+    assert got == exp and len(got) > 0
