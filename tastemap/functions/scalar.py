@@ -17,8 +17,10 @@ def _c(c) -> Column:
 
 def parse_log_time(s) -> Column:
     """Strict parse of a ``yyyy-MM-dd HH:mm:ss`` string; NULL when malformed
-    (hour 25, missing clock part, garbage) so the row can be quarantined."""
-    return F.try_to_timestamp(_c(s), F.lit(LOG_TIME_FORMAT))
+    (hour 25, missing clock part, garbage) so the row can be quarantined.
+    The result is a wall-clock timestamp (timestamp_ntz), independent of the
+    session time zone."""
+    return F.try_to_timestamp(_c(s), F.lit(LOG_TIME_FORMAT)).cast("timestamp_ntz")
 
 
 def in_zone(ts, start: str, end: str) -> Column:

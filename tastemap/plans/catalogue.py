@@ -226,8 +226,8 @@ def q_topic_delta(spark, d):
 
 def _halves(spark, d):
     log = TD.behaviour_log(spark, d)
-    return log.where(F.col("ts") < F.lit(TD.SPLIT_TS).cast("timestamp")), \
-        log.where(F.col("ts") >= F.lit(TD.SPLIT_TS).cast("timestamp"))
+    return log.where(F.col("ts") < F.lit(TD.SPLIT_TS).cast("timestamp_ntz")), \
+        log.where(F.col("ts") >= F.lit(TD.SPLIT_TS).cast("timestamp_ntz"))
 
 
 def q_topic_merge(spark, d):
@@ -349,7 +349,7 @@ def _queue(spark, d):
     from tastemap.sources.store import queue_from
     arts = TD.new_articles(spark, d).select("doc_id")
     seen = (TD.behaviour_log(spark, d)
-            .where(F.col("ts") < F.lit(QUEUE_SNAPSHOT_TS).cast("timestamp")).select("doc_id"))
+            .where(F.col("ts") < F.lit(QUEUE_SNAPSHOT_TS).cast("timestamp_ntz")).select("doc_id"))
     return queue_from(arts, seen, "benchmark")
 
 

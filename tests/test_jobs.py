@@ -20,7 +20,7 @@ def test_jobs_end_to_end(spark):
     assert spark.read.parquet(paths.vocab).count() == len(model.vocab)
 
     log = TD.behaviour_log(spark, SF_SMALL)
-    split = F.lit(TD.SPLIT_TS).cast("timestamp")
+    split = F.lit(TD.SPLIT_TS).cast("timestamp_ntz")
     assert J.update_profiles(spark, log.where(F.col("ts") < split), news, paths, params=p) == (0, 0)
     assert J.update_profiles(spark, log.where(F.col("ts") >= split), news, paths, params=p) == (1, 1)
     topics = ST.read_latest(spark, paths.topics)
@@ -45,7 +45,7 @@ def test_profile_update_with_bucketed_tables(spark):
     news = TD.news(spark, SF_SMALL)
     log = TD.behaviour_log(spark, SF_SMALL)
     vecs = TD.article_topics(spark, SF_SMALL)
-    split = F.lit(TD.SPLIT_TS).cast("timestamp")
+    split = F.lit(TD.SPLIT_TS).cast("timestamp_ntz")
     assert J.update_profiles(spark, log.where(F.col("ts") < split), news, paths, vecs, params=p,
                              train_cf=False) == (0, 0)
     assert J.update_profiles(spark, log.where(F.col("ts") >= split), news, paths, vecs, params=p,

@@ -65,7 +65,7 @@ def test_read_topics_defaults(spark):
 def test_incremental_equals_full(spark):
     log = TD.behaviour_log(spark, SF_SMALL)
     vecs = TD.article_topics(spark, SF_SMALL)
-    split = F.lit(TD.SPLIT_TS).cast("timestamp")
+    split = F.lit(TD.SPLIT_TS).cast("timestamp_ntz")
     old = P.topics_from_delta(P.topic_delta(log.where(F.col("ts") < split), vecs))
     merged = P.merge_topics(old, P.topic_delta(log.where(F.col("ts") >= split), vecs))
     full = P.topics_from_delta(P.topic_delta(log, vecs))
