@@ -24,7 +24,8 @@ def blend_lists(content: DataFrame, cf: DataFrame, ratio: float) -> DataFrame:
     f = (cf.join(quota, "user_id")
          .withColumn("_rk", F.row_number().over(wc))
          .where(F.col("_rk") <= F.col("_q")))
-    out_c = c.select("user_id", "doc_id", F.lit("content").alias("source"), F.col("_rk").alias("rk"))
+    out_c = c.select("user_id", "doc_id", F.lit("content").alias("source"),
+                     F.col("_rk").cast("int").alias("rk"))
     out_f = f.select("user_id", "doc_id", F.lit("cf").alias("source"),
-                     (F.col("_rk") + F.col("_n")).alias("rk"))
+                     (F.col("_rk") + F.col("_n")).cast("int").alias("rk"))
     return out_c.unionByName(out_f)
