@@ -121,6 +121,28 @@ def keywords(docs: DataFrame, top: int = 10, doc_col: str = "doc_id",
                          keep_raw=keep_raw)
 
 
+def corpus_doc_freq(corpus: DataFrame, doc_col: str = "doc_id", text_col: str = "words") -> DataFrame:
+    """(term, df, n_docs): document frequencies of the corpus with its size on
+    every row, to be stored once and reused by ``keywords_with_df``."""
+    m = corpus.select(F.count(F.lit(1))).scalar()
+    return doc_freq(term_freq(corpus, doc_col, text_col)).withColumn("n_docs", m)
+
+
+def keywords_with_df(docs: DataFrame, stored_df: DataFrame, top: int = 10,
+                     doc_col: str = "doc_id", text_col: str = "words",
+                     round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
+    """Top keywords of corpus documents ``docs`` (a subset, e.g. the articles
+    read in one batch) with the IDF of the whole corpus taken from a stored
+    ``corpus_doc_freq`` table: only the subset is tokenised.  Same result as
+    ``keywords`` over the whole corpus, restricted to ``docs``."""
+    tf = term_freq(docs, doc_col, text_col)
+    idf_t = stored_df.select("term", F.log((F.col("n_docs") + F.lit(1))
+                                           / (F.col("df") + F.lit(1))).alias("idf"))
+    w = tfidf(tf, idf_t, doc_col)
+    return top_per_group(w, [doc_col], "weight", top, rank_col="rk", round_to=round_to,
+                         keep_raw=keep_raw)
+
+
 def keywords_new_vs_corpus(new_docs: DataFrame, corpus: DataFrame, top: int = 10,
                            round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
     """Top keywords of new documents with the IDF over new ∪ corpus (both

@@ -46,6 +46,8 @@ class Paths:
     @property
     def cf(self): return f"{self.base}/cf"
     @property
+    def doc_freq(self): return f"{self.base}/doc_freq"
+    @property
     def recs(self): return f"{self.base}/recs"
 
 
@@ -77,6 +79,8 @@ def build_topic_model(spark: SparkSession, news: DataFrame, paths: Paths,
     model.save(paths.model)
     (spark.createDataFrame([(i, t) for i, t in enumerate(model.vocab)], "idx int, term string")
      .write.mode("overwrite").parquet(paths.vocab))
+    # corpus document frequencies, so profile updates tokenise only what was read
+    T.corpus_doc_freq(_corpus(news)).write.mode("overwrite").parquet(paths.doc_freq)
     return model
 
 
@@ -102,8 +106,19 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     topics = P.topics_from_delta(delta) if old_t is None else P.merge_topics(old_t, delta)
     vt = _write_state(spark, topics, paths, "topics")
 
-    # article keywords: IDF over the whole corpus (the read articles are part of it)
-    kw = T.keywords(_corpus(news), params.keywords_per_doc, keep_raw=True)
+    # article keywords: IDF over the whole corpus (the read articles are part of
+    # it).  With the stored corpus df only the articles read in this batch are
+    # tokenised; without it the corpus df is computed here.
+    corpus = _corpus(news)
+    try:
+        stored_df = spark.read.parquet(paths.doc_freq)
+    except Exception:  # noqa: BLE001 - no stored table yet
+        stored_df = None
+    if stored_df is not None:
+        read = corpus.join(log.select("doc_id").distinct(), "doc_id", "left_semi")
+        kw = T.keywords_with_df(read, stored_df, params.keywords_per_doc, keep_raw=True)
+    else:
+        kw = T.keywords(corpus, params.keywords_per_doc, keep_raw=True)
     new_kw = P.keyword_delta(log, kw, params.keywords_per_update)
     old_k = _read_state(spark, paths, "keywords")
     keywords = (P.initial_keywords(new_kw) if old_k is None else

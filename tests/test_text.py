@@ -79,3 +79,12 @@ def test_vocabulary_order_and_count_vectors(spark):
 def test_word_count_topk(spark):
     got = [(r[0], r[1]) for r in T.word_count_topk(docs(spark), 3).collect()]
     assert got == [("the", 3), ("a", 2), ("cat", 2)]
+
+
+def test_keywords_with_stored_df_equals_full(spark):
+    d = TD.news(spark, SF_SMALL).select(F.col("rowkey").alias("doc_id"), "words")
+    stored = T.corpus_doc_freq(d)
+    subset = d.where("doc_id % 7 = 0")
+    a = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords_with_df(subset, stored, 10).collect()}
+    b = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords(d, 10).where("doc_id % 7 = 0").collect()}
+    assert a == b and len(a) > 0
