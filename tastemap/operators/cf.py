@@ -89,7 +89,7 @@ def train(log: DataFrame, params: Params = DEFAULT_PARAMS, user: str = "user_id"
             .select("user_idx", "item_idx", F.col("rating").cast("float").alias("rating")))
     als = ALS(rank=params.als_rank, maxIter=params.als_iterations, regParam=params.als_reg,
               userCol="user_idx", itemCol="item_idx", ratingCol="rating",
-              coldStartStrategy="drop", seed=seed, checkpointInterval=2)
+              coldStartStrategy="drop", seed=seed, checkpointInterval=10)
     return CFModel(als.fit(spread(data)), users, items, user, item)
 
 

@@ -52,7 +52,7 @@ def build_topic_model(corpus: DataFrame, params: Params = DEFAULT_PARAMS,
     vocab = [r["term"] for r in v.orderBy("idx").collect()]  # bounded by vocab_size
     max_iter = max_iter or params.lda_iterations
     lda = LDA(k=params.n_topics, maxIter=max_iter, optimizer=optimizer, seed=seed,
-              featuresCol="features", topicDistributionCol="_dist", checkpointInterval=5)
+              featuresCol="features", topicDistributionCol="_dist", checkpointInterval=10)
     if optimizer == "online":
         n = corpus.count()
         lda.setSubsamplingRate(min(1.0, 2.0 / max_iter + 1.0 / max(n, 1)))
