@@ -12,10 +12,11 @@ Cosine (threshold join)
     shuffle is needed.  Concentrated vectors (topic mixtures) have short
     prefixes and prune well; for dense random vectors the result is still exact.
 
-    The dimension index has few distinct keys (one per dimension) and each is
-    hot, so the probe side is salted and the (smaller) indexed side replicated
-    over the salt values.  Spark decides broadcast vs shuffle from the size of
-    the indexed side (``autoBroadcastJoinThreshold``/AQE).
+    The indexed side (new articles) is broadcast only after an explicit size
+    check (row count x vector width <= ``BROADCAST_INDEX_BYTES``).  Beyond it
+    the join shuffles: the dimension index has few distinct keys (one per
+    dimension) and each is hot, so the probe side is salted and the indexed
+    side replicated over the salt values.
 
 Jaccard (set overlap)
     Inverted index on the term: join the two (key, term) sets on the (salted)
@@ -127,8 +128,11 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     small = size_bytes <= limit
     if width <= 64:
         # dimension sets as 64-bit masks: the "first shared dimension" test is
-        # one AND per joined row, inside whole-stage codegen
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        # one AND per joined row, inside whole-stage codegen.  Left dimensions
+        # >= 64 can never meet a right dimension (all < 64 here), so they get
+        # no bit (a shift by >= 64 would wrap around).
+        bit = lambda k: F.when(k < 64, F.call_function(
+            "shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
         cm = F.aggregate("_pre", F.struct(F.array().cast("array<bigint>").alias("a"),
                                           F.lit(0).cast("long").alias("m")),
                          lambda acc, k: F.struct(F.concat(acc["a"], F.array(acc["m"])).alias("a"),

@@ -147,3 +147,23 @@ def test_prefix_forms_agree(spark):
     a = S.with_prefix(df, "u", 0.3, "p").select("id", "p")
     b = df.select("id", S.prefix_dims(F.col("u"), 0.3).alias("p"))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_cosine_join_long_left_short_right(spark, broadcast):
+    """Left vectors longer than 64 against right vectors of at most 64 dims:
+    prefix dimensions >= 64 must not disturb the first-shared-dimension test."""
+    rng = np.random.default_rng(13)
+    L = []
+    for i in range(60):
+        v = rng.normal(size=80) * 0.05
+        v[64 + (i % 16)] = 3.0          # largest entry beyond the right's width
+        v[i % 16] = 2.0                 # then one the right side has
+        L.append((i, [float(x) for x in v]))
+    R = [(j, [float(x) for x in rng.normal(size=16)]) for j in range(12)]
+    ldf = spark.createDataFrame(L, "user_id long, v array<double>")
+    rdf = spark.createDataFrame(R, "doc_id long, w array<double>")
+    got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", 0.05, salt_buckets=3,
+                        broadcast_bytes=None if broadcast else 0).collect()
+    exp = brute_cos(L, R, 0.05)
+    assert {(r[0], r[1]) for r in got} == set(exp) and len(exp) > 0
