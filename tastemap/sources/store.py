@@ -22,15 +22,20 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def list_versions(spark: SparkSession, base: str) -> list[int]:
+def list_versions(spark: SparkSession, base: str, committed_only: bool = True) -> list[int]:
+    """Version numbers under ``base``; by default only committed ones (with
+    the job-commit marker), which are the only ones readers see."""
     fs, p = _hadoop_fs(spark, base)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/" + _COMMITTED)):
-            out.append(int(name[2:]))
+        if not (name.startswith("v=") and name[2:].isdigit()):
+            continue
+        if committed_only and not fs.exists(st.getPath().suffix("/" + _COMMITTED)):
+            continue
+        out.append(int(name[2:]))
     return sorted(out)
 
 
@@ -40,8 +45,9 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
 
 
 def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
-    """Write ``df`` as the next version; returns its number."""
-    v = list_versions(spark, base)
+    """Write ``df`` as the next version; returns its number.  A folder left
+    by a failed attempt (no commit marker) is skipped, never reused or read."""
+    v = list_versions(spark, base, committed_only=False)
     nxt = (v[-1] + 1) if v else 0
     df.write.mode("errorifexists").parquet(f"{base}/v={nxt}")
     return nxt

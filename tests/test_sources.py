@@ -111,3 +111,16 @@ def test_bucketed_profile_merge_shuffles_only_the_delta(spark):
     assert got[1] == 5 and got[77] == 1 and len(got) == 51
     assert ST.write_table_version(spark, merged, name, ["user_id", "bucket"], 4) == 1
     assert ST.table_versions(spark, name) == [0, 1]
+
+
+def test_failed_version_is_skipped(spark, tmp_path):
+    base = str(tmp_path / "kw")
+    df = spark.createDataFrame([(1, "x")], "user_id long, v string")
+    assert ST.write_version(spark, df, base) == 0
+    broken = tmp_path / "kw" / "v=1"
+    broken.mkdir()
+    (broken / "part-00000.parquet").write_bytes(b"partial")
+    assert ST.list_versions(spark, base) == [0]            # readers ignore it
+    assert ST.read_latest(spark, base).count() == 1
+    assert ST.write_version(spark, df, base) == 2          # writers skip it
+    assert ST.list_versions(spark, base) == [0, 2]
