@@ -124,8 +124,17 @@ def write_table_version(spark: SparkSession, df: DataFrame, name: str, keys: lis
     A later merge that joins on exactly these keys reads the stored side
     without a shuffle; only the (smaller) delta is hash-partitioned to match.
     """
+    from pyspark.errors import AnalysisException
+
     v = table_versions(spark, name)
     nxt = (v[-1] + 1) if v else 0
-    (df.write.bucketBy(n_buckets, *keys).sortBy(*keys).mode("errorifexists")
-       .saveAsTable(_table(name, nxt)))
-    return nxt
+    for attempt in range(nxt, nxt + 8):
+        try:
+            (df.write.bucketBy(n_buckets, *keys).sortBy(*keys).mode("errorifexists")
+               .saveAsTable(_table(name, attempt)))
+            return attempt
+        except AnalysisException as e:
+            # files left at that name by a failed attempt: take the next number
+            if "LOCATION_ALREADY_EXISTS" not in str(e) and "already exists" not in str(e):
+                raise
+    raise RuntimeError(f"no free version name for {name} after {nxt + 7}")
