@@ -51,8 +51,9 @@ CTES: dict[str, str] = {
              WHEN 4 THEN 0.3 END AS DOUBLE) AS weight,
         {BUCKET_SQL} AS bucket
         FROM ev WHERE behaviour IS NOT NULL AND ts IS NOT NULL AND doc_id IS NOT NULL""",
-    "vec": """SELECT vec_id, UNNEST(range(len(embedding))) AS k,
-        UNNEST(CAST(embedding AS DOUBLE[])) AS x FROM embeddings""",
+    "vec": """SELECT e.vec_id, r.k, CAST(e.embedding[r.k + 1] AS DOUBLE) AS x
+        FROM embeddings e JOIN (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS k) r
+          ON r.k < len(e.embedding)""",
     "dvec": """SELECT d.doc_id, v.k, v.x FROM documents d CROSS JOIN sizes s
         JOIN vec v ON v.vec_id = ((d.doc_id % s.nv) + s.nv) % s.nv""",
     "bvec": """SELECT b.item_id AS doc_id, v.k, v.x FROM benchmark b CROSS JOIN sizes s
