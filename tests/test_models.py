@@ -71,3 +71,25 @@ def test_string_ids_get_dense_dictionary(spark):
     u = users.collect()
     assert sorted(x["user_idx"] for x in u) == [0, 1]
     assert len({x["user_id"] for x in u}) == 2
+
+
+def test_lda_likelihood_finite_and_topic_argmax(spark, corpus):
+    import math
+    p = Params(n_topics=3, vocab_multiplier=30)
+    model = TP.build_topic_model(corpus, p, max_iter=8)
+    feats = corpus
+    for stage in model.pipeline.stages[:-1]:
+        feats = stage.transform(feats)
+    assert math.isfinite(model.lda.logLikelihood(feats))
+    # a document made only of one topic's top terms is assigned to that topic
+    desc = TP.describe(model, 5).collect()
+    by_topic = {}
+    for r in desc:
+        by_topic.setdefault(r["topic"], []).append(r["term"])
+    # use the topic whose top terms are least shared with the others
+    def overlap(t):
+        return sum(len(set(by_topic[t]) & set(v)) for k, v in by_topic.items() if k != t)
+    t = min(by_topic, key=overlap)
+    doc = spark.createDataFrame([(0, " ".join(by_topic[t] * 20))], "doc_id long, words string")
+    dist = TP.infer(model, doc).first()["topic"]
+    assert max(range(len(dist)), key=lambda i: dist[i]) == t

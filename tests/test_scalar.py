@@ -87,3 +87,9 @@ def test_idf_formula(spark):
     idf = {r["term"]: r["idf"] for r in T.idf(tf, docs.select(F.count(F.lit(1))).scalar()).collect()}
     assert idf["x"] == pytest.approx(math.log(5 / 2))
     assert idf["y"] == pytest.approx(0.0)
+
+
+def test_jaccard_disjoint_and_identical(spark):
+    df = spark.createDataFrame([(["a", "b"], ["c"]), (["x", "y"], ["y", "x"])],
+                               "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(X.jaccard("a", "b")).collect()] == [0.0, 1.0]
