@@ -89,19 +89,19 @@ def _salt(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-# Largest indexed side (bytes, estimated from its row count and vector
+# Largest index / vector table (bytes, estimated from row count and vector
 # length) that is broadcast; beyond it the index join is a salted shuffle join.
 BROADCAST_INDEX_BYTES = 256 * 1024 * 1024
 
 
 def _index_stats(right: DataFrame, vec: str) -> tuple[int, int]:
-    """(upper bound of the broadcast index bytes, longest vector).  The index
-    has one entry per non-zero dimension, each carrying the whole vector.
-    One aggregate job over the indexed side."""
+    """(estimated broadcast bytes, longest vector).  The index holds one small
+    (key, dimension, mask) entry per non-zero dimension; the vectors are
+    broadcast once more by key.  One aggregate job over the indexed side."""
     r = right.agg(F.count(F.lit(1)).alias("n"),
                   F.max(F.size(vec)).alias("k")).first()
     n, k = int(r["n"] or 0), int(r["k"] or 0)
-    return n * k * (8 * k + 64), k
+    return n * k * 48 + n * (8 * k + 64), k
 
 
 def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
@@ -112,9 +112,11 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
 
     Returns ``left_keys + right_keys + [out]``.  Zero vectors never match.
     Key names of the two sides must be distinct.  ``right`` is the side that
-    gets indexed (new articles); it is broadcast only if its index is at most
-    ``broadcast_bytes`` (checked with a count), otherwise both sides are
-    shuffled on the salted dimension.
+    gets indexed (new articles).  If its index and vectors fit
+    ``broadcast_bytes`` (checked with a count) both are broadcast and the
+    left side is never shuffled; otherwise the dimension join is a salted
+    shuffle join on keys only, and the vectors of the surviving pairs are
+    looked up afterwards.
     """
     if threshold < 0:
         raise ValueError("cosine_join needs threshold >= 0 (pairs sharing no "
@@ -126,6 +128,7 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
           .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
     size_bytes, width = _index_stats(right, right_vec)
     small = size_bytes <= limit
+    rnz = nonzero_dims(F.col("_ru"))
     if width <= 64:
         # dimension sets as 64-bit masks: the "first shared dimension" test is
         # one AND per joined row, inside whole-stage codegen.  Left dimensions
@@ -141,27 +144,32 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
         probe = (lu.withColumn("_cm", cm)
                  .select(*left_keys, "_lu", F.posexplode(F.arrays_zip("_pre", "_cm")).alias("_j", "_z"))
                  .select(*left_keys, "_lu", F.col("_z._pre").alias("_k"), F.col("_z._cm").alias("_cmj")))
-        rm = F.aggregate(nonzero_dims(F.col("_ru")), F.lit(0).cast("long"),
-                         lambda m, k: m.bitwiseOR(bit(k)))
-        index = (ru.withColumn("_rm", rm)
-                 .select(*right_keys, "_ru", "_rm", F.explode(nonzero_dims(F.col("_ru"))).alias("_k")))
+        index = (ru.select(*right_keys, F.aggregate(rnz, F.lit(0).cast("long"),
+                                                    lambda m, k: m.bitwiseOR(bit(k))).alias("_rm"),
+                           F.explode(rnz).alias("_k")))
         first = (F.col("_cmj").bitwiseAND(F.col("_rm"))) == 0
     else:
         probe = lu.select(*left_keys, "_lu", "_pre", F.posexplode("_pre").alias("_j", "_k"))
-        index = ru.select(*right_keys, "_ru", F.explode(nonzero_dims(F.col("_ru"))).alias("_k"))
+        index = ru.select(*right_keys, rnz.alias("_rnz"), F.explode(rnz).alias("_k"))
         first = F.forall(F.slice("_pre", 1, F.col("_j")),
-                         lambda d: F.coalesce(F.get(F.col("_ru"), d), F.lit(0.0)) == 0)
+                         lambda d: ~F.array_contains(F.col("_rnz"), d))
+    vectors = ru.select(*right_keys, "_ru")
     if small:
-        j = probe.join(F.broadcast(index), "_k")
+        # no shuffle: the profiles stream past the broadcast index and vectors
+        cand = probe.join(F.broadcast(index), "_k").where(first)
+        j = cand.join(F.broadcast(vectors), right_keys)
     else:
-        probe = probe.withColumn("_salt", _salt(left_keys, salt_buckets))
+        # only keys cross the network; each surviving pair fetches its vectors
+        probe = probe.drop("_lu").withColumn("_salt", _salt(left_keys, salt_buckets))
         index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        j = probe.join(index, ["_k", "_salt"])
-    # Keep the pair only at its first shared prefix dimension (no dedup
-    # shuffle).  The dot product sits behind that test in a CASE, so any
-    # predicate Catalyst infers or pushes into the join (isnotnull(sim),
-    # sim > t) evaluates the cheap test first.
-    sim = F.when(first, dot("_lu", "_ru"))
+        pairs = (probe.join(index, ["_k", "_salt"]).where(first)
+                 .select(*left_keys, *right_keys))
+        j = (pairs.join(lu.select(*left_keys, "_lu"), left_keys)
+             .join(vectors, right_keys))
+    # A pair is kept only at its first shared prefix dimension (no dedup
+    # shuffle).  The dot product is computed after that test, on the rows
+    # that survive it.
+    sim = dot("_lu", "_ru")
     return (j.select(*left_keys, *right_keys, sim.alias(out))
             .where(F.col(out) > F.lit(threshold)))
 
