@@ -159,8 +159,12 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
     content = scored.select("user_id", "doc_id", F.col("score"))
     if with_cf:
         model = cf.CFModel.load(spark, paths.cf)
+        # CF lists exactly as long as the largest quota any user can get
+        # (quota = floor(n * ratio) for n > 5 content picks, else 1): one scalar
+        n_max = content.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
+        q_max = max(1, int(n_max * params.cf_blend_ratio)) if n_max > 5 else 1
         cf_recs = cf.recommend(model, content.select("user_id").distinct(),
-                               max(params.cf_items, 1) * 8).select("user_id", "doc_id", "score")
+                               q_max).select("user_id", "doc_id", "score")
         out = blend_lists(content, cf_recs, params.cf_blend_ratio)
     else:
         out = content.select("user_id", "doc_id", F.lit("content").alias("source"))
