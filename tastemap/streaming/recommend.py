@@ -55,14 +55,30 @@ def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics,
                        params.min_similarity, params.salt_buckets)
 
 
-def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topics: DataFrame,
+def profiles_for_bucket(profiles: DataFrame, bucket: str | None) -> DataFrame:
+    """(user_id, topic) of one bucket.  ``bucket=None``: ``profiles`` has no
+    bucket column (already one bucket); ``"current"``: the bucket of the time
+    the micro-batch runs (``current_timestamp`` is fixed per query)."""
+    from tastemap.functions.scalar import time_bucket
+    if bucket is None:
+        return profiles.select("user_id", "topic")
+    want = time_bucket(F.current_timestamp()) if bucket == "current" else F.lit(bucket)
+    return profiles.where(F.col("bucket") == want).select("user_id", "topic")
+
+
+def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topics,
                            sink_path: str, checkpoint: str, params: Params = DEFAULT_PARAMS,
-                           trigger: dict | None = None, key_type: str = "long"):
-    """Start the stream; returns the StreamingQuery (caller owns it)."""
+                           trigger: dict | None = None, key_type: str = "long",
+                           bucket: str | None = None):
+    """Start the stream; returns the StreamingQuery (caller owns it).
+
+    ``bucket``: see ``profiles_for_bucket`` (the original always used the
+    morning profile; ``"current"`` follows the clock)."""
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         keys = (batch.select(F.trim(F.col("value")).try_cast(key_type).alias("doc_id"))
                 .where(F.col("doc_id").isNotNull()))
-        recs = score_new_articles(keys, profiles, article_topics, params)
+        recs = score_new_articles(keys, profiles_for_bucket(profiles, bucket), article_topics,
+                                  params)
         append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id)
 
     w = (source.writeStream.foreachBatch(per_batch)

@@ -40,3 +40,21 @@ def test_stream_with_topic_model_equals_batch(spark):
     batch_keys = keys.select(F.col("value").cast("long").alias("doc_id"))
     exp = {(r[0], r[1]) for r in score_new_articles(batch_keys, profiles, provider, p).collect()}
     assert got == exp and len(got) > 0
+
+
+def test_current_bucket_profiles(spark):
+    import datetime
+    from tastemap.config import BUCKETS
+    from tastemap.streaming.recommend import profiles_for_bucket
+    prof = spark.createDataFrame([(1, b[0], [float(i)]) for i, b in enumerate(BUCKETS)],
+                                 "user_id long, bucket string, topic array<double>")
+
+    def expected():
+        h = datetime.datetime.now(datetime.timezone.utc).hour   # session zone is UTC
+        return next(label for label, _s, end in BUCKETS if h <= int(end[:2]))
+    before = expected()
+    got = [r["topic"] for r in profiles_for_bucket(prof, "current").collect()]
+    if expected() == before:
+        i = [b[0] for b in BUCKETS].index(before)
+        assert got == [[float(i)]]
+    assert [r["topic"] for r in profiles_for_bucket(prof, "下午").collect()] == [[2.0]]
