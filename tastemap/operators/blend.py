@@ -21,8 +21,12 @@ def blend_lists(content: DataFrame, cf: DataFrame, ratio: float) -> DataFrame:
     quota = (c.groupBy("user_id").agg(F.max("_n").alias("_n"))
              .withColumn("_q", F.when(F.col("_n") > 5, F.floor(F.col("_n") * F.lit(ratio)))
                          .otherwise(F.lit(1)).cast("int")))
-    f = (cf.join(quota, "user_id")
-         .withColumn("_rk", F.row_number().over(wc))
+    # Cut every CF list to the largest quota first: a literal top-k is planned
+    # as a partial limit before the shuffle, so a user with a huge CF list is
+    # never sorted whole in one task.  (One scalar job.)
+    q_max = quota.agg(F.max("_q")).first()[0] or 1
+    f = (cf.withColumn("_rk", F.row_number().over(wc)).where(F.col("_rk") <= int(q_max))
+         .join(quota, "user_id")
          .where(F.col("_rk") <= F.col("_q")))
     out_c = c.select("user_id", "doc_id", F.lit("content").alias("source"),
                      F.col("_rk").cast("int").alias("rk"))
