@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blend_lists(content: DataFrame, cf: DataFrame, ratio: float) -> DataFrame:
+def quota_bound(n_content_max: int, ratio: float) -> int:
+    """Largest quota a user with at most ``n_content_max`` content picks gets."""
+    return max(1, int(n_content_max * ratio)) if n_content_max > 5 else 1
+
+
+def blend_lists(content: DataFrame, cf: DataFrame, ratio: float,
+                max_quota: int | None = None) -> DataFrame:
     """Content list first, then CF picks.
 
     content, cf: (user_id, doc_id, score).  Only users with at least one
@@ -23,8 +29,10 @@ def blend_lists(content: DataFrame, cf: DataFrame, ratio: float) -> DataFrame:
                          .otherwise(F.lit(1)).cast("int")))
     # Cut every CF list to the largest quota first: a literal top-k is planned
     # as a partial limit before the shuffle, so a user with a huge CF list is
-    # never sorted whole in one task.  (One scalar job.)
-    q_max = quota.agg(F.max("_q")).first()[0] or 1
+    # never sorted whole in one task.  ``max_quota`` is any upper bound the
+    # caller knows (e.g. from the number of new articles); without it the
+    # exact maximum is computed (one scalar job).
+    q_max = max_quota if max_quota is not None else (quota.agg(F.max("_q")).first()[0] or 1)
     f = (cf.withColumn("_rk", F.row_number().over(wc)).where(F.col("_rk") <= int(q_max))
          .join(quota, "user_id")
          .where(F.col("_rk") <= F.col("_q")))

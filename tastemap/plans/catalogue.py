@@ -327,8 +327,12 @@ def cf_standin(spark, d):
 
 
 def q_blend(spark, d):
+    from tastemap.operators.blend import quota_bound
     content = content_scores(spark, d).select("user_id", "doc_id", F.round("sim", R).alias("score"))
-    return blend_lists(content, cf_standin(spark, d), PARAMS.cf_blend_ratio)
+    # a user's content picks are at most the number of new articles
+    n_new = TD.new_articles(spark, d).count()
+    return blend_lists(content, cf_standin(spark, d), PARAMS.cf_blend_ratio,
+                       max_quota=quota_bound(n_new, PARAMS.cf_blend_ratio))
 
 
 def q_top_topics(spark, d):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tastemap.config import DEFAULT_PARAMS, Params
 from tastemap.operators import cf, profile as P, similarity as S, text as T, topics as TP
-from tastemap.operators.blend import blend_lists
+from tastemap.operators.blend import blend_lists, quota_bound
 from tastemap.sources import news as N
 from tastemap.sources import store as ST
 
@@ -162,10 +162,10 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
         # CF lists exactly as long as the largest quota any user can get
         # (quota = floor(n * ratio) for n > 5 content picks, else 1): one scalar
         n_max = content.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
-        q_max = max(1, int(n_max * params.cf_blend_ratio)) if n_max > 5 else 1
+        q_max = quota_bound(n_max, params.cf_blend_ratio)
         cf_recs = cf.recommend(model, content.select("user_id").distinct(),
                                q_max).select("user_id", "doc_id", "score")
-        out = blend_lists(content, cf_recs, params.cf_blend_ratio)
+        out = blend_lists(content, cf_recs, params.cf_blend_ratio, max_quota=q_max)
     else:
         out = content.select("user_id", "doc_id", F.lit("content").alias("source"))
     ST.append_batch(out.select("user_id", "doc_id", "source"), paths.recs, batch_id)

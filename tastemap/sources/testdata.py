@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemap.functions.scalar import behaviour_weight, time_bucket
+from tastemap.session import spread
 
 EVENT_CODES = {"view": 1, "click": 2, "signup": 3, "purchase": 4}
 SPLIT_TS = "2024-01-16"  # old / new halves for incremental-merge checks
@@ -46,7 +47,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events with the derived article and behaviour code (NULL = unknown)."""
     docs = table(spark, sf_dir, "documents")
     groups = F.floor(_count(docs) / F.lit(100)).cast("long")
-    ev = table(spark, sf_dir, "events")
+    # a small file is one split; spread it so parsing and pre-aggregation use
+    # every core (no-op when the scan is already split finer, as on a cluster)
+    ev = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").cast("long")
     return ev.select(
         "event_id", "ts", "user_id", "event_type",
