@@ -3,8 +3,8 @@
 Ratings are the sum of behaviour weights per (user, article).  ALS needs
 32-bit integer ids; instead of string hash codes (which collide) ids come
 from dictionaries: numeric ids that fit in an int are used as they are,
-anything else gets a dense index from ``zipWithIndex`` (distributed, no
-collect).  The dictionaries are saved together with the model.
+anything else gets a dense index computed in the JVM (no collect, no
+Python function).  The dictionaries are saved together with the model.
 """
 
 from __future__ import annotations
@@ -35,12 +35,27 @@ def item_dictionary(parsed_log: DataFrame) -> DataFrame:
 
 
 def index_dictionary(values: DataFrame, col: str, idx: str) -> DataFrame:
-    """(col, idx int) dense dictionary of the distinct values of ``col``."""
-    distinct = values.select(col).distinct()
-    rdd = distinct.rdd.zipWithIndex().map(lambda r: (r[0][0], int(r[1])))
-    schema = T.StructType([distinct.schema[col], T.StructField(idx, T.LongType(), False)])
-    d = values.sparkSession.createDataFrame(rdd, schema)
-    return d.select(col, F.col(idx).cast("int").alias(idx))
+    """(col, idx int) dense dictionary 0..n-1 of the distinct values of ``col``,
+    computed in the JVM: the distinct values are checkpointed (stable on
+    recomputation), then idx = rows in earlier partitions + position within
+    the partition.  Only one row per partition goes through the running sum."""
+    from pyspark.sql import Window
+    from tastemap.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(values.sparkSession)
+    distinct = values.select(col).distinct().checkpoint(eager=True)
+    tagged = distinct.select(col, F.spark_partition_id().alias("_p"),
+                             F.monotonically_increasing_id().alias("_m"))
+    # monotonically_increasing_id = (partition << 33) + position in partition
+    tagged = tagged.withColumn("_pos", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
+    counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_o"))
+    d = tagged.join(F.broadcast(offsets), "_p")  # one row per partition
+    out = d.select(col, (F.col("_o") + F.col("_pos")).alias("_i"))
+    n = out.agg(F.max("_i")).first()[0]
+    if n is not None and n > INT_MAX:
+        raise ValueError(f"{col}: more than 2^31-1 distinct values")
+    return out.select(col, F.col("_i").cast("int").alias(idx))
 
 
 def _fits_int(df: DataFrame, col: str) -> bool:

@@ -93,3 +93,11 @@ def test_lda_likelihood_finite_and_topic_argmax(spark, corpus):
     doc = spark.createDataFrame([(0, " ".join(by_topic[t] * 20))], "doc_id long, words string")
     dist = TP.infer(model, doc).first()["topic"]
     assert max(range(len(dist)), key=lambda i: dist[i]) == t
+
+
+def test_dense_dictionary_is_a_bijection(spark):
+    vals = spark.createDataFrame([(f"u{i % 137}",) for i in range(2000)], "user_id string").repartition(7)
+    d = cf.index_dictionary(vals, "user_id", "user_idx").collect()
+    assert len(d) == 137
+    assert sorted(r["user_idx"] for r in d) == list(range(137))
+    assert len({r["user_id"] for r in d}) == 137
