@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastemap.config import DEFAULT_PARAMS, Params
-from tastemap.session import spread
 
 INT_MAX = 2**31 - 1
 
@@ -105,7 +104,8 @@ def train(log: DataFrame, params: Params = DEFAULT_PARAMS, user: str = "user_id"
     als = ALS(rank=params.als_rank, maxIter=params.als_iterations, regParam=params.als_reg,
               userCol="user_idx", itemCol="item_idx", ratingCol="rating",
               coldStartStrategy="drop", seed=seed, checkpointInterval=10)
-    return CFModel(als.fit(spread(data)), users, items, user, item)
+    # ALS hash-partitions the ratings into its own user/item blocks
+    return CFModel(als.fit(data), users, items, user, item)
 
 
 def recommend(m: CFModel, users: DataFrame, n: int) -> DataFrame:

@@ -17,6 +17,7 @@ from tastemap.operators.blend import blend_lists
 from tastemap.sources import log as L
 from tastemap.sources import news as N
 from tastemap.sources import testdata as TD
+from tastemap.session import spread
 
 PARAMS = DEFAULT_PARAMS
 R = 6  # rounding of floating results
@@ -388,7 +389,7 @@ def q_lda_topics(spark, d, optimizer="em"):
     from tastemap.operators import topics as TP
     c = _corpus(spark, d)
     model = TP.build_topic_model(c, PARAMS, optimizer=optimizer, max_iter=10)
-    inferred = TP.infer(model, c)
+    inferred = TP.infer(model, spread(c))  # c is a plain scan: cheap to spread
     return inferred.select("doc_id", F.posexplode("topic").alias("k", "weight"))
 
 

@@ -62,7 +62,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def spread(df):
     """Round-robin ``df`` to the default parallelism when it has fewer
     partitions (a few large files or row groups); a no-op for inputs that
-    are already split finer, as on a cluster.  Used before CPU-heavy ML work."""
+    are already split finer, as on a cluster.  Meant for plain table scans:
+    on a plan with shuffles, asking for the partition count would run them."""
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
