@@ -57,19 +57,24 @@ def index_dictionary(values: DataFrame, col: str, idx: str) -> DataFrame:
     return out.select(col, F.col("_i").cast("int").alias(idx))
 
 
-def _fits_int(df: DataFrame, col: str) -> bool:
-    t = df.schema[col].dataType
-    if not isinstance(t, (T.IntegerType, T.LongType, T.ShortType)):
-        return False
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return r["lo"] is None or (r["lo"] >= 0 and r["hi"] <= INT_MAX)
+def _integral(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (T.IntegerType, T.LongType, T.ShortType))
 
 
 def dictionaries(r: DataFrame, user: str = "user_id", item: str = "doc_id"):
-    """(user_dict, item_dict); identity casts when ids already fit an int."""
+    """(user_dict, item_dict); identity casts when ids already fit an int
+    (checked for both columns in one aggregate job)."""
+    cols = [c for c in (user, item) if _integral(r, c)]
+    fits = {}
+    if cols:
+        row = r.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
+                    *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+        for c in cols:
+            lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
+            fits[c] = lo is None or (lo >= 0 and hi <= INT_MAX)
     out = []
     for col, idx in ((user, "user_idx"), (item, "item_idx")):
-        if _fits_int(r, col):
+        if fits.get(col):
             out.append(r.select(col).distinct().select(col, F.col(col).cast("int").alias(idx)))
         else:
             out.append(index_dictionary(r, col, idx))
