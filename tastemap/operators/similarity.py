@@ -223,22 +223,26 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
     kw = jaccard_join(left_terms, right_terms, left_keys, right_keys, term,
                       salt_buckets, out="sim_k").drop("shared")
     keys = left_keys + right_keys
+    # Exact cosine of every keyword pair by vector lookup.  The profile
+    # vectors are first semi-joined with the keys that occur in keyword pairs
+    # (Spark broadcasts those keys when few), so the lookup never shuffles the
+    # whole profile table; the reduced vectors are then small to join.
+    lu = (with_unit(left_vecs.select(*left_keys, left_vec), left_vec, "_lu").drop(left_vec)
+          .join(kw.select(*left_keys).distinct(), left_keys, "left_semi"))
+    ru = (with_unit(right_vecs.select(*right_keys, right_vec), right_vec, "_ru").drop(right_vec)
+          .join(kw.select(*right_keys).distinct(), right_keys, "left_semi"))
+    computed = F.when(F.col("_lu").isNotNull() & F.col("_ru").isNotNull(),
+                      dot("_lu", "_ru")).otherwise(F.lit(0.0))
+    kwt = (kw.join(lu, left_keys, "left").join(ru, right_keys, "left")
+           .select(*keys, "sim_k", computed.alias("_kt")))
     if t_topic == float("inf"):
-        cand = kw.withColumn("sim_t", F.lit(None).cast("double"))
+        allp = kwt.select(*keys, F.col("_kt").alias("sim_t"), "sim_k")
     else:
         tp = cosine_join(left_vecs, right_vecs, left_keys, right_keys, left_vec, right_vec,
-                         t_topic, salt_buckets, out="sim_t")
-        cand = tp.join(kw, keys, "full_outer")
-    # one pass: pairs found only through keywords get their exact cosine from
-    # the unit vectors (left join; a pair found by the cosine index keeps its value)
-    lu = with_unit(left_vecs.select(*left_keys, left_vec), left_vec, "_lu").drop(left_vec)
-    ru = with_unit(right_vecs.select(*right_keys, right_vec), right_vec, "_ru").drop(right_vec)
-    j = cand.join(lu, left_keys, "left").join(ru, right_keys, "left")
-    computed = F.when(F.col("_lu").isNotNull() & F.col("_ru").isNotNull(),
-                      dot("_lu", "_ru")).otherwise(F.lit(0.0))
-    allp = j.select(*keys, F.when(F.col("sim_t").isNull(), computed)
-                    .otherwise(F.col("sim_t")).alias("sim_t"),
-                    F.coalesce("sim_k", F.lit(0.0)).alias("sim_k"))
+                         t_topic, salt_buckets, out="_tt")
+        allp = (tp.join(kwt, keys, "full_outer")
+                .select(*keys, F.coalesce("_kt", "_tt").alias("sim_t"),
+                        F.coalesce("sim_k", F.lit(0.0)).alias("sim_k")))
     score = blend_score("sim_t", "sim_k", sigma, beta)
     return (allp.select(*keys, "sim_t", "sim_k", score.alias("score"))
             .where(F.col("score") > F.lit(threshold)))
