@@ -60,9 +60,22 @@ def append_batch(df: DataFrame, base: str, batch_id: int) -> None:
        .partitionBy("batch_id").parquet(base))
 
 
-def read_recs(spark: SparkSession, base: str, keys=("user_id", "doc_id", "source")) -> DataFrame:
+def read_sink(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """Read an append sink with a known schema: an empty sink (no batch wrote
+    rows yet, or the folder does not exist) reads as an empty table."""
+    fs, p = _hadoop_fs(spark, base)
+    if not fs.exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(base)
+
+
+RECS_SCHEMA = "user_id long, doc_id long, source string, batch_id int"
+
+
+def read_recs(spark: SparkSession, base: str, keys=("user_id", "doc_id", "source"),
+              schema: str = RECS_SCHEMA) -> DataFrame:
     """All appended recommendations, de-duplicated on ``keys``."""
-    return spark.read.parquet(base).dropDuplicates(list(keys))
+    return read_sink(spark, base, schema).dropDuplicates(list(keys))
 
 
 def write_nested(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -110,5 +110,6 @@ def run_file_stream_once(spark: SparkSession, sf_dir: str, params: Params = DEFA
                                TD.new_article_topics(spark, sf_dir), sink, ckpt, params,
                                trigger={"availableNow": True})
     q.awaitTermination()
-    return (spark.read.parquet(sink).dropDuplicates(["user_id", "doc_id"])
-            .select("user_id", "doc_id", "sim"))
+    from tastemap.sources.store import read_sink
+    out = read_sink(spark, sink, "user_id long, doc_id long, sim double, source string, batch_id int")
+    return out.dropDuplicates(["user_id", "doc_id"]).select("user_id", "doc_id", "sim")

@@ -124,3 +124,10 @@ def test_failed_version_is_skipped(spark, tmp_path):
     assert ST.read_latest(spark, base).count() == 1
     assert ST.write_version(spark, df, base) == 2          # writers skip it
     assert ST.list_versions(spark, base) == [0, 2]
+
+
+def test_empty_sinks_read_as_empty_tables(spark, tmp_path):
+    assert ST.read_recs(spark, str(tmp_path / "never-written")).count() == 0
+    empty = spark.createDataFrame([], "user_id long, doc_id long, source string")
+    ST.append_batch(empty, str(tmp_path / "recs"), 0)
+    assert ST.read_recs(spark, str(tmp_path / "recs")).count() == 0
