@@ -7,7 +7,7 @@ recommendation table (``<base>/recs``, partition ``batch_id``).
 
 * P1 ``build_topic_model``   corpus -> vocabulary + LDA model (saved)
 * P2 ``update_profiles``     log -> merged topic/keyword profiles (new versions) + CF model
-* P3 ``start_recommend_stream`` (tastemap.streaming.recommend)
+* P3 ``start_news_stream``     stream of new-article keys -> recommendations
 * P4 ``recommend_cf``        CF picks for every user with a profile
 * P5 ``recommend_hybrid``    new articles scored by topics + keywords, blended with CF
 """
@@ -129,6 +129,21 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     return vt, vk
 
 
+def start_news_stream(spark: SparkSession, source: DataFrame, news: DataFrame, paths: Paths,
+                      params: Params = DEFAULT_PARAMS, trigger: dict | None = None,
+                      bucket: str | None = None):
+    """P3: new-article keys (streaming ``value`` column) -> text lookup -> LDA
+    inference -> exact cosine against the stored profiles -> ``paths.recs``.
+    ``bucket`` defaults to ``params.profile_bucket``; ``"current"`` follows
+    the clock.  Returns the StreamingQuery."""
+    from tastemap.streaming.recommend import start_recommend_stream, topics_from_model
+    topics = _read_state(spark, paths, "topics").select("user_id", "bucket", "topic")
+    provider = topics_from_model(TP.TopicModel.load(paths.model), news)
+    return start_recommend_stream(source, topics, provider, paths.recs,
+                                  f"{paths.base}/stream-checkpoint", params, trigger,
+                                  bucket=bucket or params.profile_bucket)
+
+
 def recommend_cf(spark: SparkSession, paths: Paths, params: Params = DEFAULT_PARAMS,
                  batch_id: int = 0) -> DataFrame:
     """P4: CF picks for every user with a profile in the recommendation bucket."""
@@ -137,7 +152,7 @@ def recommend_cf(spark: SparkSession, paths: Paths, params: Params = DEFAULT_PAR
              .where(F.col("bucket") == params.profile_bucket).select("user_id"))
     recs = cf.recommend(model, users, params.cf_items)
     ST.append_batch(recs.select("user_id", "doc_id", F.lit("cf").alias("source")),
-                    paths.recs, batch_id)
+                    paths.recs, batch_id, job="cf")
     return recs
 
 
@@ -168,5 +183,5 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
         out = blend_lists(content, cf_recs, params.cf_blend_ratio, max_quota=q_max)
     else:
         out = content.select("user_id", "doc_id", F.lit("content").alias("source"))
-    ST.append_batch(out.select("user_id", "doc_id", "source"), paths.recs, batch_id)
+    ST.append_batch(out.select("user_id", "doc_id", "source"), paths.recs, batch_id, job="hybrid")
     return out

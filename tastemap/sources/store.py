@@ -4,8 +4,8 @@
   a new version folder ``v=<n>``; readers take the highest committed version.
   A path being read is never overwritten.
 * ``append_batch``: recommendation lists are appended as partition
-  ``batch_id=<n>``, overwriting only that partition, so replaying a batch
-  adds nothing.
+  ``job=<producer>/batch_id=<n>``, overwriting only that partition, so
+  replaying a batch adds nothing.
 """
 
 from __future__ import annotations
@@ -53,11 +53,13 @@ def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
     return nxt
 
 
-def append_batch(df: DataFrame, base: str, batch_id: int) -> None:
-    """Idempotent append of one batch (dynamic overwrite of its partition)."""
-    (df.withColumn("batch_id", F.lit(int(batch_id)))
+def append_batch(df: DataFrame, base: str, batch_id: int, job: str = "batch") -> None:
+    """Idempotent append of one batch: partition (job, batch_id) is
+    overwritten dynamically, so a replay replaces its own rows and producers
+    (stream, CF job, hybrid job) never overwrite each other's batches."""
+    (df.withColumn("job", F.lit(job)).withColumn("batch_id", F.lit(int(batch_id)))
        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(base))
+       .partitionBy("job", "batch_id").parquet(base))
 
 
 def read_sink(spark: SparkSession, base: str, schema: str) -> DataFrame:
@@ -69,7 +71,7 @@ def read_sink(spark: SparkSession, base: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(base)
 
 
-RECS_SCHEMA = "user_id long, doc_id long, source string, batch_id int"
+RECS_SCHEMA = "user_id long, doc_id long, source string, job string, batch_id int"
 
 
 def read_recs(spark: SparkSession, base: str, keys=("user_id", "doc_id", "source"),

@@ -79,7 +79,8 @@ def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topic
                 .where(F.col("doc_id").isNotNull()))
         recs = score_new_articles(keys, profiles_for_bucket(profiles, bucket), article_topics,
                                   params)
-        append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id)
+        append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id,
+                     job="stream")
 
     w = (source.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
@@ -111,5 +112,6 @@ def run_file_stream_once(spark: SparkSession, sf_dir: str, params: Params = DEFA
                                trigger={"availableNow": True})
     q.awaitTermination()
     from tastemap.sources.store import read_sink
-    out = read_sink(spark, sink, "user_id long, doc_id long, sim double, source string, batch_id int")
+    out = read_sink(spark, sink,
+                    "user_id long, doc_id long, sim double, source string, job string, batch_id int")
     return out.dropDuplicates(["user_id", "doc_id"]).select("user_id", "doc_id", "sim")

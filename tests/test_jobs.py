@@ -28,12 +28,24 @@ def test_jobs_end_to_end(spark):
     got = {r["user_id"]: r["n"] for r in topics.groupBy("user_id").agg(F.sum("news_cnt").alias("n")).collect()}
     assert got == total  # counts merge exactly
 
+    # P3: a file stream of new article keys through the stored model and profiles
+    keys_dir = f"{paths.base}/incoming"
+    news.select(F.col("rowkey").cast("string").alias("value")).limit(20).write.text(keys_dir)
+    q = J.start_news_stream(spark, spark.readStream.text(keys_dir), news, paths, p,
+                            trigger={"availableNow": True})
+    q.awaitTermination()
+    streamed = ST.read_recs(spark, paths.recs).where("source = 'content'").count()
+    assert streamed > 0
+
     cf_recs = J.recommend_cf(spark, paths, p, batch_id=0).collect()
     assert cf_recs and all(r["rk"] <= p.cf_items for r in cf_recs)
     new_docs = TD.new_articles(spark, SF_SMALL)
-    out = J.recommend_hybrid(spark, new_docs, news, paths, params=p, batch_id=1).collect()
+    out = J.recommend_hybrid(spark, new_docs, news, paths, params=p, batch_id=0).collect()
     assert out
     assert {r["source"] for r in out} <= {"content", "cf"}
+    raw = ST.read_sink(spark, paths.recs, ST.RECS_SCHEMA)
+    # all three producers used batch 0 without overwriting each other
+    assert {r["job"] for r in raw.select("job").distinct().collect()} == {"stream", "cf", "hybrid"}
     assert ST.read_recs(spark, paths.recs).count() > 0
 
 
