@@ -143,6 +143,23 @@ def keywords_with_df(docs: DataFrame, stored_df: DataFrame, top: int = 10,
                          keep_raw=keep_raw)
 
 
+def keywords_new_with_df(new_docs: DataFrame, stored_df: DataFrame, top: int = 10,
+                         round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
+    """``keywords_new_vs_corpus`` with the corpus side taken from a stored
+    ``corpus_doc_freq`` table: each batch tokenises only its new documents.
+    The corpus df table is looked up only for the new documents' terms."""
+    tf_n = term_freq(new_docs)
+    df_n = doc_freq(tf_n)
+    m_c = stored_df.select(F.max("n_docs")).scalar()
+    m = new_docs.select(F.count(F.lit(1))).scalar() + F.coalesce(m_c, F.lit(0))
+    df = (df_n.join(stored_df.select("term", F.col("df").alias("df_c")), "term", "left")
+          .select("term", (F.col("df") + F.coalesce("df_c", F.lit(0))).alias("df")))
+    idf_u = df.withColumn("idf", F.log((m + F.lit(1)) / (F.col("df") + F.lit(1))))
+    w = tfidf(tf_n, idf_u, "doc_id")
+    return top_per_group(w, ["doc_id"], "weight", top, rank_col="rk", round_to=round_to,
+                         keep_raw=keep_raw)
+
+
 def keywords_new_vs_corpus(new_docs: DataFrame, corpus: DataFrame, top: int = 10,
                            round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
     """Top keywords of new documents with the IDF over new ∪ corpus (both

@@ -166,7 +166,11 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
     b = params.profile_bucket
     prof = _read_state(spark, paths, "topics").where(F.col("bucket") == b).select("user_id", "topic")
     terms = _read_state(spark, paths, "keywords").where(F.col("bucket") == b).select("user_id", "term")
-    new_kw = T.keywords_new_vs_corpus(new_docs, _corpus(news), params.keywords_per_doc)
+    try:  # stored corpus df (P1): only the new articles are tokenised
+        stored_df = spark.read.parquet(paths.doc_freq)
+        new_kw = T.keywords_new_with_df(new_docs, stored_df, params.keywords_per_doc)
+    except Exception:  # noqa: BLE001 - no stored table: compute the corpus side here
+        new_kw = T.keywords_new_vs_corpus(new_docs, _corpus(news), params.keywords_per_doc)
     scored = S.hybrid_join(prof, new_topics, terms, new_kw.select("doc_id", "term"),
                            ["user_id"], ["doc_id"], "topic", "topic", params.min_similarity,
                            params.topic_weight, params.keyword_weight,

@@ -88,3 +88,12 @@ def test_keywords_with_stored_df_equals_full(spark):
     a = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords_with_df(subset, stored, 10).collect()}
     b = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords(d, 10).where("doc_id % 7 = 0").collect()}
     assert a == b and len(a) > 0
+
+
+def test_new_keywords_with_stored_df_equal_full(spark):
+    corpus = TD.news(spark, SF_SMALL).select(F.col("rowkey").alias("doc_id"), "words")
+    new = TD.new_articles(spark, SF_SMALL)
+    a = {(r[0], r[1]): (r[2], r[3]) for r in
+         T.keywords_new_with_df(new, T.corpus_doc_freq(corpus), 10).collect()}
+    b = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords_new_vs_corpus(new, corpus, 10).collect()}
+    assert a == b and len(a) > 0
