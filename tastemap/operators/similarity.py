@@ -104,10 +104,36 @@ def _index_stats(right: DataFrame, vec: str) -> tuple[int, int]:
     return n * k * 48 + n * (8 * k + 64), k
 
 
+def _bit(k: Column) -> Column:
+    """1 << k for dimensions below 64, else 0 (a shift by >= 64 would wrap)."""
+    return F.when(k < 64, F.call_function("shiftleft", F.lit(1).cast("long"), k)) \
+        .otherwise(F.lit(0).cast("long"))
+
+
+def prepare_left(left: DataFrame, left_keys: list[str], left_vec: str,
+                 threshold: float) -> DataFrame:
+    """Probe-ready left side of ``cosine_join``: (keys, _lu unit vector, _pre
+    prefix dimensions, _cm cumulative 64-bit masks).  Depends only on the left
+    side and the threshold, so a caller scoring many batches against the same
+    profiles (the stream) can compute and persist it once."""
+    if threshold < 0:
+        raise ValueError("cosine_join needs threshold >= 0 (pairs sharing no "
+                         "dimension have cosine 0)")
+    lu = with_unit(left.select(*left_keys, left_vec), left_vec, "_lu").where(F.col("_lu").isNotNull())
+    lu = with_prefix(lu.select(*left_keys, "_lu"), "_lu", threshold, "_pre")
+    cm = F.aggregate("_pre", F.struct(F.array().cast("array<bigint>").alias("a"),
+                                      F.lit(0).cast("long").alias("m")),
+                     lambda acc, k: F.struct(F.concat(acc["a"], F.array(acc["m"])).alias("a"),
+                                             (acc["m"].bitwiseOR(_bit(k))).alias("m")),
+                     lambda acc: acc["a"])
+    return lu.withColumn("_cm", cm)
+
+
 def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                 left_vec: str, right_vec: str, threshold: float,
                 salt_buckets: int = 8, out: str = "sim",
-                broadcast_bytes: int | None = None) -> DataFrame:
+                broadcast_bytes: int | None = None,
+                prepared_left: DataFrame | None = None) -> DataFrame:
     """All pairs with cosine(left_vec, right_vec) > threshold (exact).
 
     Returns ``left_keys + right_keys + [out]``.  Zero vectors never match.
@@ -118,12 +144,9 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     shuffle join on keys only, and the vectors of the surviving pairs are
     looked up afterwards.
     """
-    if threshold < 0:
-        raise ValueError("cosine_join needs threshold >= 0 (pairs sharing no "
-                         "dimension have cosine 0)")
     limit = BROADCAST_INDEX_BYTES if broadcast_bytes is None else broadcast_bytes
-    lu = with_unit(left.select(*left_keys, left_vec), left_vec, "_lu").where(F.col("_lu").isNotNull())
-    lu = with_prefix(lu.select(*left_keys, "_lu"), "_lu", threshold, "_pre")
+    lu = prepared_left if prepared_left is not None else prepare_left(
+        left, left_keys, left_vec, threshold)
     ru = (with_unit(right.select(*right_keys, right_vec), right_vec, "_ru")
           .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
     size_bytes, width = _index_stats(right, right_vec)
@@ -132,20 +155,12 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     if width <= 64:
         # dimension sets as 64-bit masks: the "first shared dimension" test is
         # one AND per joined row, inside whole-stage codegen.  Left dimensions
-        # >= 64 can never meet a right dimension (all < 64 here), so they get
-        # no bit (a shift by >= 64 would wrap around).
-        bit = lambda k: F.when(k < 64, F.call_function(
-            "shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
-        cm = F.aggregate("_pre", F.struct(F.array().cast("array<bigint>").alias("a"),
-                                          F.lit(0).cast("long").alias("m")),
-                         lambda acc, k: F.struct(F.concat(acc["a"], F.array(acc["m"])).alias("a"),
-                                                 (acc["m"].bitwiseOR(bit(k))).alias("m")),
-                         lambda acc: acc["a"])
-        probe = (lu.withColumn("_cm", cm)
-                 .select(*left_keys, "_lu", F.posexplode(F.arrays_zip("_pre", "_cm")).alias("_j", "_z"))
+        # >= 64 can never meet a right dimension (all < 64 here), so they carry
+        # no bit.
+        probe = (lu.select(*left_keys, "_lu", F.posexplode(F.arrays_zip("_pre", "_cm")).alias("_j", "_z"))
                  .select(*left_keys, "_lu", F.col("_z._pre").alias("_k"), F.col("_z._cm").alias("_cmj")))
         index = (ru.select(*right_keys, F.aggregate(rnz, F.lit(0).cast("long"),
-                                                    lambda m, k: m.bitwiseOR(bit(k))).alias("_rm"),
+                                                    lambda m, k: m.bitwiseOR(_bit(k))).alias("_rm"),
                            F.explode(rnz).alias("_k")))
         first = (F.col("_cmj").bitwiseAND(F.col("_rm"))) == 0
     else:

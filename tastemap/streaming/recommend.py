@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tastemap.config import DEFAULT_PARAMS, Params
-from tastemap.operators.similarity import cosine_join
+from tastemap.operators.similarity import cosine_join, prepare_left
 from tastemap.sources.store import append_batch
 
 
@@ -43,16 +43,18 @@ def topics_from_model(model, news: DataFrame):
 
 
 def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics,
-                       params: Params = DEFAULT_PARAMS) -> DataFrame:
+                       params: Params = DEFAULT_PARAMS,
+                       prepared: DataFrame | None = None) -> DataFrame:
     """keys (doc_id) -> (user_id, doc_id, sim) with sim > min_similarity.
 
     ``article_topics`` is a (doc_id, topic) table or a callable that turns
-    the batch keys into one (e.g. ``topics_from_model``)."""
+    the batch keys into one (e.g. ``topics_from_model``); ``prepared`` is the
+    probe-ready profile side (``prepare_left``) when it is reused."""
     keys = keys.select("doc_id").distinct()
     vecs = (article_topics(keys) if callable(article_topics)
             else keys.join(article_topics, "doc_id"))
     return cosine_join(profiles, vecs, ["user_id"], ["doc_id"], "topic", "topic",
-                       params.min_similarity, params.salt_buckets)
+                       params.min_similarity, params.salt_buckets, prepared_left=prepared)
 
 
 def profiles_for_bucket(profiles: DataFrame, bucket: str | None) -> DataFrame:
@@ -74,11 +76,20 @@ def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topic
 
     ``bucket``: see ``profiles_for_bucket`` (the original always used the
     morning profile; ``"current"`` follows the clock)."""
+    # With a fixed bucket the profile side does not change between micro-
+    # batches: normalise it and compute its prefixes once, keep it cached
+    # (recomputed from lineage if an executor is lost).
+    prepared = None
+    if bucket != "current":
+        from pyspark import StorageLevel
+        prepared = prepare_left(profiles_for_bucket(profiles, bucket), ["user_id"], "topic",
+                                params.min_similarity).persist(StorageLevel.MEMORY_AND_DISK)
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         keys = (batch.select(F.trim(F.col("value")).try_cast(key_type).alias("doc_id"))
                 .where(F.col("doc_id").isNotNull()))
         recs = score_new_articles(keys, profiles_for_bucket(profiles, bucket), article_topics,
-                                  params)
+                                  params, prepared=prepared)
         append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id,
                      job="stream")
 
@@ -86,7 +97,10 @@ def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topic
          .option("checkpointLocation", checkpoint)
          .queryName(f"recommend_{abs(hash(sink_path)) % 10**8}"))
     w = w.trigger(**(trigger or {"processingTime": "10 seconds"}))
-    return w.start()
+    q = w.start()
+    # the caller owns the query: after q.stop(), q.prepared_profiles.unpersist()
+    q.prepared_profiles = prepared
+    return q
 
 
 def run_file_stream_once(spark: SparkSession, sf_dir: str, params: Params = DEFAULT_PARAMS,
@@ -111,6 +125,8 @@ def run_file_stream_once(spark: SparkSession, sf_dir: str, params: Params = DEFA
                                TD.new_article_topics(spark, sf_dir), sink, ckpt, params,
                                trigger={"availableNow": True})
     q.awaitTermination()
+    if q.prepared_profiles is not None:
+        q.prepared_profiles.unpersist()
     from tastemap.sources.store import read_sink
     out = read_sink(spark, sink,
                     "user_id long, doc_id long, sim double, source string, job string, batch_id int")
