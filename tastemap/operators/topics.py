@@ -36,19 +36,22 @@ class TopicModel:
         return cls(p, list(p.stages[2].vocabulary))
 
 
-def featurizer(vocab: list[str], text_col: str = "words"):
+def featurizer(vocab: list[str], text_col: str = "words", stopwords=None):
     tok = RegexTokenizer(inputCol=text_col, outputCol="_raw")  # \s+ gaps, lower case
-    sw = StopWordsRemover(inputCol="_raw", outputCol="_tokens", stopWords=list(STOP_WORDS))
+    sw = StopWordsRemover(inputCol="_raw", outputCol="_tokens",
+                          stopWords=list(STOP_WORDS if stopwords is None else stopwords))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tokens", outputCol="features")
     return [tok, sw, cv]
 
 
 def build_topic_model(corpus: DataFrame, params: Params = DEFAULT_PARAMS,
                       optimizer: str = "em", max_iter: int | None = None,
-                      seed: int = 42, text_col: str = "words") -> TopicModel:
+                      seed: int = 42, text_col: str = "words", stopwords=None) -> TopicModel:
     """Vocabulary (top terms) -> count vectors -> LDA (EM by default; 'online'
-    uses mini-batches of ``min(1, 2/maxIter + 1/corpusSize)``)."""
-    v = vocabulary(corpus, params.vocab_size, text_col)
+    uses mini-batches of ``min(1, 2/maxIter + 1/corpusSize)``).  ``stopwords``:
+    a word list (default ``config.STOP_WORDS``; see
+    ``sources.stopwords.default_plus_custom`` for Spark's list + custom)."""
+    v = vocabulary(corpus, params.vocab_size, text_col, stopwords=stopwords)
     vocab = [r["term"] for r in v.orderBy("idx").collect()]  # bounded by vocab_size
     max_iter = max_iter or params.lda_iterations
     lda = LDA(k=params.n_topics, maxIter=max_iter, optimizer=optimizer, seed=seed,
@@ -56,7 +59,7 @@ def build_topic_model(corpus: DataFrame, params: Params = DEFAULT_PARAMS,
     if optimizer == "online":
         n = corpus.count()
         lda.setSubsamplingRate(min(1.0, 2.0 / max_iter + 1.0 / max(n, 1)))
-    model = Pipeline(stages=featurizer(vocab, text_col) + [lda]).fit(spread(corpus))
+    model = Pipeline(stages=featurizer(vocab, text_col, stopwords) + [lda]).fit(spread(corpus))
     return TopicModel(model, vocab)
 
 

@@ -131,3 +131,9 @@ def test_empty_sinks_read_as_empty_tables(spark, tmp_path):
     empty = spark.createDataFrame([], "user_id long, doc_id long, source string")
     ST.append_batch(empty, str(tmp_path / "recs"), 0)
     assert ST.read_recs(spark, str(tmp_path / "recs")).count() == 0
+
+
+def test_default_plus_custom_stop_words(spark):
+    from tastemap.sources.stopwords import default_plus_custom
+    words = default_plus_custom(["zzz"])
+    assert "zzz" in words and "the" in words and len(words) > 100
