@@ -110,11 +110,8 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     # it).  With the stored corpus df only the articles read in this batch are
     # tokenised; without it the corpus df is computed here.
     corpus = _corpus(news)
-    try:
+    if ST.path_exists(spark, paths.doc_freq):
         stored_df = spark.read.parquet(paths.doc_freq)
-    except Exception:  # noqa: BLE001 - no stored table yet
-        stored_df = None
-    if stored_df is not None:
         read = corpus.join(log.select("doc_id").distinct(), "doc_id", "left_semi")
         kw = T.keywords_with_df(read, stored_df, params.keywords_per_doc, keep_raw=True)
     else:
@@ -166,10 +163,10 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
     b = params.profile_bucket
     prof = _read_state(spark, paths, "topics").where(F.col("bucket") == b).select("user_id", "topic")
     terms = _read_state(spark, paths, "keywords").where(F.col("bucket") == b).select("user_id", "term")
-    try:  # stored corpus df (P1): only the new articles are tokenised
-        stored_df = spark.read.parquet(paths.doc_freq)
-        new_kw = T.keywords_new_with_df(new_docs, stored_df, params.keywords_per_doc)
-    except Exception:  # noqa: BLE001 - no stored table: compute the corpus side here
+    if ST.path_exists(spark, paths.doc_freq):  # stored corpus df (P1): tokenise only new articles
+        new_kw = T.keywords_new_with_df(new_docs, spark.read.parquet(paths.doc_freq),
+                                        params.keywords_per_doc)
+    else:
         new_kw = T.keywords_new_vs_corpus(new_docs, _corpus(news), params.keywords_per_doc)
     scored = S.hybrid_join(prof, new_topics, terms, new_kw.select("doc_id", "term"),
                            ["user_id"], ["doc_id"], "topic", "topic", params.min_similarity,

@@ -22,6 +22,11 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop_fs(spark, path)
+    return bool(fs.exists(p))
+
+
 def list_versions(spark: SparkSession, base: str, committed_only: bool = True) -> list[int]:
     """Version numbers under ``base``; by default only committed ones (with
     the job-commit marker), which are the only ones readers see."""
