@@ -67,3 +67,29 @@ def spread(df):
     sc = df.sparkSession.sparkContext
     target = sc.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def cluster_conf(input_bytes: int, executors: int = 1000, executor_cores: int = 4,
+                 target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the input volume.
+
+    Shuffle partitions are chosen so that a partition of the largest shuffle
+    (at most about the input size: the corpus text, the event log) is around
+    ``target_partition_bytes`` and there are at least two waves of tasks; AQE
+    then coalesces small partitions and splits skewed ones at run time.
+    ``spark.checkpoint.dir`` is not set here: the cluster names its shared
+    folder."""
+    cores = executors * executor_cores
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }

@@ -137,3 +137,10 @@ def test_default_plus_custom_stop_words(spark):
     from tastemap.sources.stopwords import default_plus_custom
     words = default_plus_custom(["zzz"])
     assert "zzz" in words and "the" in words and len(words) > 100
+
+
+def test_cluster_conf_sizes_partitions():
+    from tastemap.session import cluster_conf
+    c = cluster_conf(100 * 10**12, executors=1000, executor_cores=4)
+    assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 10**12 // (256 * 1024 * 1024)
+    assert cluster_conf(10**9)["spark.sql.shuffle.partitions"] == str(2 * 4000)
