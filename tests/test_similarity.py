@@ -167,3 +167,52 @@ def test_cosine_join_long_left_short_right(spark, broadcast):
                         broadcast_bytes=None if broadcast else 0).collect()
     exp = brute_cos(L, R, 0.05)
     assert {(r[0], r[1]) for r in got} == set(exp) and len(exp) > 0
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seed=st.integers(0, 10**6), k=st.integers(1, 20), sparsity=st.floats(0.0, 0.9),
+       t=st.floats(0.0, 0.95), broadcast=st.booleans())
+def test_cosine_join_property(spark, seed, k, sparsity, t, broadcast):
+    rng = np.random.default_rng(seed)
+
+    def vecs(n):
+        out = []
+        for i in range(n):
+            length = int(rng.integers(1, k + 1))
+            v = rng.normal(size=length)
+            v[rng.random(length) < sparsity] = 0.0
+            out.append((i, [float(x) for x in v]))
+        return out
+    L, R = vecs(25), vecs(10)
+    got = S.cosine_join(spark.createDataFrame(L, "user_id long, v array<double>"),
+                        spark.createDataFrame(R, "doc_id long, w array<double>"),
+                        ["user_id"], ["doc_id"], "v", "w", t, salt_buckets=2,
+                        broadcast_bytes=None if broadcast else 0).collect()
+    exp = brute_cos(L, R, t)
+    sims = {(r[0], r[1]): r[2] for r in got}
+    assert len(sims) == len(got)                       # no duplicate pairs
+    # pairs within 1e-12 of the threshold may fall either way through rounding
+    assert {p for p, c in exp.items() if c > t + 1e-12} <= sims.keys()
+    assert all(p in exp or abs(v - t) < 1e-12 for p, v in sims.items())
+    assert all(v > t for v in sims.values())
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(seed=st.integers(0, 10**6), vocab=st.integers(2, 40), per=st.integers(1, 8))
+def test_jaccard_join_property(spark, seed, vocab, per):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(vocab)]
+    L = [(u, words[int(x)]) for u in range(15) for x in rng.integers(0, vocab, per)]
+    R = [(d, words[int(x)]) for d in range(8) for x in rng.integers(0, vocab, per)]
+    got = {(r[0], r[1]): r["sim"] for r in S.jaccard_join(
+        spark.createDataFrame(L, "user_id long, term string"),
+        spark.createDataFrame(R, "doc_id long, term string"),
+        ["user_id"], ["doc_id"], salt_buckets=3).collect()}
+    exp = brute_jac(L, R)
+    assert got.keys() == exp.keys()
+    for key, v in got.items():
+        assert 0 < v <= 1 and v == pytest.approx(exp[key])
