@@ -136,9 +136,10 @@ def start_news_stream(spark: SparkSession, source: DataFrame, news: DataFrame, p
     from tastemap.streaming.recommend import start_recommend_stream, topics_from_model
     topics = _read_state(spark, paths, "topics").select("user_id", "bucket", "topic")
     provider = topics_from_model(TP.TopicModel.load(paths.model), news)
+    key_type = news.schema["rowkey"].dataType.simpleString()  # keys arrive as text
     return start_recommend_stream(source, topics, provider, paths.recs,
                                   f"{paths.base}/stream-checkpoint", params, trigger,
-                                  bucket=bucket or params.profile_bucket)
+                                  key_type=key_type, bucket=bucket or params.profile_bucket)
 
 
 def recommend_cf(spark: SparkSession, paths: Paths, params: Params = DEFAULT_PARAMS,
