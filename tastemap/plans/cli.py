@@ -28,11 +28,11 @@ from tastemap.sources import news as N
 
 
 def _log(spark, path):
-    """Parsed log with the article key (row key) as doc_id; bad lines are
-    written next to nothing and only counted (see ``parse_log``)."""
-    good, _bad = L.parse_log(L.read_log_text(spark, path))
-    return good.select("ts", "user_id", F.col("rowkey").alias("doc_id"), "behaviour",
-                       "weight", "bucket")
+    """(parsed log with the article key (row key) as doc_id, quarantined lines
+    with their reason)."""
+    good, bad = L.parse_log(L.read_log_text(spark, path))
+    return (good.select("ts", "user_id", F.col("rowkey").alias("doc_id"), "behaviour",
+                        "weight", "bucket"), bad)
 
 
 def main(argv=None, spark: SparkSession | None = None) -> int:
@@ -58,7 +58,10 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
     if a.command == "create_lda_model":
         J.build_topic_model(spark, news, paths, params, limit=a.size or None)
     elif a.command == "update_user_model":
-        J.update_profiles(spark, _log(spark, a.log), news, paths, params=params)
+        log, bad = _log(spark, a.log)
+        # malformed lines are kept, with the reason, next to the profiles
+        bad.write.mode("append").parquet(f"{a.base}/quarantine")
+        J.update_profiles(spark, log, news, paths, params=params)
     elif a.command == "news_recommend":
         src = spark.readStream.text(a.incoming)
         q = J.start_news_stream(spark, src, news, paths, params,

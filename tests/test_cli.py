@@ -31,6 +31,8 @@ def test_commands_end_to_end(spark):
     assert cli.main(["news_recommend", "--news", f"{base}/news", "--base", state,
                      "--incoming", f"{base}/incoming", "--once"], spark) == 0
     assert cli.main(["als_recommend", "--base", state], spark) == 0
+    q = spark.read.parquet(f"{state}/quarantine")
+    assert q.count() > 0 and {r[0] for r in q.select("reason").distinct().collect()} == {"unknown_behaviour"}
     paths = J.Paths(state)
     topics = ST.read_latest(spark, paths.topics)
     assert topics.count() > 0 and dict(topics.dtypes)["user_id"] == "string"
