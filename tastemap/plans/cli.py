@@ -3,13 +3,14 @@
     python -m tastemap create_lda_model  --news NEWS --base BASE [--size N]
     python -m tastemap update_user_model --log LOG  --news NEWS --base BASE
     python -m tastemap news_recommend    --news NEWS --base BASE --incoming DIR [--once]
+                                         (or --kafka-servers HOSTS --kafka-topic TOPIC)
     python -m tastemap als_recommend     --base BASE
 
 NEWS is a table (Parquet by default) with ``rowkey`` and ``words``; LOG is the
 text behaviour log (``date,docId,docType,rowkey,type,userid`` per line, brackets
 allowed); BASE is the shared folder that holds models, profiles and
 recommendations; --incoming is a folder of text files with one new article
-key per line (use the Kafka source in code for a topic).  The session comes
+key per line, or a Kafka topic (message value = article key).  The session comes
 from spark-submit; ``spark.checkpoint.dir`` should name a shared folder.
 """
 
@@ -45,6 +46,8 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
     ap.add_argument("--base", required=True)
     ap.add_argument("--size", type=int, default=0, help="corpus row limit (<= 0: all)")
     ap.add_argument("--incoming", help="folder of new-article key files")
+    ap.add_argument("--kafka-servers", help="Kafka bootstrap servers (needs the connector)")
+    ap.add_argument("--kafka-topic", help="Kafka topic of new-article keys")
     ap.add_argument("--once", action="store_true", help="process what is there, then stop")
     ap.add_argument("--batch-id", type=int, default=0)
     a = ap.parse_args(argv)
@@ -63,7 +66,11 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
         bad.write.mode("append").parquet(f"{a.base}/quarantine")
         J.update_profiles(spark, log, news, paths, params=params)
     elif a.command == "news_recommend":
-        src = spark.readStream.text(a.incoming)
+        if a.kafka_servers:
+            from tastemap.streaming.recommend import kafka_source
+            src = kafka_source(spark, a.kafka_servers, a.kafka_topic)
+        else:
+            src = spark.readStream.text(a.incoming)
         q = J.start_news_stream(spark, src, news, paths, params,
                                 trigger={"availableNow": True} if a.once else None)
         q.awaitTermination()
