@@ -24,6 +24,7 @@ from tastemap.operators import cf, profile as P, similarity as S, text as T, top
 from tastemap.operators.blend import blend_lists, quota_bound
 from tastemap.sources import news as N
 from tastemap.sources import store as ST
+from tastemap.session import ensure_checkpoint_dir
 
 
 @dataclass
@@ -98,6 +99,10 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     ``log``: (user_id, doc_id, behaviour, weight, bucket, ts).  Topic vectors
     come from ``article_topics`` or are inferred with ``model``.
     """
+    # the log feeds five aggregations: parse it once and keep the typed rows in
+    # the shared checkpoint folder (also cuts the lineage before the merges)
+    ensure_checkpoint_dir(spark)
+    log = log.select("user_id", "doc_id", "behaviour", "weight", "bucket").checkpoint(eager=True)
     if article_topics is None:
         model = model or TP.TopicModel.load(paths.model)
         article_topics = article_topics_from_model(model, news, log)
@@ -173,7 +178,9 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
                            ["user_id"], ["doc_id"], "topic", "topic", params.min_similarity,
                            params.topic_weight, params.keyword_weight,
                            salt_buckets=params.salt_buckets)
-    content = scored.select("user_id", "doc_id", F.col("score"))
+    # used for the quota bound and the blend: computed once (reliable checkpoint)
+    ensure_checkpoint_dir(spark)
+    content = scored.select("user_id", "doc_id", F.col("score")).checkpoint(eager=True)
     if with_cf:
         model = cf.CFModel.load(spark, paths.cf)
         # CF lists exactly as long as the largest quota any user can get
