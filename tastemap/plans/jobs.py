@@ -164,8 +164,10 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
                      batch_id: int = 0, with_cf: bool = True) -> DataFrame:
     """P5: score new articles (doc_id, words) against the stored profiles by
     topic cosine and keyword Jaccard, keep score > threshold, blend with CF."""
+    ensure_checkpoint_dir(spark)
     if new_topics is None:
-        new_topics = TP.infer(TP.TopicModel.load(paths.model), new_docs)
+        # inferred once (used by the size check and the join), kept as a checkpoint
+        new_topics = TP.infer(TP.TopicModel.load(paths.model), new_docs).checkpoint(eager=True)
     b = params.profile_bucket
     prof = _read_state(spark, paths, "topics").where(F.col("bucket") == b).select("user_id", "topic")
     terms = _read_state(spark, paths, "keywords").where(F.col("bucket") == b).select("user_id", "term")
@@ -179,7 +181,6 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
                            params.topic_weight, params.keyword_weight,
                            salt_buckets=params.salt_buckets)
     # used for the quota bound and the blend: computed once (reliable checkpoint)
-    ensure_checkpoint_dir(spark)
     content = scored.select("user_id", "doc_id", F.col("score")).checkpoint(eager=True)
     if with_cf:
         model = cf.CFModel.load(spark, paths.cf)

@@ -50,11 +50,16 @@ def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics,
     ``article_topics`` is a (doc_id, topic) table or a callable that turns
     the batch keys into one (e.g. ``topics_from_model``); ``prepared`` is the
     probe-ready profile side (``prepare_left``) when it is reused."""
+    return cosine_join(profiles, batch_vectors(keys, article_topics), ["user_id"], ["doc_id"],
+                       "topic", "topic", params.min_similarity, params.salt_buckets,
+                       prepared_left=prepared)
+
+
+def batch_vectors(keys: DataFrame, article_topics) -> DataFrame:
+    """(doc_id, topic) of the distinct keys of one batch."""
     keys = keys.select("doc_id").distinct()
-    vecs = (article_topics(keys) if callable(article_topics)
+    return (article_topics(keys) if callable(article_topics)
             else keys.join(article_topics, "doc_id"))
-    return cosine_join(profiles, vecs, ["user_id"], ["doc_id"], "topic", "topic",
-                       params.min_similarity, params.salt_buckets, prepared_left=prepared)
 
 
 def profiles_for_bucket(profiles: DataFrame, bucket: str | None) -> DataFrame:
@@ -88,10 +93,16 @@ def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topic
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         keys = (batch.select(F.trim(F.col("value")).try_cast(key_type).alias("doc_id"))
                 .where(F.col("doc_id").isNotNull()))
-        recs = score_new_articles(keys, profiles_for_bucket(profiles, bucket), article_topics,
-                                  params, prepared=prepared)
-        append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id,
-                     job="stream")
+        # the batch's vectors (text lookup + inference) are used by the size
+        # check and by the join: computed once, held for this batch only
+        vecs = batch_vectors(keys, article_topics).persist()
+        try:
+            recs = score_new_articles(vecs.select("doc_id"), profiles_for_bucket(profiles, bucket),
+                                      vecs, params, prepared=prepared)
+            append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id,
+                         job="stream")
+        finally:
+            vecs.unpersist()
 
     w = (source.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
