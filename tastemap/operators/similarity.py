@@ -223,7 +223,7 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
                 left_keys: list[str], right_keys: list[str],
                 left_vec: str, right_vec: str, threshold: float,
                 sigma: float, beta: float, term: str = "term",
-                salt_buckets: int = 8) -> DataFrame:
+                salt_buckets: int = 8, checkpoint_pairs: bool = False) -> DataFrame:
     """Pairs whose combined score ``(simT*sigma + simK*beta)/sqrt(sigma^2+beta^2)``
     exceeds ``threshold`` (exact, threshold >= 0).
 
@@ -237,6 +237,12 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
     t_topic = max(threshold * norm / sigma - 1e-12, 0.0) if sigma > 0 else float("inf")
     kw = jaccard_join(left_terms, right_terms, left_keys, right_keys, term,
                       salt_buckets, out="sim_k").drop("shared")
+    if checkpoint_pairs:
+        # the keyword pairs are used three times below; a job whose term
+        # sets are expensive to derive writes them once (reliable checkpoint)
+        from tastemap.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(kw.sparkSession)
+        kw = kw.checkpoint(eager=True)
     keys = left_keys + right_keys
     # Exact cosine of every keyword pair by vector lookup.  The profile
     # vectors are first semi-joined with the keys that occur in keyword pairs
