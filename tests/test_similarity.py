@@ -216,3 +216,16 @@ def test_jaccard_join_property(spark, seed, vocab, per):
     assert got.keys() == exp.keys()
     for key, v in got.items():
         assert 0 < v <= 1 and v == pytest.approx(exp[key])
+
+
+def test_hybrid_checkpointed_pairs_same_result(spark):
+    from tastemap.plans import catalogue as C
+    from tastemap.sources import testdata as TD
+    from conftest import SF_SMALL
+    P = C.PARAMS
+    args = (C.morning_profiles(spark, SF_SMALL), TD.new_article_topics(spark, SF_SMALL),
+            C._morning_terms(spark, SF_SMALL), C.new_keywords(spark, SF_SMALL).select("doc_id", "term"),
+            ["user_id"], ["doc_id"], "topic", "topic", P.min_similarity, P.topic_weight, P.keyword_weight)
+    a = sorted(map(tuple, S.hybrid_join(*args).collect()))
+    b = sorted(map(tuple, S.hybrid_join(*args, checkpoint_pairs=True).collect()))
+    assert a == b and len(a) > 0
