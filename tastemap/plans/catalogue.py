@@ -374,7 +374,9 @@ def q_recs_append(spark, d):
     from tastemap.session import scratch_path
     from tastemap.sources.store import append_batch, read_recs
     path = scratch_path(spark, "recs")
-    content = content_scores(spark, d).select("user_id", "doc_id", F.lit("content").alias("source"))
+    # one batch of content recommendations, written twice (a replay): computed once
+    content = (content_scores(spark, d)
+               .select("user_id", "doc_id", F.lit("content").alias("source")).checkpoint(eager=True))
     cf = (cf_standin(spark, d).select("user_id", "doc_id", F.lit("cf").alias("source")))
     append_batch(content, path, 0)
     append_batch(content, path, 0)   # replay of batch 0 adds nothing
