@@ -36,6 +36,12 @@ class TopicModel:
         return cls(p, list(p.stages[2].vocabulary))
 
 
+def read_vocabulary(spark, path: str) -> list[str]:
+    """The stored vocabulary table (idx, term) as the ordered term list
+    (bounded by the vocabulary size)."""
+    return [r["term"] for r in spark.read.parquet(path).orderBy("idx").select("term").collect()]
+
+
 def featurizer(vocab: list[str], text_col: str = "words", stopwords=None):
     tok = RegexTokenizer(inputCol=text_col, outputCol="_raw")  # \s+ gaps, lower case
     sw = StopWordsRemover(inputCol="_raw", outputCol="_tokens",

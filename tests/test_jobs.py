@@ -18,6 +18,8 @@ def test_jobs_end_to_end(spark):
     news = TD.news(spark, SF_SMALL)
     model = J.build_topic_model(spark, news, paths, p)
     assert spark.read.parquet(paths.vocab).count() == len(model.vocab)
+    from tastemap.operators.topics import read_vocabulary
+    assert read_vocabulary(spark, paths.vocab) == model.vocab
 
     log = TD.behaviour_log(spark, SF_SMALL)
     split = F.lit(TD.SPLIT_TS).cast("timestamp_ntz")
