@@ -87,6 +87,19 @@ def read_topics(topics: DataFrame, users: DataFrame, bucket: str | None = None)
                     F.coalesce("news_cnt", F.lit(0)).cast("long").alias("news_cnt")))
 
 
+def read_keywords(keywords: DataFrame, users: DataFrame, bucket: str | None = None) -> DataFrame:
+    """Stored keyword -> weight map of each requested (user[, bucket]); a
+    missing entry reads as an empty map (no side effects).  One map per
+    profile entry, bounded by that profile's keyword list."""
+    keys = ["user_id"] + (["bucket"] if "bucket" in users.columns else [])
+    k = keywords if bucket is None else keywords.where(F.col("bucket") == bucket)
+    maps = (k.groupBy(*keys)
+            .agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("keywords")))
+    return (users.join(maps, keys, "left")
+            .select(*users.columns, F.coalesce("keywords", F.create_map().cast(
+                "map<string,double>")).alias("keywords")))
+
+
 def keyword_delta(log: DataFrame, article_keywords: DataFrame, top: int = 10) -> DataFrame:
     """(user_id, bucket, term, weight): top ``top`` candidates per bucket."""
     pre = log.groupBy("user_id", "bucket", "doc_id").agg(F.max("weight").alias("bw"))

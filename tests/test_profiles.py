@@ -101,3 +101,12 @@ def test_blend_quota(spark):
     assert n_cf == {1: 1, 2: 2}
     ranks = [r["rk"] for r in out.where("user_id = 2").orderBy("rk").collect()]
     assert ranks == list(range(1, 15))
+
+
+def test_read_keywords_defaults(spark):
+    kws = spark.createDataFrame([(1, "上午", "体育", 0.12), (1, "上午", "音乐", 0.3),
+                                 (1, "下午", "x", 1.0)],
+                                "user_id long, bucket string, term string, weight double")
+    users = spark.createDataFrame([(1,), (0,)], "user_id long")
+    got = {r["user_id"]: r["keywords"] for r in P.read_keywords(kws, users, "上午").collect()}
+    assert got == {1: {"体育": 0.12, "音乐": 0.3}, 0: {}}
