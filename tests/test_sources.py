@@ -144,3 +144,20 @@ def test_cluster_conf_sizes_partitions():
     c = cluster_conf(100 * 10**12, executors=1000, executor_cores=4)
     assert int(c["spark.sql.shuffle.partitions"]) >= 100 * 10**12 // (256 * 1024 * 1024)
     assert cluster_conf(10**9)["spark.sql.shuffle.partitions"] == str(2 * 4000)
+
+
+def test_queue_and_lookup_with_sample_values(spark):
+    """The sample queue of the original (all unread), marking one entry read by
+    (doc_id, doc_type), and a point lookup of row key news0001."""
+    queue = spark.createDataFrame([
+        ("asdf2f2f11", "1", "news0001", False), ("asdf2f2f12", "2", "news0002", False),
+        ("asdf2f2f13", "1", "news0003", False), ("asdf2f2f14", "2", "news0004", False)],
+        "doc_id string, doc_type string, rowkey string, has_read boolean")
+    assert ST.queue_unread(queue).count() == 4
+    done = spark.createDataFrame([("asdf2f2f11", "1"), ("asdf2f2f12", "1")], "doc_id string, doc_type string")
+    marked = {r["rowkey"]: r["has_read"] for r in ST.mark_read(queue, done).collect()}
+    assert marked == {"news0001": True, "news0002": False, "news0003": False, "news0004": False}
+    news = spark.createDataFrame([("news0001", "w1 w2"), ("news0002", None)], "rowkey string, words string")
+    log = spark.createDataFrame([(1, "news0001"), (2, "news0002"), (3, "news9999")], "event_id long, doc_id string")
+    got = {r["event_id"]: r["words"] for r in N.attach_words(log, news).collect()}
+    assert got == {1: "w1 w2", 2: "", 3: ""}
