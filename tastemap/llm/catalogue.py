@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .line_dedup import line_dedup
+from .url_filter import Rule, filter_urls
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +16,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_line_dedup": op8_line_dedup}
+# Fixed rules of the query: (verdict, host, path).
+URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"),
+             Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"),
+             Rule("block", "com", "/de/")]
+UNWANTED = ["ads", "adult", "bets", "casino", "pills", "spam"]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, UNWANTED)
+
+
+QUERIES = {"op6_url_filter": op6_url_filter,
+           "op8_line_dedup": op8_line_dedup}

@@ -25,3 +25,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
          AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+ORACLE["op6_url_filter"] = f"""
+WITH rules(verdict, host, path) AS (VALUES
+  ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+urls AS (
+  SELECT page_id, row_number() OVER () AS rid,
+         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), {_LOWER}) AS host,
+         coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
+hits AS (
+  SELECT u.rid, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host))
+                          AND starts_with(u.path, r.path)
+  GROUP BY u.rid),
+judged AS (SELECT u.*, h.rule, h.verdict FROM urls u LEFT JOIN hits h USING (rid)),
+listed AS (
+  SELECT host, len(list_intersect(string_split_regex(host, '[.-]'),
+           ['ads', 'adult', 'bets', 'casino', 'pills', 'spam'])) > 0
+         OR count(*) FILTER (verdict = 'block') > count(*) FILTER (verdict = 'allow') AS listed
+  FROM judged WHERE host <> '' GROUP BY host)
+SELECT page_id, j.host, path, rule,
+       coalesce(verdict, CASE WHEN coalesce(listed, false) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(listed, false) AS listed
+FROM judged j LEFT JOIN listed l ON j.host = l.host
+"""
