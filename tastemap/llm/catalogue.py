@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .host_rules import host_filter
 from .line_dedup import line_dedup
 from .url_filter import Rule, filter_urls
 
@@ -27,5 +28,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, UNWANTED)
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_filter(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
 QUERIES = {"op6_url_filter": op6_url_filter,
-           "op8_line_dedup": op8_line_dedup}
+           "op8_line_dedup": op8_line_dedup,
+           "op9_host_rules": op9_host_rules}
