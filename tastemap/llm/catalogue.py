@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 from .host_rules import host_filter
+from .langid import learn_profiles, predict
 from .line_dedup import line_dedup
 from .url_filter import Rule, filter_urls
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = learn_profiles(docs.where(fold(F.col("doc_id")) != 2))
+    out = predict(docs.withColumn("held_out", fold(F.col("doc_id")) == 2), profiles,
+                  ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped",
@@ -34,6 +43,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
-QUERIES = {"op6_url_filter": op6_url_filter,
+QUERIES = {"op5_langid": op5_langid,
+           "op6_url_filter": op6_url_filter,
            "op8_line_dedup": op8_line_dedup,
            "op9_host_rules": op9_host_rules}
