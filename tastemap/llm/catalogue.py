@@ -9,9 +9,18 @@ from .common import fold, table
 from .host_rules import host_filter
 from .langid import learn_profiles, predict
 from .line_dedup import line_dedup
+from .quality_gam import score, train
 from .url_filter import Rule, filter_urls
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.where(fold(F.col("doc_id")) != 2), table(spark, sf_dir, "labels"))
+    out = score(docs.withColumn("held_out", fold(F.col("doc_id")) == 2), model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "score",
+                      F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = learn_profiles(docs.where(fold(F.col("doc_id")) != 2))
@@ -43,7 +52,8 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
-QUERIES = {"op5_langid": op5_langid,
+QUERIES = {"op3_quality": op3_quality,
+           "op5_langid": op5_langid,
            "op6_url_filter": op6_url_filter,
            "op8_line_dedup": op8_line_dedup,
            "op9_host_rules": op9_host_rules}
