@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .host_rules import host_filter
+from .jaccard_join import jaccard_groups
 from .langid import learn_profiles, predict
 from .line_dedup import line_dedup
 from .quality_gam import score, train
@@ -21,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = learn_profiles(docs.where(fold(F.col("doc_id")) != 2))
@@ -53,6 +58,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_quality": op3_quality,
+           "op4_jaccard_join": op4_jaccard_join,
            "op5_langid": op5_langid,
            "op6_url_filter": op6_url_filter,
            "op8_line_dedup": op8_line_dedup,
