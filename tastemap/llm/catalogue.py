@@ -10,10 +10,22 @@ from .host_rules import host_filter
 from .jaccard_join import jaccard_groups
 from .langid import learn_profiles, predict
 from .line_dedup import line_dedup
+from .packing import pack
 from .quality_gam import score, train
 from .url_filter import Rule, filter_urls
 
 
+def tokenizer_files() -> dict[str, str]:
+    """The public tokenizer of the queries and the same vocabulary as ranks."""
+    import public_tokenizers
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"),
+            "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), **tokenizer_files()).drop("ids")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(fold(F.col("doc_id")) != 2), table(spark, sf_dir, "labels"))
@@ -57,7 +69,8 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
-QUERIES = {"op3_quality": op3_quality,
+QUERIES = {"op2_packing": op2_packing,
+           "op3_quality": op3_quality,
            "op4_jaccard_join": op4_jaccard_join,
            "op5_langid": op5_langid,
            "op6_url_filter": op6_url_filter,
