@@ -10,6 +10,7 @@ from .host_rules import host_filter
 from .jaccard_join import jaccard_groups
 from .langid import learn_profiles, predict
 from .line_dedup import line_dedup
+from .mixing import taken_words
 from .packing import pack
 from .quality_gam import score, train
 from .url_filter import Rule, filter_urls
@@ -46,6 +47,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped",
@@ -74,5 +79,6 @@ QUERIES = {"op2_packing": op2_packing,
            "op4_jaccard_join": op4_jaccard_join,
            "op5_langid": op5_langid,
            "op6_url_filter": op6_url_filter,
+           "op7_mixing": op7_mixing,
            "op8_line_dedup": op8_line_dedup,
            "op9_host_rules": op9_host_rules}
