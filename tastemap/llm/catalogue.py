@@ -12,6 +12,7 @@ from .langid import learn_profiles, predict
 from .line_dedup import line_dedup
 from .mixing import taken_words
 from .packing import pack
+from .pii import joined, pii_spans
 from .quality_gam import score, train
 from .url_filter import Rule, filter_urls
 
@@ -74,6 +75,13 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                      F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {"op2_packing": op2_packing,
            "op3_quality": op3_quality,
            "op4_jaccard_join": op4_jaccard_join,
@@ -81,4 +89,5 @@ QUERIES = {"op2_packing": op2_packing,
            "op6_url_filter": op6_url_filter,
            "op7_mixing": op7_mixing,
            "op8_line_dedup": op8_line_dedup,
-           "op9_host_rules": op9_host_rules}
+           "op9_host_rules": op9_host_rules,
+           "op10_pii": op10_pii}
