@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .fingerprint import fingerprints
 from .host_rules import host_filter
 from .jaccard_join import jaccard_groups
 from .langid import learn_profiles, predict
@@ -24,6 +25,10 @@ def tokenizer_files() -> dict[str, str]:
             "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), **tokenizer_files()).drop("ids")
 
@@ -82,7 +87,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op2_packing": op2_packing,
+QUERIES = {"op1_fingerprint": op1_fingerprint,
+           "op2_packing": op2_packing,
            "op3_quality": op3_quality,
            "op4_jaccard_join": op4_jaccard_join,
            "op5_langid": op5_langid,

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +38,19 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def in_batches(fn: Callable[[pd.DataFrame], pd.DataFrame]):
-    """Adapter for mapInPandas: ``fn`` maps one Arrow batch to one frame."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield fn(batch)
-    return run
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
-def renamed_apart(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the columns an operator works on; extra columns never clash."""
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+def last_start(df: DataFrame, value: Column, starts: Column, n: int, out: str) -> DataFrame:
+    """Add ``out``: the last index of the array ``starts`` (of ``n`` entries, ascending)
+    whose entry is at most ``value``; a halving search of one projection a step."""
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(0, n - 1).bit_length()
+    while step > 1:
+        step //= 2
+        nxt = F.col(out) + step
+        df = df.withColumn(out, F.when(F.coalesce(F.get(starts, nxt) <= value, F.lit(False)), nxt)
+                           .otherwise(F.col(out)))
+    return df

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, last_start, stored
 
 BLOCK = 64
 SHARD = 1024
@@ -87,18 +87,6 @@ def _exclusive(value: Column) -> Column:
     return F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
 
 
-def _range_of(df: DataFrame, value: Column, starts: Column, n: int, out: str) -> DataFrame:
-    """``out``: the last index whose start is at most ``value`` (a halving search)."""
-    df = df.withColumn(out, F.lit(0))
-    step = 1 << max(0, n - 1).bit_length()
-    while step > 1:
-        step //= 2
-        nxt = F.col(out) + step
-        df = df.withColumn(out, F.when(F.coalesce(F.get(starts, nxt) <= value, F.lit(False)), nxt)
-                           .otherwise(F.col(out)))
-    return df
-
-
 def running_total(df: DataFrame, part: str, group: Column, order: list[str], value: str,
                   out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``part``, by (group, order): inside
@@ -133,7 +121,7 @@ def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
                 start=F.col("start"), n_blocks=F.col("n_blocks"), slots=F.col("slots"))
     drawn = spark.range(total).select(F.floor(F.col("id") / SHARD).alias("shard"),
                                       F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(total, 1))).alias("u"))
-    drawn = _range_of(drawn, F.col("u"), a.select("start").scalar(), n, "s")
+    drawn = last_start(drawn, F.col("u"), a.select("start").scalar(), n, "s")
     counts = stored(drawn.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n")), "mix-draws")
     numbered = running_total(counts, "s", F.floor(F.col("shard") / GROUP), ["shard"], "n", "first")
 
@@ -150,7 +138,7 @@ def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
     # the place of a slot among all that their sources have too many (negative: it stays)
     extra = F.col("j") - pick(a, "slots", F.col("s"))
     each = each.withColumn("extra", F.when(extra >= 0, extra + pick(fix, "many_at", F.col("s"))).otherwise(-1))
-    each = _range_of(each, F.col("extra"), fix.select("few_at").scalar(), n, "t")
+    each = last_start(each, F.col("extra"), fix.select("few_at").scalar(), n, "t")
     moved = F.col("extra") >= 0
     each = each.select(
         "shard", F.when(moved, F.col("t")).otherwise(F.col("s")).alias("s"),

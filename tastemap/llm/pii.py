@@ -26,12 +26,10 @@ equal results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 
 # Fixed patterns of the base kinds.
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -56,11 +54,6 @@ BINS = 4096
 MIN_PROBABILITY = 0.5
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def found(text: Column, pattern: str, likely: Column) -> Column:
     """array<struct<start, end, value, before, after>> of the matches, leftmost first, in
     code points; ``likely`` is a cheap necessary condition."""
