@@ -92,18 +92,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS,
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped added."""
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"),
-                       F.col("dropped").alias("_dropped"), F.col("n_dropped").alias("_n"))
+    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "dropped",
+                       F.col("n_dropped").alias("_n"))
     j = docs.join(b, docs["doc_id"].eqNullSafe(b["_id"])
                   & (F.xxhash64(_text(docs)) == b["_hash"]), "left")
     kept = F.array_join(F.filter(
         F.split(_text(docs), "\n"),
-        lambda x, i: F.coalesce(F.getbit(F.get("_dropped", F.floor(i / 64).cast("int")), i % 64),
+        lambda x, i: F.coalesce(F.getbit(F.get(b["dropped"], F.floor(i / 64).cast("int")), i % 64),
                                 F.lit(0)) == 0), "\n")
     n_lines = F.octet_length(_text(docs)) - F.octet_length(F.replace(_text(docs), F.lit("\n"))) + 1
-    extra = {"kept_text": F.when(F.col("_dropped").isNull(), _text(docs)).otherwise(kept),
+    extra = {"kept_text": F.when(b["dropped"].isNull(), _text(docs)).otherwise(kept),
              "n_lines": n_lines.cast("long"),
-             "n_dropped": F.coalesce("_n", F.lit(0).cast("long"))}
+             "n_dropped": F.coalesce(b["_n"], F.lit(0).cast("long"))}
     return j.select(*[docs[c] for c in docs.columns if c not in extra],
                     *[v.alias(k) for k, v in extra.items()])
 

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, last_start, stored
+from .common import WORD, last_start, let, stored
 
 BLOCK = 64
 SHARD = 1024
@@ -186,3 +186,40 @@ def taken_words(docs: DataFrame, seed: int = 7) -> DataFrame:
     out = docs.join(got, same[0] & same[1] & same[2] & same[3], "left")
     return out.select("doc_id", "size", "source_size", "target",
                       F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The documents that the mix takes words of, with the text that it takes and its n_chars.
+
+    A pass that takes a whole document gives its text as it is; one that takes some blocks
+    gives their words, joined by spaces; passes follow each other on new lines."""
+    same = Window.partitionBy("doc_id", "source", "size")
+    placed, pieces = mix(docs, seed)
+    key = ["doc_id", "s", "a", "size"]
+    got = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pass", "first", "words"))).alias("_spans"))
+    got = placed.select(*key, "source").join(got.select(*[F.col(k).alias("_" + k) for k in key], "_spans"), [
+        F.col("doc_id").eqNullSafe(F.col("_doc_id")), F.col("s") == F.col("_s"), F.col("a") == F.col("_a")])
+    # repeated rows are told apart by their order
+    got = got.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+                     "_spans", F.row_number().over(same.orderBy("a")).alias("_row"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"),
+                       F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    rows = rows.withColumn("row", F.row_number().over(
+        Window.partitionBy("doc.doc_id", "doc.source", "size").orderBy("doc.text")))
+    j = rows.join(got, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & F.col("doc.source").eqNullSafe(F.col("_source"))
+                  & (F.col("size") == F.col("_size")) & (F.col("row") == F.col("_row")))
+    text = F.coalesce("doc.text", F.lit(""))
+
+    def one_pass(spans: Column, words: Column) -> Column:
+        n = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
+        cut = F.flatten(F.transform(spans, lambda x: F.slice(
+            words, (x["first"] + 1).cast("int"), x["words"].cast("int"))))
+        return F.when(n == F.col("size"), text).otherwise(F.array_join(cut, " "))
+
+    passes = F.array_distinct(F.transform("_spans", lambda x: x["pass"]))
+    taken = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: F.array_join(F.transform(
+        passes, lambda p: one_pass(F.filter("_spans", lambda x: x["pass"] == p), words)), "\n"))
+    out = j.select("doc", taken.alias("taken"))
+    new = {"text": F.col("taken"), "n_chars": F.char_length("taken").cast("long")}
+    return out.select(*[new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -223,12 +223,13 @@ def score(docs: DataFrame, model: Gam, keep: list[str]) -> DataFrame:
     """``keep`` columns and the score of every whole text."""
     out = docs.select(*keep).schema.add("score", "double")
     names = out.names
+    text = "text" if "text" in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays(
                     [*[b.column(c) for c in keep],
-                     pa.array(model.score(batch_features(b.column("_text"))), pa.float64())], names)
+                     pa.array(model.score(batch_features(b.column(text))), pa.float64())], names)
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, out)
+    return docs.select(*keep, *([] if text == "text" else [F.col("text").alias("_text")])).mapInArrow(run, out)
