@@ -38,7 +38,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 FACTOR = 1.5
 CAP = 2.0
 ROUNDS = 10
-GROUP = 1024
+GROUP = 1024           # shards summed together before their running total
+DOC_GROUP = 512        # documents of all sources in a group, on average
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -154,7 +155,7 @@ def document_pieces(sizes: DataFrame, sources: DataFrame, block: int = BLOCK) ->
     """(documents with s and their place ``a``; one row per document and block it overlaps)."""
     docs = sizes.join(sources.select(F.col("source").alias("_source"), "s", "source_size", "target"),
                       F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    groups = max(1, math.ceil(sizes.count() / 4096))
+    groups = max(1, math.ceil(sizes.count() / DOC_GROUP))
     docs = stored(running_total(docs, "s", F.pmod(F.xxhash64("doc_id"), F.lit(groups)),
                                 ["doc_id", "size"], "size", "a"), "mix-documents")
     blocks = F.sequence(F.floor(F.col("a") / block), F.floor((F.col("a") + F.col("size") - 1) / block))
