@@ -12,9 +12,9 @@ joined, and copies are carried as a weight.
    the bucket's path, and so on; a bucket that keeps half of its parent (a group
    of true near copies) stays as it is.  Runs are repeated until the chance of
    missing a pair at the threshold in the first split is below 1 - ``RECALL``.
-3. Buckets with the same members are merged, and large buckets that overlap are
-   joined into one cluster, so that the runs do not repeat a large group.  Each
-   bucket is compared by brute force on the exact sets; a cluster is cut into
+3. Small buckets with the same members are merged, and so are large buckets with
+   the same smallest member, so that the runs do not repeat a large group.  Each
+   bucket is compared by brute force on the exact sets; a large one is cut into
    blocks and each pair of blocks is its own group, so no group is unbounded.  A
    pair that shares several buckets counts in the smallest one only.
 4. Per bucket only link counts and a spanning forest of the links leave the task
@@ -48,7 +48,7 @@ THRESHOLD = 0.8
 POSITIONS = 64
 CHILDREN = 2
 RECALL = 0.99999
-SMALL = 48
+SMALL = 128
 BLOCK = 256
 DEPTH = 8
 _SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -91,86 +91,97 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, set_a, set_b, sig array<long>): a 128-bit name of the set and its samples.
-    Documents without words are left out."""
+    """(doc_id, set_a, set_b, sig array<long>): a 128-bit name of the set and its samples;
+    null for documents without words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = text_buffer(b.column("text"), lower=True)
-            at, name_a, name_b, sigs, base = [], [], [], [], 0
+            at, name_a, name_b, sigs, n = [], [], [], [], 0
             for sets in shingle_sets(buf, offs, k):
                 for d, t in enumerate(sets):
                     if len(t):
-                        at.append(base + d)
+                        at.append(n + d)
                         name_a.append(mix(t + np.uint64(len(t))).sum())
                         name_b.append(mix(t ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())
                         sigs.append(signature(t))
-                base += len(sets)
-            if at:
-                flat = np.concatenate(sigs).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(at)),
-                     pa.array(np.array(name_a, np.uint64).view(np.int64)),
-                     pa.array(np.array(name_b, np.uint64).view(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * POSITIONS, pa.int32()),
-                                              pa.array(flat))], ["doc_id", "set_a", "set_b", "sig"])
+                n += len(sets)
+            if not n:
+                continue
+            row = np.full(n, -1, np.int64)       # the found set of each document
+            row[at] = np.arange(len(at))
+            take = pa.array(row, mask=row < 0)
+            longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * POSITIONS, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), longs(name_a).take(take), longs(name_b).take(take), lists.take(take)],
+                ["doc_id", "set_a", "set_b", "sig"])
 
     schema = docs.select("doc_id").schema.add("set_a", "long").add("set_b", "long").add(
         "sig", T.ArrayType(T.LongType()))
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def leaves(sigs: DataFrame, threshold: float, small: int, recall: float) -> DataFrame:
-    """(leaf, rep, large) for the buckets in which the splitting ends; ``sigs`` is (rep, sig)."""
+def members(docs: DataFrame, k: int = K) -> DataFrame:
+    """(doc_id, rep, weight, sig): the class of every document by its smallest doc_id, the
+    number of its documents, and on the representative's row the samples of its set."""
+    named = stored(signatures(docs, k), "signatures")
+    classes = named.where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    rows = named.join(classes, ["set_a", "set_b"], "left")
+    return stored(rows.select(
+        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("weight", F.lit(1)).cast("long").alias("weight"),
+        F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
+
+
+def leaves(classes: DataFrame, threshold: float, small: int, recall: float) -> DataFrame:
+    """(rep, weight, path, n, lead, a, b, large): the classes of the buckets in which the
+    splitting ends, each with its bucket's size, smallest class and the hashes of its
+    members; ``classes`` is (rep, weight, sig)."""
     runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
-    level = stored(sigs.select("rep", F.posexplode(F.slice("sig", 1, runs)).alias("run", "token")).select(
-        "rep", F.xxhash64("run", "token").alias("path"), F.lit(None).cast("long").alias("parent_n")),
-        "paths")
+    level = classes.select("rep", "weight", F.posexplode(F.slice("sig", 1, runs)).alias("run", "token")).select(
+        "rep", "weight", F.xxhash64("run", "token").alias("path"), F.lit(None).cast("long").alias("parent_n"))
+    carried = ["rep", "weight"]
     done = []
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n"),
-                                          F.max("parent_n").alias("parent_n")).where("n > 1")
+        sizes = level.groupBy("path").agg(
+            F.count(F.lit(1)).alias("n"), F.max("parent_n").alias("_p"), F.min("rep").alias("lead"),
+            F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(38,0)")).alias("a"),
+            F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("b")).where("n > 1")
         large = F.col("n") > small
-        ends = ~large | F.coalesce(F.col("n") * 2 >= F.col("parent_n"), F.lit(False)) | F.lit(depth == DEPTH)
-        sizes = stored(sizes.select("path", "n", large.alias("large"), ends.alias("ends")), "bucket-sizes")
-        rows = level.select("rep", "path").join(sizes, "path")
-        done.append(rows.where("ends").select(F.col("path").alias("leaf"), "rep", "large"))
-        if sizes.where(~F.col("ends")).isEmpty():
+        stuck = F.coalesce(F.col("n") * 2 >= F.col("_p"), F.lit(False))
+        rows = level.select(*carried, "path").join(sizes.select(
+            "path", "n", "lead", "a", "b", large.alias("large"),
+            (~large | stuck | F.lit(depth == DEPTH)).alias("ends")), "path")
+        rows = stored(rows, "buckets")
+        done.append(rows.where("ends").select("rep", "weight", "path", "n", "lead", "a", "b", "large"))
+        big = rows.where(~F.col("ends")).select(*carried, "path", F.col("n").alias("parent_n"))
+        if big.isEmpty():
             break
-        rows = rows.where(~F.col("ends")).select("rep", "path", F.col("n").alias("parent_n"))
-        if depth == 1:   # only classes in a large bucket are ever split again
-            sigs = stored(sigs.join(rows.select("rep").distinct(), "rep", "left_semi"), "split-signatures")
+        if depth == 1:     # the classes that are split again take their samples along
+            big = big.join(classes.select("rep", "sig"), "rep")
+            carried = ["rep", "weight", "sig"]
         picks = F.explode(F.array(*[
             F.pmod(F.xxhash64(F.lit(c), "path"), F.lit(POSITIONS)).cast("int") for c in range(CHILDREN)]))
-        level = stored(rows.join(sigs, "rep").select("rep", "path", "parent_n", "sig", picks.alias("p")).select(
-            "rep", F.xxhash64("path", "p", F.get("sig", F.col("p"))).alias("path"), "parent_n"), "paths")
+        level = big.select(*carried, "path", "parent_n", picks.alias("p")).select(
+            *carried, F.xxhash64("path", "p", F.get("sig", F.col("p"))).alias("path"), "parent_n")
+        if depth == 1:
+            level = stored(level, "split-buckets")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def merged(leaf_rows: DataFrame) -> DataFrame:
-    """(leaf, rep, n): large overlapping buckets become one cluster; of small buckets with
-    the same members, or inside one cluster, only one is left."""
-    rows = stored(leaf_rows, "leaves")
-    big = rows.where("large")
-    lead = big.groupBy("leaf").agg(F.min("rep").alias("other"))
-    comp = components(big.join(lead, "leaf").select("rep", "other"))
-    # a component's own first class has no edge: every class of a large bucket gets its cluster here
-    cluster = stored(big.select("rep").distinct().join(comp, "rep", "left").select(
-        "rep", F.xxhash64(F.lit("cluster"), F.coalesce("component", "rep")).alias("cluster")), "clusters")
-
-    few = rows.where(~F.col("large")).select("leaf", "rep").join(cluster, "rep", "left")
-    names = few.groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(38,0)")).alias("a"),
-        F.bit_xor(F.xxhash64(F.lit(2), "rep")).alias("b"), F.count("cluster").alias("c"),
-        F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-    names = names.where("NOT (c = n AND lo = hi)")
-    keep = names.groupBy("n", "a", "b").agg(F.min("leaf").alias("leaf")).select("leaf", "n")
-    small = few.select("leaf", "rep").join(keep, "leaf")
-    sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    large = cluster.join(sizes, "cluster").select(F.col("cluster").alias("leaf"), "rep", "n")
-    return stored(small.select("leaf", "rep", "n").unionByName(large), "merged-leaves")
+def merged(ends: DataFrame) -> DataFrame:
+    """(leaf, rep, weight, n): small buckets with the same members are one leaf, and large
+    buckets with the same smallest class are one."""
+    few = ends.where(~F.col("large")).select(
+        F.xxhash64(F.lit("few"), "n", "a", "b").alias("leaf"), "rep", "weight", "n").distinct()
+    big = stored(ends.where("large").select(
+        F.xxhash64(F.lit("large"), "lead").alias("leaf"), "rep", "weight").distinct(), "large-buckets")
+    sizes = big.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    return few.unionByName(big.join(sizes, "leaf").select("leaf", "rep", "weight", "n"))
 
 
 def _overlaps(sets: list[np.ndarray], split: int | None) -> np.ndarray:
@@ -283,61 +294,50 @@ def verify(groups: DataFrame, threshold: float, k: int = K) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(rep, component) from (rep, other): alternate large-star and small-star steps
-    until nothing changes; every step is a map-side combined minimum."""
-    def both(e):
-        return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
+    """(rep, component) from (rep, other), for every class but the smallest of each
+    component: alternate large-star and small-star steps until only stars are left.
+    Every step is a map-side combined minimum and a join."""
     e = stored(edges.where("rep <> other").select(
         F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct(), "edges")
-    seen = None
     while True:
-        n = both(e)
+        ends = e.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("b").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # in a star a class has one edge up, or edges from below, not both
+        odd = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0")
+        if odd.isEmpty():
+            return e.select(F.col("a").alias("rep"), F.col("b").alias("component"))
+        n = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = n.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = n.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        down = large.where("b < a").distinct()
+        down = n.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("low"))
-        e = stored(down.join(low, "a").where("b <> low").select(
-            F.col("b").alias("a"), F.col("low").alias("b")).unionByName(
-            low.select("a", F.col("low").alias("b"))).distinct(), "edges")
-        s = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == tuple(s):
-            return e.select(F.col("a").alias("rep"), F.col("b").alias("component"))
-        seen = tuple(s)
+        e = stored(down.join(low, "a").select(F.explode(F.array(
+            F.struct(F.col("b").alias("a"), F.col("low").alias("b")),
+            F.struct("a", F.col("low").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "edges")
 
 
 def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, small: int = SMALL,
                    block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) per document; ``doc_id`` must be an integer."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = stored(signatures(docs, k), "signatures")
-    # members of a class have equal signatures, so any of them serves
-    classes = stored(named.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("sig").alias("sig")),
-        "classes")
-    member = stored(named.select("doc_id", "set_a", "set_b").join(
-        classes.select("set_a", "set_b", "rep", "weight"), ["set_a", "set_b"]).select(
-        "doc_id", "rep", "weight"), "members")
-
-    rows = merged(leaves(classes.select("rep", "sig"), threshold, small, recall))
-    homes = rows.groupBy("rep").agg(F.sort_array(F.collect_set("leaf")).alias("homes"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    member = members(docs, k)
+    rows = merged(leaves(member.where("sig IS NOT NULL").select("rep", "weight", "sig"), threshold, small, recall))
+
+    # each class with all its leaves; a cluster in blocks, each pair of blocks a group
+    homes = rows.groupBy("rep").agg(F.first("weight").alias("weight"),
+                                    F.collect_set(F.struct("leaf", "n")).alias("homes"))
+    placed = homes.select("rep", "weight", F.sort_array(F.transform("homes", lambda h: h["leaf"])).alias("homes"),
+                          F.explode("homes").alias("h"))
+    blocks = F.ceil(F.col("h.n") / block).cast("int")
     mine = F.when(blocks > 1, F.pmod(F.xxhash64(F.lit("block"), "rep"), blocks)).otherwise(0).cast("int")
-    placed = rows.join(homes, "rep").join(classes.select("rep", "weight"), "rep").select(
-        "leaf", "rep", "weight", "homes", blocks.alias("blocks"), mine.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = placed.select("leaf", "rep", "weight", "homes", "block", other.alias("o")).select(
-        "leaf", "rep", "weight", "homes", "block", F.least("block", "o").alias("bi"),
-        F.greatest("block", "o").alias("bj"))
+    placed = placed.select("rep", "weight", "homes", F.col("h.leaf").alias("leaf"), mine.alias("block"),
+                           F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    placed = placed.select("rep", "weight", "homes", "leaf", "block", F.least("block", "o").alias("bi"),
+                           F.greatest("block", "o").alias("bj"))
     groups = placed.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep")
     found = stored(verify(groups, threshold, k), "links")
 
     links = found.groupBy("rep").agg(F.sum("n").alias("linked"))
     comp = components(found.select("rep", "other"))
-    per = member.join(links, "rep", "left").join(comp, "rep", "left").select(
+    return member.select("doc_id", "rep", "weight").join(links, "rep", "left").join(comp, "rep", "left").select(
         "doc_id", F.coalesce("component", "rep").alias("class_id"),
-        (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    per = per.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    return docs.select("doc_id").join(per, "doc_id", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"))
