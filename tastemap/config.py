@@ -20,6 +20,22 @@ STOP_WORDS = (
     "a an and are as at be but by for if in into is it no not of on or such "
     "that the their then there these they this to was will with"
 ).split()
+# Spark's default English stop words (the default of the vocabulary), pinned here so
+# that results do not change with the Spark version.
+DEFAULT_STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
+she her hers herself it its itself they them their theirs themselves what which who whom
+this that these those am is are was were be been being have has had having do does did
+doing a an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over
+under again further then once here there when where why how all any both each few more
+most other some such no nor not only own same so than too very s t can will just don
+should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm
+you're he's she's it's we're they're i've we've you've they've isn't aren't wasn't weren't
+haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't
+couldn't cannot could here's how's let's ought that's there's what's when's where's who's
+why's would
+""".split()
 # Timestamp layout of the text behaviour log.
 LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # ---------------------------------------------------------------------------

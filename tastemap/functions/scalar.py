@@ -20,7 +20,10 @@ def parse_log_time(s) -> Column:
     (hour 25, missing clock part, garbage) so the row can be quarantined.
     The result is a wall-clock timestamp (timestamp_ntz), independent of the
     session time zone."""
-    return F.try_to_timestamp(_c(s), F.lit(LOG_TIME_FORMAT)).cast("timestamp_ntz")
+    # parsed as UTC and taken back to a wall clock in UTC: no daylight-saving gap
+    # of the session zone can move it
+    utc = F.try_to_timestamp(F.concat(_c(s), F.lit(" +0000")), F.lit(LOG_TIME_FORMAT + " xx"))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), utc.cast("timestamp_ntz"))
 
 
 def in_zone(ts, start: str, end: str) -> Column:
@@ -32,9 +35,14 @@ def in_zone(ts, start: str, end: str) -> Column:
 def time_bucket(ts) -> Column:
     """Time-of-day bucket label of a timestamp; NULL for NULL input.
 
-    Bucket ranges are whole hours, so the test is done on ``hour(ts)``
-    (cheaper than formatting a string per row) and agrees with ``in_zone``.
+    Bucket ranges must be whole hours that follow each other (checked), so the test
+    is done on ``hour(ts)`` (cheaper than formatting a string per row) and agrees
+    with ``in_zone``.
     """
+    starts = [int(end[:2]) + 1 for _, _, end in BUCKETS[:-1]]
+    if (any(not end.endswith(":59:59") for _, _, end in BUCKETS)
+            or [s for _, s, _ in BUCKETS] != ["00:00:00", *(f"{h:02d}:00:00" for h in starts)]):
+        raise ValueError("time buckets must cover the day in whole hours")
     ts = _c(ts)
     h = F.hour(ts)
     expr = None

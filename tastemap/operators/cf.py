@@ -61,20 +61,25 @@ def _integral(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, (T.IntegerType, T.LongType, T.ShortType))
 
 
-def dictionaries(r: DataFrame, user: str = "user_id", item: str = "doc_id"):
-    """(user_dict, item_dict); identity casts when ids already fit an int
-    (checked for both columns in one aggregate job)."""
-    cols = [c for c in (user, item) if _integral(r, c)]
-    fits = {}
-    if cols:
-        row = r.agg(*[F.min(c).alias(f"lo_{c}") for c in cols],
-                    *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
-        for c in cols:
+def fits_int(r: DataFrame, cols: list[str]) -> dict[str, bool]:
+    """Which columns are integers that ALS takes as they are (one aggregate job)."""
+    whole = [c for c in cols if _integral(r, c)]
+    out = dict.fromkeys(cols, False)
+    if whole:
+        row = r.agg(*[F.min(c).alias(f"lo_{c}") for c in whole],
+                    *[F.max(c).alias(f"hi_{c}") for c in whole]).first()
+        for c in whole:
             lo, hi = row[f"lo_{c}"], row[f"hi_{c}"]
-            fits[c] = lo is None or (lo >= 0 and hi <= INT_MAX)
+            out[c] = lo is None or (lo >= 0 and hi <= INT_MAX)
+    return out
+
+
+def dictionaries(r: DataFrame, user: str = "user_id", item: str = "doc_id"):
+    """(user_dict, item_dict); identity casts when ids already fit an int."""
+    fits = fits_int(r, [user, item])
     out = []
     for col, idx in ((user, "user_idx"), (item, "item_idx")):
-        if fits.get(col):
+        if fits[col]:
             out.append(r.select(col).distinct().select(col, F.col(col).cast("int").alias(idx)))
         else:
             out.append(index_dictionary(r, col, idx))
@@ -82,46 +87,78 @@ def dictionaries(r: DataFrame, user: str = "user_id", item: str = "doc_id"):
 
 
 class CFModel:
-    """ALS model plus the dictionaries that map its ids back."""
+    """ALS model plus what maps its ids back: a dictionary of users and items whose
+    ids are not integers themselves (None for those that are), and the published
+    article id of each item key (None when the key is the id)."""
 
-    def __init__(self, model: ALSModel, users: DataFrame, items: DataFrame,
-                 user: str = "user_id", item: str = "doc_id"):
-        self.model, self.users, self.items, self.user, self.item = model, users, items, user, item
+    def __init__(self, model: ALSModel, users: DataFrame | None, items: DataFrame | None,
+                 articles: DataFrame | None = None, user: str = "user_id", item: str = "doc_id",
+                 user_type: str = "bigint", item_type: str = "bigint"):
+        self.model, self.users, self.items, self.articles = model, users, items, articles
+        self.user, self.item, self.user_type, self.item_type = user, item, user_type, item_type
 
     def save(self, path: str) -> None:
+        spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/als")
-        self.users.write.mode("overwrite").parquet(f"{path}/users")
-        self.items.write.mode("overwrite").parquet(f"{path}/items")
+        tables = {"users": self.users, "items": self.items, "articles": self.articles}
+        for name, table in tables.items():
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
+        row = (self.user_type, self.item_type, *[t is not None for t in tables.values()])
+        spark.createDataFrame([row], "user_type string, item_type string, users boolean, items boolean, "
+                              "articles boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, user: str = "user_id", item: str = "doc_id"):
-        return cls(ALSModel.load(f"{path}/als"), spark.read.parquet(f"{path}/users"),
-                   spark.read.parquet(f"{path}/items"), user, item)
+        meta = spark.read.parquet(f"{path}/meta").first()
+        table = lambda name: spark.read.parquet(f"{path}/{name}") if meta[name] else None
+        return cls(ALSModel.load(f"{path}/als"), table("users"), table("items"), table("articles"),
+                   user, item, meta["user_type"], meta["item_type"])
 
 
 def train(log: DataFrame, params: Params = DEFAULT_PARAMS, user: str = "user_id",
           item: str = "doc_id", seed: int = 42) -> CFModel:
-    """Explicit ALS on float ratings (rank, iterations, lambda from params)."""
+    """Explicit ALS on float ratings (rank, iterations, lambda from params).
+
+    Integer ids go into ALS by a cast; only others are joined with a dictionary.
+    A log with ``article_id`` and ``ts`` gives the last published id of each item."""
     r = ratings(log, user, item)
-    users, items = dictionaries(r, user, item)
-    data = (r.join(users, user).join(items, item)
-            .select("user_idx", "item_idx", F.col("rating").cast("float").alias("rating")))
+    fits = fits_int(r, [user, item])
+    users = None if fits[user] else index_dictionary(r, user, "user_idx")
+    items = None if fits[item] else index_dictionary(r, item, "item_idx")
+    data = r if users is None else r.join(users, user)
+    data = data if items is None else data.join(items, item)
+    data = data.select((F.col(user).cast("int") if users is None else F.col("user_idx")).alias("user_idx"),
+                       (F.col(item).cast("int") if items is None else F.col("item_idx")).alias("item_idx"),
+                       F.col("rating").cast("float").alias("rating"))
     als = ALS(rank=params.als_rank, maxIter=params.als_iterations, regParam=params.als_reg,
               userCol="user_idx", itemCol="item_idx", ratingCol="rating",
               coldStartStrategy="drop", seed=seed, checkpointInterval=10)
+    articles = None
+    if "article_id" in log.columns:
+        named = item_dictionary(log.select(F.col(item).alias("rowkey"), F.col("article_id").alias("doc_id"), "ts"))
+        articles = named.select(F.col("rowkey").alias(item), F.col("doc_id").alias("article_id"))
     # ALS hash-partitions the ratings into its own user/item blocks
-    return CFModel(als.fit(data), users, items, user, item)
+    return CFModel(als.fit(data), users, items, articles, user, item,
+                   log.schema[user].dataType.simpleString(), log.schema[item].dataType.simpleString())
 
 
 def recommend(m: CFModel, users: DataFrame, n: int) -> DataFrame:
-    """Top-n items per requested user: (user, item, rk, score).  Unknown users
-    get no rows."""
-    u = users.select(m.user).distinct().join(m.users, m.user)
+    """Top-n items per requested user: (user, item, article_id, rk, score); article_id is
+    the published id of the item (the item key itself when the log had none).  Unknown
+    users get no rows."""
+    u = users.select(m.user).distinct()
+    u = (u.select(F.col(m.user).try_cast("int").alias("user_idx")).where("user_idx IS NOT NULL")
+         if m.users is None else u.join(m.users, m.user))
     recs = m.model.recommendForUserSubset(u.select("user_idx"), n)
-    ex = (recs.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
-          .select("user_idx", "pos", F.col("r.item_idx").alias("item_idx"),
-                  F.col("r.rating").alias("score")))
-    out = (ex.join(u, "user_idx").join(m.items, "item_idx")
-           .select(m.user, m.item, (F.col("pos") + 1).cast("int").alias("rk"),
-                   F.col("score").cast("double").alias("score")))
-    return out
+    out = (recs.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
+           .select("user_idx", "pos", F.col("r.item_idx").alias("item_idx"),
+                   F.col("r.rating").alias("score")))
+    out = (out.withColumn(m.user, F.col("user_idx").cast(m.user_type)) if m.users is None
+           else out.join(u, "user_idx"))
+    out = (out.withColumn(m.item, F.col("item_idx").cast(m.item_type)) if m.items is None
+           else out.join(m.items, "item_idx"))
+    out = (out.withColumn("article_id", F.col(m.item)) if m.articles is None
+           else out.join(m.articles, m.item, "left"))
+    return out.select(m.user, m.item, "article_id", (F.col("pos") + 1).cast("int").alias("rk"),
+                      F.col("score").cast("double").alias("score"))

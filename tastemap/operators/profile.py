@@ -22,6 +22,8 @@ Update rules
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,33 +32,27 @@ from tastemap.functions.scalar import merge_mean
 UB = ["user_id", "bucket"]
 
 
-def _topic_long(log: DataFrame, article_topics: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(user, bucket, k, s) weighted element sums and (user, bucket, n) counts."""
+def topic_delta(log: DataFrame, article_topics: DataFrame) -> DataFrame:
+    """(user_id, bucket, topic_sum array<double>, n bigint).
+
+    The log is pre-aggregated per (user, bucket, article); the weighted vector sum
+    is one map-side combined aggregate (``Summarizer.sum``) with one row per group.
+    All vectors must have the same length."""
     pre = (log.groupBy("user_id", "bucket", "doc_id")
            .agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")))
-    cnt = pre.groupBy(*UB).agg(F.sum("n").alias("n"))
-    long = (pre.join(article_topics.select("doc_id", "topic"), "doc_id")
-            .select(*UB, "w", F.posexplode("topic").alias("k", "x"))
-            .groupBy(*UB, "k").agg(F.sum(F.col("w") * F.col("x")).alias("s")))
-    return long, cnt
+    vec = article_topics.where(F.size("topic") > 0).select(
+        "doc_id", array_to_vector("topic").alias("_v"))
+    cnt = pre.groupBy(*UB).agg(F.sum("n").alias("n"))       # articles without a vector count too
+    sums = pre.join(vec, "doc_id").groupBy(*UB).agg(
+        vector_to_array(Summarizer.sum(F.col("_v"), F.col("w"))).alias("topic_sum"))
+    return cnt.join(sums, UB, "left").select(
+        *UB, F.coalesce("topic_sum", F.array().cast("array<double>")).alias("topic_sum"), "n")
 
 
 def topic_delta_long(log: DataFrame, article_topics: DataFrame) -> DataFrame:
     """(user_id, bucket, k, topic_sum, cnt)."""
-    long, cnt = _topic_long(log, article_topics)
-    return long.join(cnt, UB).select(*UB, "k", F.col("s").alias("topic_sum"),
-                                     F.col("n").alias("cnt"))
-
-
-def topic_delta(log: DataFrame, article_topics: DataFrame) -> DataFrame:
-    """(user_id, bucket, topic_sum array<double>, n bigint)."""
-    long, cnt = _topic_long(log, article_topics)
-    arr = (long.groupBy(*UB)
-           .agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("_ks"))
-           .select(*UB, F.transform("_ks", lambda e: e["s"]).alias("topic_sum")))
-    return (cnt.join(arr, UB, "left")
-            .select(*UB, F.coalesce("topic_sum", F.array().cast("array<double>")).alias("topic_sum"),
-                    "n"))
+    return topic_delta(log, article_topics).select(
+        *UB, F.posexplode("topic_sum").alias("k", "topic_sum"), F.col("n").alias("cnt"))
 
 
 def topics_from_delta(delta: DataFrame) -> DataFrame:

@@ -5,18 +5,17 @@ Cosine (threshold join)
     satisfy ``u.a > t`` if ``a`` is non-zero on at least one dimension of the
     *prefix* of ``u``: the largest-magnitude dimensions of ``u`` kept until the
     norm of the remaining ones is ``<= t`` (Cauchy-Schwarz bounds the rest of the
-    dot product by that norm).  So the join is an equi-join on the dimension
-    index between the prefix dimensions of the left side and the non-zero
-    dimensions of the right side, followed by the exact dot product.  A pair is
-    kept only at its first shared prefix dimension, so no de-duplication
-    shuffle is needed.  Concentrated vectors (topic mixtures) have short
-    prefixes and prune well; for dense random vectors the result is still exact.
-
-    The indexed side (new articles) is broadcast only after an explicit size
-    check (row count x vector width <= ``BROADCAST_INDEX_BYTES``).  Beyond it
-    the join shuffles: the dimension index has few distinct keys (one per
-    dimension) and each is hot, so the probe side is salted and the indexed
-    side replicated over the salt values.
+    dot product by that norm).  The right side is grouped by its set of non-zero
+    dimensions (a bit mask, dimensions folded into ``MASK_BITS``); a left row
+    looks up the distinct masks that meet its prefix and joins on the mask, so
+    every candidate pair is made exactly once and then gets its exact dot product.
+    Dense vectors have one mask, so each pair is scored once; sparse ones skip the
+    masks that miss the prefix.
+
+    The right side (new articles) is packed into blocks and broadcast only after
+    a size check (rows x vector width <= ``BROADCAST_INDEX_BYTES``).  Beyond it
+    both sides are dealt into a grid of (left part, right part) cells sized from
+    the right side, and joined on (mask, cell).
 
 Jaccard (set overlap)
     Inverted index on the term: join the two (key, term) sets on the (salted)
@@ -67,19 +66,6 @@ def with_prefix(df: DataFrame, unit: str, threshold: float, out: str) -> DataFra
             .drop(e, c))
 
 
-def prefix_dims(u: Column, threshold: float) -> Column:
-    """Column form of the prefix (for small inputs and tests)."""
-    t2 = threshold * threshold - _EPS
-    entries = F.array_sort(F.transform(
-        u, lambda x, i: F.struct((-F.abs(x)).alias("na"), i.alias("k"), (x * x).alias("sq"))))
-    n = F.size(entries)
-    with_suffix = F.transform(entries, lambda e, j: F.struct(
-        e["k"].alias("k"), e["na"].alias("na"),
-        F.aggregate(F.slice(entries, j + 1, n - j), F.lit(0.0), lambda a, s: a + s["sq"]).alias("s")))
-    return F.transform(F.filter(with_suffix, lambda e: (e["s"] > t2) & (e["na"] < 0)),
-                       lambda e: e["k"])
-
-
 def nonzero_dims(v: Column) -> Column:
     idx = F.transform(v, lambda x, i: F.when(x != 0, i))
     return F.filter(idx, lambda i: i.isNotNull())
@@ -89,103 +75,80 @@ def _salt(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-# Largest index / vector table (bytes, estimated from row count and vector
-# length) that is broadcast; beyond it the index join is a salted shuffle join.
+# Largest right side (bytes, estimated from row count and vector length) that is
+# broadcast; beyond it the join is a shuffle join on grid cells.
 BROADCAST_INDEX_BYTES = 256 * 1024 * 1024
+MASK_BITS = 64
+MAX_MASKS = 4096        # distinct masks that a left row looks through
+FEW_BITS = 12           # masks folded to this width are never more than MAX_MASKS
+BLOCK_ROWS = 256        # right rows packed together
 
 
-def _index_stats(right: DataFrame, vec: str) -> tuple[int, int]:
-    """(estimated broadcast bytes, longest vector).  The index holds one small
-    (key, dimension, mask) entry per non-zero dimension; the vectors are
-    broadcast once more by key.  One aggregate job over the indexed side."""
-    r = right.agg(F.count(F.lit(1)).alias("n"),
-                  F.max(F.size(vec)).alias("k")).first()
-    n, k = int(r["n"] or 0), int(r["k"] or 0)
-    return n * k * 48 + n * (8 * k + 64), k
-
-
-def _bit(k: Column) -> Column:
-    """1 << k for dimensions below 64, else 0 (a shift by >= 64 would wrap)."""
-    return F.when(k < 64, F.call_function("shiftleft", F.lit(1).cast("long"), k)) \
-        .otherwise(F.lit(0).cast("long"))
+def _mask(dims: Column, bits: int = MASK_BITS) -> Column:
+    """Bit mask of a list of dimensions, folded into ``bits`` bits."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), (k % bits).cast("int"))
+    return F.aggregate(dims, F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(bit(k)))
 
 
 def prepare_left(left: DataFrame, left_keys: list[str], left_vec: str,
                  threshold: float) -> DataFrame:
     """Probe-ready left side of ``cosine_join``: (keys, _lu unit vector, _pre
-    prefix dimensions, _cm cumulative 64-bit masks).  Depends only on the left
-    side and the threshold, so a caller scoring many batches against the same
-    profiles (the stream) can compute and persist it once."""
+    prefix dimensions).  Depends only on the left side and the threshold, so a
+    caller scoring many batches against the same profiles (the stream) can
+    compute and persist it once."""
     if threshold < 0:
         raise ValueError("cosine_join needs threshold >= 0 (pairs sharing no "
                          "dimension have cosine 0)")
     lu = with_unit(left.select(*left_keys, left_vec), left_vec, "_lu").where(F.col("_lu").isNotNull())
-    lu = with_prefix(lu.select(*left_keys, "_lu"), "_lu", threshold, "_pre")
-    cm = F.aggregate("_pre", F.struct(F.array().cast("array<bigint>").alias("a"),
-                                      F.lit(0).cast("long").alias("m")),
-                     lambda acc, k: F.struct(F.concat(acc["a"], F.array(acc["m"])).alias("a"),
-                                             (acc["m"].bitwiseOR(_bit(k))).alias("m")),
-                     lambda acc: acc["a"])
-    return lu.withColumn("_cm", cm)
+    return with_prefix(lu.select(*left_keys, "_lu"), "_lu", threshold, "_pre")
+
+
+def cosine_candidates(lu: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                      right_vec: str, broadcast_bytes: int) -> DataFrame:
+    """(left keys, _lu, right keys, _ru): every pair whose right vector is non-zero on a
+    prefix dimension (up to folding), each once."""
+    ru = (with_unit(right.select(*right_keys, right_vec), right_vec, "_ru")
+          .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
+    ru = ru.withColumn("_nz", nonzero_dims(F.col("_ru")))
+    r = ru.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_ru")).alias("k"),
+               F.approx_count_distinct(_mask(F.col("_nz"))).alias("m")).first()
+    n, width = int(r["n"] or 0), int(r["k"] or 0)
+    bits = MASK_BITS if r["m"] <= MAX_MASKS // 2 else FEW_BITS
+    ru = ru.select(*right_keys, "_ru", _mask(F.col("_nz"), bits).alias("_rm"))
+    size = n * (8 * width + 64)
+    masks = ru.agg(F.collect_set("_rm").alias("m")).select("m").scalar()
+    probe = lu.select(*left_keys, "_lu", _mask(F.col("_pre"), bits).alias("_pm"), masks.alias("_ms"))
+    probe = probe.select(*left_keys, "_lu", F.explode(F.filter(
+        "_ms", lambda m: m.bitwiseAND(F.col("_pm")) != 0)).alias("_rm"))
+    if size <= broadcast_bytes:
+        chunk = F.pmod(F.xxhash64(*right_keys), F.lit(max(1, -(-n // BLOCK_ROWS))))
+        blocks = ru.groupBy("_rm", chunk.alias("_c")).agg(
+            F.collect_list(F.struct(*right_keys, "_ru")).alias("_rows")).drop("_c")
+        return (probe.join(F.broadcast(blocks), "_rm")
+                .select(*left_keys, "_lu", F.inline("_rows")))
+    parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, -(-size // max(broadcast_bytes, 1 << 20)))      # parts of at least 1 MB
+    down = max(1, -(-parts // across))
+    cells = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
+    probe = probe.withColumn("_d", F.pmod(F.xxhash64(*left_keys), F.lit(down))).withColumn("_a", cells(across))
+    ru = ru.withColumn("_a", F.pmod(F.xxhash64(*right_keys), F.lit(across))).withColumn("_d", cells(down))
+    return probe.join(ru, ["_rm", "_a", "_d"]).select(*left_keys, "_lu", *right_keys, "_ru")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
-                left_vec: str, right_vec: str, threshold: float,
-                salt_buckets: int = 8, out: str = "sim",
+                left_vec: str, right_vec: str, threshold: float, out: str = "sim",
                 broadcast_bytes: int | None = None,
                 prepared_left: DataFrame | None = None) -> DataFrame:
     """All pairs with cosine(left_vec, right_vec) > threshold (exact).
 
     Returns ``left_keys + right_keys + [out]``.  Zero vectors never match.
-    Key names of the two sides must be distinct.  ``right`` is the side that
-    gets indexed (new articles).  If its index and vectors fit
-    ``broadcast_bytes`` (checked with a count) both are broadcast and the
-    left side is never shuffled; otherwise the dimension join is a salted
-    shuffle join on keys only, and the vectors of the surviving pairs are
-    looked up afterwards.
-    """
+    Key names of the two sides must be distinct.  ``right`` is the side that is
+    broadcast if it fits ``broadcast_bytes`` (new articles)."""
     limit = BROADCAST_INDEX_BYTES if broadcast_bytes is None else broadcast_bytes
     lu = prepared_left if prepared_left is not None else prepare_left(
         left, left_keys, left_vec, threshold)
-    ru = (with_unit(right.select(*right_keys, right_vec), right_vec, "_ru")
-          .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
-    size_bytes, width = _index_stats(right, right_vec)
-    small = size_bytes <= limit
-    rnz = nonzero_dims(F.col("_ru"))
-    if width <= 64:
-        # dimension sets as 64-bit masks: the "first shared dimension" test is
-        # one AND per joined row, inside whole-stage codegen.  Left dimensions
-        # >= 64 can never meet a right dimension (all < 64 here), so they carry
-        # no bit.
-        probe = (lu.select(*left_keys, "_lu", F.posexplode(F.arrays_zip("_pre", "_cm")).alias("_j", "_z"))
-                 .select(*left_keys, "_lu", F.col("_z._pre").alias("_k"), F.col("_z._cm").alias("_cmj")))
-        index = (ru.select(*right_keys, F.aggregate(rnz, F.lit(0).cast("long"),
-                                                    lambda m, k: m.bitwiseOR(_bit(k))).alias("_rm"),
-                           F.explode(rnz).alias("_k")))
-        first = (F.col("_cmj").bitwiseAND(F.col("_rm"))) == 0
-    else:
-        probe = lu.select(*left_keys, "_lu", "_pre", F.posexplode("_pre").alias("_j", "_k"))
-        index = ru.select(*right_keys, rnz.alias("_rnz"), F.explode(rnz).alias("_k"))
-        first = F.forall(F.slice("_pre", 1, F.col("_j")),
-                         lambda d: ~F.array_contains(F.col("_rnz"), d))
-    vectors = ru.select(*right_keys, "_ru")
-    if small:
-        # no shuffle: the profiles stream past the broadcast index and vectors
-        cand = probe.join(F.broadcast(index), "_k").where(first)
-        j = cand.join(F.broadcast(vectors), right_keys)
-    else:
-        # only keys cross the network; each surviving pair fetches its vectors
-        probe = probe.drop("_lu").withColumn("_salt", _salt(left_keys, salt_buckets))
-        index = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-        pairs = (probe.join(index, ["_k", "_salt"]).where(first)
-                 .select(*left_keys, *right_keys))
-        j = (pairs.join(lu.select(*left_keys, "_lu"), left_keys)
-             .join(vectors, right_keys))
-    # A pair is kept only at its first shared prefix dimension (no dedup
-    # shuffle).  The dot product is computed after that test, on the rows
-    # that survive it.
-    sim = dot("_lu", "_ru")
-    return (j.select(*left_keys, *right_keys, sim.alias(out))
+    j = cosine_candidates(lu, right, left_keys, right_keys, right_vec, limit)
+    return (j.select(*left_keys, *right_keys, dot("_lu", "_ru").alias(out))
             .where(F.col(out) > F.lit(threshold)))
 
 
@@ -260,7 +223,7 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
         allp = kwt.select(*keys, F.col("_kt").alias("sim_t"), "sim_k")
     else:
         tp = cosine_join(left_vecs, right_vecs, left_keys, right_keys, left_vec, right_vec,
-                         t_topic, salt_buckets, out="_tt")
+                         t_topic, out="_tt")
         allp = (tp.join(kwt, keys, "full_outer")
                 .select(*keys, F.coalesce("_kt", "_tt").alias("sim_t"),
                         F.coalesce("sim_k", F.lit(0.0)).alias("sim_k")))

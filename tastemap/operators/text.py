@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemap.config import STOP_WORDS
+from tastemap.config import DEFAULT_STOP_WORDS
 from tastemap.functions.text import tokens_regex_gap, tokens_regex_match, tokens_ws
 from tastemap.session import spread
 
@@ -37,11 +37,11 @@ def tokens(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "words",
 
 
 def drop_stopwords(toks: DataFrame, stopwords=None, term: str = "term") -> DataFrame:
-    """Remove stop words.  A Python list becomes an ``IN`` filter (no join);
+    """Remove stop words (default: ``config.DEFAULT_STOP_WORDS``).  A Python list becomes an ``IN`` filter (no join);
     a DataFrame of words (column ``word``) becomes a left-anti join whose
     build side Spark sizes and broadcasts."""
     if stopwords is None:
-        stopwords = STOP_WORDS
+        stopwords = DEFAULT_STOP_WORDS
     if isinstance(stopwords, DataFrame):
         sw = stopwords.select(F.col("word").alias(term)).distinct()
         return toks.join(sw, term, "left_anti")
@@ -121,38 +121,57 @@ def keywords(docs: DataFrame, top: int = 10, doc_col: str = "doc_id",
                          keep_raw=keep_raw)
 
 
-def corpus_doc_freq(corpus: DataFrame, doc_col: str = "doc_id", text_col: str = "words") -> DataFrame:
-    """(term, df, n_docs): document frequencies of the corpus with its size on
-    every row, to be stored once and reused by ``keywords_with_df``."""
-    m = corpus.select(F.count(F.lit(1))).scalar()
-    return doc_freq(term_freq(corpus, doc_col, text_col)).withColumn("n_docs", m)
+def doc_freq_delta(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "words") -> DataFrame:
+    """Document frequencies of some documents, to be stored and added up:
+    (doc_id string, term, df).  A row with a term counts the documents that have
+    it; a row with a doc_id says that this document has been counted."""
+    counted = docs.where(F.col(doc_col).isNotNull()).select(
+        F.col(doc_col).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("term"),
+        F.lit(0).cast("long").alias("df"))
+    terms = doc_freq(term_freq(docs, doc_col, text_col))
+    return counted.unionByName(terms.select(F.lit(None).cast("string").alias("doc_id"), "term", "df"))
+
+
+def added_docs(docs: DataFrame, stored: DataFrame | None, doc_col: str = "doc_id") -> DataFrame:
+    """The documents that the stored deltas have not counted yet."""
+    if stored is None:
+        return docs
+    seen = stored.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_seen")).distinct()
+    return docs.join(seen, F.col(doc_col).cast("string") == F.col("_seen"), "left_anti")
+
+
+def total_doc_freq(deltas: DataFrame) -> tuple[DataFrame, Column]:
+    """((term, df) summed over all deltas, the number of documents counted)."""
+    terms = deltas.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
+    m = deltas.where(F.col("doc_id").isNotNull()).select(F.count_distinct("doc_id")).scalar()
+    return terms, m
 
 
-def keywords_with_df(docs: DataFrame, stored_df: DataFrame, top: int = 10,
+def keywords_with_df(docs: DataFrame, deltas: DataFrame, top: int = 10,
                      doc_col: str = "doc_id", text_col: str = "words",
                      round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
     """Top keywords of corpus documents ``docs`` (a subset, e.g. the articles
-    read in one batch) with the IDF of the whole corpus taken from a stored
-    ``corpus_doc_freq`` table: only the subset is tokenised.  Same result as
-    ``keywords`` over the whole corpus, restricted to ``docs``."""
+    read in one batch) with the IDF of the whole corpus taken from stored
+    ``doc_freq_delta`` tables that cover it: only the subset is tokenised.  Same
+    result as ``keywords`` over the whole corpus, restricted to ``docs``."""
     tf = term_freq(docs, doc_col, text_col)
-    idf_t = stored_df.select("term", F.log((F.col("n_docs") + F.lit(1))
-                                           / (F.col("df") + F.lit(1))).alias("idf"))
+    terms, m = total_doc_freq(deltas)
+    idf_t = terms.select("term", F.log((m + F.lit(1)) / (F.col("df") + F.lit(1))).alias("idf"))
     w = tfidf(tf, idf_t, doc_col)
     return top_per_group(w, [doc_col], "weight", top, rank_col="rk", round_to=round_to,
                          keep_raw=keep_raw)
 
 
-def keywords_new_with_df(new_docs: DataFrame, stored_df: DataFrame, top: int = 10,
+def keywords_new_with_df(new_docs: DataFrame, deltas: DataFrame, top: int = 10,
                          round_to: int | None = 6, keep_raw: bool = False) -> DataFrame:
-    """``keywords_new_vs_corpus`` with the corpus side taken from a stored
-    ``corpus_doc_freq`` table: each batch tokenises only its new documents.
-    The corpus df table is looked up only for the new documents' terms."""
+    """``keywords_new_vs_corpus`` with the corpus side taken from stored
+    ``doc_freq_delta`` tables: each batch tokenises only its new documents, and
+    only their terms are looked up in the corpus frequencies."""
     tf_n = term_freq(new_docs)
     df_n = doc_freq(tf_n)
-    m_c = stored_df.select(F.max("n_docs")).scalar()
+    terms, m_c = total_doc_freq(deltas)
     m = new_docs.select(F.count(F.lit(1))).scalar() + F.coalesce(m_c, F.lit(0))
-    df = (df_n.join(stored_df.select("term", F.col("df").alias("df_c")), "term", "left")
+    df = (df_n.join(terms.select("term", F.col("df").alias("df_c")), "term", "left")
           .select("term", (F.col("df") + F.coalesce("df_c", F.lit(0))).alias("df")))
     idf_u = df.withColumn("idf", F.log((m + F.lit(1)) / (F.col("df") + F.lit(1))))
     w = tfidf(tf_n, idf_u, "doc_id")
@@ -196,13 +215,15 @@ def keywords_user_scope(reads: DataFrame, corpus: DataFrame, top: int = 10,
     df_c = doc_freq(tf).withColumnRenamed("df", "df_c")
     rc = reads.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("r"))
     m_u = rc.groupBy("user_id").agg(F.sum("r").alias("m_u"))
-    # per-user document frequency as a window over (user, term): no self-join
-    ut = (rc.join(tf, "doc_id")
+    # the corpus frequency joins the term rows of each article, the user's total the
+    # read rows: both before the two meet, so the read x term rows are shuffled for
+    # the per-user frequency only (a window over (user, term): no self-join)
+    tfd = tf.join(df_c, "term")
+    ut = (rc.join(m_u, "user_id").join(tfd, "doc_id")
           .withColumn("df_u", F.sum("r").over(Window.partitionBy("user_id", "term"))))
-    w = (ut.join(df_c, "term").join(m_u, "user_id")
-         .select("user_id", "doc_id", "term",
-                 (F.col("tf") * F.log((F.lit(m) + F.col("m_u") + 1)
-                                      / (F.col("df_c") + F.col("df_u") + 1))).alias("weight")))
+    w = ut.select("user_id", "doc_id", "term",
+                  (F.col("tf") * F.log((F.lit(m) + F.col("m_u") + 1)
+                                       / (F.col("df_c") + F.col("df_u") + 1))).alias("weight"))
     return top_per_group(w, ["user_id", "doc_id"], "weight", top, rank_col="rk",
                          round_to=round_to)
 
@@ -231,10 +252,9 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "words",
 def count_vectors(docs: DataFrame, vocab: DataFrame, doc_col: str = "doc_id",
                   text_col: str = "words") -> DataFrame:
     """(doc_col, idx, tf): token counts restricted to the vocabulary (out-of-
-    vocabulary tokens dropped).  The vocabulary is bounded by its size
-    parameter, so broadcasting it is safe."""
+    vocabulary tokens dropped).  Spark decides by size whether to broadcast it."""
     t = tokens(spread(docs), doc_col, text_col, "gap")
-    return (t.join(F.broadcast(vocab.select("term", "idx")), "term")
+    return (t.join(vocab.select("term", "idx"), "term")
             .groupBy(doc_col, "idx").agg(F.count(F.lit(1)).alias("tf")))
 
 

@@ -7,14 +7,15 @@ so training and inference use the same term index.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemap.config import DEFAULT_PARAMS, STOP_WORDS, Params
+from tastemap.config import DEFAULT_PARAMS, DEFAULT_STOP_WORDS, Params
 from tastemap.operators.text import vocabulary
 from tastemap.session import spread
 
@@ -45,7 +46,7 @@ def read_vocabulary(spark, path: str) -> list[str]:
 def featurizer(vocab: list[str], text_col: str = "words", stopwords=None):
     tok = RegexTokenizer(inputCol=text_col, outputCol="_raw")  # \s+ gaps, lower case
     sw = StopWordsRemover(inputCol="_raw", outputCol="_tokens",
-                          stopWords=list(STOP_WORDS if stopwords is None else stopwords))
+                          stopWords=list(DEFAULT_STOP_WORDS if stopwords is None else stopwords))
     cv = CountVectorizerModel.from_vocabulary(vocab, inputCol="_tokens", outputCol="features")
     return [tok, sw, cv]
 
@@ -55,8 +56,11 @@ def build_topic_model(corpus: DataFrame, params: Params = DEFAULT_PARAMS,
                       seed: int = 42, text_col: str = "words", stopwords=None) -> TopicModel:
     """Vocabulary (top terms) -> count vectors -> LDA (EM by default; 'online'
     uses mini-batches of ``min(1, 2/maxIter + 1/corpusSize)``).  ``stopwords``:
-    a word list (default ``config.STOP_WORDS``; see
-    ``sources.stopwords.default_plus_custom`` for Spark's list + custom)."""
+    a word list (default ``config.DEFAULT_STOP_WORDS``; see
+    ``sources.stopwords.default_plus_custom`` for that list + custom words).
+
+    Tokenising and counting run once: the vectors are kept (memory, then disk)
+    while LDA passes over them."""
     v = vocabulary(corpus, params.vocab_size, text_col, stopwords=stopwords)
     vocab = [r["term"] for r in v.orderBy("idx").collect()]  # bounded by vocab_size
     max_iter = max_iter or params.lda_iterations
@@ -65,8 +69,14 @@ def build_topic_model(corpus: DataFrame, params: Params = DEFAULT_PARAMS,
     if optimizer == "online":
         n = corpus.count()
         lda.setSubsamplingRate(min(1.0, 2.0 / max_iter + 1.0 / max(n, 1)))
-    model = Pipeline(stages=featurizer(vocab, text_col, stopwords) + [lda]).fit(spread(corpus))
-    return TopicModel(model, vocab)
+    # none of these stages is fitted, so the pipeline only puts them together
+    features = PipelineModel(stages=featurizer(vocab, text_col, stopwords))
+    data = features.transform(spread(corpus)).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = lda.fit(data)
+    finally:
+        data.unpersist()
+    return TopicModel(PipelineModel(stages=[*features.stages, fitted]), vocab)
 
 
 def infer(model: TopicModel, docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -81,7 +91,7 @@ def describe(model: TopicModel, max_terms: int = 10) -> DataFrame:
     spark = d.sparkSession
     vocab = spark.createDataFrame([(i, t) for i, t in enumerate(model.vocab)], "idx int, term string")
     ex = d.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z"))
-    return (ex.join(F.broadcast(vocab), F.col("z.termIndices") == F.col("idx"))
+    return (ex.join(vocab, F.col("z.termIndices") == F.col("idx"))
             .select("topic", "term", F.col("z.termWeights").alias("weight")))
 
 

@@ -61,7 +61,7 @@ def new_keywords(spark, d) -> DataFrame:
 def content_scores(spark, d) -> DataFrame:
     return S.cosine_join(morning_profiles(spark, d), TD.new_article_topics(spark, d),
                          ["user_id"], ["doc_id"], "topic", "topic",
-                         PARAMS.min_similarity, PARAMS.salt_buckets)
+                         PARAMS.min_similarity)
 
 
 # -- sources / scans ---------------------------------------------------------
@@ -75,6 +75,12 @@ def q_quarantine(spark, d):
     return TD.quarantine(spark, d)
 
 
+def q_parse_quarantine(spark, d):
+    """The parser's own quarantine, on lines with every kind of fault."""
+    _good, bad = L.parse_log(TD.faulty_lines(spark, d))
+    return bad
+
+
 def q_news_scan_limit(spark, d):
     return N.scan(TD.news(spark, d), limit=SCAN_LIMIT).select(
         "rowkey", F.length("words").alias("n_chars"))
@@ -96,9 +102,34 @@ def q_attach_text(spark, d):
         "event_id", F.col("doc_id").alias("rowkey"), "n_chars")
 
 
+def q_attach_words(spark, d):
+    """Texts by row key; every fifth event names a key that the corpus lacks."""
+    key = lambda c: F.concat(F.lit("news"), F.lpad(c.cast("string"), 4, "0"))
+    gone = F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit("gone-")).otherwise(F.lit(""))
+    log = TD.behaviour_log(spark, d).select("event_id", F.concat(gone, key(F.col("doc_id"))).alias("doc_id"))
+    news = TD.news(spark, d).withColumn("rowkey", key(F.col("rowkey")))
+    return N.attach_words(log, news).select(
+        "event_id", F.col("doc_id").alias("rowkey"), F.length("words").alias("n_chars"),
+        F.md5(F.col("words").cast("binary")).alias("words_md5"))
+
+
+def q_text_corpus(spark, d):
+    """Text files, one document a line, read back as a corpus."""
+    from tastemap.session import scratch_path
+    path = scratch_path(spark, "text-corpus")
+    (TD.news(spark, d).select(F.explode(F.split(F.coalesce("words", F.lit("")), "\n")).alias("value"))
+     .write.text(path))
+    return N.read_text_corpus(spark, path).groupBy("words").agg(F.count_distinct("doc_id").alias("n"))
+
+
 def q_stopwords_antijoin(spark, d):
+    """Stop words from a text file, removed by an anti join."""
+    from tastemap.session import scratch_path
+    from tastemap.sources.stopwords import read_stopwords
+    path = scratch_path(spark, "stop-words")
+    spark.createDataFrame([(" ".join(STOP_WORDS[i::5]),) for i in range(5)], "value string").write.text(path)
     news = TD.news(spark, d).select(F.col("rowkey").alias("doc_id"), "words")
-    return T.term_freq(news, tokenizer="gap", stopwords=STOP_WORDS)
+    return T.term_freq(news, tokenizer="gap", stopwords=read_stopwords(spark, path))
 
 
 # -- projections / filters / scalar -----------------------------------------
@@ -138,7 +169,8 @@ def q_ratings(spark, d):
 def q_item_dictionary(spark, d):
     from tastemap.operators.cf import item_dictionary
     good, _ = L.parse_log(TD.log_lines(spark, d))
-    return item_dictionary(good)
+    # a row key stands for ten article ids here; the dictionary keeps the last seen
+    return item_dictionary(good.withColumn("rowkey", F.concat(F.lit("r"), F.expr("doc_id div 10"))))
 
 
 def q_word_count_topk(spark, d):
@@ -146,10 +178,13 @@ def q_word_count_topk(spark, d):
 
 
 def _token_counts(spark, d, tokenizer):
-    news = TD.news(spark, d).select(F.col("rowkey").alias("doc_id"), "words")
-    t = T.tokens(news, tokenizer=tokenizer)
-    return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"),
-                                   F.count_distinct("term").alias("n_distinct"))
+    """The token list of each text: its length, its distinct tokens and its md5."""
+    news = TD.news(spark, d).select(
+        F.col("rowkey").alias("doc_id"), T.TOKENIZERS[tokenizer](F.col("words")).alias("t"))
+    return news.where(F.size("t") > 0).select(
+        "doc_id", F.size("t").cast("long").alias("n_tokens"),
+        F.size(F.array_distinct("t")).cast("long").alias("n_distinct"),
+        F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
 
 
 def q_token_regex_gap(spark, d):
@@ -212,6 +247,18 @@ def q_keywords_new_vs_corpus(spark, d):
     return new_keywords(spark, d)
 
 
+def q_keywords_incremental(spark, d):
+    """Keywords from stored document frequencies: half of the corpus is counted first,
+    the articles added since are found and counted as a second delta."""
+    from tastemap.session import scratch_path
+    from tastemap.sources import store as ST
+    path = scratch_path(spark, "doc-freq")
+    c = _corpus(spark, d)
+    ST.write_version(spark, T.doc_freq_delta(c.where("doc_id % 2 = 0")), path)
+    ST.write_version(spark, T.doc_freq_delta(T.added_docs(c, ST.read_all(spark, path))), path)
+    return T.keywords_with_df(c, ST.read_all(spark, path), PARAMS.keywords_per_doc)
+
+
 def q_keywords_user_scope(spark, d):
     reads = TD.behaviour_log(spark, d).select("user_id", "doc_id")
     return T.keywords_user_scope(reads, _corpus(spark, d), PARAMS.keywords_per_doc)
@@ -276,6 +323,38 @@ def q_profile_nested(spark, d):
         F.aggregate("interest", F.lit(0).cast("long"), lambda a, e: a + e["newsCnt"]).alias("news_cnt"))
 
 
+def q_profile_contents(spark, d):
+    """What the nested profiles hold: every bucket's keywords with their weights."""
+    n = _nested(spark, d).select("user_id", F.explode("interest").alias("i"))
+    return n.select("user_id", F.col("i.time").alias("bucket"), F.col("i.newsCnt").alias("news_cnt"),
+                    F.explode_outer("i.keywords").alias("k")).select(
+        "user_id", "bucket", "news_cnt", F.col("k.keyword").alias("term"), _r("k.weight", "weight"))
+
+
+def q_profiles_saved(spark, d):
+    """Nested profiles written and read back, for a bucket."""
+    from tastemap.session import scratch_path
+    from tastemap.sources.store import write_nested
+    path = scratch_path(spark, "nested")
+    write_nested(_nested(spark, d), path)
+    u = P.users_for_bucket(spark.read.parquet(path), MORNING)
+    return u.select("user_id", F.posexplode("topic").alias("k", "topic"),
+                    F.size("keywords").alias("n_keywords")).select("user_id", "k", _r("topic"), "n_keywords")
+
+
+def q_read_profiles(spark, d):
+    """Stored topics and keywords looked up for known and unknown users."""
+    log = TD.behaviour_log(spark, d)
+    topics = P.topics_from_delta(P.topic_delta(log, TD.article_topics(spark, d)))
+    ids = log.select("user_id").distinct()
+    users = ids.unionByName(ids.select((F.col("user_id") + 1_000_000_000).alias("user_id")))
+    t = P.read_topics(topics, users, MORNING)
+    k = P.read_keywords(keyword_profile(spark, d, log), users, MORNING)
+    return t.join(k, "user_id").select(
+        "user_id", F.size("topic").alias("n_topics"), "news_cnt", F.size("keywords").alias("n_keywords"),
+        F.round(F.aggregate(F.map_values("keywords"), F.lit(0.0), lambda a, x: a + x), R - 1).alias("weights"))
+
+
 def q_profile_bucket(spark, d):
     u = P.users_for_bucket(_nested(spark, d), MORNING)
     return u.select("user_id", F.posexplode("topic").alias("k", "topic"),
@@ -345,17 +424,11 @@ def q_top_topics(spark, d):
         "vec_id", "k", _r("weight"))
 
 
-QUEUE_SNAPSHOT_TS = "2024-01-02"
-
-
 def _queue(spark, d):
-    """Queue of new articles as of the end of the log's first day: an entry
-    is read once a log event before that time points at the same id."""
+    """Queue of new articles; those with an id divisible by three have been read."""
     from tastemap.sources.store import queue_from
     arts = TD.new_articles(spark, d).select("doc_id")
-    seen = (TD.behaviour_log(spark, d)
-            .where(F.col("ts") < F.lit(QUEUE_SNAPSHOT_TS).cast("timestamp_ntz")).select("doc_id"))
-    return queue_from(arts, seen, "benchmark")
+    return queue_from(arts, arts.where(F.pmod("doc_id", F.lit(3)) == 0), "benchmark")
 
 
 def q_queue_unread(spark, d):
@@ -374,32 +447,48 @@ def q_recs_append(spark, d):
     from tastemap.session import scratch_path
     from tastemap.sources.store import append_batch, read_recs
     path = scratch_path(spark, "recs")
+    text = [F.col(c).cast("string").alias(c) for c in ("user_id", "doc_id")]
     # one batch of content recommendations, written twice (a replay): computed once
     content = (content_scores(spark, d)
-               .select("user_id", "doc_id", F.lit("content").alias("source")).checkpoint(eager=True))
-    cf = (cf_standin(spark, d).select("user_id", "doc_id", F.lit("cf").alias("source")))
-    append_batch(content, path, 0)
-    append_batch(content, path, 0)   # replay of batch 0 adds nothing
-    append_batch(cf, path, 1)
+               .select(*text, F.lit("content").alias("source")).checkpoint(eager=True))
+    append_batch(content, path, 0, job="hybrid")
+    append_batch(content, path, 0, job="hybrid")   # replay of batch 0 adds nothing
+    halves = [cf_standin(spark, d).where(F.pmod("user_id", F.lit(2)) == i)
+              .select(*text, F.lit("cf").alias("source")) for i in (0, 1)]
+    for half in halves:                            # two runs: the second adds to the first
+        append_batch(half, path, job="cf")
     recs = read_recs(spark, path)
     return recs.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("n_sources"))
 
 
-# -- model-based (rows-only checks) -------------------------------------------
+# -- model-based: what must hold of any fitted model, after save and load -------
+
+def _topic_model(spark, d, optimizer="em"):
+    from tastemap.operators import topics as TP
+    from tastemap.session import scratch_path
+    path = scratch_path(spark, "lda")
+    TP.build_topic_model(_corpus(spark, d), PARAMS, optimizer=optimizer).save(path)
+    return TP.TopicModel.load(path)
+
 
 def q_lda_topics(spark, d, optimizer="em"):
+    """Per document: how many topics its mixture has, whether none is negative, and its
+    sum (1, or 0 for a text without a vocabulary term)."""
     from tastemap.operators import topics as TP
-    c = _corpus(spark, d)
-    model = TP.build_topic_model(c, PARAMS, optimizer=optimizer, max_iter=10)
-    inferred = TP.infer(model, spread(c))  # c is a plain scan: cheap to spread
-    return inferred.select("doc_id", F.posexplode("topic").alias("k", "weight"))
+    inferred = TP.infer(_topic_model(spark, d, optimizer), spread(_corpus(spark, d)))
+    total = F.aggregate("topic", F.lit(0.0), lambda a, x: a + x)
+    return inferred.select("doc_id", F.size("topic").alias("n_topics"),
+                           F.forall("topic", lambda x: x >= 0).alias("valid"), F.round(total, R).alias("total"))
 
 
 def q_lda_describe(spark, d):
+    """Per topic: ten distinct vocabulary terms with falling positive weights."""
     from tastemap.operators import topics as TP
-    c = _corpus(spark, d)
-    model = TP.build_topic_model(c, PARAMS, max_iter=10)
-    return TP.describe(model, 10)
+    model = _topic_model(spark, d)
+    vocab = T.vocabulary(_corpus(spark, d), PARAMS.vocab_size).select("term", F.lit(1).alias("known"))
+    terms = TP.describe(model, 10).join(vocab, "term", "left")
+    return terms.groupBy("topic").agg(F.count_distinct("term").alias("n_terms"),
+                                      F.count("known").alias("n_known"), F.min(F.col("weight") > 0).alias("positive"))
 
 
 def q_lda_online(spark, d):
@@ -407,10 +496,31 @@ def q_lda_online(spark, d):
 
 
 def q_cf_recommend(spark, d):
+    """Per user: how many distinct items are recommended, how many of them are rated
+    items with the id last seen for their key, and whether ranks run from 1."""
     from tastemap.operators import cf
-    log = TD.behaviour_log(spark, d)
-    model = cf.train(log, PARAMS)
-    return cf.recommend(model, log.select("user_id").distinct(), PARAMS.cf_items)
+    from tastemap.session import scratch_path
+    log = TD.behaviour_log(spark, d).withColumn("article_id", F.concat(F.lit("a"), "doc_id"))
+    path = scratch_path(spark, "cf")
+    cf.train(log, PARAMS).save(path)
+    ids = log.select("user_id").distinct()
+    users = ids.unionByName(ids.select((F.col("user_id") + 1_000_000_000).alias("user_id")))  # half unknown
+    recs = cf.recommend(cf.CFModel.load(spark, path), users, PARAMS.cf_items)
+    known = log.select("doc_id", F.lit(1).alias("known")).distinct()
+    return recs.join(known, "doc_id", "left").groupBy("user_id").agg(
+        F.count_distinct("doc_id").alias("n_items"),
+        F.count_if((F.col("known") == 1) & (F.col("article_id") == F.concat(F.lit("a"), "doc_id"))).alias("n_known"),
+        F.max("rk").alias("last_rank"))
+
+
+def q_cf_text_ids(spark, d):
+    """ALS over text ids: the same counts as with numbers."""
+    from tastemap.operators import cf
+    log = TD.behaviour_log(spark, d).select(
+        F.concat(F.lit("u"), "user_id").alias("user_id"), F.concat(F.lit("n"), "doc_id").alias("doc_id"), "weight")
+    recs = cf.recommend(cf.train(log, PARAMS), log.select("user_id"), PARAMS.cf_items)
+    return recs.join(log.select("doc_id").distinct(), "doc_id").groupBy("user_id").agg(
+        F.count_distinct("doc_id").alias("n_items"), F.max("rk").alias("last_rank"))
 
 
 def q_stream_recommend(spark, d):
@@ -453,13 +563,25 @@ def q_user_dictionary(spark, d):
     return users
 
 
+def q_user_dictionary_text(spark, d):
+    """Dense indices of text ids: a bijection onto 0 .. n - 1."""
+    from tastemap.operators.cf import dictionaries, ratings
+    log = TD.behaviour_log(spark, d).withColumn("user_id", F.concat(F.lit("u"), "user_id"))
+    users, _items = dictionaries(ratings(log))
+    return users.agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("user_idx").alias("n_idx"),
+                     F.min("user_idx").alias("lo"), F.max("user_idx").alias("hi"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_log": q_parse_log,
     "quarantine": q_quarantine,
+    "parse_quarantine": q_parse_quarantine,
     "news_scan_limit": q_news_scan_limit,
     "kv_scan_filter": q_kv_scan_filter,
     "text_lines": q_text_lines,
+    "text_corpus": q_text_corpus,
     "attach_text": q_attach_text,
+    "attach_words": q_attach_words,
     "stopwords_antijoin": q_stopwords_antijoin,
     "time_bucket": q_time_bucket,
     "behaviour_weight": q_behaviour_weight,
@@ -479,6 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tfidf_range": q_tfidf_range,
     "keywords_self": q_keywords_self,
     "keywords_new_vs_corpus": q_keywords_new_vs_corpus,
+    "keywords_incremental": q_keywords_incremental,
     "keywords_user_scope": q_keywords_user_scope,
     "topic_delta": q_topic_delta,
     "topic_merge": q_topic_merge,
@@ -486,7 +609,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_merge_add": q_keyword_merge_add,
     "keyword_merge_keep": q_keyword_merge_keep,
     "profile_nested": q_profile_nested,
+    "profile_contents": q_profile_contents,
+    "profiles_saved": q_profiles_saved,
     "profile_bucket": q_profile_bucket,
+    "read_profiles": q_read_profiles,
     "cosine_pairs": q_cosine_pairs,
     "jaccard_pairs": q_jaccard_pairs,
     "score_single": q_score_single,
@@ -500,9 +626,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lda_describe": q_lda_describe,
     "lda_online": q_lda_online,
     "cf_recommend": q_cf_recommend,
+    "cf_text_ids": q_cf_text_ids,
     "stream_recommend": q_stream_recommend,
     "in_zone": q_in_zone,
     "pad_vectors": q_pad_vectors,
     "topic_unscale": q_topic_unscale,
     "user_dictionary": q_user_dictionary,
+    "user_dictionary_text": q_user_dictionary_text,
 }

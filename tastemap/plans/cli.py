@@ -29,11 +29,11 @@ from tastemap.sources import news as N
 
 
 def _log(spark, path):
-    """(parsed log with the article key (row key) as doc_id, quarantined lines
-    with their reason)."""
-    good, bad = L.parse_log(L.read_log_text(spark, path))
-    return (good.select("ts", "user_id", F.col("rowkey").alias("doc_id"), "behaviour",
-                        "weight", "bucket"), bad)
+    """(parsed log with the article key (row key) as doc_id and the published id as
+    article_id, quarantined lines with their reason)."""
+    good, bad = L.parse_log(L.read_log_text(spark, path), weights=DEFAULT_PARAMS.behaviour_weights)
+    return (good.select("ts", "user_id", F.col("rowkey").alias("doc_id"), F.col("doc_id").alias("article_id"),
+                        "behaviour", "weight", "bucket"), bad)
 
 
 def main(argv=None, spark: SparkSession | None = None) -> int:
@@ -49,7 +49,8 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
     ap.add_argument("--kafka-servers", help="Kafka bootstrap servers (needs the connector)")
     ap.add_argument("--kafka-topic", help="Kafka topic of new-article keys")
     ap.add_argument("--once", action="store_true", help="process what is there, then stop")
-    ap.add_argument("--batch-id", type=int, default=0)
+    ap.add_argument("--batch-id", type=int, default=None,
+                    help="replay this batch instead of appending the next one")
     a = ap.parse_args(argv)
 
     spark = spark or SparkSession.builder.getOrCreate()

@@ -49,16 +49,28 @@ class Paths:
     @property
     def doc_freq(self): return f"{self.base}/doc_freq"
     @property
+    def profiles(self): return f"{self.base}/profiles"
+    @property
     def recs(self): return f"{self.base}/recs"
 
 
 UB = ["user_id", "bucket"]
 
 
+def _committed(spark: SparkSession, paths: Paths) -> dict[str, int] | None:
+    """The versions of the topic and keyword tables that belong together."""
+    last = ST.read_latest(spark, paths.profiles)
+    return None if last is None else last.first().asDict()
+
+
 def _read_state(spark: SparkSession, paths: Paths, kind: str) -> DataFrame | None:
+    """The committed profile table, or None before the first update."""
+    versions = _committed(spark, paths)
+    if versions is None:
+        return None
     if paths.n_buckets > 0:
-        return ST.read_latest_table(spark, f"{paths.table_prefix}{kind}")
-    return ST.read_latest(spark, getattr(paths, kind))
+        return ST.read_table_version(spark, f"{paths.table_prefix}{kind}", versions[kind])
+    return ST.read_version(spark, getattr(paths, kind), versions[kind])
 
 
 def _write_state(spark: SparkSession, df: DataFrame, paths: Paths, kind: str) -> int:
@@ -67,6 +79,24 @@ def _write_state(spark: SparkSession, df: DataFrame, paths: Paths, kind: str) ->
     return ST.write_version(spark, df, getattr(paths, kind))
 
 
+def _commit(spark: SparkSession, paths: Paths, versions: dict[str, int]) -> None:
+    """Make both tables current at once (one small file): a run that fails before
+    this leaves the profiles as they were, so its log can be given again."""
+    row = spark.createDataFrame([(versions["topics"], versions["keywords"])], "topics int, keywords int")
+    ST.write_version(spark, row.coalesce(1), paths.profiles)
+
+
+def corpus_doc_freq(spark: SparkSession, news: DataFrame, paths: Paths) -> DataFrame:
+    """The stored document-frequency deltas, after the articles that were added since
+    have been counted (and stored as one more delta): they always cover the corpus."""
+    corpus = _corpus(news)
+    new = T.added_docs(corpus, ST.read_all(spark, paths.doc_freq))
+    if not new.isEmpty():
+        ST.write_version(spark, T.doc_freq_delta(new), paths.doc_freq)
+    stored = ST.read_all(spark, paths.doc_freq)
+    return stored if stored is not None else T.doc_freq_delta(corpus)
+
+
 def _corpus(news: DataFrame) -> DataFrame:
     return news.select(F.col("rowkey").alias("doc_id"), F.coalesce("words", F.lit("")).alias("words"))
 
@@ -81,7 +111,7 @@ def build_topic_model(spark: SparkSession, news: DataFrame, paths: Paths,
     (spark.createDataFrame([(i, t) for i, t in enumerate(model.vocab)], "idx int, term string")
      .write.mode("overwrite").parquet(paths.vocab))
     # corpus document frequencies, so profile updates tokenise only what was read
-    T.corpus_doc_freq(_corpus(news)).write.mode("overwrite").parquet(paths.doc_freq)
+    corpus_doc_freq(spark, news, paths)
     return model
 
 
@@ -96,13 +126,16 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
                     params: Params = DEFAULT_PARAMS, train_cf: bool = True) -> tuple[int, int]:
     """P2: merge the log into the stored profiles; returns the new versions.
 
-    ``log``: (user_id, doc_id, behaviour, weight, bucket, ts).  Topic vectors
-    come from ``article_topics`` or are inferred with ``model``.
+    ``log``: (user_id, doc_id, behaviour, weight, bucket, ts), doc_id being the key
+    of the article in the corpus; with ``article_id``, the published id of the article,
+    the CF model keeps the last id seen for each key.  Topic vectors come from
+    ``article_topics`` or are inferred with ``model``.
     """
     # the log feeds five aggregations: parse it once and keep the typed rows in
     # the shared checkpoint folder (also cuts the lineage before the merges)
     ensure_checkpoint_dir(spark)
-    log = log.select("user_id", "doc_id", "behaviour", "weight", "bucket").checkpoint(eager=True)
+    extra = [c for c in ("ts", "article_id") if c in log.columns]
+    log = log.select("user_id", "doc_id", "behaviour", "weight", "bucket", *extra).checkpoint(eager=True)
     if article_topics is None:
         model = model or TP.TopicModel.load(paths.model)
         article_topics = article_topics_from_model(model, news, log)
@@ -112,20 +145,16 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     vt = _write_state(spark, topics, paths, "topics")
 
     # article keywords: IDF over the whole corpus (the read articles are part of
-    # it).  With the stored corpus df only the articles read in this batch are
-    # tokenised; without it the corpus df is computed here.
-    corpus = _corpus(news)
-    if ST.path_exists(spark, paths.doc_freq):
-        stored_df = spark.read.parquet(paths.doc_freq)
-        read = corpus.join(log.select("doc_id").distinct(), "doc_id", "left_semi")
-        kw = T.keywords_with_df(read, stored_df, params.keywords_per_doc, keep_raw=True)
-    else:
-        kw = T.keywords(corpus, params.keywords_per_doc, keep_raw=True)
+    # it) from the stored frequencies; only the articles read here are tokenised
+    read = N.select_keys(_corpus(news), log.where("doc_id IS NOT NULL").select("doc_id").distinct(),
+                         "doc_id", "doc_id")
+    kw = T.keywords_with_df(read, corpus_doc_freq(spark, news, paths), params.keywords_per_doc, keep_raw=True)
     new_kw = P.keyword_delta(log, kw, params.keywords_per_update)
     old_k = _read_state(spark, paths, "keywords")
     keywords = (P.initial_keywords(new_kw) if old_k is None else
                 P.merge_keywords(old_k, new_kw, params.keyword_existing, params.keyword_threshold))
     vk = _write_state(spark, keywords, paths, "keywords")
+    _commit(spark, paths, {"topics": vt, "keywords": vk})
     if train_cf:
         cf.train(log, params).save(paths.cf)
     return vt, vk
@@ -139,7 +168,13 @@ def start_news_stream(spark: SparkSession, source: DataFrame, news: DataFrame, p
     ``bucket`` defaults to ``params.profile_bucket``; ``"current"`` follows
     the clock.  Returns the StreamingQuery."""
     from tastemap.streaming.recommend import start_recommend_stream, topics_from_model
-    topics = _read_state(spark, paths, "topics").select("user_id", "bucket", "topic")
+
+    def topics():
+        """(version, profiles) as committed now: asked again in every micro-batch."""
+        table = _read_state(spark, paths, "topics")
+        if table is None:
+            raise ValueError("no profiles yet: run update_user_model first")
+        return _committed(spark, paths)["topics"], table.select("user_id", "bucket", "topic")
     provider = topics_from_model(TP.TopicModel.load(paths.model), news)
     key_type = news.schema["rowkey"].dataType.simpleString()  # keys arrive as text
     return start_recommend_stream(source, topics, provider, paths.recs,
@@ -148,20 +183,21 @@ def start_news_stream(spark: SparkSession, source: DataFrame, news: DataFrame, p
 
 
 def recommend_cf(spark: SparkSession, paths: Paths, params: Params = DEFAULT_PARAMS,
-                 batch_id: int = 0) -> DataFrame:
-    """P4: CF picks for every user with a profile in the recommendation bucket."""
+                 batch_id: int | None = None) -> DataFrame:
+    """P4: CF picks for every user with a profile in the recommendation bucket,
+    appended with the articles' published ids.  ``batch_id`` only to replay a batch."""
     model = cf.CFModel.load(spark, paths.cf)
     users = (_read_state(spark, paths, "topics")
              .where(F.col("bucket") == params.profile_bucket).select("user_id"))
     recs = cf.recommend(model, users, params.cf_items)
-    ST.append_batch(recs.select("user_id", "doc_id", F.lit("cf").alias("source")),
+    ST.append_batch(recs.select("user_id", F.col("article_id").alias("doc_id"), F.lit("cf").alias("source")),
                     paths.recs, batch_id, job="cf")
     return recs
 
 
 def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame, paths: Paths,
                      new_topics: DataFrame | None = None, params: Params = DEFAULT_PARAMS,
-                     batch_id: int = 0, with_cf: bool = True) -> DataFrame:
+                     batch_id: int | None = None, with_cf: bool = True) -> DataFrame:
     """P5: score new articles (doc_id, words) against the stored profiles by
     topic cosine and keyword Jaccard, keep score > threshold, blend with CF."""
     ensure_checkpoint_dir(spark)
@@ -171,11 +207,8 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
     b = params.profile_bucket
     prof = _read_state(spark, paths, "topics").where(F.col("bucket") == b).select("user_id", "topic")
     terms = _read_state(spark, paths, "keywords").where(F.col("bucket") == b).select("user_id", "term")
-    if ST.path_exists(spark, paths.doc_freq):  # stored corpus df (P1): tokenise only new articles
-        new_kw = T.keywords_new_with_df(new_docs, spark.read.parquet(paths.doc_freq),
-                                        params.keywords_per_doc)
-    else:
-        new_kw = T.keywords_new_vs_corpus(new_docs, _corpus(news), params.keywords_per_doc)
+    # the corpus side comes from the stored frequencies: only new articles are tokenised
+    new_kw = T.keywords_new_with_df(new_docs, corpus_doc_freq(spark, news, paths), params.keywords_per_doc)
     scored = S.hybrid_join(prof, new_topics, terms, new_kw.select("doc_id", "term"),
                            ["user_id"], ["doc_id"], "topic", "topic", params.min_similarity,
                            params.topic_weight, params.keyword_weight,
@@ -189,7 +222,7 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
         n_max = content.groupBy("user_id").count().agg(F.max("count")).first()[0] or 0
         q_max = quota_bound(n_max, params.cf_blend_ratio)
         cf_recs = cf.recommend(model, content.select("user_id").distinct(),
-                               q_max).select("user_id", "doc_id", "score")
+                               q_max).select("user_id", F.col("article_id").alias("doc_id"), "score")
         out = blend_lists(content, cf_recs, params.cf_blend_ratio, max_quota=q_max)
     else:
         out = content.select("user_id", "doc_id", F.lit("content").alias("source"))

@@ -9,12 +9,13 @@ BIGINT for counts); floating results are rounded to 6 places.
 from __future__ import annotations
 
 from tastemap.config import DEFAULT_PARAMS as P
-from tastemap.config import STOP_WORDS
+from tastemap.config import DEFAULT_STOP_WORDS, STOP_WORDS
 from tastemap.plans import catalogue as C
 
 BUCKET_SQL = ("CASE WHEN hour(ts) < 6 THEN '凌晨' WHEN hour(ts) < 12 THEN '上午' "
               "WHEN hour(ts) < 18 THEN '下午' ELSE '晚上' END")
-STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+CUSTOM_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
+STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in DEFAULT_STOP_WORDS)
 T = repr(float(P.min_similarity))
 SIG, BET = repr(float(P.topic_weight)), repr(float(P.keyword_weight))
 NORM = repr((P.topic_weight ** 2 + P.keyword_weight ** 2) ** 0.5)
@@ -113,7 +114,7 @@ CTES: dict[str, str] = {
         FROM (SELECT term, count(*) AS n FROM vt WHERE term NOT IN ({STOP_SQL})
               GROUP BY ALL ORDER BY n DESC, term LIMIT {P.vocab_size})""",
     "cv": "SELECT vt.doc_id, v.idx, count(*) AS tf FROM vt JOIN vocab v USING (term) GROUP BY ALL",
-    "lines": """SELECT '[' || concat_ws(',', strftime(e.ts, '%Y-%m-%d %H:%M:%S'),
+    "lines": """SELECT e.event_id, '[' || concat_ws(',', strftime(e.ts, '%Y-%m-%d %H:%M:%S'),
             CAST(e.doc_id AS VARCHAR), coalesce(d.source, ''), CAST(e.doc_id AS VARCHAR),
             coalesce(CAST(e.behaviour AS VARCHAR), e.event_type), CAST(e.user_id AS VARCHAR)) || ']'
           AS value
@@ -126,9 +127,17 @@ CTES: dict[str, str] = {
         WHERE n >= 6 AND ts IS NOT NULL AND behaviour IN (1, 2, 3, 4)
           AND user_id IS NOT NULL AND user_id <> '' AND rowkey IS NOT NULL AND rowkey <> ''""",
     "queue": """SELECT b.item_id AS doc_id, 'benchmark' AS doc_type,
-        CAST(b.item_id AS VARCHAR) AS rowkey, s.doc_id IS NOT NULL AS has_read
-        FROM benchmark b LEFT JOIN (SELECT DISTINCT doc_id FROM ulog
-                                    WHERE ts < TIMESTAMP '2024-01-02') s ON s.doc_id = b.item_id""",
+        CAST(b.item_id AS VARCHAR) AS rowkey, b.item_id % 3 = 0 AS has_read FROM benchmark b""",
+    "faulty": r"""SELECT CASE event_id % 7
+            WHEN 1 THEN regexp_replace(value, '(,[^,]*){2}$', '')
+            WHEN 2 THEN regexp_replace(value, '^(\[[0-9-]+) [0-9]+', '\1 25')
+            WHEN 3 THEN regexp_replace(value, '[^,]*$', ']')
+            WHEN 4 THEN regexp_replace(value, '[^,]*(,[^,]*,[^,]*)$', '\1') ELSE value END AS value
+        FROM lines""",
+    "fparsed": """SELECT line, len(p) AS n, try_strptime(p[1], '%Y-%m-%d %H:%M:%S') AS ts,
+        p[4] AS rowkey, TRY_CAST(p[5] AS INTEGER) AS behaviour, p[6] AS user_id
+        FROM (SELECT line, string_split(line, ',') AS p
+              FROM (SELECT regexp_replace(value, '[\\[\\]]', '', 'g') AS line FROM faulty))""",
 }
 ORDER = list(CTES)
 
@@ -205,6 +214,19 @@ ORACLE: dict[str, str] = {
              WHEN behaviour IS NULL THEN 'unknown_behaviour'
              WHEN doc_id IS NULL THEN 'no_article' END AS reason FROM ev)
         WHERE reason IS NOT NULL"""),
+    "parse_quarantine": sql(BASE + " lines faulty fparsed", """SELECT line, reason FROM (
+        SELECT line, CASE WHEN n < 6 THEN 'short_line' WHEN ts IS NULL THEN 'bad_timestamp'
+            WHEN behaviour IS NULL OR behaviour NOT IN (1, 2, 3, 4) THEN 'unknown_behaviour'
+            WHEN user_id IS NULL OR user_id = '' THEN 'no_user'
+            WHEN rowkey IS NULL OR rowkey = '' THEN 'no_rowkey' END AS reason FROM fparsed)
+        WHERE reason IS NOT NULL"""),
+    "attach_words": sql(BASE, """SELECT event_id, k AS rowkey,
+        CAST(length(coalesce(d.text, '')) AS INTEGER) AS n_chars, md5(coalesce(d.text, '')) AS words_md5
+        FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'gone-' ELSE '' END || 'news'
+                || lpad(left(CAST(doc_id AS VARCHAR), 4), 4, '0') AS k FROM ulog) l
+        LEFT JOIN documents d ON 'news' || lpad(left(CAST(d.doc_id AS VARCHAR), 4), 4, '0') = l.k"""),
+    "text_corpus": """SELECT words, count(*) AS n FROM (
+        SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS words FROM documents) GROUP BY words""",
     "news_scan_limit": f"""SELECT doc_id AS rowkey, CAST(length(text) AS INTEGER) AS n_chars
         FROM documents ORDER BY doc_id LIMIT {C.SCAN_LIMIT}""",
     "kv_scan_filter": f"""SELECT doc_id AS rowkey, n_chars FROM documents
@@ -217,7 +239,7 @@ ORACLE: dict[str, str] = {
         FROM ulog l LEFT JOIN documents d ON d.doc_id = l.doc_id"""),
     "stopwords_antijoin": f"""SELECT doc_id, term, count(*) AS tf FROM
         (SELECT doc_id, UNNEST({tok_gap('text')}) AS term FROM documents)
-        WHERE term NOT IN ({STOP_SQL}) GROUP BY ALL""",
+        WHERE term NOT IN ({CUSTOM_STOP_SQL}) GROUP BY ALL""",
     "time_bucket": f"""SELECT user_id, {BUCKET_SQL} AS bucket, count(*) AS n
         FROM events WHERE ts IS NOT NULL GROUP BY ALL""",
     "behaviour_weight": sql(BASE, "SELECT event_id, behaviour AS code, weight FROM ulog"),
@@ -227,16 +249,19 @@ ORACLE: dict[str, str] = {
                          ORDER BY count(*) DESC, user_id LIMIT 1)"""),
     "ratings": sql(BASE, """SELECT user_id, doc_id, round(sum(weight), 6) AS rating
         FROM ulog GROUP BY ALL"""),
-    "item_dictionary": sql(BASE + " lines parsed good", """SELECT rowkey,
+    "item_dictionary": sql(BASE + " lines parsed good", """SELECT
+        'r' || CAST(CAST(doc_id AS BIGINT) // 10 AS VARCHAR) AS rowkey,
         first(doc_id ORDER BY ts DESC, doc_id DESC) AS doc_id, max(ts) AS last_ts
-        FROM good GROUP BY rowkey"""),
+        FROM good GROUP BY 1"""),
     "word_count_topk": f"""SELECT term, count(*) AS n FROM
         (SELECT UNNEST({tok_ws('text')}) AS term FROM documents)
         GROUP BY ALL ORDER BY n DESC, term LIMIT {C.WORD_TOPK}""",
-    "token_regex_gap": f"""SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_distinct
-        FROM (SELECT doc_id, UNNEST({tok_gap('text')}) AS term FROM documents) GROUP BY ALL""",
-    "token_regex_match": f"""SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_distinct
-        FROM (SELECT doc_id, UNNEST({tok_match('text')}) AS term FROM documents) GROUP BY ALL""",
+    "token_regex_gap": f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens,
+        CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5
+        FROM (SELECT doc_id, {tok_gap('text')} AS t FROM documents) WHERE len(t) > 0""",
+    "token_regex_match": f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens,
+        CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5
+        FROM (SELECT doc_id, {tok_match('text')} AS t FROM documents) WHERE len(t) > 0""",
     "vocabulary": sql("vt vocab", "SELECT idx, term, n FROM vocab"),
     "count_vectors": sql("vt vocab cv", "SELECT doc_id, idx, tf FROM cv"),
     "corpus_stats": sql("vt vocab cv", """SELECT (SELECT count(*) FROM documents) AS n_docs,
@@ -248,6 +273,8 @@ ORACLE: dict[str, str] = {
         round(max(weight), 6) AS max_w FROM tfidf"""),
     "keywords_self": sql(TEXT + " kws",
                          "SELECT doc_id, term, round(weight, 6) AS weight, rk FROM kws"),
+    "keywords_incremental": sql(TEXT + " kws",
+                                "SELECT doc_id, term, round(weight, 6) AS weight, rk FROM kws"),
     "keywords_new_vs_corpus": sql(NEW, "SELECT doc_id, term, weight, rk FROM nkw"),
     "keywords_user_scope": sql(BASE + " tok tf", f"""
         , rc AS (SELECT user_id, doc_id, count(*) AS r FROM ulog GROUP BY ALL)
@@ -279,6 +306,26 @@ ORACLE: dict[str, str] = {
             CAST(coalesce(sum(tcnt.c), 0) AS BIGINT) AS news_cnt
         FROM ub LEFT JOIN tcnt USING (user_id, bucket) LEFT JOIN nk USING (user_id, bucket)
         GROUP BY ub.user_id"""),
+    "profile_contents": sql(KW + " vec dvec tsum tcnt", """
+        , ub AS (SELECT user_id, bucket FROM tcnt UNION SELECT user_id, bucket FROM kd)
+        SELECT ub.user_id, ub.bucket, CAST(coalesce(tcnt.c, 0) AS BIGINT) AS news_cnt, kd.term,
+            round(kd.weight, 6) AS weight
+        FROM ub LEFT JOIN tcnt USING (user_id, bucket) LEFT JOIN kd USING (user_id, bucket)"""),
+    "profiles_saved": sql(KW + " vec dvec tsum tcnt prof", f"""
+        , nk AS (SELECT user_id, bucket, count(*) AS n FROM kd GROUP BY ALL)
+        SELECT p.user_id, CAST(p.k AS INTEGER) AS k, round(p.x, 6) AS topic,
+            CAST(coalesce(nk.n, 0) AS INTEGER) AS n_keywords
+        FROM prof p LEFT JOIN nk USING (user_id, bucket) WHERE p.bucket = {MORNING}"""),
+    "read_profiles": sql(KW + " vec dvec tsum tcnt prof", f"""
+        , ids AS (SELECT DISTINCT user_id FROM ulog)
+        , users AS (SELECT user_id FROM ids UNION ALL SELECT user_id + 1000000000 FROM ids)
+        , np AS (SELECT user_id, count(*) AS n FROM prof WHERE bucket = {MORNING} GROUP BY ALL)
+        , nc AS (SELECT user_id, c FROM tcnt WHERE bucket = {MORNING})
+        , nk AS (SELECT user_id, count(*) AS n, sum(weight) AS w FROM kd WHERE bucket = {MORNING} GROUP BY ALL)
+        SELECT u.user_id, CAST(coalesce(np.n, 0) AS INTEGER) AS n_topics,
+            CAST(coalesce(nc.c, 0) AS BIGINT) AS news_cnt, CAST(coalesce(nk.n, 0) AS INTEGER) AS n_keywords,
+            round(coalesce(nk.w, 0.0), 5) AS weights
+        FROM users u LEFT JOIN np USING (user_id) LEFT JOIN nc USING (user_id) LEFT JOIN nk USING (user_id)"""),
     "profile_bucket": sql(KW + " vec dvec tsum tcnt prof", f"""
         , nk AS (SELECT user_id, bucket, count(*) AS n FROM kd GROUP BY ALL)
         SELECT p.user_id, CAST(p.k AS INTEGER) AS k, round(p.x, 6) AS topic,
@@ -338,11 +385,29 @@ ORACLE: dict[str, str] = {
         SELECT q.doc_id, q.doc_type, q.rowkey, (q.has_read OR d.doc_id IS NOT NULL) AS has_read
         FROM queue q LEFT JOIN done d ON d.doc_id = q.doc_id AND d.doc_type = q.doc_type"""),
     "recs_append": sql(COS + " content cfl", """
-        SELECT user_id, doc_id, count(*) AS n_sources FROM (
+        SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(doc_id AS VARCHAR) AS doc_id,
+            count(*) AS n_sources FROM (
             SELECT DISTINCT user_id, doc_id, source FROM (
                 SELECT user_id, doc_id, 'content' AS source FROM content
                 UNION ALL SELECT user_id, doc_id, 'cf' AS source FROM cfl))
         GROUP BY ALL"""),
+    "lda_topics": sql("vt vocab", f"""SELECT d.doc_id, {P.n_topics} AS n_topics, true AS valid,
+            CAST(CASE WHEN k.doc_id IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS total
+        FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM vt JOIN vocab USING (term)) k
+          ON k.doc_id = d.doc_id"""),
+    "lda_online": sql("vt vocab", f"""SELECT d.doc_id, {P.n_topics} AS n_topics, true AS valid,
+            CAST(CASE WHEN k.doc_id IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS total
+        FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM vt JOIN vocab USING (term)) k
+          ON k.doc_id = d.doc_id"""),
+    "lda_describe": sql("vt vocab", f"""SELECT CAST(unnest(range({P.n_topics})) AS INTEGER) AS topic,
+        (SELECT least(10, count(*)) FROM vocab) AS n_terms, (SELECT least(10, count(*)) FROM vocab) AS n_known,
+        true AS positive"""),
+    "cf_recommend": sql(BASE, f"""SELECT user_id, n AS n_items, n AS n_known, CAST(n AS INTEGER) AS last_rank
+        FROM (SELECT DISTINCT user_id, (SELECT least({P.cf_items}, count(DISTINCT doc_id)) FROM ulog) AS n
+              FROM ulog)"""),
+    "cf_text_ids": sql(BASE, f"""SELECT user_id, n AS n_items, CAST(n AS INTEGER) AS last_rank
+        FROM (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS user_id,
+                (SELECT least({P.cf_items}, count(DISTINCT doc_id)) FROM ulog) AS n FROM ulog)"""),
     "stream_recommend": SCORE_SINGLE,
     "in_zone": """SELECT event_id,
         strftime(ts, '%H:%M:%S') BETWEEN '06:00:00' AND '11:59:59' AS in_zone
@@ -353,6 +418,8 @@ ORACLE: dict[str, str] = {
               FROM embeddings)""",
     "topic_unscale": sql(TOPIC, """SELECT p.user_id, p.bucket, CAST(p.k AS INTEGER) AS k,
         round(p.x * c.c, 6) AS topic_sum FROM prof p JOIN tcnt c USING (user_id, bucket)"""),
+    "user_dictionary_text": sql(BASE, """SELECT count(DISTINCT user_id) AS n_users,
+        count(DISTINCT user_id) AS n_idx, 0 AS lo, CAST(count(DISTINCT user_id) - 1 AS INTEGER) AS hi FROM ulog"""),
     "user_dictionary": sql(BASE, """SELECT DISTINCT user_id, CAST(user_id AS INTEGER) AS user_idx
         FROM ulog"""),
 }

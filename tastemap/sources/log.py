@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tastemap.config import BEHAVIOUR_WEIGHTS
 from tastemap.functions.scalar import behaviour_weight, parse_log_time, time_bucket
 
-LOG_FIELDS = ("date", "docId", "docType", "rowkey", "type", "userid")
-
-
 def read_log_text(spark: SparkSession, path) -> DataFrame:
     """One row per line (column ``value``); ``path`` may be a list of paths."""
     return spark.read.text(path)

@@ -20,11 +20,12 @@ def read_text_corpus(spark: SparkSession, paths) -> DataFrame:
 
 
 def scan(news: DataFrame, limit: int | None = None, key: str = "rowkey") -> DataFrame:
-    """Corpus scan with an optional row limit (None or <= 0 means all rows);
-    ordered by key so the limited set is deterministic."""
+    """Corpus scan with an optional row limit (None or <= 0 means all rows):
+    the rows of the first keys in order (row keys are unique).  Only keys are
+    ordered and cut; the texts are selected where they lie."""
     if limit is None or limit <= 0:
         return news
-    return news.orderBy(key).limit(limit)
+    return news.join(news.select(key).orderBy(key).limit(limit), key, "left_semi")
 
 
 def scan_where(df: DataFrame, column: str, min_value) -> DataFrame:
@@ -49,12 +50,30 @@ def attach_text(log: DataFrame, news: DataFrame, log_key: str = "doc_id",
             .withColumn("n_chars", F.coalesce(F.col("n_chars"), F.lit(0))))
 
 
+IN_KEYS = 1_000            # article keys that go into the scan as a pushed IN filter
+BROADCAST_KEYS = 1_000_000  # article keys that are broadcast (some 64 MB)
+
+
+def select_keys(news: DataFrame, keys: DataFrame, key: str, news_key: str = "rowkey") -> DataFrame:
+    """The corpus rows of the distinct ``keys`` (not null).  Few keys become a
+    filter that the scan prunes row groups by, more are broadcast after a count,
+    and beyond that the semi-join is left to Spark.  In the first two cases no
+    text is shuffled."""
+    head = [r[0] for r in keys.limit(IN_KEYS + 1).collect()]     # bounded
+    if len(head) <= IN_KEYS:
+        return news.where(F.col(news_key).isin(head)) if head else news.where("false")
+    k = keys.select(F.col(key).alias(news_key))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return news.join(F.broadcast(k) if few else k, news_key, "left_semi")
+
+
 def attach_words(log: DataFrame, news: DataFrame, log_key: str = "doc_id",
                  news_key: str = "rowkey") -> DataFrame:
-    """Left join returning the text itself ('' when missing).  The distinct
-    article keys are joined first, so each text is shuffled once per article,
-    not once per event."""
-    keys = log.select(log_key).distinct()
-    texts = (keys.join(news.select(F.col(news_key).alias(log_key), "words"), log_key, "left")
-             .withColumn("words", F.coalesce(F.col("words"), F.lit(""))))
-    return log.join(texts, log_key, "left")
+    """Left join returning the text itself ('' when missing).  The corpus is
+    first cut to the articles that the log names (``select_keys``), so only those
+    texts meet the log."""
+    keys = log.where(F.col(log_key).isNotNull()).select(log_key).distinct()
+    found = select_keys(news.select(news_key, "words"), keys, log_key, news_key)
+    texts = found.select(F.col(news_key).alias(log_key), "words")
+    return (log.join(texts, log_key, "left")
+            .withColumn("words", F.coalesce(F.col("words"), F.lit(""))))

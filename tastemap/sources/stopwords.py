@@ -15,13 +15,7 @@ def read_stopwords(spark: SparkSession, path: str | None) -> DataFrame | None:
             .where(F.col("word") != "").distinct())
 
 
-def default_plus_custom(custom=None) -> list[str]:
-    """Spark's English stop-word list plus custom words (the original's
-    "defaults + file" rule).  Spark's list has changed across versions, so
-    results depend on the Spark version; the library default is the fixed
-    custom list alone (``config.STOP_WORDS``).  Needs an active SparkContext."""
-    from pyspark.ml.feature import StopWordsRemover
-    from tastemap.config import STOP_WORDS
-    words = list(StopWordsRemover.loadDefaultStopWords("english"))
-    extra = STOP_WORDS if custom is None else custom
-    return sorted(set(words) | set(extra))
+def default_plus_custom(custom=()) -> list[str]:
+    """The default English stop words plus custom ones (the "defaults + file" rule)."""
+    from tastemap.config import DEFAULT_STOP_WORDS
+    return sorted(set(DEFAULT_STOP_WORDS) | set(custom))

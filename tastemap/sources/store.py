@@ -4,8 +4,9 @@
   a new version folder ``v=<n>``; readers take the highest committed version.
   A path being read is never overwritten.
 * ``append_batch``: recommendation lists are appended as partition
-  ``job=<producer>/batch_id=<n>``, overwriting only that partition, so
-  replaying a batch adds nothing.
+  ``job=<producer>/batch_id=<n>``.  Without a batch id the next free one is
+  taken, so runs add up; with one, only that partition is replaced, so
+  replaying a batch adds nothing (and an empty replay leaves it empty).
 """
 
 from __future__ import annotations
@@ -49,6 +50,16 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
     return spark.read.parquet(f"{base}/v={v[-1]}") if v else None
 
 
+def read_all(spark: SparkSession, base: str) -> DataFrame | None:
+    """The rows of every committed version (for tables whose versions are deltas)."""
+    v = list_versions(spark, base)
+    return spark.read.parquet(*[f"{base}/v={n}" for n in v]) if v else None
+
+
+def read_version(spark: SparkSession, base: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{base}/v={version}")
+
+
 def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
     """Write ``df`` as the next version; returns its number.  A folder left
     by a failed attempt (no commit marker) is skipped, never reused or read."""
@@ -58,22 +69,37 @@ def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
     return nxt
 
 
-def append_batch(df: DataFrame, base: str, batch_id: int, job: str = "batch") -> None:
-    """Idempotent append of one batch: partition (job, batch_id) is
-    overwritten dynamically, so a replay replaces its own rows and producers
-    (stream, CF job, hybrid job) never overwrite each other's batches."""
-    (df.withColumn("job", F.lit(job)).withColumn("batch_id", F.lit(int(batch_id)))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("job", "batch_id").parquet(base))
+def _batches(spark: SparkSession, base: str, job: str) -> list[int]:
+    fs, p = _hadoop_fs(spark, f"{base}/job={job}")
+    if not fs.exists(p):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    return sorted(int(n[9:]) for n in names if n.startswith("batch_id=") and n[9:].isdigit())
+
+
+def append_batch(df: DataFrame, base: str, batch_id: int | None = None, job: str = "batch") -> int:
+    """Append one batch as partition (job, batch_id); returns the batch id.
+
+    ``batch_id=None`` appends after the job's batches so far.  A given id names a
+    batch that may be replayed: its rows replace the ones of an earlier attempt.
+    Producers (stream, CF job, hybrid job) never touch each other's batches."""
+    if batch_id is None:
+        have = _batches(df.sparkSession, base, job)
+        batch_id = have[-1] + 1 if have else 0
+    df.write.mode("overwrite").parquet(f"{base}/job={job}/batch_id={int(batch_id)}")
+    return int(batch_id)
 
 
 def read_sink(spark: SparkSession, base: str, schema: str) -> DataFrame:
-    """Read an append sink with a known schema: an empty sink (no batch wrote
-    rows yet, or the folder does not exist) reads as an empty table."""
+    """Read an append sink; the key types are those of the stored rows.  A sink
+    without a batch yet (or without a folder) reads as an empty ``schema``."""
     fs, p = _hadoop_fs(spark, base)
-    if not fs.exists(p):
+    jobs = ([st.getPath().getName()[4:] for st in fs.listStatus(p)
+             if st.getPath().getName().startswith("job=")] if fs.exists(p) else [])
+    if not any(_batches(spark, base, j) for j in jobs):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(base)
+    out = spark.read.parquet(base)
+    return out.withColumns({"job": F.col("job").cast("string"), "batch_id": F.col("batch_id").cast("int")})
 
 
 RECS_SCHEMA = "user_id long, doc_id long, source string, job string, batch_id int"
@@ -132,6 +158,10 @@ def table_versions(spark: SparkSession, name: str) -> list[int]:
     return sorted(out)
 
 
+def read_table_version(spark: SparkSession, name: str, version: int) -> DataFrame:
+    return spark.table(_table(name, version))
+
+
 def read_latest_table(spark: SparkSession, name: str) -> DataFrame | None:
     v = table_versions(spark, name)
     return spark.table(_table(name, v[-1])) if v else None

@@ -110,7 +110,22 @@ def new_article_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topic_vectors(spark, sf_dir, "doc_id", new_articles(spark, sf_dir))
 
 
-def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+FAULTS = 7
+
+
+def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log lines with faults: by event id modulo ``FAULTS``, line 1 is cut short, 2
+    has a bad time, 3 has no user and 4 no row key."""
+    line = F.col("value")
+    part = F.pmod("event_id", F.lit(FAULTS))
+    broken = (F.when(part == 1, F.regexp_replace(line, "(,[^,]*){2}$", ""))
+              .when(part == 2, F.regexp_replace(line, "^(\\[[0-9-]+) [0-9]+", "$1 25"))
+              .when(part == 3, F.regexp_replace(line, "[^,]*$", "]"))
+              .when(part == 4, F.regexp_replace(line, "[^,]*(,[^,]*,[^,]*)$", "$1")).otherwise(line))
+    return log_lines(spark, sf_dir, ["event_id"]).select(broken.alias("value"))
+
+
+def log_lines(spark: SparkSession, sf_dir: str, keep: list[str] | None = None) -> DataFrame:
     """The behaviour log as the original text format, one line per event:
     ``[date,docId,docType,rowkey,type,userid]``; error events keep their
     type name so that parsing quarantines them."""
@@ -125,4 +140,4 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.col("behaviour").cast("string"), F.col("event_type")),
             F.col("user_id").cast("string")),
         F.lit("]"))
-    return j.select(line.alias("value"))
+    return j.select(*(keep or []), line.alias("value"))

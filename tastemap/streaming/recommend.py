@@ -4,7 +4,7 @@ Source: any streaming DataFrame with the new article keys in column
 ``value`` (Kafka: ``selectExpr("CAST(value AS STRING) AS value")``; tests use
 a text-file stream).  Each micro-batch is scored against the stored user
 profiles with the exact cosine threshold join and appended to the sink as
-partition ``batch_id`` (overwritten on replay, so a re-run batch adds
+partition (job, batch_id) (overwritten on replay, so a re-run batch adds
 nothing).  The micro-batch is bounded by the trigger options
 (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``), which bounds the
 indexed side of the join.
@@ -12,6 +12,8 @@ indexed side of the join.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,14 @@ def score_new_articles(keys: DataFrame, profiles: DataFrame, article_topics,
     ``article_topics`` is a (doc_id, topic) table or a callable that turns
     the batch keys into one (e.g. ``topics_from_model``); ``prepared`` is the
     probe-ready profile side (``prepare_left``) when it is reused."""
-    return cosine_join(profiles, batch_vectors(keys, article_topics), ["user_id"], ["doc_id"],
-                       "topic", "topic", params.min_similarity, params.salt_buckets,
-                       prepared_left=prepared)
+    return score_vectors(batch_vectors(keys, article_topics), profiles, params, prepared)
+
+
+def score_vectors(vectors: DataFrame, profiles: DataFrame, params: Params = DEFAULT_PARAMS,
+                  prepared: DataFrame | None = None) -> DataFrame:
+    """(doc_id, topic) of new articles -> (user_id, doc_id, sim)."""
+    return cosine_join(profiles, vectors, ["user_id"], ["doc_id"], "topic", "topic",
+                       params.min_similarity, prepared_left=prepared)
 
 
 def batch_vectors(keys: DataFrame, article_topics) -> DataFrame:
@@ -73,22 +80,55 @@ def profiles_for_bucket(profiles: DataFrame, bucket: str | None) -> DataFrame:
     return profiles.where(F.col("bucket") == want).select("user_id", "topic")
 
 
-def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topics,
+class LiveProfiles:
+    """The profile side of the stream, read again for every micro-batch.
+
+    ``read`` returns (version, profiles).  While the version and a fixed bucket
+    stay the same, the normalised rows with their prefixes are kept cached
+    (recomputed from lineage if an executor is lost); a new version replaces them."""
+
+    def __init__(self, read, bucket: str | None, params: Params):
+        self.read, self.bucket, self.params = read, bucket, params
+        self.version, self.prepared = None, None
+
+    def current(self) -> tuple[DataFrame, DataFrame | None]:
+        from pyspark import StorageLevel
+        version, table = self.read()
+        profiles = profiles_for_bucket(table, self.bucket)
+        if self.bucket == "current":
+            return profiles, None
+        if self.prepared is None or version != self.version:
+            self.unpersist()
+            self.prepared = prepare_left(profiles, ["user_id"], "topic", self.params.min_similarity).persist(
+                StorageLevel.MEMORY_AND_DISK)
+            self.version = version
+        return profiles, self.prepared
+
+    def unpersist(self) -> None:
+        if self.prepared is not None:
+            self.prepared.unpersist()
+            self.prepared = None
+
+
+def stream_job(spark: SparkSession, checkpoint: str) -> str:
+    """The sink's job name of a stream: made from the id that Spark keeps in the
+    checkpoint, so a restarted stream replays its own batches and a stream with a
+    new checkpoint never overwrites an earlier one's."""
+    text = "".join(r[0] for r in spark.read.text(f"{checkpoint.rstrip('/')}/metadata").collect())
+    return "stream-" + json.loads(text)["id"][:8]
+
+
+def start_recommend_stream(source: DataFrame, profiles, article_topics,
                            sink_path: str, checkpoint: str, params: Params = DEFAULT_PARAMS,
                            trigger: dict | None = None, key_type: str = "long",
                            bucket: str | None = None):
     """Start the stream; returns the StreamingQuery (caller owns it).
 
+    ``profiles``: a table, or a callable that returns (version, table) and is asked
+    in every micro-batch, so that profile updates take effect while the stream runs.
     ``bucket``: see ``profiles_for_bucket`` (the original always used the
     morning profile; ``"current"`` follows the clock)."""
-    # With a fixed bucket the profile side does not change between micro-
-    # batches: normalise it and compute its prefixes once, keep it cached
-    # (recomputed from lineage if an executor is lost).
-    prepared = None
-    if bucket != "current":
-        from pyspark import StorageLevel
-        prepared = prepare_left(profiles_for_bucket(profiles, bucket), ["user_id"], "topic",
-                                params.min_similarity).persist(StorageLevel.MEMORY_AND_DISK)
+    live = LiveProfiles(profiles if callable(profiles) else lambda: (0, profiles), bucket, params)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         keys = (batch.select(F.trim(F.col("value")).try_cast(key_type).alias("doc_id"))
@@ -97,10 +137,10 @@ def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topic
         # check and by the join: computed once, held for this batch only
         vecs = batch_vectors(keys, article_topics).persist()
         try:
-            recs = score_new_articles(vecs.select("doc_id"), profiles_for_bucket(profiles, bucket),
-                                      vecs, params, prepared=prepared)
+            table, prepared = live.current()
+            recs = score_vectors(vecs, table, params, prepared)
             append_batch(recs.withColumn("source", F.lit("content")), sink_path, batch_id,
-                         job="stream")
+                         job=stream_job(batch.sparkSession, checkpoint))
         finally:
             vecs.unpersist()
 
@@ -109,8 +149,8 @@ def start_recommend_stream(source: DataFrame, profiles: DataFrame, article_topic
          .queryName(f"recommend_{abs(hash(sink_path)) % 10**8}"))
     w = w.trigger(**(trigger or {"processingTime": "10 seconds"}))
     q = w.start()
-    # the caller owns the query: after q.stop(), q.prepared_profiles.unpersist()
-    q.prepared_profiles = prepared
+    # the caller owns the query: after q.stop(), q.live_profiles.unpersist()
+    q.live_profiles = live
     return q
 
 
@@ -136,8 +176,7 @@ def run_file_stream_once(spark: SparkSession, sf_dir: str, params: Params = DEFA
                                TD.new_article_topics(spark, sf_dir), sink, ckpt, params,
                                trigger={"availableNow": True})
     q.awaitTermination()
-    if q.prepared_profiles is not None:
-        q.prepared_profiles.unpersist()
+    q.live_profiles.unpersist()
     from tastemap.sources.store import read_sink
     out = read_sink(spark, sink,
                     "user_id long, doc_id long, sim double, source string, job string, batch_id int")

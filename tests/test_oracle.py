@@ -2,11 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from tastemap.plans.catalogue import QUERIES
+from tastemap.plans.oracle import ORACLE
 from tools.oracle_check import TABLES, digest
 
-NAMES = sorted(set(E.oracle_sql()) - {"stream_recommend", "recs_append"})
+NAMES = sorted(set(ORACLE) - {"stream_recommend", "recs_append"})
 
 
 @pytest.fixture(scope="module")
@@ -20,9 +21,9 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF_SMALL)
+    sdf = QUERIES[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
-    rel = con.sql(E.oracle_sql()[name])
+    rel = con.sql(ORACLE[name])
     drows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert len(srows) == len(drows)

@@ -43,7 +43,7 @@ def test_cosine_join_matches_brute_force(spark, sparse, t, k, broadcast):
     L, R = make_vectors(rng, 40, k, sparse), make_vectors(rng, 15, k, sparse)
     ldf = spark.createDataFrame(L, "user_id long, v array<double>")
     rdf = spark.createDataFrame(R, "doc_id long, w array<double>")
-    got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", t, salt_buckets=3,
+    got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", t,
                         broadcast_bytes=None if broadcast else 0)
     rows = got.collect()
     assert len(rows) == len({(r[0], r[1]) for r in rows})  # no duplicate pairs
@@ -139,14 +139,33 @@ def test_hybrid_matches_brute_force(spark):
         assert r["score"] == pytest.approx(exp[(r[0], r[1])])
 
 
-def test_prefix_forms_agree(spark):
-    from pyspark.sql import functions as F
+def test_prefix_is_what_the_bound_needs(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(20)]
     df = S.with_unit(spark.createDataFrame(rows, "id long, v array<double>"), "v", "u")
-    a = S.with_prefix(df, "u", 0.3, "p").select("id", "p")
-    b = df.select("id", S.prefix_dims(F.col("u"), 0.3).alias("p"))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    got = {r.id: r.p for r in S.with_prefix(df, "u", 0.3, "p").collect()}
+    for i, v in rows:
+        u = np.array(v) / np.linalg.norm(v)
+        order = sorted(range(12), key=lambda k: (-abs(u[k]), k))
+        assert got[i] == [k for j, k in enumerate(order) if np.linalg.norm(u[order[j:]]) > 0.3]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_candidates_are_made_once_and_pruned_when_sparse(spark, broadcast):
+    rng = np.random.default_rng(5)
+    for sparse, t in ((False, 0.2), (True, 0.6)):
+        L, R = make_vectors(rng, 60, 24, sparse), make_vectors(rng, 25, 24, sparse)
+        if sparse:      # a few concentrated dimensions a vector
+            L, R = [[(i, [x if k % 6 == i % 6 else 0.0 for k, x in enumerate(v)]) for i, v in side] for side in (L, R)]
+        ldf = spark.createDataFrame(L, "user_id long, v array<double>")
+        rdf = spark.createDataFrame(R, "doc_id long, w array<double>")
+        lu = S.prepare_left(ldf, ["user_id"], "v", t)
+        cand = S.cosine_candidates(lu, rdf, ["user_id"], ["doc_id"], "w", 10 ** 9 if broadcast else 0)
+        pairs = [(r.user_id, r.doc_id) for r in cand.collect()]
+        assert len(pairs) == len(set(pairs)) and set(brute_cos(L, R, t)) <= set(pairs)
+        assert len(pairs) <= 60 * 25
+        if sparse:
+            assert len(pairs) < 60 * 25 / 3
 
 
 @pytest.mark.parametrize("broadcast", [True, False])
@@ -163,7 +182,7 @@ def test_cosine_join_long_left_short_right(spark, broadcast):
     R = [(j, [float(x) for x in rng.normal(size=16)]) for j in range(12)]
     ldf = spark.createDataFrame(L, "user_id long, v array<double>")
     rdf = spark.createDataFrame(R, "doc_id long, w array<double>")
-    got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", 0.05, salt_buckets=3,
+    got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", 0.05,
                         broadcast_bytes=None if broadcast else 0).collect()
     exp = brute_cos(L, R, 0.05)
     assert {(r[0], r[1]) for r in got} == set(exp) and len(exp) > 0
@@ -190,7 +209,7 @@ def test_cosine_join_property(spark, seed, k, sparsity, t, broadcast):
     L, R = vecs(25), vecs(10)
     got = S.cosine_join(spark.createDataFrame(L, "user_id long, v array<double>"),
                         spark.createDataFrame(R, "doc_id long, w array<double>"),
-                        ["user_id"], ["doc_id"], "v", "w", t, salt_buckets=2,
+                        ["user_id"], ["doc_id"], "v", "w", t,
                         broadcast_bytes=None if broadcast else 0).collect()
     exp = brute_cos(L, R, t)
     sims = {(r[0], r[1]): r[2] for r in got}

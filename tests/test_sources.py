@@ -7,6 +7,9 @@ from tastemap.sources import news as N
 from tastemap.sources import store as ST
 from tastemap.sources.stopwords import read_stopwords
 from tastemap.operators import text as T
+from tastemap.sources import testdata as TD
+
+from conftest import SF_SMALL
 
 
 def test_parse_log_good_and_quarantine(spark):
@@ -72,6 +75,14 @@ def test_versioned_store_and_idempotent_append(spark, tmp_path):
     ST.append_batch(r.withColumn("source", F.lit("cf")), recs, 1)
     assert spark.read.parquet(recs).count() == 2
     assert ST.read_recs(spark, recs).count() == 2
+    # without an id a run adds to the earlier ones; an empty replay clears its batch
+    other = spark.createDataFrame([("x", "n9", "cf")], "user_id string, doc_id string, source string")
+    text = str(tmp_path / "text-recs")
+    assert [ST.append_batch(other.withColumn("doc_id", F.lit(f"n{i}")), text, job="cf") for i in range(2)] == [0, 1]
+    got = ST.read_recs(spark, text)
+    assert got.count() == 2 and dict(got.dtypes)["user_id"] == "string"
+    ST.append_batch(other.where("false"), text, 0, job="cf")
+    assert [r["doc_id"] for r in ST.read_recs(spark, text).collect()] == ["n1"]
 
 
 def test_queue_unread_and_mark_read(spark):
@@ -137,6 +148,45 @@ def test_default_plus_custom_stop_words(spark):
     from tastemap.sources.stopwords import default_plus_custom
     words = default_plus_custom(["zzz"])
     assert "zzz" in words and "the" in words and len(words) > 100
+    from pyspark.ml.feature import StopWordsRemover
+    from tastemap.config import DEFAULT_STOP_WORDS
+    assert DEFAULT_STOP_WORDS == StopWordsRemover.loadDefaultStopWords("english")
+
+
+def test_key_selection_moves_no_text(spark):
+    news = TD.news(spark, SF_SMALL)
+    keys = spark.createDataFrame([(3,), (5,), (10 ** 7,)], "doc_id long")
+    found = N.select_keys(news, keys, "doc_id")
+    assert sorted(r["rowkey"] for r in found.collect()) == [3, 5]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PushedFilters: [In(doc_id" in plan.replace("rowkey", "doc_id")
+    many = spark.range(5_000).withColumnRenamed("id", "doc_id")
+    plan = N.select_keys(news, many, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+    empty = N.select_keys(news, keys.where("false"), "doc_id")
+    assert empty.count() == 0
+
+
+def test_checkpoint_folder_is_needed_off_a_local_master():
+    from types import SimpleNamespace
+    from tastemap.session import ensure_checkpoint_dir
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None))
+    import pytest
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(fake)
+
+
+def test_log_time_does_not_depend_on_the_session_zone(spark):
+    from tastemap.functions.scalar import parse_log_time
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2016-03-13 02:30:00",), ("2016-03-13 25:00:00",)], "s string")
+        got = [str(r[0]) for r in df.select(parse_log_time("s")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["2016-03-13 02:30:00", "None"]
 
 
 def test_cluster_conf_sizes_partitions():

@@ -86,7 +86,7 @@ def test_restart_from_checkpoint_processes_only_new_input(spark):
         q = start_recommend_stream(src, profiles, topics, f"{base}/out", f"{base}/ckpt", p,
                                    trigger={"availableNow": True})
         q.awaitTermination()
-        q.prepared_profiles.unpersist()
+        q.live_profiles.unpersist()
         return read_sink(spark, f"{base}/out", RECS_SCHEMA.replace("source string", "sim double, source string"))
 
     write("a", ids[:half])
@@ -102,3 +102,32 @@ def test_restart_from_checkpoint_processes_only_new_input(spark):
     assert new_batches >= 1
     docs = {r[0] for r in third.select("doc_id").distinct().collect()}
     assert docs_first < docs and docs <= set(ids)
+
+
+def test_profile_updates_reach_a_running_stream(spark):
+    """Profiles are asked for in every micro-batch: a new version takes effect between two."""
+    from pyspark.sql import functions as F
+    from tastemap.config import Params
+    from tastemap.session import scratch_path
+    from tastemap.sources.store import RECS_SCHEMA, read_sink, read_latest, list_versions, write_version
+    from tastemap.streaming.recommend import start_recommend_stream
+    base = scratch_path(spark, "stream-live")
+    profile = lambda user: spark.createDataFrame([(user, [1.0, 0.0])], "user_id long, topic array<double>")
+    write_version(spark, profile(1), f"{base}/profiles")
+
+    def read():
+        n = list_versions(spark, f"{base}/profiles")[-1]
+        if n == 0:      # the profile job runs right after the first micro-batch has read
+            write_version(spark, profile(2), f"{base}/profiles")
+            return 0, spark.read.parquet(f"{base}/profiles/v=0")
+        return n, read_latest(spark, f"{base}/profiles")
+    topics = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.0, 0.2])], "doc_id long, topic array<double>")
+    for i in (7, 8):
+        spark.createDataFrame([(str(i),)], "value string").coalesce(1).write.mode("append").text(f"{base}/in")
+    src = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{base}/in")
+    q = start_recommend_stream(src, read, topics, f"{base}/out", f"{base}/ckpt", Params(min_similarity=0.0),
+                               trigger={"availableNow": True})
+    q.awaitTermination()
+    q.live_profiles.unpersist()
+    got = {r["batch_id"]: r["user_id"] for r in read_sink(spark, f"{base}/out", RECS_SCHEMA).collect()}
+    assert got == {0: 1, 1: 2}

@@ -83,7 +83,7 @@ def test_word_count_topk(spark):
 
 def test_keywords_with_stored_df_equals_full(spark):
     d = TD.news(spark, SF_SMALL).select(F.col("rowkey").alias("doc_id"), "words")
-    stored = T.corpus_doc_freq(d)
+    stored = T.doc_freq_delta(d)
     subset = d.where("doc_id % 7 = 0")
     a = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords_with_df(subset, stored, 10).collect()}
     b = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords(d, 10).where("doc_id % 7 = 0").collect()}
@@ -94,6 +94,18 @@ def test_new_keywords_with_stored_df_equal_full(spark):
     corpus = TD.news(spark, SF_SMALL).select(F.col("rowkey").alias("doc_id"), "words")
     new = TD.new_articles(spark, SF_SMALL)
     a = {(r[0], r[1]): (r[2], r[3]) for r in
-         T.keywords_new_with_df(new, T.corpus_doc_freq(corpus), 10).collect()}
+         T.keywords_new_with_df(new, T.doc_freq_delta(corpus), 10).collect()}
     b = {(r[0], r[1]): (r[2], r[3]) for r in T.keywords_new_vs_corpus(new, corpus, 10).collect()}
     assert a == b and len(a) > 0
+
+
+def test_added_documents_bring_their_terms(spark):
+    schema = "doc_id long, words string"
+    first = spark.createDataFrame([(1, "a cat"), (2, "a dog")], schema)
+    later = first.unionByName(spark.createDataFrame([(3, "a zebra quagga")], schema))
+    stored = T.doc_freq_delta(first)
+    added = T.added_docs(later, stored)
+    assert [r.doc_id for r in added.collect()] == [3]
+    both = stored.unionByName(T.doc_freq_delta(added))
+    got = T.keywords_with_df(later.where("doc_id = 3"), both, 2)
+    assert {r.term for r in got.collect()} == {"zebra", "quagga"}
