@@ -44,7 +44,8 @@ def test_targets_and_taken_words(edge_docs, doc_rows):
         assert abs(r.target - want[source]) < 1e-6 * max(1, want[source])
         assert 0 <= r.taken <= 2 * size
         taken[source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 64 for s in sizes)
+    # half a block by rounding, and up to one as a source's last block is short
+    assert all(abs(taken[s] - want[s]) <= 96 for s in sizes)
 
 
 def test_reruns_agree(edge_docs):
