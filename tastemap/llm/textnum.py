@@ -60,7 +60,7 @@ def text_buffer(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     return buf, offs
 
 
-def slices(offs: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of documents of about ``limit`` bytes (a longer one stands alone)."""
     i, n = 0, len(offs) - 1
     while i < n:
