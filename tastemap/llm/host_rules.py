@@ -32,11 +32,11 @@ SYMBOLS = byte_table("#*$%&|<>")
 WINDOW = 8
 MAX_RATE = 0.5
 
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
 def counts_of(s: Slice) -> list[np.ndarray]:
-    """The five counts of each document of a slice, in the order of ``_COUNTS``."""
+    """The counts of each document of a slice, in the order of ``_COUNTS``."""
     chars = s.per_doc(s.code_points & s.inside)
     symbols = s.per_doc(SYMBOLS[s.buf])
 
@@ -55,7 +55,8 @@ def counts_of(s: Slice) -> list[np.ndarray]:
     cover += np.bincount(twice, minlength=len(cover))
     cover -= np.bincount(twice + WINDOW, minlength=len(cover))
     covered = np.cumsum(cover)[:-1] > 0
-    return [s.n_words, chars, symbols, dup_lines, np.bincount(word_doc[covered], minlength=s.n)]
+    return [s.n_words, chars, symbols, dup_lines, np.bincount(word_doc[covered], minlength=s.n),
+            np.bincount(doc, minlength=s.n)]
 
 
 def rule_counts(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -83,9 +84,9 @@ def base_failed() -> Column:
 
 
 def any_failed() -> Column:
-    """Base rules, or a text full of symbols, or mostly of repeated lines."""
+    """Base rules, or a text full of symbols, or mostly of repeated lines (of those with a word)."""
     return (base_failed() | (F.col("n_symbols") > F.col("n_words"))
-            | (2 * F.col("n_dup_lines") > F.col("n_words"))
+            | (2 * F.col("n_dup_lines") > F.col("n_lines"))
             | (F.col("word_chars") > 20 * F.col("n_words")))
 
 

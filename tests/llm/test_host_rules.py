@@ -42,5 +42,20 @@ def test_bad_hosts_lose_their_documents_and_small_ones_shrink(spark):
     assert out[5001].kept
 
 
+def test_interleaved_repeated_lines_fail(spark):
+    # a short menu line after each unique line: no 8-word window repeats, most lines do
+    def page(k, menu):
+        return "\n\n".join(f"{m}\n{m}\nfirst{k}x{i} and last{k}x{i}" for i, m in enumerate(menu))
+    menu = ["home about contact", "terms privacy help"]
+    rows = [(i, "menus", page(i, menu * 4)) for i in range(30)]
+    rows += [(100 + i, "prose", page(i, [f"line{k} of text" for k in range(8)])) for i in range(30)]   # a third repeats
+    rows += [(200 + 50 * h + i, f"good{h}", " ".join(f"word{j}" for j in range(40))) for h in range(9) for i in range(50)]
+    out = {r.doc_id: r for r in host_filter(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert (out[0].n_dup_lines, out[0].n_lines, out[0].n_words) == (14, 24, 72)
+    assert not any(out[i].base_failed for i in out)
+    assert all(out[i].host_rate > 0.5 and not out[i].kept for i in range(30))
+    assert all(out[i].kept for i in out if i >= 100)
+
+
 def test_empty_table(no_docs):
     assert host_filter(no_docs).count() == 0
