@@ -11,7 +11,8 @@ joined, and copies are carried as a weight.
    classes are split again on ``CHILDREN`` further positions, chosen by a hash of
    the bucket's path, and so on; a bucket that keeps half of its parent (a group
    of true near copies) stays as it is.  Runs are repeated until the chance of
-   missing a pair at the threshold in the first split is below 1 - ``RECALL``.
+   missing a pair at the threshold, whose buckets may all be split again, is below
+   1 - ``RECALL`` (runs taken as independent).
 3. Small buckets with the same members are merged, and so are large buckets with
    the same smallest member, so that the runs do not repeat a large group.  Each
    bucket is compared by brute force on the exact sets; a large one is cut into
@@ -134,11 +135,19 @@ def members(docs: DataFrame, k: int = K) -> DataFrame:
         F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
 
 
+def runs_needed(threshold: float, recall: float) -> int:
+    """Runs that bring the chance of missing a pair at the threshold below 1 - recall."""
+    lost = 0.0    # chance that a pair in one bucket ends in none, as that bucket and its children are split
+    for _ in range(DEPTH - 1):
+        lost = (1 - threshold + threshold * lost) ** CHILDREN
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold + threshold * lost)))
+
+
 def leaves(classes: DataFrame, threshold: float, small: int, recall: float) -> DataFrame:
     """(rep, weight, path, n, lead, a, b, large): the classes of the buckets in which the
     splitting ends, each with its bucket's size, smallest class and the hashes of its
     members; ``classes`` is (rep, weight, sig)."""
-    runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    runs = runs_needed(threshold, recall)
     level = classes.select("rep", "weight", F.posexplode(F.slice("sig", 1, runs)).alias("run", "token")).select(
         "rep", "weight", F.xxhash64("run", "token").alias("path"), F.lit(None).cast("long").alias("parent_n"))
     carried = ["rep", "weight"]

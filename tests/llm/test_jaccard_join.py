@@ -5,7 +5,8 @@ from itertools import combinations
 
 import pytest
 
-from tastemap.llm.jaccard_join import components, jaccard_groups
+from tastemap.llm.jaccard_join import (CHILDREN, DEPTH, POSITIONS, RECALL, SMALL, THRESHOLD, components,
+                                       jaccard_groups, leaves)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -61,6 +62,15 @@ def test_equals_brute_force(spark, corpus, small, block):
     assert got == brute(corpus)
 
 
+def test_runs_cover_splits_after_the_first(spark):
+    alike = spark.createDataFrame([(i, 1, list(range(POSITIONS))) for i in (1, 2)], "rep long, weight long, sig array<long>")
+    runs = leaves(alike, THRESHOLD, SMALL, RECALL).select("path").distinct().count()
+
+    def missed(depth):       # of a pair at the threshold, in a bucket of this depth
+        return 0 if depth == DEPTH else (1 - THRESHOLD + THRESHOLD * missed(depth + 1)) ** CHILDREN
+    assert (1 - THRESHOLD + THRESHOLD * missed(1)) ** runs <= 1 - RECALL
+
+
 def test_odd_rows_and_empty_table(edge_docs, no_docs, doc_rows):
     out = jaccard_groups(edge_docs).collect()
     assert len(out) == len(doc_rows)
