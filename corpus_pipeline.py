@@ -7,7 +7,8 @@ stage's documents.  All stages but the last return the columns of ``documents``.
 1. quality: the additive model is trained on the labelled documents (held-out fold
    excluded); documents that score below 0.7 go.
 2. lines: long lines that an earlier document holds are dropped from the texts.
-3. near_duplicates: of each group of near copies the smallest doc_id stays.
+3. near_duplicates: of each group of near copies the smallest doc_id stays (of a doc_id
+   with several texts, all but one text count as the last ids).
 4. mixing: texts are taken in blocks so that the sources come to their target shares.
 5. packing: tokens in sequences of 2048, each in the sources' proportions.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tastemap.llm.catalogue import tokenizer_files
 from tastemap.llm.common import fold, stored, table
-from tastemap.llm.jaccard_join import jaccard_groups
+from tastemap.llm.jaccard_join import jaccard_groups, text_ids
 from tastemap.llm.line_dedup import line_dedup
 from tastemap.llm.mixing import mixed_texts
 from tastemap.llm.packing import pack
@@ -44,12 +45,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_groups(docs)
-    gone = groups.where("class_id < doc_id").select("doc_id").distinct()
-    numbered = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # rows that repeat a doc_id are copies of each other
-    return numbered.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(
-        numbered.where("doc_id IS NULL"))
+    named = text_ids(docs.select(*COLUMNS), "_id")
+    groups = jaccard_groups(named.select(F.col("_id").alias("doc_id"), "text"))
+    gone = groups.where("class_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    left = named.join(gone, "_id", "left_anti")
+    # rows that repeat a doc_id and its text are copies of each other
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["_id"]).unionByName(
+        left.where("doc_id IS NULL")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -324,6 +324,20 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct("a", F.col("low").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct(), "edges")
 
 
+def text_ids(docs: DataFrame, out: str) -> DataFrame:
+    """Add ``out``, an id of (doc_id, text): the doc_id, and where one has several texts, for
+    all but one of them a number from 2 ** 62 on, hashed from both; null for a null doc_id."""
+    own = F.col("doc_id").cast("long")
+    clash = stored(docs.where("doc_id IS NOT NULL").select(own.alias("_doc"), F.xxhash64("text").alias("h")).groupBy(
+        "_doc").agg(F.min("h").alias("_first"), F.max("h").alias("_last")).where("_first < _last").select(
+        "_doc", "_first"), "text-clashes")
+    if clash.isEmpty():
+        return docs.withColumn(out, own)
+    high = F.shiftrightunsigned(F.xxhash64(F.lit(out), "doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
+    return docs.join(clash, own == F.col("_doc"), "left").withColumn(
+        out, F.when(F.xxhash64("text") > F.col("_first"), high).otherwise(own)).drop("_doc", "_first")
+
+
 def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, small: int = SMALL,
                    block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) per document; ``doc_id`` must be an integer."""

@@ -48,6 +48,19 @@ def test_near_duplicates_leave_one_of_each_group(spark, stages):
     assert kept.count() == groups.select("class_id").distinct().count()
 
 
+def test_texts_that_share_a_doc_id_are_judged_apart(spark):
+    words = lambda name, n=60: [f"{name}{i}" for i in range(n)]
+    texts = [(1, words("a")), (2, words("b")), (2, words("c")), (2, words("c")), (2, words("a") + ["end"]),
+             (3, words("c") + ["end"]), (4, words("d")), (4, words("d") + ["end"]), (None, words("e"))]
+    rows = [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = pipeline.near_duplicates(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    kept = sorted((r.text.split()[0], r.doc_id) for r in out.collect())
+    assert [k for k, _ in kept] == ["a0", "b0", "c0", "d0", "e0"]       # one row of each group, none lost
+    assert ("a0", 1) in kept and ("b0", 2) in kept and ("e0", None) in kept
+
+
 def test_stages_take_odd_rows_and_empty_tables(spark, edge_docs, no_docs):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (edge_docs.select(*columns), no_docs.select(*columns)):
