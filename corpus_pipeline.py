@@ -8,7 +8,8 @@ stage's documents.  All stages but the last return the columns of ``documents``.
    excluded); documents that score below 0.7 go.
 2. lines: long lines that an earlier document holds are dropped from the texts.
 3. near_duplicates: of each group of near copies the smallest doc_id stays (of a doc_id
-   with several texts, all but one text count as the last ids).
+   with several texts, all but one text count as the last ids).  Texts without words, such
+   as the line stage makes, have no near copies and all stay here; mixing drops them.
 4. mixing: texts are taken in blocks so that the sources come to their target shares.
 5. packing: tokens in sequences of 2048, each in the sources' proportions.
 

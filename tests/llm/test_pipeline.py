@@ -48,6 +48,14 @@ def test_near_duplicates_leave_one_of_each_group(spark, stages):
     assert kept.count() == groups.select("class_id").distinct().count()
 
 
+def test_texts_without_words_end_at_mixing(spark):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(["", "", " \n", "\t", "some words of a text"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = pipeline.near_duplicates(spark, docs, SF_SMALL)
+    assert near.count() == 5
+    assert {r.doc_id for r in pipeline.mixing(spark, near, SF_SMALL).collect()} == {4}
+
+
 def test_texts_that_share_a_doc_id_are_judged_apart(spark):
     words = lambda name, n=60: [f"{name}{i}" for i in range(n)]
     texts = [(1, words("a")), (2, words("b")), (2, words("c")), (2, words("c")), (2, words("a") + ["end"]),
