@@ -15,6 +15,7 @@ from .mixing import taken_words
 from .packing import pack
 from .pii import joined, pii_spans
 from .quality_gam import score, train
+from .sentencepiece_bpe import decode, encode
 from .url_filter import Rule, filter_urls
 
 
@@ -87,6 +88,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def piece_file() -> str:
+    """The public SentencePiece model of the queries."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decode(encode(table(spark, sf_dir, "documents"), piece_file()), piece_file())
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {"op1_fingerprint": op1_fingerprint,
            "op2_packing": op2_packing,
            "op3_quality": op3_quality,
@@ -96,4 +110,5 @@ QUERIES = {"op1_fingerprint": op1_fingerprint,
            "op7_mixing": op7_mixing,
            "op8_line_dedup": op8_line_dedup,
            "op9_host_rules": op9_host_rules,
-           "op10_pii": op10_pii}
+           "op10_pii": op10_pii,
+           "op13_sentencepiece": op13_sentencepiece}
