@@ -10,12 +10,14 @@ from .fingerprint import fingerprints
 from .host_rules import host_filter
 from .jaccard_join import jaccard_groups
 from .langid import learn_profiles, predict
+from .lexical import search
 from .line_dedup import line_dedup
 from .mixing import taken_words
 from .packing import pack
 from .pii import joined, pii_spans
 from .quality_gam import score, train
 from .sentencepiece_bpe import decode, encode
+from .token_align import token_links
 from .url_filter import Rule, filter_urls
 
 
@@ -94,6 +96,16 @@ def piece_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_links(table(spark, sf_dir, "documents"), model=piece_file(), **tokenizer_files())
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
+    return out.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decode(encode(table(spark, sf_dir, "documents"), piece_file()), piece_file())
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
@@ -111,4 +123,6 @@ QUERIES = {"op1_fingerprint": op1_fingerprint,
            "op8_line_dedup": op8_line_dedup,
            "op9_host_rules": op9_host_rules,
            "op10_pii": op10_pii,
+           "op11_lexical": op11_lexical,
+           "op12_token_align": op12_token_align,
            "op13_sentencepiece": op13_sentencepiece}

@@ -82,3 +82,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT host_failed AS kept
 FROM marked JOIN verdict ON marked.source IS NOT DISTINCT FROM verdict.source
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+ORACLE["op11_lexical"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERM}') AS words FROM documents),
+stats AS (
+  SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM docs),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_TERM}')) AS term
+  FROM benchmark),
+tf AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(words) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY rid, term),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+impact AS (
+  SELECT rid, doc_id, term,
+         w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(words) * n_docs) // n_terms))) AS impact
+  FROM tf JOIN weight USING (term) JOIN docs USING (rid), stats),
+score AS (
+  SELECT item_id, rid, doc_id, sum(impact)::BIGINT AS score
+  FROM wanted JOIN impact USING (term) GROUP BY item_id, rid, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM score WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
