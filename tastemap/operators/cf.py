@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastemap.config import DEFAULT_PARAMS, Params
+from tastemap.operators.mips import top_items
 
 INT_MAX = 2**31 - 1
 
@@ -146,19 +147,18 @@ def train(log: DataFrame, params: Params = DEFAULT_PARAMS, user: str = "user_id"
 def recommend(m: CFModel, users: DataFrame, n: int) -> DataFrame:
     """Top-n items per requested user: (user, item, article_id, rk, score); article_id is
     the published id of the item (the item key itself when the log had none).  Unknown
-    users get no rows."""
+    users get no rows.  Items come from the exact pruned search (``operators.mips``),
+    equal scores by item index; no user meets every item."""
     u = users.select(m.user).distinct()
     u = (u.select(F.col(m.user).try_cast("int").alias("user_idx")).where("user_idx IS NOT NULL")
          if m.users is None else u.join(m.users, m.user))
-    recs = m.model.recommendForUserSubset(u.select("user_idx"), n)
-    out = (recs.select("user_idx", F.posexplode("recommendations").alias("pos", "r"))
-           .select("user_idx", "pos", F.col("r.item_idx").alias("item_idx"),
-                   F.col("r.rating").alias("score")))
+    factors = m.model.userFactors.join(u.select(F.col("user_idx").alias("id")), "id", "left_semi")
+    out = top_items(factors.withColumnRenamed("id", "user_idx"),
+                    m.model.itemFactors.withColumnRenamed("id", "item_idx"), n, "user_idx", "item_idx").rows
     out = (out.withColumn(m.user, F.col("user_idx").cast(m.user_type)) if m.users is None
            else out.join(u, "user_idx"))
     out = (out.withColumn(m.item, F.col("item_idx").cast(m.item_type)) if m.items is None
            else out.join(m.items, "item_idx"))
     out = (out.withColumn("article_id", F.col(m.item)) if m.articles is None
            else out.join(m.articles, m.item, "left"))
-    return out.select(m.user, m.item, "article_id", (F.col("pos") + 1).cast("int").alias("rk"),
-                      F.col("score").cast("double").alias("score"))
+    return out.select(m.user, m.item, "article_id", "rk", "score")

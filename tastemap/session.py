@@ -74,6 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tastemap/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df, name: str):
+    """Write ``df`` to the shared checkpoint folder and read it back: later steps start
+    from the written rows, whatever executors are lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df):
     """Round-robin ``df`` to the default parallelism when it has fewer
     partitions (a few large files or row groups); a no-op for inputs that
