@@ -26,8 +26,8 @@ ANGLE_EPS = 1e-6        # rounding of dot products and arc cosines
 
 
 def n_cells(n_rows: int) -> int:
-    """About half the square root of the rows, at most ``MAX_CELLS``."""
-    return max(1, min(MAX_CELLS, math.isqrt(n_rows) // 2))
+    """About the square root of the rows, at most ``MAX_CELLS``."""
+    return max(1, min(MAX_CELLS, math.isqrt(n_rows)))
 
 
 def pivots_of(df: DataFrame, unit: str, k: int, rounds: int = 8) -> list[list[float]]:

@@ -6,12 +6,11 @@ pivot p.  For a query vector u, no item of the block scores above
 
     |u| * M * cos(max(0, angle(u, p) - r))      (the smallest norm where the cosine is negative)
 
-which is Cauchy-Schwarz sharpened by the direction.  Three rounds use it:
+which is Cauchy-Schwarz sharpened by the direction.  Two rounds use it:
 
 1. every query scores the *heads* (largest norms) of its ``FIRST_BLOCKS`` best-bound blocks:
    its n-th score so far is a floor under the final n-th score;
-2. the same blocks, as far as they reach the floor, are scored in full and raise it;
-3. all other blocks whose bound still reaches it are scored, too.
+2. the blocks whose bound reaches the floor are scored in full.
 
 A query and a block below its floor never meet.  Joins are equi-joins on the block: the
 blocks' items are broadcast after a size check, else shuffled with a salt (and AQE splits
@@ -48,13 +47,13 @@ UNROLL = 16                 # widest dot product written out term by term (one c
 class TopItems:
     """The rows, and what it took to get them."""
     rows: DataFrame
-    wanted: tuple[DataFrame, DataFrame]     # (query, block) pairs of rounds 2 and 3
+    wanted: DataFrame       # (query, block) pairs of the second round
     queries: DataFrame
     n_blocks: int
 
     def blocks_scored(self) -> tuple[int, int]:
         """(query, block) pairs scored in full, and all there are (for tests and tuning)."""
-        return sum(w.count() for w in self.wanted), self.queries.count() * self.n_blocks
+        return self.wanted.count(), self.queries.count() * self.n_blocks
 
 
 def _dot(a: str, b: str, width: int) -> Column:
@@ -73,35 +72,28 @@ def _vectors(df: DataFrame, key: str, vec: str, k: str, v: str, norm: str) -> Da
 
 
 def item_blocks(items: DataFrame, key: str, vec: str, n: int) -> tuple[DataFrame, list[list[float]]]:
-    """(stored items (_i, _iv, _in, _b, _cell, _ang, _pos), pivots): block and place by norm in it."""
-    rows = materialise(_vectors(items, key, vec, "_i", "_iv", "_in"), "mips-items")
+    """(stored items (_i, _iv, _in, _b, _cell, _ang, _head), pivots): the block of each item,
+    and whether it is among the block's largest norms."""
+    rows = _vectors(items, key, vec, "_i", "_iv", "_in")
     unit = rows.where("_in > 0").withColumn("_unit", F.transform("_iv", lambda x: x / F.col("_in")))
     n_rows = unit.count()
     k = n_cells(n_rows)
     pivots = pivots_of(unit, "_unit", k)
     bands = max(1, min(MAX_BANDS, n_rows // (k * BLOCK_ROWS)))
     cut = [i / bands for i in range(1, bands)]
-    if pivots:
-        placed = with_cell(unit, "_unit", pivots, "_cell", "_ang").drop("_unit")
-    else:
-        placed = rows.withColumns({"_cell": F.lit(-1), "_ang": F.lit(0.0)})
+    none = {"_cell": F.lit(-1), "_ang": F.lit(0.0)}
+    placed = with_cell(unit, "_unit", pivots, "_cell", "_ang") if pivots else unit.withColumns(none)
     if cut:
         cuts = unit.agg(F.percentile_approx("_in", cut, 10_000).alias("c")).select("c").scalar()
         placed = placed.withColumn("_cut", cuts).withColumn(
             "_band", F.size(F.filter("_cut", lambda c: c < F.col("_in")))).drop("_cut")
     else:
         placed = placed.withColumn("_band", F.lit(0))
-    placed = placed.withColumn("_b", F.col("_cell") * bands + F.col("_band")).drop("_band")
-    zero = rows.where("_in = 0").select("_i", "_iv", "_in", F.lit(-1).alias("_cell"), F.lit(0.0).alias("_ang"),
-                                        F.lit(-1).alias("_b"))
-    both = (placed.unionByName(zero) if pivots else zero)
-    # the head of a block: a partial top-k before the shuffle
+    placed = placed.withColumn("_b", F.col("_cell") * bands + F.col("_band")).drop("_band", "_unit")
+    both = placed.unionByName(rows.where("_in = 0").withColumns({**none, "_b": F.lit(-1)}))
     w = Window.partitionBy("_b").orderBy(F.desc("_in"), F.asc("_i"))
-    head = (both.select("_b", "_i", "_in").withColumn("_pos", F.row_number().over(w))
-            .where(F.col("_pos") <= max(HEAD, n)).select(F.col("_i").alias("_h"), F.col("_b").alias("_hb")))
-    marked = both.join(head, (F.col("_i") == F.col("_h")) & (F.col("_b") == F.col("_hb")), "left").select(
-        "_i", "_iv", "_in", "_b", "_cell", "_ang", F.col("_h").isNotNull().alias("_head"))
-    return materialise(marked, "mips-blocks"), pivots
+    both = both.withColumn("_head", F.row_number().over(w) <= max(HEAD, n))
+    return materialise(both, "mips-blocks"), pivots
 
 
 def _bounds(probe: DataFrame, blocks: Column) -> DataFrame:
@@ -142,46 +134,32 @@ def top_items(queries: DataFrame, items: DataFrame, n: int, query: str, item: st
               query_vec: str = "features", item_vec: str = "features") -> TopItems:
     """The ``n`` items with the largest inner product for every query row (keys unique)."""
     placed, pivots = item_blocks(items, item, item_vec, n)
-    info = placed.groupBy("_b").agg(
+    found = placed.groupBy("_b").agg(
         F.first("_cell").alias("cell"), F.min("_in").alias("lo"), F.max("_in").alias("hi"),
-        F.max("_ang").alias("r")).select(F.col("_b").alias("b"), "cell", "lo", "hi", "r")
-    info = materialise(info.coalesce(1), "mips-info")
-    blocks = info.agg(F.collect_list(F.struct("b", "cell", "lo", "hi", "r")).alias("l")).select("l").scalar()
-    r = placed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_iv")).alias("w")).first()
-    width = int(r["w"] or 0)
-    size = int(r["n"]) * (8 * width + 48)
-    n_blocks = info.count()
+        F.max("_ang").alias("r"), F.count(F.lit(1)).alias("n"), F.max(F.size("_iv")).alias("w")).collect()
+    width = max((r["w"] for r in found), default=0)
+    size = sum(r["n"] for r in found) * (8 * width + 48)
+    blocks = queries.sparkSession.createDataFrame(
+        [([(r["_b"], r["cell"], r["lo"], r["hi"], r["r"]) for r in found],)],
+        "l array<struct<b:int,cell:int,lo:double,hi:double,r:double>>").select("l").scalar()
 
     probe = _vectors(queries, query, query_vec, "_u", "_uv", "_un")
     zero = probe.where("_un = 0").select("_u")
     probe = probe.where("_un > 0").withColumn("_unit", F.transform("_uv", lambda x: x / F.col("_un")))
     probe = materialise(with_angles(probe, "_unit", pivots or [[0.0]], "_al").drop("_unit"), "mips-probe")
-    slim = placed.select("_b", "_i", "_iv")
     none = [F.lit(None).cast("double").alias("_fs"), F.lit(None).cast(placed.schema["_i"].dataType).alias("_fi")]
 
     # 1: a floor from the heads of the best blocks
     best = _bounds(probe, blocks).select("_u", "_uv", F.explode(F.transform(
         F.slice("_bd", 1, FIRST_BLOCKS), lambda b: b["b"])).alias("_b"), *none)
-    floor = materialise(_floor(_top(_meet(best, placed.where("_head").select("_b", "_i", "_iv"), 0, width), n), n),
-                    "mips-floor")
-
-    def wanted(floor: DataFrame, lo: int, hi: int | None) -> DataFrame:
-        """Blocks number ``lo`` to ``hi`` of each query by bound, as far as they reach the floor."""
-        rows = _bounds(probe.join(floor, "_u", "left"), blocks)
-        some = F.slice("_bd", lo + 1, hi - lo if hi else 1 << 20)
-        return rows.select("_u", "_uv", "_fs", "_fi", F.explode(F.transform(F.filter(
-            some, lambda b: F.col("_fs").isNull() | (b["bound"] >= F.col("_fs"))), lambda b: b["b"])).alias("_b"))
-
-    # 2: the best blocks in full; 3: whatever still reaches the raised floor
-    first = wanted(floor, 0, FIRST_BLOCKS)
-    top = materialise(_top(_meet(first, slim, size, width), n), "mips-first")
-    raised = floor.join(_floor(top, n).select("_u", F.col("_fs").alias("_gs"), F.col("_fi").alias("_gi")), "_u",
-                        "full_outer")
-    raised = materialise(raised.select("_u", F.coalesce("_gs", "_fs").alias("_fs"), F.coalesce("_gi", "_fi").alias("_fi")),
-                     "mips-raised")
-    rest = wanted(raised, FIRST_BLOCKS, None)
-    more = _meet(rest, slim, size, width)
-    out = _top(top.select("_u", "_i", "_s").unionByName(more), n)
+    heads = placed.where("_head").select("_b", "_i", "_iv")
+    floor = materialise(_floor(_top(_meet(best, heads, size, width), n), n), "mips-floor")
+
+    # 2: every block that reaches it
+    rows = _bounds(probe.join(floor, "_u", "left"), blocks)
+    wanted = rows.select("_u", "_uv", "_fs", "_fi", F.explode(F.transform(F.filter(
+        "_bd", lambda b: F.col("_fs").isNull() | (b["bound"] >= F.col("_fs"))), lambda b: b["b"])).alias("_b"))
+    out = _top(_meet(wanted, placed.select("_b", "_i", "_iv"), size, width), n)
     smallest = placed.select("_i").orderBy("_i").limit(n).agg(
         F.array_sort(F.collect_list("_i")).alias("l")).select("l").scalar()
     nothing = zero.select("_u", F.posexplode(smallest).alias("_p", "_i")).select(
@@ -189,4 +167,4 @@ def top_items(queries: DataFrame, items: DataFrame, n: int, query: str, item: st
     rows = out.select("_u", "_i", "_s", "_rk").unionByName(nothing).select(
         F.col("_u").alias(query), F.col("_i").alias(item), F.col("_rk").cast("int").alias("rk"),
         F.col("_s").alias("score"))
-    return TopItems(rows, (first, rest), probe, n_blocks)
+    return TopItems(rows, wanted, probe, len(found))

@@ -9,8 +9,14 @@ Cosine (threshold join)
     dimensions (a bit mask, dimensions folded into ``MASK_BITS``); a left row
     looks up the distinct masks that meet its prefix and joins on the mask, so
     every candidate pair is made exactly once and then gets its exact dot product.
-    Dense vectors have one mask, so each pair is scored once; sparse ones skip the
-    masks that miss the prefix.
+    Sparse vectors skip the masks that miss the prefix.
+
+    Dense vectors all have one mask, which skips nothing.  They are pruned by angles
+    instead: the right side is dealt to the nearest of a few pivots (``operators.cells``),
+    each cell with the smallest and largest angle to its pivot.  By the triangle
+    inequality a left row within ``acos(t)`` of a right row is as close in its angle to
+    any pivot, so a left row joins only with the cells whose interval it reaches, and a
+    pair gets its dot product only if the two angles to the pivot differ by less.
 
     The right side (new articles) is packed into blocks and broadcast only after
     a size check (rows x vector width <= ``BROADCAST_INDEX_BYTES``).  Beyond it
@@ -25,10 +31,14 @@ Jaccard (set overlap)
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemap.functions.scalar import blend_score, dot, l2_norm
+from tastemap.operators.cells import ANGLE_EPS, n_cells, pivots_of, with_angles, with_cell
+from tastemap.session import materialise
 
 _EPS = 1e-9
 
@@ -82,6 +92,7 @@ MASK_BITS = 64
 MAX_MASKS = 4096        # distinct masks that a left row looks through
 FEW_BITS = 12           # masks folded to this width are never more than MAX_MASKS
 BLOCK_ROWS = 256        # right rows packed together
+DENSE_ROWS = 256        # a dense right side of fewer rows is one cell
 
 
 def _mask(dims: Column, bits: int = MASK_BITS) -> Column:
@@ -103,36 +114,67 @@ def prepare_left(left: DataFrame, left_keys: list[str], left_vec: str,
     return with_prefix(lu.select(*left_keys, "_lu"), "_lu", threshold, "_pre")
 
 
+def _masked(lu: DataFrame, ru: DataFrame, left_keys: list[str], bits: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides keyed by ``_rm``: the right side's masks, and those that a left prefix meets."""
+    ru = ru.withColumn("_rm", _mask(F.col("_nz"), bits)).drop("_nz")
+    masks = ru.agg(F.collect_set("_rm").alias("m")).select("m").scalar()
+    probe = lu.select(*left_keys, "_lu", _mask(F.col("_pre"), bits).alias("_pm"), masks.alias("_ms"))
+    return probe.select(*left_keys, "_lu", F.lit(0.0).alias("_la"), F.explode(F.filter(
+        "_ms", lambda m: m.bitwiseAND(F.col("_pm")) != 0)).alias("_rm")), ru.withColumn("_ra", F.lit(0.0))
+
+
+def _celled(lu: DataFrame, ru: DataFrame, left_keys: list[str], n: int,
+            near: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides keyed by ``_rm``: the right side's cells, and those that a left row reaches;
+    ``_la`` and ``_ra`` are the angles to the cell's pivot."""
+    pivots = pivots_of(ru, "_ru", n_cells(n))
+    ru = with_cell(ru.drop("_nz"), "_ru", pivots, "_rm", "_ra")
+    info = ru.groupBy("_rm").agg(F.min("_ra").alias("lo"), F.max("_ra").alias("hi"))
+    by_cell = F.map_from_entries(F.collect_list(F.struct("_rm", F.struct("lo", "hi"))))
+    cells = info.agg(by_cell.alias("m")).select(F.transform(
+        F.array(*[F.lit(i) for i in range(len(pivots))]), lambda i: F.col("m")[i]).alias("c")).scalar()
+    probe = with_angles(lu.select(*left_keys, "_lu"), "_lu", pivots, "_al").withColumn("_cl", cells)
+    # the angles enter as an argument: inside the lambda they would be computed for every cell
+    reach = F.filter(F.transform(F.arrays_zip("_cl", "_al"), lambda z, i: F.struct(
+        i.alias("_rm"), z["_al"].alias("_la"), z["_cl"]["lo"].alias("lo"), z["_cl"]["hi"].alias("hi"))),
+        lambda c: (c["_la"] - c["hi"] < near) & (c["lo"] - c["_la"] < near))
+    return probe.select(*left_keys, "_lu", F.inline(reach)).drop("lo", "hi"), ru
+
+
 def cosine_candidates(lu: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
-                      right_vec: str, broadcast_bytes: int) -> DataFrame:
-    """(left keys, _lu, right keys, _ru): every pair whose right vector is non-zero on a
-    prefix dimension (up to folding), each once."""
+                      right_vec: str, broadcast_bytes: int, threshold: float = 0.0) -> DataFrame:
+    """(left keys, _lu, right keys, _ru): every pair that can exceed ``threshold``, each once
+    (sparse sides: a right vector non-zero on a prefix dimension, up to folding; dense
+    sides: angles to a pivot that allow it)."""
     ru = (with_unit(right.select(*right_keys, right_vec), right_vec, "_ru")
           .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
-    ru = ru.withColumn("_nz", nonzero_dims(F.col("_ru")))
+    # read several times below: computed once
+    ru = materialise(ru.withColumn("_nz", nonzero_dims(F.col("_ru"))), "cosine-right")
     r = ru.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_ru")).alias("k"),
                F.approx_count_distinct(_mask(F.col("_nz"))).alias("m")).first()
     n, width = int(r["n"] or 0), int(r["k"] or 0)
-    bits = MASK_BITS if r["m"] <= MAX_MASKS // 2 else FEW_BITS
-    ru = ru.select(*right_keys, "_ru", _mask(F.col("_nz"), bits).alias("_rm"))
+    near = math.acos(min(1.0, threshold)) + ANGLE_EPS
+    if r["m"] == 1 and n >= DENSE_ROWS:
+        probe, ru = _celled(lu, ru, left_keys, n, near)
+    else:
+        probe, ru = _masked(lu, ru, left_keys, MASK_BITS if r["m"] <= MAX_MASKS // 2 else FEW_BITS)
     size = n * (8 * width + 64)
-    masks = ru.agg(F.collect_set("_rm").alias("m")).select("m").scalar()
-    probe = lu.select(*left_keys, "_lu", _mask(F.col("_pre"), bits).alias("_pm"), masks.alias("_ms"))
-    probe = probe.select(*left_keys, "_lu", F.explode(F.filter(
-        "_ms", lambda m: m.bitwiseAND(F.col("_pm")) != 0)).alias("_rm"))
     if size <= broadcast_bytes:
         chunk = F.pmod(F.xxhash64(*right_keys), F.lit(max(1, -(-n // BLOCK_ROWS))))
         blocks = ru.groupBy("_rm", chunk.alias("_c")).agg(
-            F.collect_list(F.struct(*right_keys, "_ru")).alias("_rows")).drop("_c")
-        return (probe.join(F.broadcast(blocks), "_rm")
-                .select(*left_keys, "_lu", F.inline("_rows")))
+            F.collect_list(F.struct(*right_keys, "_ru", "_ra")).alias("_rows")).drop("_c")
+        pairs = (probe.join(F.broadcast(blocks), "_rm")
+                 .select(*left_keys, "_lu", F.inline(F.filter(
+                     "_rows", lambda x: F.abs(x["_ra"] - F.col("_la")) < near))))
+        return pairs.select(*left_keys, "_lu", *right_keys, "_ru")
     parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     across = max(1, -(-size // max(broadcast_bytes, 1 << 20)))      # parts of at least 1 MB
     down = max(1, -(-parts // across))
     cells = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
     probe = probe.withColumn("_d", F.pmod(F.xxhash64(*left_keys), F.lit(down))).withColumn("_a", cells(across))
     ru = ru.withColumn("_a", F.pmod(F.xxhash64(*right_keys), F.lit(across))).withColumn("_d", cells(down))
-    return probe.join(ru, ["_rm", "_a", "_d"]).select(*left_keys, "_lu", *right_keys, "_ru")
+    return (probe.join(ru, ["_rm", "_a", "_d"]).where(F.abs(F.col("_ra") - F.col("_la")) < near)
+            .select(*left_keys, "_lu", *right_keys, "_ru"))
 
 
 def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
@@ -147,7 +189,7 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     limit = BROADCAST_INDEX_BYTES if broadcast_bytes is None else broadcast_bytes
     lu = prepared_left if prepared_left is not None else prepare_left(
         left, left_keys, left_vec, threshold)
-    j = cosine_candidates(lu, right, left_keys, right_keys, right_vec, limit)
+    j = cosine_candidates(lu, right, left_keys, right_keys, right_vec, limit, threshold)
     return (j.select(*left_keys, *right_keys, dot("_lu", "_ru").alias(out))
             .where(F.col(out) > F.lit(threshold)))
 

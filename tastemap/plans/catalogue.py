@@ -24,6 +24,8 @@ R = 6  # rounding of floating results
 SCAN_LIMIT = 100
 WORD_TOPK = 20
 TOP_TOPICS = 3
+TOP_VECTORS = 5
+NEIGHBOUR_COSINE = 0.3
 LONG_DOC_CHARS = 5000
 
 
@@ -495,6 +497,22 @@ def q_lda_online(spark, d):
     return q_lda_topics(spark, d, optimizer="online")
 
 
+def q_top_inner_product(spark, d):
+    """The 5 topic vectors with the largest inner product for every morning profile."""
+    from tastemap.operators.mips import top_items
+    vec = TD.table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("features"))
+    users = morning_profiles(spark, d).withColumnRenamed("topic", "features")
+    top = top_items(users, vec, TOP_VECTORS, "user_id", "vec_id").rows
+    return top.select("user_id", "vec_id", "rk", _r("score"))
+
+
+def q_topic_neighbours(spark, d):
+    """All topic vectors near each morning profile (dense right side: pruned by angles)."""
+    vec = TD.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    near = S.cosine_join(morning_profiles(spark, d), vec, ["user_id"], ["vec_id"], "topic", "v", NEIGHBOUR_COSINE)
+    return near.select("user_id", "vec_id", _r("sim"))
+
+
 def q_cf_recommend(spark, d):
     """Per user: how many distinct items are recommended, how many of them are rated
     items with the id last seen for their key, and whether ranks run from 1."""
@@ -625,6 +643,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lda_topics": q_lda_topics,
     "lda_describe": q_lda_describe,
     "lda_online": q_lda_online,
+    "top_inner_product": q_top_inner_product,
+    "topic_neighbours": q_topic_neighbours,
     "cf_recommend": q_cf_recommend,
     "cf_text_ids": q_cf_text_ids,
     "stream_recommend": q_stream_recommend,

@@ -402,6 +402,17 @@ ORACLE: dict[str, str] = {
     "lda_describe": sql("vt vocab", f"""SELECT CAST(unnest(range({P.n_topics})) AS INTEGER) AS topic,
         (SELECT least(10, count(*)) FROM vocab) AS n_terms, (SELECT least(10, count(*)) FROM vocab) AS n_known,
         true AS positive"""),
+    "top_inner_product": sql(TOPIC + " mprof", f"""SELECT user_id, vec_id, CAST(rk AS INTEGER) AS rk,
+        round(score, 6) AS score FROM (
+          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, vec_id) AS rk FROM (
+            SELECT p.user_id, v.vec_id, sum(p.x * v.x) AS score FROM mprof p JOIN vec v ON v.k = p.k
+            GROUP BY p.user_id, v.vec_id)) WHERE rk <= {C.TOP_VECTORS}"""),
+    "topic_neighbours": sql(TOPIC + " mprof", f"""SELECT user_id, vec_id, round(dp / (nu * nv), 6) AS sim FROM (
+          SELECT p.user_id, v.vec_id, sum(p.x * v.x) AS dp FROM mprof p JOIN vec v ON v.k = p.k
+          GROUP BY p.user_id, v.vec_id)
+        JOIN (SELECT user_id, sqrt(sum(x * x)) AS nu FROM mprof GROUP BY user_id) USING (user_id)
+        JOIN (SELECT vec_id, sqrt(sum(x * x)) AS nv FROM vec GROUP BY vec_id) USING (vec_id)
+        WHERE dp / (nu * nv) > {C.NEIGHBOUR_COSINE}"""),
     "cf_recommend": sql(BASE, f"""SELECT user_id, n AS n_items, n AS n_known, CAST(n AS INTEGER) AS last_rank
         FROM (SELECT DISTINCT user_id, (SELECT least({P.cf_items}, count(DISTINCT doc_id)) FROM ulog) AS n
               FROM ulog)"""),

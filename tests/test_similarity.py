@@ -168,6 +168,33 @@ def test_candidates_are_made_once_and_pruned_when_sparse(spark, broadcast):
             assert len(pairs) < 60 * 25 / 3
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_dense_pairs_are_pruned_by_angles(spark, broadcast, monkeypatch):
+    """Clustered dense vectors: few pairs become candidates; scattered ones stay exact, too."""
+    monkeypatch.setattr(S, "DENSE_ROWS", 64)
+    rng = np.random.default_rng(17)
+    def side(n, centres, noise):
+        x = centres[rng.integers(0, len(centres), n)] + noise * rng.normal(size=(n, 12))
+        return [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    for centres, noise, t in ((rng.normal(size=(9, 12)), 0.05, 0.8), (np.zeros((1, 12)), 1.0, 0.3)):
+        L, R = side(150, centres, noise), side(110, centres, noise)
+        ldf = spark.createDataFrame(L, "user_id long, v array<double>")
+        rdf = spark.createDataFrame(R, "doc_id long, w array<double>")
+        limit = 10 ** 9 if broadcast else 0
+        lu = S.prepare_left(ldf, ["user_id"], "v", t)
+        cand = S.cosine_candidates(lu, rdf, ["user_id"], ["doc_id"], "w", limit, t)
+        pairs = [(r.user_id, r.doc_id) for r in cand.select("user_id", "doc_id").collect()]
+        exp = brute_cos(L, R, t)
+        assert len(pairs) == len(set(pairs)) and set(exp) <= set(pairs)
+        if noise < 1:
+            assert len(pairs) < 0.2 * 150 * 110
+            plan = cand._jdf.queryExecution().executedPlan().toString()
+            assert "Cartesian" not in plan and "NestedLoop" not in plan
+        got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", t, broadcast_bytes=limit).collect()
+        assert {(r[0], r[1]) for r in got} == set(exp)
+        assert all(r[2] == pytest.approx(exp[(r[0], r[1])], abs=1e-12) for r in got)
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_cosine_join_long_left_short_right(spark, broadcast):
     """Left vectors longer than 64 against right vectors of at most 64 dims:
