@@ -463,6 +463,102 @@ def q_recs_append(spark, d):
     return recs.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("n_sources"))
 
 
+def q_queue_store_mark(spark, d):
+    """The queue kept in a base-and-delta store: marking writes only the entries it names."""
+    from tastemap.session import scratch_path
+    from tastemap.sources.store import mark_read_stored, queue_store
+    store = queue_store(spark, scratch_path(spark, "queue"))
+    store.transact(lambda at: {"queue": _queue(spark, d)})
+    done = TD.behaviour_log(spark, d).where(F.col("behaviour") == 4).select(
+        "doc_id", F.lit("benchmark").alias("doc_type")).distinct()
+    mark_read_stored(store, done)
+    return store.read("queue")
+
+
+# -- the jobs as users run them, on stored state -------------------------------
+
+def _profile_job(spark, d):
+    """P2 over both halves of the log; the paths of the state it leaves."""
+    from tastemap.plans import jobs as J
+    from tastemap.session import scratch_path
+    paths = J.Paths(scratch_path(spark, "job"))
+    for part in _halves(spark, d):
+        J.update_profiles(spark, part, TD.news(spark, d), paths, TD.article_topics(spark, d), params=PARAMS,
+                          train_cf=False)
+    return paths
+
+
+def _topic_rows(topics):
+    return topics.select("user_id", "bucket", F.posexplode("topic").alias("k", "topic"),
+                         F.col("news_cnt").alias("cnt")).select("user_id", "bucket", "k", _r("topic"), "cnt")
+
+
+def q_job_topics(spark, d):
+    from tastemap.plans import jobs as J
+    return _topic_rows(J.profile_store(spark, _profile_job(spark, d)).read("topics"))
+
+
+def q_job_keywords(spark, d):
+    from tastemap.plans import jobs as J
+    return J.profile_store(spark, _profile_job(spark, d)).read("keywords").select(
+        "user_id", "bucket", "term", _r("weight"))
+
+
+def q_store_compact(spark, d):
+    """Topic profiles after a month-by-month series of updates, a replayed batch and a compaction."""
+    from tastemap.session import scratch_path
+    from tastemap.sources.delta_store import DeltaStore, Table
+    base = scratch_path(spark, "store")
+    store = DeltaStore(spark, base, {"topics": Table(f"{base}/topics", P.UB)})
+    log, vecs = TD.behaviour_log(spark, d), TD.article_topics(spark, d)
+    for i in (0, 1, 2, 2):
+        delta = P.topic_delta(log.where(F.pmod("event_id", F.lit(3)) == i), vecs).checkpoint(eager=True)
+
+        def change(at, delta=delta):
+            old = store.read("topics", at, touched=delta)
+            return {"topics": P.topics_from_delta(delta) if old is None else P.merge_topics(old, delta)}
+        store.transact(change, ("log", i))
+    store.compact()
+    store.vacuum(keep=1)
+    return _topic_rows(store.read("topics"))
+
+
+def q_stream_profiles(spark, d):
+    """P2 as a stream: the text log in three files, one a micro-batch, until drained."""
+    from tastemap.plans import jobs as J
+    from tastemap.session import scratch_path
+    paths = J.Paths(scratch_path(spark, "profile-stream"))
+    lines = TD.log_lines(spark, d).where(F.col("value").isNotNull())
+    lines.repartition(3).write.text(f"{paths.base}/log")
+    source = spark.readStream.option("maxFilesPerTrigger", 1).text(f"{paths.base}/log")
+    J.start_profile_stream(spark, source, TD.news(spark, d), paths, TD.article_topics(spark, d), PARAMS,
+                           {"availableNow": True}, "long", "long").awaitTermination()
+    return _topic_rows(J.profile_store(spark, paths).read("topics"))
+
+
+def q_job_vocabulary(spark, d):
+    """P1: the vocabulary that the job stored beside its model."""
+    from dataclasses import replace
+    from tastemap.plans import jobs as J
+    from tastemap.session import scratch_path
+    paths = J.Paths(scratch_path(spark, "job-model"))
+    J.build_topic_model(spark, TD.news(spark, d), paths, replace(PARAMS, lda_iterations=2))
+    return spark.read.parquet(paths.vocab).select("idx", "term")
+
+
+def q_job_cf(spark, d):
+    """P2 with its CF model, then P4: how many picks the sink holds for every morning user."""
+    from tastemap.plans import jobs as J
+    from tastemap.session import scratch_path
+    from tastemap.sources.store import RECS_SCHEMA, read_sink
+    paths = J.Paths(scratch_path(spark, "job-cf"))
+    J.update_profiles(spark, TD.behaviour_log(spark, d), TD.news(spark, d), paths, TD.article_topics(spark, d),
+                      params=PARAMS)
+    J.recommend_cf(spark, paths, PARAMS)
+    return read_sink(spark, paths.recs, RECS_SCHEMA).groupBy("user_id").agg(
+        F.count_distinct("doc_id").alias("n_items"), F.max("batch_id").alias("batch_id"))
+
+
 # -- model-based: what must hold of any fitted model, after save and load -------
 
 def _topic_model(spark, d, optimizer="em"):
@@ -643,6 +739,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lda_topics": q_lda_topics,
     "lda_describe": q_lda_describe,
     "lda_online": q_lda_online,
+    "queue_store_mark": q_queue_store_mark,
+    "job_topics": q_job_topics,
+    "job_keywords": q_job_keywords,
+    "job_vocabulary": q_job_vocabulary,
+    "job_cf": q_job_cf,
+    "store_compact": q_store_compact,
+    "stream_profiles": q_stream_profiles,
     "top_inner_product": q_top_inner_product,
     "topic_neighbours": q_topic_neighbours,
     "cf_recommend": q_cf_recommend,

@@ -1,9 +1,11 @@
 """The five jobs of the original system as compositions of the operators.
 
 Every job reads tables, runs DataFrame plans and writes tables; nothing is
-looped over per user or per article on the driver.  Stored state lives in
-versioned folders (``<base>/topics/v=N``, ``<base>/keywords/v=N``) and the
-recommendation table (``<base>/recs``, partition ``batch_id``).
+looped over per user or per article on the driver.  Profiles live in a
+base-and-delta store (``sources.delta_store``; tables ``<base>/topics`` and
+``<base>/keywords``, log ``<base>/profiles``): an update reads and writes only the
+(user, bucket) entries its log touches.  The recommendation table is ``<base>/recs``,
+partition ``batch_id``.
 
 * P1 ``build_topic_model``   corpus -> vocabulary + LDA model (saved)
 * P2 ``update_profiles``     log -> merged topic/keyword profiles (new versions) + CF model
@@ -24,6 +26,7 @@ from tastemap.operators import cf, profile as P, similarity as S, text as T, top
 from tastemap.operators.blend import blend_lists, quota_bound
 from tastemap.sources import news as N
 from tastemap.sources import store as ST
+from tastemap.sources.delta_store import DeltaStore, Table
 from tastemap.session import ensure_checkpoint_dir
 
 
@@ -57,26 +60,32 @@ class Paths:
 UB = ["user_id", "bucket"]
 
 
+def profile_store(spark: SparkSession, paths: Paths) -> DeltaStore:
+    return DeltaStore(spark, paths.profiles, {"topics": Table(paths.topics, UB),
+                                              "keywords": Table(paths.keywords, UB)})
+
+
 def _committed(spark: SparkSession, paths: Paths) -> dict[str, int] | None:
     """The versions of the topic and keyword tables that belong together."""
+    if paths.n_buckets == 0:
+        version = profile_store(spark, paths).snapshot().version
+        return None if version < 0 else {"topics": version, "keywords": version}
     last = ST.read_latest(spark, paths.profiles)
     return None if last is None else last.first().asDict()
 
 
 def _read_state(spark: SparkSession, paths: Paths, kind: str) -> DataFrame | None:
     """The committed profile table, or None before the first update."""
+    if paths.n_buckets == 0:
+        return profile_store(spark, paths).read(kind)
     versions = _committed(spark, paths)
     if versions is None:
         return None
-    if paths.n_buckets > 0:
-        return ST.read_table_version(spark, f"{paths.table_prefix}{kind}", versions[kind])
-    return ST.read_version(spark, getattr(paths, kind), versions[kind])
+    return ST.read_table_version(spark, f"{paths.table_prefix}{kind}", versions[kind])
 
 
 def _write_state(spark: SparkSession, df: DataFrame, paths: Paths, kind: str) -> int:
-    if paths.n_buckets > 0:
-        return ST.write_table_version(spark, df, f"{paths.table_prefix}{kind}", UB, paths.n_buckets)
-    return ST.write_version(spark, df, getattr(paths, kind))
+    return ST.write_table_version(spark, df, f"{paths.table_prefix}{kind}", UB, paths.n_buckets)
 
 
 def _commit(spark: SparkSession, paths: Paths, versions: dict[str, int]) -> None:
@@ -123,13 +132,15 @@ def article_topics_from_model(model: TP.TopicModel, news: DataFrame, doc_ids: Da
 
 def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths: Paths,
                     article_topics: DataFrame | None = None, model: TP.TopicModel | None = None,
-                    params: Params = DEFAULT_PARAMS, train_cf: bool = True) -> tuple[int, int]:
+                    params: Params = DEFAULT_PARAMS, train_cf: bool = True,
+                    batch: tuple[str, int] | None = None) -> tuple[int, int]:
     """P2: merge the log into the stored profiles; returns the new versions.
 
     ``log``: (user_id, doc_id, behaviour, weight, bucket, ts), doc_id being the key
     of the article in the corpus; with ``article_id``, the published id of the article,
     the CF model keeps the last id seen for each key.  Topic vectors come from
-    ``article_topics`` or are inferred with ``model``.
+    ``article_topics`` or are inferred with ``model``.  ``batch`` = (producer, number)
+    makes the update exactly-once: a batch already merged adds nothing.
     """
     # the log feeds five aggregations: parse it once and keep the typed rows in
     # the shared checkpoint folder (also cuts the lineage before the merges)
@@ -140,24 +151,58 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
         model = model or TP.TopicModel.load(paths.model)
         article_topics = article_topics_from_model(model, news, log)
     delta = P.topic_delta(log, article_topics)
-    old_t = _read_state(spark, paths, "topics")
-    topics = P.topics_from_delta(delta) if old_t is None else P.merge_topics(old_t, delta)
-    vt = _write_state(spark, topics, paths, "topics")
-
     # article keywords: IDF over the whole corpus (the read articles are part of
     # it) from the stored frequencies; only the articles read here are tokenised
     read = N.select_keys(_corpus(news), log.where("doc_id IS NOT NULL").select("doc_id").distinct(),
                          "doc_id", "doc_id")
     kw = T.keywords_with_df(read, corpus_doc_freq(spark, news, paths), params.keywords_per_doc, keep_raw=True)
     new_kw = P.keyword_delta(log, kw, params.keywords_per_update)
-    old_k = _read_state(spark, paths, "keywords")
-    keywords = (P.initial_keywords(new_kw) if old_k is None else
-                P.merge_keywords(old_k, new_kw, params.keyword_existing, params.keyword_threshold))
-    vk = _write_state(spark, keywords, paths, "keywords")
-    _commit(spark, paths, {"topics": vt, "keywords": vk})
+
+    def merged(old_t: DataFrame | None, old_k: DataFrame | None) -> dict[str, DataFrame]:
+        return {"topics": P.topics_from_delta(delta) if old_t is None else P.merge_topics(old_t, delta),
+                "keywords": (P.initial_keywords(new_kw) if old_k is None else
+                             P.merge_keywords(old_k, new_kw, params.keyword_existing, params.keyword_threshold))}
+
+    if paths.n_buckets > 0:
+        new = merged(_read_state(spark, paths, "topics"), _read_state(spark, paths, "keywords"))
+        versions = {kind: _write_state(spark, new[kind], paths, kind) for kind in ("topics", "keywords")}
+        _commit(spark, paths, versions)
+    else:
+        # read again for every attempt of the commit, and to find the touched entries
+        delta, new_kw = delta.checkpoint(eager=True), new_kw.checkpoint(eager=True)
+        store = profile_store(spark, paths)
+        at = store.transact(lambda at: merged(store.read("topics", at, touched=delta),
+                                              store.read("keywords", at, touched=new_kw)), batch)
+        versions = {"topics": at.version, "keywords": at.version}
     if train_cf:
         cf.train(log, params).save(paths.cf)
-    return vt, vk
+    return versions["topics"], versions["keywords"]
+
+
+def start_profile_stream(spark: SparkSession, lines: DataFrame, news: DataFrame, paths: Paths,
+                         article_topics: DataFrame | None = None, params: Params = DEFAULT_PARAMS,
+                         trigger: dict | None = None, user_type: str = "string", key_type: str = "string"):
+    """P2 as a stream: behaviour-log lines (streaming ``value`` column) are merged into the
+    stored profiles one micro-batch at a time.  Each batch is committed together with its
+    number under the id of the stream's checkpoint, so a batch that Spark replays after a
+    crash is merged exactly once.  Unusable lines are left out (``sources.log`` says why).
+    Users and row keys arrive as text and are cast to the given types.  Returns the
+    StreamingQuery."""
+    from tastemap.sources.log import parse_log
+    from tastemap.streaming.recommend import stream_job
+
+    checkpoint = f"{paths.base}/profile-checkpoint"
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        good, _bad = parse_log(batch, weights=params.behaviour_weights)
+        log = good.select(F.col("user_id").try_cast(user_type).alias("user_id"),
+                          F.col("rowkey").try_cast(key_type).alias("doc_id"),
+                          "behaviour", "weight", "bucket", "ts").where("user_id IS NOT NULL AND doc_id IS NOT NULL")
+        update_profiles(batch.sparkSession, log, news, paths, article_topics, params=params, train_cf=False,
+                        batch=(stream_job(batch.sparkSession, checkpoint), batch_id))
+
+    w = lines.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
 def start_news_stream(spark: SparkSession, source: DataFrame, news: DataFrame, paths: Paths,

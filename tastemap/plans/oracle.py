@@ -434,3 +434,11 @@ ORACLE: dict[str, str] = {
     "user_dictionary": sql(BASE, """SELECT DISTINCT user_id, CAST(user_id AS INTEGER) AS user_idx
         FROM ulog"""),
 }
+
+# the same state, left by the jobs, the store and the stream
+for name, same in (("job_topics", "topic_merge"), ("store_compact", "topic_merge"), ("stream_profiles", "topic_merge"),
+                   ("job_keywords", "keyword_merge_add"), ("queue_store_mark", "queue_mark_read")):
+    ORACLE[name] = ORACLE[same]
+ORACLE["job_vocabulary"] = f"SELECT idx, term FROM ({ORACLE['vocabulary']})"
+ORACLE["job_cf"] = sql(BASE, f"""SELECT DISTINCT user_id, (SELECT least({P.cf_items}, count(DISTINCT doc_id))
+    FROM ulog) AS n_items, 0 AS batch_id FROM ulog WHERE bucket = {MORNING}""")

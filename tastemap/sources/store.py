@@ -14,24 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_COMMITTED = "_SUCCESS"
-
+from tastemap.sources.delta_store import DeltaStore, Table, table_store
+from tastemap.sources.files import hadoop_fs, put_if_absent
 
-def _hadoop_fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+_COMMITTED = "_SUCCESS"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop_fs(spark, path)
+    fs, p = hadoop_fs(spark, path)
     return bool(fs.exists(p))
 
 
 def list_versions(spark: SparkSession, base: str, committed_only: bool = True) -> list[int]:
     """Version numbers under ``base``; by default only committed ones (with
     the job-commit marker), which are the only ones readers see."""
-    fs, p = _hadoop_fs(spark, base)
+    fs, p = hadoop_fs(spark, base)
     if not fs.exists(p):
         return []
     out = []
@@ -46,6 +43,12 @@ def list_versions(spark: SparkSession, base: str, committed_only: bool = True) -
 
 
 def read_latest(spark: SparkSession, base: str) -> DataFrame | None:
+    """The current rows of a stored table: of its store (``delta_store``), or the highest
+    committed version folder; None when there are none."""
+    found = table_store(spark, base)
+    if found is not None:
+        store, name = found
+        return store.read(name)
     v = list_versions(spark, base)
     return spark.read.parquet(f"{base}/v={v[-1]}") if v else None
 
@@ -70,7 +73,7 @@ def write_version(spark: SparkSession, df: DataFrame, base: str) -> int:
 
 
 def _batches(spark: SparkSession, base: str, job: str) -> list[int]:
-    fs, p = _hadoop_fs(spark, f"{base}/job={job}")
+    fs, p = hadoop_fs(spark, f"{base}/job={job}")
     if not fs.exists(p):
         return []
     names = [st.getPath().getName() for st in fs.listStatus(p)]
@@ -80,12 +83,15 @@ def _batches(spark: SparkSession, base: str, job: str) -> list[int]:
 def append_batch(df: DataFrame, base: str, batch_id: int | None = None, job: str = "batch") -> int:
     """Append one batch as partition (job, batch_id); returns the batch id.
 
-    ``batch_id=None`` appends after the job's batches so far.  A given id names a
-    batch that may be replayed: its rows replace the ones of an earlier attempt.
-    Producers (stream, CF job, hybrid job) never touch each other's batches."""
+    ``batch_id=None`` appends after the job's batches so far: the number is claimed by
+    creating a marker file that must not exist, so two runs at once take two numbers.  A
+    given id names a batch that may be replayed: its rows replace the ones of an earlier
+    attempt.  Producers (stream, CF job, hybrid job) never touch each other's batches."""
     if batch_id is None:
         have = _batches(df.sparkSession, base, job)
         batch_id = have[-1] + 1 if have else 0
+        while not put_if_absent(df.sparkSession, f"{base}/_claims/job={job}/{batch_id}", ""):
+            batch_id += 1
     df.write.mode("overwrite").parquet(f"{base}/job={job}/batch_id={int(batch_id)}")
     return int(batch_id)
 
@@ -93,7 +99,7 @@ def append_batch(df: DataFrame, base: str, batch_id: int | None = None, job: str
 def read_sink(spark: SparkSession, base: str, schema: str) -> DataFrame:
     """Read an append sink; the key types are those of the stored rows.  A sink
     without a batch yet (or without a folder) reads as an empty ``schema``."""
-    fs, p = _hadoop_fs(spark, base)
+    fs, p = hadoop_fs(spark, base)
     jobs = ([st.getPath().getName()[4:] for st in fs.listStatus(p)
              if st.getPath().getName().startswith("job=")] if fs.exists(p) else [])
     if not any(_batches(spark, base, j) for j in jobs):
@@ -141,6 +147,19 @@ def mark_read(queue: DataFrame, done: DataFrame) -> DataFrame:
                     (F.col("has_read") | F.coalesce(F.col("_m"), F.lit(False))).alias("has_read"))
 
 
+def queue_store(spark: SparkSession, base: str) -> DeltaStore:
+    """The stored queue: marking entries writes only those entries."""
+    return DeltaStore(spark, base, {"queue": Table(f"{base}/queue", ["doc_id", "doc_type"])})
+
+
+def mark_read_stored(store: DeltaStore, done: DataFrame) -> int:
+    """Set has_read of the stored entries named in ``done``; returns the store's version."""
+    def change(at):
+        have = store.read("queue", at, touched=done)
+        return {} if have is None else {"queue": have.withColumn("has_read", F.lit(True))}
+    return store.transact(change).version
+
+
 # -- bucketed catalog tables (co-located merges) -----------------------------
 
 def _table(name: str, v: int) -> str:

@@ -7,7 +7,7 @@ from conftest import SF_SMALL
 from tastemap.plans.catalogue import QUERIES
 
 SKIP = {"lda_topics", "lda_describe", "lda_online", "cf_recommend", "cf_text_ids", "stream_recommend",
-        "recs_append"}
+        "recs_append", "job_vocabulary", "job_cf"}
 
 
 def plan(df):
