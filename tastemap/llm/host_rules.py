@@ -9,8 +9,10 @@
 4. Host verdicts join back to the documents.  The verdict table has one row per
    host; Spark broadcasts it when it is small and shuffles otherwise.
 
-A document is kept when it passes the base rules and its host's shrunk rate of
-documents failing any rule is at most ``max_rate``.
+A document that fails a base rule goes.  Hosts are judged by their shrunk rate of documents
+failing any rule: above ``max_rate`` a host loses all its documents; above the prior mean
+(a host worse than the typical one) it loses the documents that fail a rule of the method;
+up to the mean, such a document gets the benefit of the doubt and stays.
 
 Defined results: null text has no words (and fails the base rule); null is a
 host of its own; repeated rows count each; other columns are ignored.
@@ -31,6 +33,7 @@ from .textnum import Slice, byte_table, later_copies, range_hashes, repeated, sl
 SYMBOLS = byte_table("#*$%&|<>")
 WINDOW = 8
 MAX_RATE = 0.5
+MARGIN = 1e-9           # rates this close to the mean are not above it
 
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
@@ -91,7 +94,7 @@ def any_failed() -> Column:
 
 
 def host_verdicts(counts: DataFrame, host: str, max_rate: float = MAX_RATE) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_failed), rate shrunk by the fitted prior."""
+    """(host, n_docs, n_failed, rate, host_worse, host_failed), rate shrunk by the fitted prior."""
     per_host = counts.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"),
                                         F.count_if(any_failed()).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
@@ -104,14 +107,14 @@ def host_verdicts(counts: DataFrame, host: str, max_rate: float = MAX_RATE) -> D
     m, s = prior.select("m").scalar(), prior.select("s").scalar()
     rate = (F.col("n_failed") + m * s) / (F.col("n_docs") + s)
     return per_host.select(host, "n_docs", "n_failed", rate.alias("rate"),
-                           (rate > max_rate).alias("host_failed"))
+                           (rate > m + MARGIN).alias("host_worse"), (rate > max_rate).alias("host_failed"))
 
 
 def host_filter(docs: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """(doc_id, host, counts, base_failed, host_rate, kept) per document."""
     counts = stored(rule_counts(docs.select("doc_id", host, "text"), ["doc_id", host]), "rule-counts")
     verdicts = host_verdicts(counts, host, max_rate).select(
-        F.col(host).alias("_host"), F.col("rate").alias("host_rate"), "host_failed")
+        F.col(host).alias("_host"), F.col("rate").alias("host_rate"), "host_worse", "host_failed")
     j = counts.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return j.select("doc_id", host, *_COUNTS, base_failed().alias("base_failed"), "host_rate",
-                    (~base_failed() & ~F.col("host_failed")).alias("kept"))
+    kept = ~base_failed() & ~F.col("host_failed") & ~(F.col("host_worse") & any_failed())
+    return j.select("doc_id", host, *_COUNTS, base_failed().alias("base_failed"), "host_rate", kept.alias("kept"))

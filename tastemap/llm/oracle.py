@@ -60,26 +60,27 @@ grams AS (SELECT rid, p, md5(array_to_string(w[p:p + 7], chr(10))) AS g FROM pos
 twice AS (SELECT rid, p FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) >= 2),
 covered AS (SELECT rid, count(DISTINCT p + i) AS n FROM twice, range(8) t(i) GROUP BY rid),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM texts),
-dup AS (SELECT rid, sum(n - 1) AS n FROM (
+dup AS (SELECT rid, sum(n - 1) AS n, sum(n) AS filled FROM (
           SELECT rid, line, count(*) AS n FROM lines
           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line) GROUP BY rid),
 counts AS (
   SELECT doc_id, source, len(w) AS n_words,
          coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
-         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+         coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(dup.filled, 0)::BIGINT AS n_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM texts JOIN words USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN covered USING (rid)),
 marked AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
          n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR n_symbols > n_words
-         OR 2 * n_dup_lines > n_words OR word_chars > 20 * n_words AS failed
+         OR 2 * n_dup_lines > n_lines OR word_chars > 20 * n_words AS failed
   FROM counts),
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM marked GROUP BY source),
 prior AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
 strength AS (SELECT m, CASE WHEN v > 0 THEN greatest(2.0, m * (1 - m) / v - 1) ELSE 2.0 END AS s FROM prior),
-verdict AS (SELECT source, (f + m * s) / (n + s) > 0.5 AS host_failed FROM hosts, strength)
+verdict AS (SELECT source, (f + m * s) / (n + s) > 0.5 AS host_failed,
+                   (f + m * s) / (n + s) > m + 1e-9 AS host_worse FROM hosts, strength)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_failed AS kept
+       NOT base_failed AND NOT host_failed AND NOT (host_worse AND failed) AS kept
 FROM marked JOIN verdict ON marked.source IS NOT DISTINCT FROM verdict.source
 """
 

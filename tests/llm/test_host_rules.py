@@ -59,3 +59,44 @@ def test_interleaved_repeated_lines_fail(spark):
 
 def test_empty_table(no_docs):
     assert host_filter(no_docs).count() == 0
+
+
+def plain_verdicts(rows):
+    """host -> (rate, worse, failed) of {host: (n, failures)}, by the method of moments."""
+    raw = [f / n for n, f in rows.values()]
+    m = sum(raw) / len(raw)
+    v = sum((x - m) ** 2 for x in raw) / len(raw)
+    s = max(2.0, m * (1 - m) / v - 1) if v > 0 else 2.0
+    rate = {h: (f + m * s) / (n + s) for h, (n, f) in rows.items()}
+    return {h: (r, r > m + 1e-9, r > 0.5) for h, r in rate.items()}
+
+
+def test_verdicts_equal_a_plain_version_and_bite(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    symbols = " ".join(f"$%|x{i}" for i in range(40))             # fails a rule of the method only
+    hosts = {"a": (50, 20), "b": (50, 2), "c": (40, 30), "d": (3, 1), "e": (60, 6), None: (30, 0)}
+    rows, n = [], 0
+    for h, (size, bad) in hosts.items():
+        for i in range(size):
+            rows.append((n, h, symbols if i < bad else good))
+            n += 1
+    out = host_filter(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    want = plain_verdicts(hosts)
+    by_host = {r.source: r for r in out}
+    assert all(abs(by_host[h].host_rate - want[h][0]) < 1e-12 for h in hosts)
+    kept = Counter((r.source, r.kept) for r in out)
+    for h, (size, bad) in hosts.items():
+        _, worse, failed = want[h]
+        assert kept[h, True] == (0 if failed else size - bad if worse else size), h
+    assert {want[h][1:] for h in hosts} == {(True, True), (True, False), (False, False)}
+    assert not any(r.base_failed for r in out)
+
+
+def test_verdict_changes_rows_and_spares_good_documents(spark):
+    """On the given tables: documents that fail a method rule on a worse host go, no document
+    labelled good does."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    changed = host_filter(docs).where("NOT base_failed AND NOT kept").join(labels, "doc_id", "left")
+    got = {r.quality: r["count"] for r in changed.groupBy("quality").count().collect()}
+    assert sum(got.values()) > 50 and got.get(0, 0) > 10 and 1 not in got
