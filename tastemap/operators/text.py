@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tastemap.config import DEFAULT_STOP_WORDS
 from tastemap.functions.text import tokens_regex_gap, tokens_regex_match, tokens_ws
-from tastemap.session import spread
+from tastemap.session import materialise, spread
 
 TOKENIZERS = {"ws": tokens_ws, "gap": tokens_regex_gap, "match": tokens_regex_match}
 
@@ -200,6 +200,70 @@ def keywords_new_vs_corpus(new_docs: DataFrame, corpus: DataFrame, top: int = 10
                          keep_raw=keep_raw)
 
 
+FILTER_BITS = 16_384     # of a user's candidate-term filter
+
+
+def _scope_weight(x: Column, log_m: Column, df_u: Column) -> Column:
+    return x["tf"] * (log_m - F.log(x["df_c"] + df_u + 1))
+
+
+def _scope_rows(reads: DataFrame, corpus: DataFrame, top: int = 10) -> tuple[DataFrame, DataFrame, Column]:
+    """(user_id, doc_id, r, m_u, r_max) per read article, (doc_id, terms, best) per corpus
+    article that is read, and the corpus size.  ``best`` are the terms that can be among the
+    ``top`` for some user, by the bounds of ``scope_candidates`` at the largest m_u and r_max:
+    computed once an article instead of once a read."""
+    tf = term_freq(corpus, "doc_id", "words")
+    df_c = doc_freq(tf).withColumnRenamed("df", "df_c")
+    rc = reads.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("r"))
+    per_user = rc.groupBy("user_id").agg(F.sum("r").alias("m_u"), F.max("r").alias("r_max"))
+    packed = tf.join(df_c, "term").groupBy("doc_id").agg(
+        F.collect_list(F.struct("term", "tf", "df_c", F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS)).cast(
+            "int").alias("bit"))).alias("terms"))     # bounded by a document
+    packed = packed.join(rc.select("doc_id").distinct(), "doc_id", "left_semi")
+    m = corpus.select(F.count(F.lit(1))).scalar()
+    most = per_user.agg(F.max("m_u").alias("m_u"), F.max("r_max").alias("r_max"))
+    packed = packed.withColumns({"_m": m, "_mu": most.select("m_u").scalar(), "_rm": most.select("r_max").scalar()})
+    packed = packed.withColumns({"_lo": F.log(F.col("_m") + 2), "_hi": F.log(F.col("_m") + F.col("_mu") + 1)})
+    least = F.transform("terms", lambda x: _scope_weight(x, F.col("_lo"), F.least("_mu", F.col("_rm") * x["df_c"])))
+    packed = packed.withColumn("_floor", F.get(F.sort_array(least, asc=False), top - 1))
+    best = F.filter("terms", lambda x: F.col("_floor").isNull() | (
+        _scope_weight(x, F.col("_hi"), F.lit(1)) >= F.col("_floor") - 1e-5))
+    return rc.join(per_user, "user_id"), packed.select("doc_id", "terms", best.alias("best")), m
+
+
+def scope_candidates(rows: DataFrame, packed: DataFrame, m: Column, top: int,
+                     round_to: int | None) -> DataFrame:
+    """``rows`` with ``cand``: the terms of the article that can be among its ``top`` for the
+    user.  The user's frequency of a term lies between r (this article's reads) and
+    r + min(m_u - r, r_max * (df_c - 1)), the reads of all other articles with it; the
+    ``top``-th largest weight at the upper frequency is a floor that a candidate's weight at
+    the lower frequency must reach."""
+    weight = lambda x, df_u: _scope_weight(x, F.col("_l"), df_u)
+    rows = rows.join(packed.select("doc_id", "best"), "doc_id").withColumn("_l", F.log(m + F.col("m_u") + 1))
+    least = F.transform("best", lambda x: weight(x, F.col("r") + F.least(
+        F.col("m_u") - F.col("r"), F.col("r_max") * (x["df_c"] - 1))))
+    rows = rows.withColumn("_floor", F.get(F.sort_array(least, asc=False), top - 1))
+    # room for the rounding of the ranked weights: too many candidates are harmless
+    slack = 1e-9 if round_to is None else 2 * 10.0 ** -round_to
+    cand = F.filter("best", lambda x: F.col("_floor").isNull() | (weight(x, F.col("r")) >= F.col("_floor") - slack))
+    return rows.select("user_id", "doc_id", "r", "m_u", cand.alias("cand"))
+
+
+def scope_frequencies(rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """(user_id, term, r): reads of articles with a term that is a candidate of the user (or
+    takes a candidate's place in the user's filter); ``rows`` is ``scope_candidates``."""
+    marks = rows.select("user_id", F.explode(F.transform("cand", lambda x: x["bit"])).alias("_b"))
+    words = marks.groupBy("user_id", F.floor(F.col("_b") / 64).cast("int").alias("_w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, _b % 64)")).alias("_bits"))
+    filters = words.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("_w", "_bits"))).alias("_f"))
+    filters = filters.select("user_id", F.transform(
+        F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda i: F.coalesce(F.col("_f")[i], F.lit(0))).alias("_f"))
+    seen = rows.select("user_id", "doc_id", "r").join(filters, "user_id").join(packed.select("doc_id", "terms"), "doc_id")
+    kept = F.filter("terms", lambda x: F.getbit(
+        F.get("_f", F.shiftright(x["bit"], 6)), x["bit"] % 64) == 1)
+    return seen.select("user_id", "r", F.explode(F.transform(kept, lambda x: x["term"])).alias("term"))
+
+
 def keywords_user_scope(reads: DataFrame, corpus: DataFrame, top: int = 10,
                         round_to: int | None = 6) -> DataFrame:
     """As originally coded: per user, IDF over corpus ∪ the user's read
@@ -208,22 +272,21 @@ def keywords_user_scope(reads: DataFrame, corpus: DataFrame, top: int = 10,
     ``reads``: (user_id, doc_id) one row per read; ``corpus``: (doc_id, words).
     df_u(t) = df_corpus(t) + number of the user's reads containing t,
     m_u = |corpus| + |reads of u|.  One grouped plan, no per-user loop.
+
+    Only terms that can reach an article's top ``top`` are weighted (see
+    ``scope_candidates``), so the read x term rows that are shuffled for the per-user
+    frequency are those of the users' candidate terms; a fixed-size filter per user
+    (``FILTER_BITS``) keeps the others from being expanded.
     Returns (user_id, doc_id, term, weight, rk) per distinct (user, article).
     """
-    tf = term_freq(corpus, "doc_id", "words")
-    m = corpus.select(F.count(F.lit(1))).scalar()
-    df_c = doc_freq(tf).withColumnRenamed("df", "df_c")
-    rc = reads.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("r"))
-    m_u = rc.groupBy("user_id").agg(F.sum("r").alias("m_u"))
-    # the corpus frequency joins the term rows of each article, the user's total the
-    # read rows: both before the two meet, so the read x term rows are shuffled for
-    # the per-user frequency only (a window over (user, term): no self-join)
-    tfd = tf.join(df_c, "term")
-    ut = (rc.join(m_u, "user_id").join(tfd, "doc_id")
-          .withColumn("df_u", F.sum("r").over(Window.partitionBy("user_id", "term"))))
-    w = ut.select("user_id", "doc_id", "term",
-                  (F.col("tf") * F.log((F.lit(m) + F.col("m_u") + 1)
-                                       / (F.col("df_c") + F.col("df_u") + 1))).alias("weight"))
+    rc, packed, m = _scope_rows(reads, corpus, top)
+    packed = materialise(packed, "scope-articles")
+    rows = materialise(scope_candidates(rc, packed, m, top, round_to), "scope-candidates")
+    df_u = scope_frequencies(rows, packed).groupBy("user_id", "term").agg(F.sum("r").alias("df_u"))
+    each = rows.select("user_id", "doc_id", "m_u", F.inline("cand")).drop("bit")
+    w = each.join(df_u, ["user_id", "term"]).select(
+        "user_id", "doc_id", "term",
+        (F.col("tf") * F.log((m + F.col("m_u") + 1) / (F.col("df_c") + F.col("df_u") + 1))).alias("weight"))
     return top_per_group(w, ["user_id", "doc_id"], "weight", top, rank_col="rk",
                          round_to=round_to)
 

@@ -109,3 +109,39 @@ def test_added_documents_bring_their_terms(spark):
     both = stored.unionByName(T.doc_freq_delta(added))
     got = T.keywords_with_df(later.where("doc_id = 3"), both, 2)
     assert {r.term for r in got.collect()} == {"zebra", "quagga"}
+
+
+def test_user_scope_equals_plain_python_and_expands_less(spark):
+    """Candidates, filter and floor: same rows as weighting every read x term; hot user included."""
+    import math
+    import random
+    from collections import Counter
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(3000)]
+    docs = {d: Counter(rng.choices(vocab, [1 / (i + 1) for i in range(3000)], k=120)) for d in range(60)}
+    corpus = spark.createDataFrame([(d, " ".join(c.elements())) for d, c in docs.items()] + [(90, None), (91, "")],
+                                   "doc_id long, words string")
+    reads = [(u, rng.randrange(60)) for u in range(12) for _ in range(rng.randrange(1, 25))]
+    reads += [(99, rng.randrange(60)) for _ in range(200)] + [(None, 3), (5, 777), (5, 90)]
+    df = Counter(t for c in docs.values() for t in c)
+    want = {}
+    for u in {u for u, _ in reads if u is not None}:
+        own = Counter(d for x, d in reads if x == u)
+        m = len(docs) + 2 + sum(own.values())
+        df_u = Counter()
+        for d, r in own.items():
+            for t in docs.get(d, ()):
+                df_u[t] += r
+        for d in own:
+            w = [(-round(n * math.log((m + 1) / (df[t] + df_u[t] + 1)), 6), t) for t, n in docs.get(d, {}).items()]
+            for k, (x, t) in enumerate(sorted(w)[:10], 1):
+                want[u, d, k] = (t, -x)
+    frame = spark.createDataFrame(reads, "user_id long, doc_id long")
+    got = {(r.user_id, r.doc_id, r.rk): (r.term, r.weight) for r in T.keywords_user_scope(frame, corpus).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+    rc, packed, m = T._scope_rows(frame, corpus)
+    rows = T.scope_candidates(rc, packed, m, 10, 6)
+    every = sum(len(docs.get(d, ())) for u, d in {x for x in reads if x[0] is not None})
+    assert rows.select(F.sum(F.size("cand"))).first()[0] < 0.5 * every
+    assert T.scope_frequencies(rows, packed).count() < 0.75 * every
