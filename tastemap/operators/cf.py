@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tastemap.config import DEFAULT_PARAMS, Params
 from tastemap.operators.mips import top_items
+from tastemap.sources.delta_store import DeltaStore, Table
 
 INT_MAX = 2**31 - 1
 
@@ -58,6 +59,39 @@ def index_dictionary(values: DataFrame, col: str, idx: str) -> DataFrame:
     return out.select(col, F.col("_i").cast("int").alias(idx))
 
 
+class IdDictionary:
+    """A stored, append-only dictionary id -> dense index: an id keeps its index over all
+    later runs, new ids get the next ones.
+
+    Kept as a base-and-delta table: a run writes only its new ids.  Two runs at once both
+    read the same next index, but only one can commit it; the other starts again from the
+    extended dictionary (``DeltaStore.transact``), so a range is never given out twice."""
+
+    def __init__(self, spark: SparkSession, path: str, col: str, idx: str):
+        self.spark, self.col, self.idx = spark, col, idx
+        self.store = DeltaStore(spark, f"{path}/{col}", {"ids": Table(f"{path}/{col}/ids", [col])})
+
+    def read(self) -> DataFrame | None:
+        return self.store.read("ids")
+
+    def extend(self, values: DataFrame) -> DataFrame:
+        """The dictionary with every id of ``values``."""
+        values = values.where(F.col(self.col).isNotNull()).select(self.col).distinct()
+
+        def change(at):
+            have = self.store.read("ids", at)
+            if have is None:
+                return {"ids": index_dictionary(values, self.col, self.idx)}
+            new = index_dictionary(values.join(have.select(self.col), self.col, "left_anti"), self.col, self.idx)
+            start = (have.agg(F.max(self.idx)).first()[0] + 1) if not have.isEmpty() else 0
+            n = new.count()
+            if start + n - 1 > INT_MAX:
+                raise ValueError(f"{self.col}: more than 2^31-1 distinct values")
+            return {"ids": new.withColumn(self.idx, (F.col(self.idx) + start).cast("int"))} if n else {}
+        self.store.transact(change)
+        return self.read()
+
+
 def _integral(df: DataFrame, col: str) -> bool:
     return isinstance(df.schema[col].dataType, (T.IntegerType, T.LongType, T.ShortType))
 
@@ -118,15 +152,21 @@ class CFModel:
 
 
 def train(log: DataFrame, params: Params = DEFAULT_PARAMS, user: str = "user_id",
-          item: str = "doc_id", seed: int = 42) -> CFModel:
-    """Explicit ALS on float ratings (rank, iterations, lambda from params).
+          item: str = "doc_id", seed: int = 42, ids: str | None = None) -> CFModel:
+    """Explicit ALS on float ratings (rank, iterations, lambda from params).  With ``ids``, a
+    folder, ids that need a dictionary keep their indices from run to run (``IdDictionary``).
 
     Integer ids go into ALS by a cast; only others are joined with a dictionary.
     A log with ``article_id`` and ``ts`` gives the last published id of each item."""
     r = ratings(log, user, item)
     fits = fits_int(r, [user, item])
-    users = None if fits[user] else index_dictionary(r, user, "user_idx")
-    items = None if fits[item] else index_dictionary(r, item, "item_idx")
+    def dictionary(col: str, idx: str) -> DataFrame | None:
+        if fits[col]:
+            return None
+        if ids is None:
+            return index_dictionary(r, col, idx)
+        return IdDictionary(log.sparkSession, ids, col, idx).extend(r)
+    users, items = dictionary(user, "user_idx"), dictionary(item, "item_idx")
     data = r if users is None else r.join(users, user)
     data = data if items is None else data.join(items, item)
     data = data.select((F.col(user).cast("int") if users is None else F.col("user_idx")).alias("user_idx"),

@@ -312,6 +312,34 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "words",
     return top.select((F.row_number().over(w) - 1).cast("int").alias("idx"), "term", "n")
 
 
+SUMMARY_COUNTERS = 1 << 20
+
+
+def frequent_terms(docs: DataFrame, size: int, text_col: str = "words", stopwords=None,
+                   doc_col: str = "doc_id", counters: int = SUMMARY_COUNTERS) -> DataFrame:
+    """``vocabulary`` without shuffling every distinct term: same rows.
+
+    1. Terms hash to ``counters`` counters; a counter's total is at least the count of each
+       of its terms.  A task shuffles at most ``counters`` rows, and totals of tasks add up.
+    2. The terms of the ``size`` largest counters are counted exactly: the ``size``-th
+       largest of these counts is a floor under the true one.
+    3. Only terms of counters that reach the floor can be among the ``size`` most frequent:
+       these are counted exactly.
+    Rare terms, the bulk of any vocabulary, never leave their task."""
+    t = drop_stopwords(tokens(spread(docs), doc_col, text_col, "gap"), stopwords)
+    t = t.select("term", F.pmod(F.xxhash64("term"), F.lit(counters)).cast("int").alias("_h"))
+    totals = materialise(t.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")), "term-counters")
+    largest = totals.orderBy(F.desc("_n"), "_h").limit(size).select("_h")
+    some = t.join(F.broadcast(largest), "_h").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    top = some.orderBy(F.desc("n")).limit(size).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
+    floor = top["n"] if top["k"] >= size else 1
+    reach = totals.where(F.col("_n") >= F.lit(floor)).select("_h")      # at most ``counters`` rows
+    exact = t.join(F.broadcast(reach), "_h").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    best = exact.orderBy(F.desc("n"), F.asc("term")).limit(size)
+    w = Window.orderBy(F.desc("n"), F.asc("term"))
+    return best.select((F.row_number().over(w) - 1).cast("int").alias("idx"), "term", "n")
+
+
 def count_vectors(docs: DataFrame, vocab: DataFrame, doc_col: str = "doc_id",
                   text_col: str = "words") -> DataFrame:
     """(doc_col, idx, tf): token counts restricted to the vocabulary (out-of-

@@ -25,6 +25,7 @@ SCAN_LIMIT = 100
 WORD_TOPK = 20
 TOP_TOPICS = 3
 TOP_VECTORS = 5
+TERM_COSINE = 0.5
 NEIGHBOUR_COSINE = 0.3
 LONG_DOC_CHARS = 5000
 
@@ -205,6 +206,39 @@ def q_vocabulary(spark, d):
     return T.vocabulary(_corpus(spark, d), PARAMS.vocab_size)
 
 
+def q_vocabulary_heavy(spark, d):
+    """The same vocabulary by hashed counters and an exact count of what can be in it."""
+    return T.frequent_terms(_corpus(spark, d), PARAMS.vocab_size)
+
+
+def q_term_similarities(spark, d):
+    """Vocabulary terms whose count vectors over all documents are alike."""
+    from tastemap.operators.columns import column_similarities
+    c = _corpus(spark, d)
+    counts = T.count_vectors(c, T.vocabulary(c, PARAMS.vocab_size))
+    return column_similarities(counts, "doc_id", "idx", "tf", TERM_COSINE).select("idx_a", "idx_b", _r("sim"))
+
+
+def q_id_runs(spark, d):
+    """Text ids indexed over three runs of the log: per run, how many ids there are, whether
+    their indices are dense, and how many still have the index of the run before."""
+    from tastemap.operators.cf import IdDictionary
+    from tastemap.session import scratch_path
+    log = TD.behaviour_log(spark, d).select(F.concat(F.lit("u"), "user_id").alias("user_id"),
+                                            F.col("user_id").alias("event_user"))
+    ids = IdDictionary(spark, scratch_path(spark, "ids"), "user_id", "user_idx")
+    out, before = None, None
+    for run in (1, 2, 3):
+        after = ids.extend(log.where(F.pmod("event_user", F.lit(4)) < run))
+        after = after.checkpoint(eager=True)
+        kept = 0 if before is None else after.join(before, ["user_id", "user_idx"]).count()
+        row = after.agg(F.lit(run).alias("run"), F.count(F.lit(1)).alias("n_ids"),
+                        F.count_distinct("user_idx").alias("n_idx"), F.max("user_idx").alias("last"),
+                        F.lit(kept).cast("long").alias("n_kept"))
+        out, before = row if out is None else out.unionByName(row), after
+    return out
+
+
 def q_count_vectors(spark, d):
     c = _corpus(spark, d)
     return T.count_vectors(c, T.vocabulary(c, PARAMS.vocab_size))
@@ -739,6 +773,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lda_topics": q_lda_topics,
     "lda_describe": q_lda_describe,
     "lda_online": q_lda_online,
+    "vocabulary_heavy": q_vocabulary_heavy,
+    "term_similarities": q_term_similarities,
+    "id_runs": q_id_runs,
     "queue_store_mark": q_queue_store_mark,
     "job_topics": q_job_topics,
     "job_keywords": q_job_keywords,

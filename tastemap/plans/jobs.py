@@ -50,6 +50,8 @@ class Paths:
     @property
     def cf(self): return f"{self.base}/cf"
     @property
+    def ids(self): return f"{self.base}/ids"
+    @property
     def doc_freq(self): return f"{self.base}/doc_freq"
     @property
     def profiles(self): return f"{self.base}/profiles"
@@ -175,7 +177,7 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
                                               store.read("keywords", at, touched=new_kw)), batch)
         versions = {"topics": at.version, "keywords": at.version}
     if train_cf:
-        cf.train(log, params).save(paths.cf)
+        cf.train(log, params, ids=paths.ids).save(paths.cf)
     return versions["topics"], versions["keywords"]
 
 

@@ -442,3 +442,15 @@ for name, same in (("job_topics", "topic_merge"), ("store_compact", "topic_merge
 ORACLE["job_vocabulary"] = f"SELECT idx, term FROM ({ORACLE['vocabulary']})"
 ORACLE["job_cf"] = sql(BASE, f"""SELECT DISTINCT user_id, (SELECT least({P.cf_items}, count(DISTINCT doc_id))
     FROM ulog) AS n_items, 0 AS batch_id FROM ulog WHERE bucket = {MORNING}""")
+ORACLE["vocabulary_heavy"] = ORACLE["vocabulary"]
+ORACLE["term_similarities"] = sql("vt vocab cv", f"""
+    , norm AS (SELECT idx, sqrt(sum(CAST(tf AS DOUBLE) * tf)) AS n FROM cv GROUP BY idx)
+    , dots AS (SELECT a.idx AS idx_a, b.idx AS idx_b, sum(CAST(a.tf AS DOUBLE) * b.tf) AS dp
+        FROM cv a JOIN cv b ON a.doc_id = b.doc_id AND a.idx < b.idx GROUP BY ALL)
+    SELECT idx_a, idx_b, round(dp / (x.n * y.n), 6) AS sim FROM dots
+    JOIN norm x ON x.idx = idx_a JOIN norm y ON y.idx = idx_b WHERE dp / (x.n * y.n) >= {C.TERM_COSINE} - 1e-9""")
+ORACLE["id_runs"] = sql(BASE, """
+    , runs AS (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS run)
+    , n AS (SELECT run, count(DISTINCT user_id) AS n FROM runs JOIN ulog ON ((user_id % 4) + 4) % 4 < run GROUP BY run)
+    SELECT run, n AS n_ids, n AS n_idx, CAST(n - 1 AS INTEGER) AS last,
+        coalesce(lag(n) OVER (ORDER BY run), 0) AS n_kept FROM n""")
