@@ -26,7 +26,8 @@ Cosine (threshold join)
 Jaccard (set overlap)
     Inverted index on the term: join the two (key, term) sets on the (salted)
     term, count shared terms per pair, ``shared / (nA + nB - shared)``.  Pairs
-    sharing no term have similarity 0 and are not emitted.
+    sharing no term have similarity 0 and are not emitted.  With a least similarity
+    only prefixes of the sets, rare terms first, are indexed.
 """
 
 from __future__ import annotations
@@ -206,21 +207,55 @@ def cosine_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame,
     return j.select(*pairs.columns, sim.alias(out))
 
 
+def _term_sets(df: DataFrame, keys: list[str], term: str, size: str) -> DataFrame:
+    rows = df.select(*keys, term).where(F.col(term).isNotNull()).distinct()
+    return rows.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+
+def jaccard_candidates(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                       term: str, min_sim: float, salt_buckets: int) -> DataFrame:
+    """(left keys, right keys): every pair that can have Jaccard >= ``min_sim`` > 0.
+
+    Terms are put in one order, rare ones first.  Of n terms a side indexes the first
+    ``n - ceil(min_sim * n) + 1`` (its prefix): two sets that share none of these share too
+    few of the rest.  The shared term's places in the two prefixes and the sets' sizes bound
+    the overlap that is still possible.  Frequent terms stay out of most prefixes, so the
+    index has no hot keys but those of sets made of frequent terms alone."""
+    lset, rset = _term_sets(left, left_keys, term, "_nl"), _term_sets(right, right_keys, term, "_nr")
+    df = lset.select(term).unionAll(rset.select(term)).groupBy(term).agg(F.count(F.lit(1)).alias("_df"))
+
+    def prefix(rows: DataFrame, keys: list[str], size: str, place: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("_df", term)
+        ranked = rows.join(df, term).withColumn(place, F.row_number().over(w)).drop("_df")
+        return ranked.where(F.col(place) <= F.col(size) - F.ceil(F.col(size) * min_sim - _EPS) + 1)
+
+    probe = prefix(lset, left_keys, "_nl", "_pl").withColumn("_salt", _salt(left_keys, salt_buckets))
+    index = prefix(rset, right_keys, "_nr", "_pr").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    need = F.ceil((F.col("_nl") + F.col("_nr")) * (min_sim / (1 + min_sim)) - _EPS)     # terms to share
+    # this term, at most those behind it on the shorter side, and those before it in both
+    most = F.least("_pl", "_pr") + F.least(F.col("_nl") - F.col("_pl"), F.col("_nr") - F.col("_pr"))
+    return probe.join(index, [term, "_salt"]).where(most >= need).select(*left_keys, *right_keys).distinct()
+
+
 def jaccard_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
-                 term: str = "term", salt_buckets: int = 8, out: str = "sim") -> DataFrame:
+                 term: str = "term", salt_buckets: int = 8, out: str = "sim", min_sim: float = 0.0) -> DataFrame:
     """Pairs sharing at least one term, with the Jaccard similarity of their
-    term sets.  Returns ``left_keys + right_keys + [shared, out]``."""
-    lset = left.select(*left_keys, term).where(F.col(term).isNotNull()).distinct()
-    rset = right.select(*right_keys, term).where(F.col(term).isNotNull()).distinct()
-    lset = lset.withColumn("_nl", F.count(F.lit(1)).over(Window.partitionBy(*left_keys)))
-    rset = rset.withColumn("_nr", F.count(F.lit(1)).over(Window.partitionBy(*right_keys)))
+    term sets; with ``min_sim``, those that reach it (found through prefixes, see
+    ``jaccard_candidates``).  Returns ``left_keys + right_keys + [shared, out]``."""
+    lset, rset = _term_sets(left, left_keys, term, "_nl"), _term_sets(right, right_keys, term, "_nr")
+    sim = F.col("shared") / (F.col("_nl") + F.col("_nr") - F.col("shared"))
+    keys = left_keys + right_keys
+    if min_sim > 0:
+        few = jaccard_candidates(left, right, left_keys, right_keys, term, min_sim, salt_buckets)
+        pairs = (few.join(lset, left_keys).join(rset, [*right_keys, term])
+                 .groupBy(*keys, "_nl", "_nr").agg(F.count(F.lit(1)).alias("shared")))
+        return pairs.select(*keys, "shared", sim.alias(out)).where(F.col(out) >= min_sim - _EPS)
     probe = lset.withColumn("_salt", _salt(left_keys, salt_buckets))
     index = rset.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     pairs = (probe.join(index, [term, "_salt"])
-             .groupBy(*left_keys, *right_keys, "_nl", "_nr")
-             .agg(F.count(F.lit(1)).alias("shared")))
-    sim = F.col("shared") / (F.col("_nl") + F.col("_nr") - F.col("shared"))
-    return pairs.select(*left_keys, *right_keys, "shared", sim.alias(out))
+             .groupBy(*keys, "_nl", "_nr").agg(F.count(F.lit(1)).alias("shared")))
+    return pairs.select(*keys, "shared", sim.alias(out))
 
 
 def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,

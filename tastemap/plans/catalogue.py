@@ -26,6 +26,7 @@ WORD_TOPK = 20
 TOP_TOPICS = 3
 TOP_VECTORS = 5
 TERM_COSINE = 0.5
+KEYWORD_JACCARD = 0.08
 NEIGHBOUR_COSINE = 0.3
 LONG_DOC_CHARS = 5000
 
@@ -206,6 +207,13 @@ def q_vocabulary(spark, d):
     return T.vocabulary(_corpus(spark, d), PARAMS.vocab_size)
 
 
+def q_jaccard_near(spark, d):
+    """Morning profiles and new articles whose keywords overlap by at least ``KEYWORD_JACCARD``."""
+    return S.jaccard_join(_morning_terms(spark, d), new_keywords(spark, d).select("doc_id", "term"),
+                          ["user_id"], ["doc_id"], min_sim=KEYWORD_JACCARD).select(
+        "user_id", "doc_id", "shared", _r("sim"))
+
+
 def q_vocabulary_heavy(spark, d):
     """The same vocabulary by hashed counters and an exact count of what can be in it."""
     return T.frequent_terms(_corpus(spark, d), PARAMS.vocab_size)
@@ -773,6 +781,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lda_topics": q_lda_topics,
     "lda_describe": q_lda_describe,
     "lda_online": q_lda_online,
+    "jaccard_near": q_jaccard_near,
     "vocabulary_heavy": q_vocabulary_heavy,
     "term_similarities": q_term_similarities,
     "id_runs": q_id_runs,

@@ -454,3 +454,5 @@ ORACLE["id_runs"] = sql(BASE, """
     , n AS (SELECT run, count(DISTINCT user_id) AS n FROM runs JOIN ulog ON ((user_id % 4) + 4) % 4 < run GROUP BY run)
     SELECT run, n AS n_ids, n AS n_idx, CAST(n - 1 AS INTEGER) AS last,
         coalesce(lag(n) OVER (ORDER BY run), 0) AS n_kept FROM n""")
+ORACLE["jaccard_near"] = sql(KW + " mterms " + NEW + " jac", f"""SELECT user_id, doc_id, shared, round(sim, 6) AS sim
+    FROM jac WHERE sim >= {C.KEYWORD_JACCARD} - 1e-9""")

@@ -113,6 +113,32 @@ def test_jaccard_join_matches_brute_force(spark):
         assert r["sim"] == pytest.approx(exp[(r[0], r[1])])
 
 
+@pytest.mark.parametrize("seed,t", [(1, 0.1), (2, 0.3), (3, 0.5), (4, 0.8), (5, 1.0)])
+def test_jaccard_threshold_matches_brute_force(spark, seed, t):
+    """Prefixes lose nothing, and a term that every set holds makes no candidates."""
+    rng = np.random.default_rng(seed)
+    def side(n, near):
+        out = []
+        for i in range(n):
+            own = {f"t{x}" for x in rng.zipf(1.3, int(rng.integers(1, 14))) % 60}
+            if i % 3 == 0 and near:
+                own = set(near[int(rng.integers(0, len(near)))]) ^ {f"t{int(rng.integers(0, 60))}"}
+            out.append(sorted(own | {"everywhere"}))
+        return out
+    left = side(70, None)
+    right = side(40, left)
+    L = [(u, w) for u, ws in enumerate(left) for w in ws]
+    R = [(d, w) for d, ws in enumerate(right) for w in ws]
+    ldf = spark.createDataFrame(L + [(0, None)], "user_id long, term string")
+    rdf = spark.createDataFrame(R + R[:5], "doc_id long, term string")
+    got = S.jaccard_join(ldf, rdf, ["user_id"], ["doc_id"], salt_buckets=3, min_sim=t).collect()
+    exp = {k: v for k, v in brute_jac(L, R).items() if v >= t - 1e-12}
+    assert {(r[0], r[1]) for r in got} == set(exp) and (exp or t == 1.0)
+    assert all(r["sim"] == pytest.approx(exp[r[0], r[1]]) for r in got)
+    cand = S.jaccard_candidates(ldf, rdf, ["user_id"], ["doc_id"], "term", t, 3).count()
+    assert t < 0.3 or cand < (0.7 if t < 0.5 else 0.4) * 70 * 40     # sharing a term alone: all 2,800 pairs
+
+
 def test_hybrid_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     Lv, Rv = make_vectors(rng, 30, 8), make_vectors(rng, 12, 8)
