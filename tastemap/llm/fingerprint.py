@@ -191,9 +191,17 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     own = ranged(docs).withColumn("extra", F.lit(0))
     copies = docs.join(F.broadcast(heads), F.coalesce(docs["doc_id"], low) == heads["first_id"]).select(
         *[docs[c] for c in docs.columns], F.col("_range").alias("range"), F.lit(1).alias("extra"))
-    w = Window.partitionBy("range").orderBy("extra", "doc_id", "text")
-    both = own.unionByName(copies).withColumn("next", F.lead(F.struct(*columns)).over(w))
-    return both.where("extra = 0").drop("extra", "range")
+    # a number for each range whose hash is the range's own partition: no two ranges share a task
+    tries = spark.range(32 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("part"))
+    found = tries.groupBy("part").agg(F.min("id").alias("id"))
+    by_part = F.array_sort(F.collect_list(F.struct("part", "id")))
+    places = stored(found.agg(F.transform(by_part, lambda x: x["id"]).alias("places")), "range-places")
+    both = own.unionByName(copies).withColumn("_places", places.select("places").scalar())
+    both = both.withColumn("_place", F.when(F.size("_places") == n, F.get("_places", F.col("range"))).otherwise(
+        F.col("range").cast("long")))
+    w = Window.partitionBy("_place").orderBy("extra", "doc_id", "text")
+    both = both.drop("_places").withColumn("next", F.lead(F.struct(*columns)).over(w))
+    return both.where("extra = 0").drop("extra", "range", "_place")
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
