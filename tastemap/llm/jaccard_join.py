@@ -4,7 +4,7 @@ A document's set is the hashes of its five-word windows (words lower-cased; a
 shorter non-empty text is one window).  Equal sets are one class; classes are
 joined, and copies are carried as a weight.
 
-1. Each class gets ``POSITIONS`` min-wise samples of its set: the value at a
+1. Each class gets ``POSITIONS`` (more if more runs are needed) min-wise samples of its set: the value at a
    position is the token of the set with the smallest hash under that position's
    seed.  Two sets share the token at a position with probability J.
 2. A run splits all classes on one sampled token.  Buckets of more than ``SMALL``
@@ -52,7 +52,11 @@ RECALL = 0.99999
 SMALL = 128
 BLOCK = 256
 DEPTH = 8
-_SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+HOT_SHARE = 2000
+
+
+def _seeds(positions: int) -> np.ndarray:
+    return mix(np.arange(1, positions + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = K) -> Iterator[list[np.ndarray]]:
@@ -78,12 +82,12 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = K) -> Iterator[list
         yield out
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
+def signature(tokens: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The sampled token of each position, in bounded memory for long sets."""
-    best = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(tokens), 4096):
         t = tokens[lo:lo + 4096]
-        h = t[None, :] ^ _SEEDS[:, None]
+        h = t[None, :] ^ seeds[:, None]
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
@@ -91,9 +95,11 @@ def signature(tokens: np.ndarray) -> np.ndarray:
     return best
 
 
-def signatures(docs: DataFrame, k: int = K) -> DataFrame:
+def signatures(docs: DataFrame, k: int = K, positions: int = POSITIONS) -> DataFrame:
     """(doc_id, set_a, set_b, sig array<long>): a 128-bit name of the set and its samples;
     null for documents without words."""
+    seeds = _seeds(positions)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = text_buffer(b.column("text"), lower=True)
@@ -104,7 +110,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
                         at.append(n + d)
                         name_a.append(mix(t + np.uint64(len(t))).sum())
                         name_b.append(mix(t ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum())
-                        sigs.append(signature(t))
+                        sigs.append(signature(t, seeds))
                 n += len(sets)
             if not n:
                 continue
@@ -113,7 +119,7 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
             take = pa.array(row, mask=row < 0)
             longs = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * POSITIONS, pa.int32()), pa.array(flat))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * positions, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), longs(name_a).take(take), longs(name_b).take(take), lists.take(take)],
                 ["doc_id", "set_a", "set_b", "sig"])
@@ -123,13 +129,22 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def members(docs: DataFrame, k: int = K) -> DataFrame:
+def members(docs: DataFrame, k: int = K, positions: int = POSITIONS) -> DataFrame:
     """(doc_id, rep, weight, sig): the class of every document by its smallest doc_id, the
-    number of its documents, and on the representative's row the samples of its set."""
-    named = stored(signatures(docs, k), "signatures")
-    classes = named.where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-    rows = named.join(classes, ["set_a", "set_b"], "left")
+    number of its documents, and on the representative's row the samples of its set.
+
+    Classes that hold more than 1/``HOT_SHARE`` of all documents, or more than a mean shuffle
+    partition (so at most that many), reach their documents by a broadcast; only the rest
+    meet in a shuffle."""
+    named = stored(signatures(docs, k, positions), "signatures")
+    classes = stored(named.where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "classes")
+    share = max(HOT_SHARE, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot = F.col("weight") * share >= max(named.count(), 1)
+    rows = named.join(F.broadcast(classes.where(hot)), ["set_a", "set_b"], "left")
+    met = F.col("weight").isNotNull() | F.col("set_a").isNull()
+    cold = rows.where(~met).drop("rep", "weight").join(classes.where(~hot), ["set_a", "set_b"], "left")
+    rows = rows.where(met).unionByName(cold)
     return stored(rows.select(
         "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("weight", F.lit(1)).cast("long").alias("weight"),
         F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
@@ -143,11 +158,14 @@ def runs_needed(threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold + threshold * lost)))
 
 
-def leaves(classes: DataFrame, threshold: float, small: int, recall: float) -> DataFrame:
+def leaves(classes: DataFrame, threshold: float, small: int, recall: float,
+           positions: int = POSITIONS) -> DataFrame:
     """(rep, weight, path, n, lead, a, b, large): the classes of the buckets in which the
     splitting ends, each with its bucket's size, smallest class and the hashes of its
     members; ``classes`` is (rep, weight, sig)."""
     runs = runs_needed(threshold, recall)
+    if runs > positions:
+        raise ValueError(f"{runs} runs need as many sampled positions, not {positions}")
     level = classes.select("rep", "weight", F.posexplode(F.slice("sig", 1, runs)).alias("run", "token")).select(
         "rep", "weight", F.xxhash64("run", "token").alias("path"), F.lit(None).cast("long").alias("parent_n"))
     carried = ["rep", "weight"]
@@ -171,7 +189,7 @@ def leaves(classes: DataFrame, threshold: float, small: int, recall: float) -> D
             big = big.join(classes.select("rep", "sig"), "rep")
             carried = ["rep", "weight", "sig"]
         picks = F.explode(F.array(*[
-            F.pmod(F.xxhash64(F.lit(c), "path"), F.lit(POSITIONS)).cast("int") for c in range(CHILDREN)]))
+            F.pmod(F.xxhash64(F.lit(c), "path"), F.lit(positions)).cast("int") for c in range(CHILDREN)]))
         level = big.select(*carried, "path", "parent_n", picks.alias("p")).select(
             *carried, F.xxhash64("path", "p", F.get("sig", F.col("p"))).alias("path"), "parent_n")
         if depth == 1:
@@ -342,8 +360,10 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, k: int = K, sm
                    block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) per document; ``doc_id`` must be an integer."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    member = members(docs, k)
-    rows = merged(leaves(member.where("sig IS NOT NULL").select("rep", "weight", "sig"), threshold, small, recall))
+    positions = max(POSITIONS, runs_needed(threshold, recall))      # every run samples its own
+    member = members(docs, k, positions)
+    rows = merged(leaves(member.where("sig IS NOT NULL").select("rep", "weight", "sig"), threshold, small, recall,
+                         positions))
 
     # each class with all its leaves; a cluster in blocks, each pair of blocks a group
     homes = rows.groupBy("rep").agg(F.first("weight").alias("weight"),

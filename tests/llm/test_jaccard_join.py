@@ -89,3 +89,27 @@ def test_components_of_a_long_path(spark):
                                   "rep long, other long")
     got = {r.rep: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, n)}, 101: 100}
+
+
+def test_low_thresholds_get_all_their_runs(spark):
+    """0.5 and 0.4 need more runs than the default samples: nothing is cut, links equal brute force."""
+    import random
+    from tastemap.llm.jaccard_join import jaccard_groups, leaves, runs_needed
+    assert runs_needed(0.5, RECALL) > POSITIONS
+    rng = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(24)]
+        texts.append(words)
+        for cut in (3, 5, 7, 8):
+            texts.append(words[:24 - cut] + [f"x{rng.randrange(900)}" for _ in range(cut)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    for threshold in (0.5, 0.4):
+        near = [sum(len(a & b) / len(a | b) >= threshold for b in sets) - 1 for a in sets]
+        got = {r.doc_id: r.n_links for r in jaccard_groups(docs, threshold=threshold).collect()}
+        assert [got[i] for i in range(len(sets))] == near and sum(near) > 40
+    import pytest
+    some = spark.createDataFrame([(1, 1, [0] * 4)], "rep long, weight long, sig array<long>")
+    with pytest.raises(ValueError):
+        leaves(some, 0.5, SMALL, RECALL, positions=4)
