@@ -39,6 +39,7 @@ FACTOR = 1.5
 CAP = 2.0
 ROUNDS = 10
 GROUP = 1024           # shards summed together before their running total
+SLOTS_PER_TASK = 100_000
 DOC_GROUP = 512        # documents of all sources in a group, on average
 
 
@@ -135,7 +136,9 @@ def slots(sources: DataFrame, seed: int = 7) -> DataFrame:
                   many_at=F.col("many_at"), few_at=F.col("few_at"), drawn=F.col("drawn"))
     pick = lambda f, c, i: F.get(f.select(c).scalar(), i)
 
-    each = numbered.select("shard", "s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
+    # few rows that become many: dealt out by shard before they do
+    tasks = max(1, math.ceil(total / SLOTS_PER_TASK))
+    each = numbered.repartition(tasks, "shard").select("shard", "s", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("j"))
     # the place of a slot among all that their sources have too many (negative: it stays)
     extra = F.col("j") - pick(a, "slots", F.col("s"))
     each = each.withColumn("extra", F.when(extra >= 0, extra + pick(fix, "many_at", F.col("s"))).otherwise(-1))
