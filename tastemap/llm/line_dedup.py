@@ -8,9 +8,9 @@ Plan (DataFrame operators only):
 
 1. Explode the lines once to (128-bit key hash, doc_id, position) and store
    these narrow rows; texts do not move.
-2. Keys that hold at least 1/``hot_share`` of all line rows (so at most
-   ``hot_share`` keys, whatever the data) are reduced to their first document by
-   a map-side combined aggregate and broadcast.
+2. Keys that hold at least 1/``hot_share`` of all line rows, or more than a mean
+   shuffle partition (so at most that many keys, whatever the data), are reduced to
+   their first document by a map-side combined aggregate and broadcast.
 3. All other rows are range-partitioned by the hash and sorted by (hash, doc_id,
    position); a running window streams the first document of each key.
 4. Dropped positions become one bitmap per document (64 lines a word, only the
@@ -37,9 +37,10 @@ def _text(df: DataFrame) -> Column:
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, doc_id, text_hash, pos) of every line whose key is long enough."""
-    lines = docs.select(
-        "doc_id", F.xxhash64(_text(docs)).alias("text_hash"),
-        F.posexplode(F.split(_text(docs), "\n")).alias("pos", "line"))
+    # hashed and split before the explode: beside it the text would be hashed for every line
+    split = docs.select("doc_id", F.xxhash64(_text(docs)).alias("text_hash"),
+                        F.split(_text(docs), "\n").alias("lines"))
+    lines = split.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "line"))
     keyed = lines.select("doc_id", "text_hash", "pos",
                          F.btrim("line", F.lit(WHITE)).alias("line"))
     keyed = keyed.where(F.char_length("line") >= min_chars).withColumn(
@@ -53,6 +54,8 @@ def dropped_rows(rows: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
     """The rows of ``line_rows`` whose line goes: (doc_id, text_hash, pos)."""
     out = ["doc_id", "text_hash", "pos"]
     total = rows.count()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot_share = max(hot_share, parts)
     firsts = rows.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"),
         F.max(F.isnull("doc_id")).alias("no_id"))
@@ -63,7 +66,6 @@ def dropped_rows(rows: DataFrame, hot_share: int = HOT_SHARE) -> DataFrame:
     hot_drop = rows.join(hot, ["h1", "h2"]).where(
         ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select(*out)
 
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = rows.join(hot, ["h1", "h2"], "left_anti").repartitionByRange(parts, "h1")
     w = Window.partitionBy("h1", "h2").orderBy("doc_id", "pos")
     cold_drop = cold.withColumn("first_id", F.first("doc_id").over(w)).where(

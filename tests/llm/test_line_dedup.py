@@ -54,3 +54,21 @@ def test_hot_line_and_long_document(spark):
     assert out[1001].kept_text == "and one more line here" and out[1001].n_dropped == 300
     words = keep_bitmaps(docs).where("doc_id = 1001").first().dropped
     assert len(words) == 5 and sum(bin(w & (2 ** 64 - 1)).count("1") for w in words) == 300
+
+
+def test_time_grows_with_the_lines_of_a_text(spark):
+    """A long text of many lines is hashed once, not once a line."""
+    import time
+    from pyspark.sql import functions as F
+    from tastemap.llm.line_dedup import line_dedup
+
+    def seconds(n):
+        docs = spark.range(2).select(F.col("id").alias("doc_id"), F.concat_ws("\n", F.transform(
+            F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("line number "), i.cast("string")))).alias("text"))
+        docs.write.mode("overwrite").parquet(path := f"{spark.sparkContext.getCheckpointDir()}/many-lines-{n}")
+        at = time.time()
+        rows = line_dedup(spark.read.parquet(path)).select("doc_id", "n_lines", "n_dropped").collect()
+        assert sorted(map(tuple, rows)) == [(0, n, 0), (1, n, n)]
+        return time.time() - at
+    seconds(1000)
+    assert seconds(250_000) < 60
