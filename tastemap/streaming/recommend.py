@@ -13,6 +13,7 @@ indexed side of the join.
 from __future__ import annotations
 
 import json
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,7 +147,7 @@ def start_recommend_stream(source: DataFrame, profiles, article_topics,
 
     w = (source.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint)
-         .queryName(f"recommend_{abs(hash(sink_path)) % 10**8}"))
+         .queryName(f"recommend_{zlib.crc32(sink_path.encode())}"))
     w = w.trigger(**(trigger or {"processingTime": "10 seconds"}))
     q = w.start()
     # the caller owns the query: after q.stop(), q.live_profiles.unpersist()
