@@ -1,8 +1,9 @@
 """Personal data: base patterns, and further spans by weak supervision.
 
 The base kinds (email, ip, card, phone) are fixed patterns with checks.  The
-method looks for two more kinds, ``secret`` (long tokens) and ``account`` (digit
-runs that no base pattern took):
+method looks for two more kinds, ``secret`` (long tokens) and ``account`` (runs of 7
+to 19 digits, whole or in groups joined by one space, dot, dash or bracket, and IBANs,
+that no base pattern took):
 
 1. Candidates come from a loose pattern.  Five labelers vote on each (private,
    not, or abstain): a strict pattern, a gazetteer of words before it, the
@@ -19,6 +20,8 @@ size: the vote patterns and ``BINS`` weights.
 
 The patterns are the contract's, written with possessive quantifiers and
 look-behinds so that every text is scanned in linear time and without recursion.
+The places of a text's matches are summed up in blocks, so that a text of very many
+matches takes time in proportion to them.
 
 Defined results: a null text counts as empty and has no span; repeated rows get
 equal results; extra columns are ignored.
@@ -42,16 +45,21 @@ KINDS = ["email", "ip", "card", "phone", "secret", "account"]
 
 # Loose patterns of the method's kinds.
 SECRET = r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+"
-ACCOUNT = r"(?<![0-9A-Za-z])[0-9]{7,19}+(?![0-9A-Za-z])"
+_IBAN = "[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]{4}){2,7}+(?:[ -]?[A-Z0-9]{1,3}+)?+"
+_GROUPS = r"\(?+[0-9]{1,6}(?:\) ?|[ .-])[0-9]{2,6}+(?:[ .-][0-9]{2,6}+){0,6}+"
+ACCOUNT = rf"(?<![0-9A-Za-z])(?:{_IBAN}|[0-9]{{7,19}}+|{_GROUPS})(?![0-9A-Za-z])"
+SEVEN_DIGITS = r"[0-9](?:(?:\) ?|[ .-])?[0-9]){6}"
 
 # Gazetteers: words that announce a private value.
 SECRET_WORDS = "token|secret|password|passwd|key|apikey|bearer|credential|auth"
 ACCOUNT_WORDS = "card|account|iban|ssn|tel|phone|fax|mobile|passport|id"
+_NUMBER_WORD = r"(?:\W{1,3}(?:no|nr|num|number))?+"
 
 LABELERS = 5
 EM_STEPS = 25
 BINS = 4096
 MIN_PROBABILITY = 0.5
+MATCH_BLOCK = 256
 
 
 def found(text: Column, pattern: str, likely: Column) -> Column:
@@ -62,7 +70,7 @@ def found(text: Column, pattern: str, likely: Column) -> Column:
                      F.regexp_extract_all(text, p, F.lit(0)).alias("hits"))
     kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
-    def walk(z: Column) -> Column:
+    def walk(z: Column, bases: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             gap, hit = F.get(z["gaps"], i), F.get(z["hits"], i)
             start = acc["at"] + F.char_length(gap)
@@ -71,13 +79,45 @@ def found(text: Column, pattern: str, likely: Column) -> Column:
                            F.right(gap, F.lit(24)).alias("before"),
                            F.left(F.get(z["gaps"], i + 1), F.lit(8)).alias("after"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(z["hits"]) - 1), zero, step, lambda acc: acc["out"])
 
-    some = let(parts, lambda z: F.when(F.size(z["hits"]) > 0, walk(z)))
+        def block(b: Column) -> Column:
+            last = F.least((b + 1) * MATCH_BLOCK, F.size(z["hits"])) - 1
+            zero = F.struct(F.get(bases, b).alias("at"), F.array().cast(kind).alias("out"))
+            return F.aggregate(F.sequence(b * MATCH_BLOCK, last), zero, step, lambda acc: acc["out"])
+        return F.flatten(F.transform(_blocks(F.size(z["hits"])), block))
+
+    def block_starts(z: Column) -> Column:
+        """Code points before each block of matches."""
+        def length(parts: Column, b: Column) -> Column:
+            return F.aggregate(F.slice(parts, b * MATCH_BLOCK + 1, F.lit(MATCH_BLOCK)), F.lit(0),
+                               lambda n, x: n + F.char_length(x))
+        return F.aggregate(_blocks(F.size(z["hits"])), F.array(F.lit(0)), lambda acc, b: F.concat(
+            acc, F.array(F.element_at(acc, -1) + length(z["gaps"], b) + length(z["hits"], b))))
+
+    some = let(parts, lambda z: F.when(F.size(z["hits"]) > 0, let(block_starts(z), lambda at: walk(z, at))))
     return F.coalesce(F.when(likely, some), F.array().cast(kind))
 
 
+def _blocks(n: Column) -> Column:
+    """Numbers of the blocks of n > 0 entries."""
+    return F.sequence(F.lit(0), F.floor((n - 1) / MATCH_BLOCK).cast("int"))
+
+
+def outside(spans: Column, taken: Column) -> Column:
+    """The spans that overlap none of ``taken``.  A block of spans is held against the part
+    of ``taken`` that reaches into it."""
+    def block(b: Column) -> Column:
+        mine = F.slice(spans, b * MATCH_BLOCK + 1, F.lit(MATCH_BLOCK))
+        reach = let(mine, lambda m: F.struct(
+            F.array_min(F.transform(m, lambda c: c["start"])).alias("lo"),
+            F.array_max(F.transform(m, lambda c: c["end"])).alias("hi")))
+        near = let(reach, lambda r: F.filter(taken, lambda t: (t["start"] < r["hi"]) & (r["lo"] < t["end"])))
+        return let(near, lambda near: F.filter(mine, lambda c: ~F.exists(
+            near, lambda t: (t["start"] < c["end"]) & (c["start"] < t["end"]))))
+    return F.when((F.size(spans) == 0) | (F.size(taken) == 0), spans).otherwise(
+        F.flatten(F.transform(_blocks(F.greatest(F.size(spans), F.lit(1))), block)))
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -124,16 +164,19 @@ def secret_votes(m: Column) -> list[Column]:
 
 
 def account_votes(m: Column) -> list[Column]:
-    v, n = m["value"], F.char_length(m["value"])
+    v, d = m["value"], digits(m["value"])
+    n, whole = F.char_length(d), F.rlike(m["value"], F.lit("^[0-9]+$"))
+    date = r"(?:(?:19|20)[0-9]{2}[ .-][0-9]{2}[ .-][0-9]{2}|[0-9]{2}[ .-][0-9]{2}[ .-](?:19|20)[0-9]{2})"
+    amount = r"[0-9]{1,3}(?:[ .][0-9]{3})+"
     return [
-        _vote((n >= 13) & luhn(v), (n < 13) | ~luhn(v)),
-        _vote(F.rlike(F.lower(m["before"]), F.lit(rf"\b(?:{ACCOUNT_WORDS})\W{{0,6}}$")),
-              F.rlike(m["before"], F.lit(r"\p{L} $"))),
-        _vote(F.rlike(m["before"], F.lit(r"[0-9]{4}[ -]$")) | F.rlike(m["after"], F.lit(r"^[ -][0-9]{4}")),
-              F.rlike(m["before"], F.lit(r"[$€£#%=\"]\s?$"))),
-        _vote(F.rlike(v, F.lit("^(?:4[0-9]{15}|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})$")),
-              ~n.between(13, 19)),
-        _vote(_variety(v) >= 5, _variety(v) <= 3)]
+        _vote(F.rlike(v, F.lit(rf"^(?:{_IBAN}|[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}})$")) | ((n >= 13) & luhn(d)),
+              F.rlike(v, F.lit(rf"^(?:{date}|{amount})$")) | (whole & (n >= 13))),
+        _vote(F.rlike(F.lower(m["before"]), F.lit(rf"\b(?:{ACCOUNT_WORDS}){_NUMBER_WORD}\W{{0,6}}$")),
+              F.rlike(m["before"], F.lit(r"\p{L}\W{0,6}$"))),
+        _vote(F.rlike(m["before"], F.lit(r"\p{L}\.?\s?[:#]\s?$")),
+              F.rlike(m["before"], F.lit(r"[^:#\s]\s*$")) | F.rlike(m["after"], F.lit(r"^\s?[$€£%]"))),
+        _vote(F.rlike(v, F.lit(r"^(?:[A-Z]{2}|\()|[0-9]-[0-9]")), whole & (n >= 13)),
+        _vote(_variety(d) >= 5, _variety(d) <= 3)]
 
 
 def features(kind: str, m: Column) -> Column:
@@ -165,13 +208,12 @@ def scanned(docs: DataFrame) -> DataFrame:
         return F.transform(matches, one)
 
     secret = candidates(4, found(text, SECRET, F.rlike(text, F.lit(SECRET))), secret_votes)
-    account = candidates(5, found(text, ACCOUNT, F.rlike(text, F.lit("[0-9]{7}"))), account_votes)
+    runs = F.filter(found(text, ACCOUNT, F.rlike(text, F.lit(SEVEN_DIGITS))), lambda m: F.rlike(
+        m["value"], F.lit("^[A-Z]")) | F.char_length(digits(m["value"])).between(7, 19))
+    account = candidates(5, runs, account_votes)
     base = {k: F.transform(v, span).alias(k) for k, v in base_spans(text).items()}
     rows = stored(docs.select("doc_id", *base.values(), F.concat(secret, account).alias("candidates")), "pii-scan")
-    taken = F.concat(*KINDS[:4])
-    free = F.filter("candidates", lambda c: ~F.exists(
-        taken, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return rows.withColumn("candidates", free)
+    return rows.withColumn("candidates", outside(F.col("candidates"), F.concat(*KINDS[:4])))
 
 
 def vote_probabilities(rows: DataFrame) -> DataFrame:
