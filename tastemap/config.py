@@ -54,6 +54,7 @@ class Params:
     min_similarity: float = 0.2       # ours; strict '>' threshold
     topic_weight: float = 0.7         # ours; sigma in the combined score
     keyword_weight: float = 0.3       # ours; beta in the combined score
+    keyword_floor: float = 0.0        # ours; see similarity.hybrid_join
     cf_blend_ratio: float = 0.2       # ours
     keywords_per_doc: int = 10
     keywords_per_update: int = 10

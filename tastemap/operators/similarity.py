@@ -238,6 +238,16 @@ def jaccard_candidates(left: DataFrame, right: DataFrame, left_keys: list[str],
     return probe.join(index, [term, "_salt"]).where(most >= need).select(*left_keys, *right_keys).distinct()
 
 
+def jaccard_of_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, left_keys: list[str],
+                     right_keys: list[str], term: str = "term", out: str = "sim") -> DataFrame:
+    """(keys, shared, out) of the given distinct pairs that share a term."""
+    lset, rset = _term_sets(left, left_keys, term, "_nl"), _term_sets(right, right_keys, term, "_nr")
+    keys = left_keys + right_keys
+    both = (pairs.select(*keys).join(lset, left_keys).join(rset, [*right_keys, term])
+            .groupBy(*keys, "_nl", "_nr").agg(F.count(F.lit(1)).alias("shared")))
+    return both.select(*keys, "shared", (F.col("shared") / (F.col("_nl") + F.col("_nr") - F.col("shared"))).alias(out))
+
+
 def jaccard_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                  term: str = "term", salt_buckets: int = 8, out: str = "sim", min_sim: float = 0.0) -> DataFrame:
     """Pairs sharing at least one term, with the Jaccard similarity of their
@@ -248,9 +258,8 @@ def jaccard_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_
     keys = left_keys + right_keys
     if min_sim > 0:
         few = jaccard_candidates(left, right, left_keys, right_keys, term, min_sim, salt_buckets)
-        pairs = (few.join(lset, left_keys).join(rset, [*right_keys, term])
-                 .groupBy(*keys, "_nl", "_nr").agg(F.count(F.lit(1)).alias("shared")))
-        return pairs.select(*keys, "shared", sim.alias(out)).where(F.col(out) >= min_sim - _EPS)
+        return jaccard_of_pairs(few, left, right, left_keys, right_keys, term, out).where(
+            F.col(out) >= min_sim - _EPS)
     probe = lset.withColumn("_salt", _salt(left_keys, salt_buckets))
     index = rset.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
     pairs = (probe.join(index, [term, "_salt"])
@@ -263,20 +272,32 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
                 left_keys: list[str], right_keys: list[str],
                 left_vec: str, right_vec: str, threshold: float,
                 sigma: float, beta: float, term: str = "term",
-                salt_buckets: int = 8, checkpoint_pairs: bool = False) -> DataFrame:
+                salt_buckets: int = 8, checkpoint_pairs: bool = False,
+                keyword_floor: float = 0.0) -> DataFrame:
     """Pairs whose combined score ``(simT*sigma + simK*beta)/sqrt(sigma^2+beta^2)``
     exceeds ``threshold`` (exact, threshold >= 0).
 
-    A pair sharing no keyword has simK = 0, so it qualifies only if
-    ``simT > threshold*sqrt(sigma^2+beta^2)/sigma``: those come from the cosine
-    index at that threshold.  Every pair sharing a keyword comes from the
-    keyword index and gets its exact cosine.  Returns keys + sim_t, sim_k, score.
+    No cosine exceeds 1, so a pair needs ``simK >= (threshold*norm - sigma) / beta`` (norm is
+    the square root above).  The floor is this bound or ``keyword_floor``, whichever is larger:
+
+    - Pairs with simK at or above the floor come from the keyword index (through prefixes of
+      rare terms if the floor is positive, else every pair sharing a keyword) and get their
+      exact cosine.
+    - Pairs below it need ``simT > (threshold*norm - floor*beta) / sigma``: those come from the
+      cosine index at that threshold and get their exact simK.
+
+    A positive ``keyword_floor`` keeps pairs that only share frequent keywords out of the
+    index, at the price of a lower cosine threshold; it changes the plan, not the result.
+    Returns keys + sim_t, sim_k, score.
     """
     norm = (sigma * sigma + beta * beta) ** 0.5
+    floor = max((threshold * norm - sigma) / beta, keyword_floor, 0.0) if beta > 0 else 0.0
     # slightly lower bound so float rounding cannot drop a qualifying pair
-    t_topic = max(threshold * norm / sigma - 1e-12, 0.0) if sigma > 0 else float("inf")
+    t_topic = max((threshold * norm - floor * beta) / sigma - 1e-12, 0.0) if sigma > 0 else float("inf")
+    if sigma == 0:          # the cosine does not count: pairs below the bound have no other way
+        floor = threshold
     kw = jaccard_join(left_terms, right_terms, left_keys, right_keys, term,
-                      salt_buckets, out="sim_k").drop("shared")
+                      salt_buckets, out="sim_k", min_sim=floor).drop("shared")
     if checkpoint_pairs:
         # the keyword pairs are used three times below; a job whose term
         # sets are expensive to derive writes them once (reliable checkpoint)
@@ -296,14 +317,21 @@ def hybrid_join(left_vecs: DataFrame, right_vecs: DataFrame,
                       dot("_lu", "_ru")).otherwise(F.lit(0.0))
     kwt = (kw.join(lu, left_keys, "left").join(ru, right_keys, "left")
            .select(*keys, "sim_k", computed.alias("_kt")))
-    if t_topic == float("inf"):
+    if t_topic >= 1.0:      # no cosine alone suffices
         allp = kwt.select(*keys, F.col("_kt").alias("sim_t"), "sim_k")
     else:
         tp = cosine_join(left_vecs, right_vecs, left_keys, right_keys, left_vec, right_vec,
                          t_topic, out="_tt")
-        allp = (tp.join(kwt, keys, "full_outer")
-                .select(*keys, F.coalesce("_kt", "_tt").alias("sim_t"),
-                        F.coalesce("sim_k", F.lit(0.0)).alias("sim_k")))
+        if floor > 0:
+            tp = materialise(tp.join(kw.select(*keys), keys, "left_anti"), "hybrid-topic-pairs")
+            low = jaccard_of_pairs(tp, left_terms, right_terms, left_keys, right_keys, term, "sim_k")
+            allp = kwt.select(*keys, F.col("_kt").alias("sim_t"), "sim_k").unionByName(
+                tp.join(low.drop("shared"), keys, "left").select(
+                    *keys, F.col("_tt").alias("sim_t"), F.coalesce("sim_k", F.lit(0.0)).alias("sim_k")))
+        else:
+            allp = (tp.join(kwt, keys, "full_outer")
+                    .select(*keys, F.coalesce("_kt", "_tt").alias("sim_t"),
+                            F.coalesce("sim_k", F.lit(0.0)).alias("sim_k")))
     score = blend_score("sim_t", "sim_k", sigma, beta)
     return (allp.select(*keys, "sim_t", "sim_k", score.alias("score"))
             .where(F.col("score") > F.lit(threshold)))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemap.config import DEFAULT_STOP_WORDS
 from tastemap.functions.text import tokens_regex_gap, tokens_regex_match, tokens_ws
@@ -121,30 +122,62 @@ def keywords(docs: DataFrame, top: int = 10, doc_col: str = "doc_id",
                          keep_raw=keep_raw)
 
 
+def _integral(docs: DataFrame, col: str) -> bool:
+    return isinstance(docs.schema[col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+
+
 def doc_freq_delta(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "words") -> DataFrame:
     """Document frequencies of some documents, to be stored and added up:
-    (doc_id string, term, df).  A row with a term counts the documents that have
-    it; a row with a doc_id says that this document has been counted."""
-    counted = docs.where(F.col(doc_col).isNotNull()).select(
-        F.col(doc_col).cast("string").alias("doc_id"), F.lit(None).cast("string").alias("term"),
-        F.lit(0).cast("long").alias("df"))
+    (doc_id string, bucket long, bitmap binary, term, df).  A row with a term counts the
+    documents that have it; the other rows say which documents have been counted.  Whole
+    numbers are kept as bitmaps (one row of 4 KB for 32,768 ids, built map-side); other ids
+    as one row each."""
+    has = docs.where(F.col(doc_col).isNotNull())
+    if _integral(docs, doc_col):
+        key = F.col(doc_col).cast("long")
+        counted = has.groupBy(F.bitmap_bucket_number(key).alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bitmap"))
+    else:
+        counted = has.select(F.col(doc_col).cast("string").alias("doc_id"))
     terms = doc_freq(term_freq(docs, doc_col, text_col))
-    return counted.unionByName(terms.select(F.lit(None).cast("string").alias("doc_id"), "term", "df"))
+    schema = {"doc_id": "string", "bucket": "long", "bitmap": "binary", "term": "string", "df": "long"}
+
+    def full(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(c) if c in rows.columns else F.lit(0 if c == "df" else None).cast(t).alias(c)
+                             for c, t in schema.items()])
+    return full(counted).unionByName(full(terms))
+
+
+def _counted(deltas: DataFrame) -> DataFrame:
+    """(bucket, bitmap): one row per bucket of all ids that are kept as bitmaps."""
+    return deltas.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
 
 
 def added_docs(docs: DataFrame, stored: DataFrame | None, doc_col: str = "doc_id") -> DataFrame:
-    """The documents that the stored deltas have not counted yet."""
+    """The documents that the stored deltas have not counted yet.
+
+    Whole-number ids look up their bit: the join is on the bucket, with one row for 32,768
+    ids on the stored side, and at most as many distinct ids in one key.  Other ids are
+    anti-joined one by one."""
     if stored is None:
         return docs
-    seen = stored.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_seen")).distinct()
-    return docs.join(seen, F.col(doc_col).cast("string") == F.col("_seen"), "left_anti")
+    if not _integral(docs, doc_col):
+        seen = stored.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_seen")).distinct()
+        return docs.join(seen, F.col(doc_col).cast("string") == F.col("_seen"), "left_anti")
+    key = F.col(doc_col).cast("long")
+    seen = _counted(stored).select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
+    at = F.bitmap_bit_position(key)
+    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = docs.join(seen, F.bitmap_bucket_number(key) == F.col("_bucket"), "left")
+    return rows.where(F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 0).select(*docs.columns)
 
 
 def total_doc_freq(deltas: DataFrame) -> tuple[DataFrame, Column]:
     """((term, df) summed over all deltas, the number of documents counted)."""
     terms = deltas.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
-    m = deltas.where(F.col("doc_id").isNotNull()).select(F.count_distinct("doc_id")).scalar()
-    return terms, m
+    ids = deltas.where(F.col("doc_id").isNotNull()).select(F.count_distinct("doc_id")).scalar()
+    bits = _counted(deltas).select(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0))).scalar()
+    return terms, ids + bits
 
 
 def keywords_with_df(docs: DataFrame, deltas: DataFrame, top: int = 10,

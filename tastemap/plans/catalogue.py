@@ -433,15 +433,31 @@ def q_score_single(spark, d):
     return content_scores(spark, d).select("user_id", "doc_id", _r("sim"))
 
 
-def q_score_hybrid(spark, d):
+def _hybrid(spark, d, threshold, sigma, beta, floor=0.0):
     h = S.hybrid_join(morning_profiles(spark, d), TD.new_article_topics(spark, d),
                       _morning_terms(spark, d), new_keywords(spark, d).select("doc_id", "term"),
-                      ["user_id"], ["doc_id"], "topic", "topic", PARAMS.min_similarity,
-                      PARAMS.topic_weight, PARAMS.keyword_weight,
-                      salt_buckets=PARAMS.salt_buckets)
+                      ["user_id"], ["doc_id"], "topic", "topic", threshold, sigma, beta,
+                      salt_buckets=PARAMS.salt_buckets, keyword_floor=floor)
     return h.select("user_id", "doc_id", _r("sim_t"), _r("sim_k"), _r("score"))
 
 
+def q_score_hybrid(spark, d):
+    return _hybrid(spark, d, PARAMS.min_similarity, PARAMS.topic_weight, PARAMS.keyword_weight)
+
+
+def q_score_hybrid_floor(spark, d):
+    """The same rows with keyword pairs from prefixes of rare terms only."""
+    return _hybrid(spark, d, PARAMS.min_similarity, PARAMS.topic_weight, PARAMS.keyword_weight, 0.1)
+
+
+# weights under which no pair qualifies by its topics alone
+KEYWORD_LED = (0.02, 0.01, 0.99)    # threshold, sigma, beta
+
+
+def q_score_hybrid_keywords(spark, d):
+    return _hybrid(spark, d, *KEYWORD_LED)
+
+
 def cf_standin(spark, d):
     """Deterministic stand-in for CF picks in SQL-checked queries: the user's
     articles by rating (desc), ties by doc_id."""
@@ -773,6 +789,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "jaccard_pairs": q_jaccard_pairs,
     "score_single": q_score_single,
     "score_hybrid": q_score_hybrid,
+    "score_hybrid_floor": q_score_hybrid_floor,
+    "score_hybrid_keywords": q_score_hybrid_keywords,
     "blend": q_blend,
     "top_topics": q_top_topics,
     "queue_unread": q_queue_unread,

@@ -259,7 +259,8 @@ def recommend_hybrid(spark: SparkSession, new_docs: DataFrame, news: DataFrame,
     scored = S.hybrid_join(prof, new_topics, terms, new_kw.select("doc_id", "term"),
                            ["user_id"], ["doc_id"], "topic", "topic", params.min_similarity,
                            params.topic_weight, params.keyword_weight,
-                           salt_buckets=params.salt_buckets, checkpoint_pairs=True)
+                           salt_buckets=params.salt_buckets, checkpoint_pairs=True,
+                           keyword_floor=params.keyword_floor)
     # used for the quota bound and the blend: computed once (reliable checkpoint)
     content = scored.select("user_id", "doc_id", F.col("score")).checkpoint(eager=True)
     if with_cf:

@@ -17,8 +17,6 @@ BUCKET_SQL = ("CASE WHEN hour(ts) < 6 THEN '凌晨' WHEN hour(ts) < 12 THEN '上
 CUSTOM_STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in DEFAULT_STOP_WORDS)
 T = repr(float(P.min_similarity))
-SIG, BET = repr(float(P.topic_weight)), repr(float(P.keyword_weight))
-NORM = repr((P.topic_weight ** 2 + P.keyword_weight ** 2) ** 0.5)
 RATIO = repr(float(P.cf_blend_ratio))
 MORNING = "'上午'"
 
@@ -206,6 +204,24 @@ SELECT user_id, bucket, term, round(weight, 6) AS weight FROM j WHERE weight IS
 
 SCORE_SINGLE = sql(COS + " content", "SELECT user_id, doc_id, round(sim, 6) AS sim FROM content")
 
+
+def hybrid(threshold, sigma, beta):
+    return sql(COS + " " + KW + " mterms " + NEW + " jac", f"""
+        , users AS (SELECT DISTINCT user_id FROM tcnt WHERE bucket = {MORNING})
+        , allp AS (SELECT u.user_id, b.item_id AS doc_id FROM users u CROSS JOIN benchmark b)
+        , st AS (SELECT a.user_id, a.doc_id,
+                 CASE WHEN pn.nrm > 0 AND an.nrm > 0 THEN coalesce(dots.d, 0) / (pn.nrm * an.nrm)
+                      ELSE 0.0 END AS sim_t
+                 FROM allp a LEFT JOIN dots USING (user_id, doc_id) LEFT JOIN pn USING (user_id)
+                 LEFT JOIN an USING (doc_id))
+        , sc AS (SELECT st.user_id, st.doc_id, st.sim_t, coalesce(jac.sim, 0.0) AS sim_k
+                 FROM st LEFT JOIN jac USING (user_id, doc_id))
+        , sc2 AS (SELECT *, (sim_t * CAST({sigma} AS DOUBLE) + sim_k * CAST({beta} AS DOUBLE))
+                            / CAST({(sigma * sigma + beta * beta) ** 0.5} AS DOUBLE) AS score FROM sc)
+        SELECT user_id, doc_id, round(sim_t, 6) AS sim_t, round(sim_k, 6) AS sim_k,
+            round(score, 6) AS score FROM sc2 WHERE score > {threshold}""")
+
+
 ORACLE: dict[str, str] = {
     "parse_log": sql(BASE + " lines parsed good",
                      "SELECT ts, doc_id, doc_type, rowkey, behaviour, user_id FROM good"),
@@ -346,20 +362,9 @@ ORACLE: dict[str, str] = {
     "jaccard_pairs": sql(KW + " mterms " + NEW + " jac",
                          "SELECT user_id, doc_id, shared, round(sim, 6) AS sim FROM jac"),
     "score_single": SCORE_SINGLE,
-    "score_hybrid": sql(COS + " " + KW + " mterms " + NEW + " jac", f"""
-        , users AS (SELECT DISTINCT user_id FROM tcnt WHERE bucket = {MORNING})
-        , allp AS (SELECT u.user_id, b.item_id AS doc_id FROM users u CROSS JOIN benchmark b)
-        , st AS (SELECT a.user_id, a.doc_id,
-                 CASE WHEN pn.nrm > 0 AND an.nrm > 0 THEN coalesce(dots.d, 0) / (pn.nrm * an.nrm)
-                      ELSE 0.0 END AS sim_t
-                 FROM allp a LEFT JOIN dots USING (user_id, doc_id) LEFT JOIN pn USING (user_id)
-                 LEFT JOIN an USING (doc_id))
-        , sc AS (SELECT st.user_id, st.doc_id, st.sim_t, coalesce(jac.sim, 0.0) AS sim_k
-                 FROM st LEFT JOIN jac USING (user_id, doc_id))
-        , sc2 AS (SELECT *, (sim_t * CAST({SIG} AS DOUBLE) + sim_k * CAST({BET} AS DOUBLE))
-                            / CAST({NORM} AS DOUBLE) AS score FROM sc)
-        SELECT user_id, doc_id, round(sim_t, 6) AS sim_t, round(sim_k, 6) AS sim_k,
-            round(score, 6) AS score FROM sc2 WHERE score > {T}"""),
+    "score_hybrid": hybrid(P.min_similarity, P.topic_weight, P.keyword_weight),
+    "score_hybrid_floor": hybrid(P.min_similarity, P.topic_weight, P.keyword_weight),
+    "score_hybrid_keywords": hybrid(*C.KEYWORD_LED),
     "blend": sql(COS + " content cfl", f"""
         , cs AS (SELECT user_id, doc_id, round(sim, 6) AS score FROM content)
         , q AS (SELECT user_id, count(*) AS n,

@@ -139,28 +139,33 @@ def test_jaccard_threshold_matches_brute_force(spark, seed, t):
     assert t < 0.3 or cand < (0.7 if t < 0.5 else 0.4) * 70 * 40     # sharing a term alone: all 2,800 pairs
 
 
-def test_hybrid_matches_brute_force(spark):
+# weights, threshold, keyword floor: the second and third need a keyword similarity by themselves
+@pytest.mark.parametrize("sig, bet, t, floor", [
+    (0.7, 0.3, 0.2, 0.0), (0.3, 0.7, 0.5, 0.0), (0.0, 1.0, 0.1, 0.0), (0.7, 0.3, 0.2, 0.1), (0.7, 0.3, 0.2, 0.6),
+    (0.5, 0.5, 0.4, 0.3), (0.0, 1.0, 0.1, 0.3), (1.0, 0.0, 0.3, 0.2)])
+def test_hybrid_matches_brute_force(spark, sig, bet, t, floor):
     rng = np.random.default_rng(5)
     Lv, Rv = make_vectors(rng, 30, 8), make_vectors(rng, 12, 8)
     vocab = [f"t{i}" for i in range(20)]
     Lt = [(u, vocab[int(x)]) for u in range(31) for x in rng.integers(0, 20, 5)]
     Rt = [(d, vocab[int(x)]) for d in range(13) for x in rng.integers(0, 20, 4)]
-    sig, bet, t = 0.7, 0.3, 0.2
     got = S.hybrid_join(spark.createDataFrame(Lv, "user_id long, v array<double>"),
                         spark.createDataFrame(Rv, "doc_id long, v array<double>"),
                         spark.createDataFrame(Lt, "user_id long, term string"),
                         spark.createDataFrame(Rt, "doc_id long, term string"),
-                        ["user_id"], ["doc_id"], "v", "v", t, sig, bet, salt_buckets=2).collect()
+                        ["user_id"], ["doc_id"], "v", "v", t, sig, bet, salt_buckets=2,
+                        keyword_floor=floor).collect()
     cos_all = brute_cos(Lv, Rv, -2.0)
     jac = brute_jac(Lt, Rt)
     exp = {}
-    for lk, _ in Lv:
-        for rk, _ in Rv:
+    # a keyword pair needs no vector: one side may be unknown to the other index
+    for lk in {r[0] for r in Lv + Lt}:
+        for rk in {r[0] for r in Rv + Rt}:
             st, sk = cos_all.get((lk, rk), 0.0), jac.get((lk, rk), 0.0)
             score = (st * sig + sk * bet) / math.sqrt(sig * sig + bet * bet)
             if score > t:
                 exp[(lk, rk)] = score
-    assert {(r[0], r[1]) for r in got} == set(exp)
+    assert {(r[0], r[1]) for r in got} == set(exp) and len(got) == len(exp) > 0
     for r in got:
         assert r["score"] == pytest.approx(exp[(r[0], r[1])])
 

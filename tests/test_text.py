@@ -111,6 +111,32 @@ def test_added_documents_bring_their_terms(spark):
     assert {r.term for r in got.collect()} == {"zebra", "quagga"}
 
 
+def test_counted_ids_are_bitmaps(spark):
+    """Ids of any sign, repeated and null, over several deltas; the stored side is one row a bucket."""
+    import random
+    rng = random.Random(2)
+    ids = [rng.randrange(-100_000, 300_000) for _ in range(3000)] + [0, 1, -1, 32767, 32768, 32769, -32768, 2 ** 40]
+    halves = [spark.createDataFrame([(i, f"w{i % 50} x") for i in part] + [(ids[0], "w1"), (None, "lost")],
+                                    "doc_id long, words string") for part in (ids[::3], ids[1::3])]
+    stored = halves[0].sparkSession.createDataFrame([], T.doc_freq_delta(halves[0]).schema)
+    for h in halves:
+        stored = stored.unionByName(T.doc_freq_delta(T.added_docs(h, stored)))
+    known = {i for part in (ids[::3], ids[1::3]) for i in part} | {ids[0]}
+    every = spark.createDataFrame([(i, "w", i) for i in ids] + [(None, "w", None)], "doc_id long, words string, bucket long")
+    left = T.added_docs(every, stored)
+    assert left.columns == every.columns
+    want = sorted((i for i in ids if i not in known))
+    got = [r.doc_id for r in left.collect()]
+    assert got.count(None) == 1 and sorted(i for i in got if i is not None) == want
+    terms, m = T.total_doc_freq(stored)
+    assert spark.range(1).select(m).first()[0] == len(known)
+    rows = stored.where("bucket IS NOT NULL")
+    assert rows.count() < 40 and stored.where("doc_id IS NOT NULL").count() == 0
+    text = T.added_docs(every.selectExpr("CAST(doc_id AS string) AS doc_id", "words"), T.doc_freq_delta(
+        halves[0].selectExpr("CAST(doc_id AS string) AS doc_id", "words")))
+    assert {int(r.doc_id) for r in text.where("doc_id IS NOT NULL").collect()} == set(ids) - set(ids[::3])
+
+
 def test_user_scope_equals_plain_python_and_expands_less(spark):
     """Candidates, filter and floor: same rows as weighting every read x term; hot user included."""
     import math
