@@ -59,3 +59,40 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF_CHECK}/labels.parquet")
     out = op3_quality(spark, SF_CHECK).where("held_out").join(labels, "doc_id")
     assert out.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0] > 0.95
+
+
+def plain_features(text):
+    """The features of one text, word by word and character by character."""
+    import re
+    from collections import Counter
+    from math import log1p
+    text = text or ""
+    symbol, mark = set("#*$%&|<>{}[]\\^~=+_@"), set("!?;:\"'()-")
+    words = re.findall("[^\\x20\\x09-\\x0D]+", text)
+    n, chars = max(len(words), 1), max(len(text), 1)
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / n
+    rate = lambda chosen, of: sum(c in chosen for c in text) / of
+    upper, lower = (sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text))
+    ends = [w[-1] in symbol | mark for w in words]
+    twice = lambda items: sum(k for k in Counter(items).values() if k > 1)
+    return [log1p(len(words)), mean, max(sum(s * s for s in sizes) / n - mean * mean, 0) ** 0.5,
+            rate(symbol, chars), rate(mark, chars), rate(set(".,"), n), rate(set("0123456789"), chars),
+            upper / max(upper + lower, 1), sum(e and s == 1 for e, s in zip(ends, sizes)) / n, sum(ends) / n,
+            twice(words) / n, twice(list(zip(words, words[1:]))) / n, len(words) / (text.count("\n") + 1),
+            1 - sum(sizes) / chars, sum(s <= 3 for s in sizes) / n, sum(s >= 15 for s in sizes) / n]
+
+
+def test_features_equal_plain_python():
+    import random
+    import pyarrow as pa
+    from tastemap.llm.quality_gam import batch_features
+    from .conftest import edge_texts, prose
+    rng = random.Random(12)
+    alphabet = "aB1 .,!#\n\té日🎉-_"
+    texts = edge_texts() + [prose(rng, rng.randrange(1, 200)) for _ in range(50)]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(120))) for _ in range(300)]
+    got = batch_features(pa.array(texts, pa.string()))
+    assert got.shape == (len(texts), len(FEATURES))
+    for text, row in zip(texts, got):
+        assert np.allclose(row, plain_features(text), rtol=1e-9, atol=1e-6), repr((text or "")[:80])
