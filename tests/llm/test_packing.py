@@ -78,3 +78,10 @@ def test_windows_hold_the_target_proportions():
 
 def test_empty_table(no_docs):
     assert pack(no_docs, **tokenizer_files()).count() == 0
+
+
+def test_ids_stay_out_of_the_second_python_pass(edge_docs):
+    """Only places go through Python after tokenising; ids by the batch took too much memory."""
+    plan = pack(edge_docs, **tokenizer_files())._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    assert "ids" not in plan.split("pieces(")[1].split(")")[0]
