@@ -21,6 +21,22 @@ def test_equals_numpy(spark, seed, density, t):
     assert all(abs(r.sim - want[r.c_a, r.c_b]) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("few", [0, 39])
+def test_many_columns_take_the_prefixes(spark, monkeypatch, few):
+    monkeypatch.setattr(K, "FEW_COLUMNS", few)
+    test_equals_numpy(spark, 2, 0.3, 0.7)
+
+
+def test_few_columns_shuffle_no_pair_of_a_row(spark):
+    """400 rows that all hold the same 30 columns: one sum per pair and task, not one per row."""
+    rows = spark.range(400).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("c"),
+                                   F.lit(1.0).alias("v"))
+    got = K.column_similarities(rows, "r", "c", "v", 0.9)
+    assert got.count() == 30 * 29 // 2 and got.agg(F.min("sim")).first()[0] > 1 - 1e-12
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "_many" not in plan
+
+
 def test_cells_add_up_and_thresholds_are_positive(spark):
     rows = [(1, "a", 1.0), (1, "a", 1.0), (2, "a", 1.0), (1, "b", 2.0), (2, "b", 1.0), (3, "z", 1.0)]
     df = spark.createDataFrame(rows, "r long, c string, v double")
