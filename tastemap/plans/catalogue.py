@@ -112,9 +112,11 @@ def q_attach_words(spark, d):
     gone = F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit("gone-")).otherwise(F.lit(""))
     log = TD.behaviour_log(spark, d).select("event_id", F.concat(gone, key(F.col("doc_id"))).alias("doc_id"))
     news = TD.news(spark, d).withColumn("rowkey", key(F.col("rowkey")))
-    return N.attach_words(log, news).select(
-        "event_id", F.col("doc_id").alias("rowkey"), F.length("words").alias("n_chars"),
-        F.md5(F.col("words").cast("binary")).alias("words_md5"))
+    # keys are cut to four characters, so many texts can share one: each text is measured
+    # and hashed beside its key, before it meets the events
+    texts = N.attach_words(log.select("doc_id").distinct(), news).select(
+        "doc_id", F.length("words").alias("n_chars"), F.md5(F.col("words").cast("binary")).alias("words_md5"))
+    return log.join(texts, "doc_id").select("event_id", F.col("doc_id").alias("rowkey"), "n_chars", "words_md5")
 
 
 def q_text_corpus(spark, d):

@@ -56,3 +56,24 @@ def test_hot_groups_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in p and ", Partial" in p and ", Final" in p
     p = plan(QUERIES["ratings"](spark, SF_SMALL))
     assert "partial_sum" in p  # map-side combine before the shuffle
+
+
+def test_attach_words_hashes_a_text_once(spark, tmp_path):
+    """Row keys keep four characters: texts that share one are hashed before they meet the events."""
+    import hashlib
+    from datetime import datetime
+    docs = [(i, f"text {i}", "s") for i in range(300)] + [(10_000 + i, f"text {10_000 + i}", None) for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ev = [(i, datetime(2024, 1, 1), 10, "view", '{"k": %d}' % (i % 3)) for i in range(12)]
+    spark.createDataFrame(ev, "event_id long, ts timestamp_ntz, user_id long, event_type string, props string"
+                          ).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["attach_words"](spark, str(tmp_path))
+    top = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "md5(" not in top and "words#" not in top
+    rows = {(r.event_id, r.rowkey, r.n_chars, r.words_md5) for r in got.collect()}
+    want = set()
+    for i, _ts, user, _t, _p in ev:
+        key = ("gone-" if i % 5 == 0 else "") + "news" + str(100 * (user % 3) + i % 3)[:4].rjust(4, "0")
+        texts = [t for n, t, _s in docs if "news" + str(n)[:4].rjust(4, "0") == key] or [""]
+        want |= {(i, key, len(t), hashlib.md5(t.encode()).hexdigest()) for t in texts}
+    assert rows == want
