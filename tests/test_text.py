@@ -171,3 +171,10 @@ def test_user_scope_equals_plain_python_and_expands_less(spark):
     every = sum(len(docs.get(d, ())) for u, d in {x for x in reads if x[0] is not None})
     assert rows.select(F.sum(F.size("cand"))).first()[0] < 0.5 * every
     assert T.scope_frequencies(rows, packed).count() < 0.75 * every
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(T, "TEXT_PER_TASK", 100)
+    d = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 20).alias("words"))
+    assert T.term_freq(d).rdd.getNumPartitions() == 36
+    assert [r.tf for r in T.term_freq(d).collect()] == [20] * 60
