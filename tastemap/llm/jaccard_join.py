@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import lean, stored
 from .textnum import Slice, mix, slices, text_buffer
 
 K = 5
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, k: int = K, positions: int = POSITIONS) -> DataF
 
     schema = docs.select("doc_id").schema.add("set_a", "long").add("set_b", "long").add(
         "sig", T.ArrayType(T.LongType()))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def members(docs: DataFrame, k: int = K, positions: int = POSITIONS) -> DataFrame:
@@ -317,7 +317,7 @@ def verify(groups: DataFrame, threshold: float, k: int = K) -> DataFrame:
 
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = groups.repartition(parts, "leaf", "bi", "bj").sortWithinPartitions("leaf", "bi", "bj")
-    return dealt.mapInArrow(run, "rep long, n long, other long")
+    return dealt.mapInArrow(lean(run), "rep long, n long, other long")
 
 
 def components(edges: DataFrame) -> DataFrame:

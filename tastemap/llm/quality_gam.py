@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .textnum import Slice, byte_table, repeated, slices, text_buffer
 
 MAX_TRAIN = 20_000
@@ -213,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality",
                     [b.column("doc_id").cast(pa.string()), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))],
                     ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id string, y int, x array<double>").toArrow().sort_by(
+    got = rows.mapInArrow(lean(run), "doc_id string, y int, x array<double>").toArrow().sort_by(
         [("doc_id", "ascending")])
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy().astype(float))
@@ -232,4 +233,4 @@ def score(docs: DataFrame, model: Gam, keep: list[str]) -> DataFrame:
                     [*[b.column(c) for c in keep],
                      pa.array(model.score(batch_features(b.column(text))), pa.float64())], names)
 
-    return docs.select(*keep, *([] if text == "text" else [F.col("text").alias("_text")])).mapInArrow(run, out)
+    return docs.select(*keep, *([] if text == "text" else [F.col("text").alias("_text")])).mapInArrow(lean(run), out)

@@ -85,3 +85,36 @@ def test_ids_stay_out_of_the_second_python_pass(edge_docs):
     plan = pack(edge_docs, **tokenizer_files())._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
     assert "ids" not in plan.split("pieces(")[1].split(")")[0]
+
+
+def test_second_pass_gives_the_encoders_memory_back():
+    """What a worker holds after the ids are made: close to what it held before (checked in a process of its own)."""
+    import os
+    import subprocess
+    import sys
+    code = """
+import random
+import pyarrow as pa
+from tastemap.llm import packing
+from tastemap.llm.catalogue import tokenizer_files
+
+def held():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+rng = random.Random(1)
+files = tokenizer_files()
+packing.release()
+encode = packing.encoder(files["tokenizer"], files["ranks"])
+for i in range(2000):
+    encode(" ".join(str(rng.random()) for _ in range(100)) + chr(0x4e00 + i))
+before = held()
+del encode
+packing.release()
+assert not packing._encoders
+print(before - held())
+"""
+    if not os.path.exists("/proc/self/statm"):
+        pytest.skip("needs /proc")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) > 30
