@@ -12,10 +12,12 @@ which is Cauchy-Schwarz sharpened by the direction.  Two rounds use it:
    its n-th score so far is a floor under the final n-th score;
 2. the blocks whose bound reaches the floor are scored in full.
 
-A query and a block below its floor never meet.  Joins are equi-joins on the block: the
-blocks' items are broadcast after a size check, else shuffled with a salt (and AQE splits
-a block that many queries want).  Rows below the floor are dropped beside the dot
-product, before any shuffle.  What reaches the driver is bounded: a sample for the pivots
+A query and a block below its floor never meet.  The heads are joined on the block:
+broadcast after a size check, else shuffled with a salt.  In the second round neighbouring
+blocks make up chunks of bounded size; a bounded part of the queries and a chunk meet in one
+task as matrices (numpy), where a query keeps the n best of the chunk.  A product of matrices
+only finds what can be among them: their scores are summed term by term, as in the first
+round.  What reaches the driver is bounded: a sample for the pivots
 and the list of blocks (at most ``MAX_CELLS * MAX_BANDS`` + 1 rows, as one scalar).
 
 Results: (query, item, rk, score) by descending score, equal scores by ascending item;
@@ -27,6 +29,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +45,9 @@ HEAD = 32                   # items of a block's head (at least n)
 FIRST_BLOCKS = 4
 SALTS = 8
 BROADCAST_BYTES = 64 * 1024 * 1024
+CHUNK_ITEMS = (2048, 32_768)    # items of a chunk: a 64th of all, within these
+PART_QUERIES = (1024, 16_384)   # queries that meet a chunk at once: an eighth of all, within these
+SLICE = 256                 # queries multiplied at once
 UNROLL = 16                 # widest dot product written out term by term (one code path, no lambda)
 
 
@@ -96,15 +104,18 @@ def item_blocks(items: DataFrame, key: str, vec: str, n: int) -> tuple[DataFrame
     return materialise(both, "mips-blocks"), pivots
 
 
+def _bound(b: Column) -> Column:
+    """A block with its bound for the query of the row."""
+    cos = F.cos(F.greatest(F.lit(0.0), F.coalesce(F.get("_al", b["cell"]), F.lit(0.0)) - b["r"]))
+    # room for rounding: a bound may be too high, never too low
+    top = F.col("_un") * F.when(cos >= 0, b["hi"]).otherwise(b["lo"]) * cos
+    return F.struct((top + (F.col("_un") * b["hi"] + 1) * 1e-9).alias("bound"), b["b"].alias("b"))
+
+
 def _bounds(probe: DataFrame, blocks: Column) -> DataFrame:
     """Add ``_bd``: every block with its bound for the query."""
-    def bound(b: Column) -> Column:
-        cos = F.cos(F.greatest(F.lit(0.0), F.coalesce(F.get("_al", b["cell"]), F.lit(0.0)) - b["r"]))
-        # room for rounding: a bound may be too high, never too low
-        top = F.col("_un") * F.when(cos >= 0, b["hi"]).otherwise(b["lo"]) * cos
-        return F.struct((top + (F.col("_un") * b["hi"] + 1) * 1e-9).alias("bound"), b["b"].alias("b"))
     return probe.withColumn("_bl", blocks).withColumn(
-        "_bd", F.reverse(F.array_sort(F.transform("_bl", bound)))).drop("_bl")
+        "_bd", F.reverse(F.array_sort(F.transform("_bl", _bound)))).drop("_bl")
 
 
 def _meet(wanted: DataFrame, items: DataFrame, size: int, width: int) -> DataFrame:
@@ -120,6 +131,116 @@ def _meet(wanted: DataFrame, items: DataFrame, size: int, width: int) -> DataFra
         | F.col("_fs").isNull()).select("_u", "_i", "_s")
 
 
+def _share(n: int, parts: int, limits: tuple[int, int]) -> int:
+    return min(limits[1], max(limits[0], n // parts))
+
+
+def _chunks(blocks: list, n_items: int) -> tuple[list[list], dict[int, tuple[int, int]]]:
+    """(blocks of each chunk, first chunk and number of chunks of each block): blocks in
+    order fill a chunk, a block larger than a chunk is dealt to several of its own."""
+    most = _share(n_items, 64, CHUNK_ITEMS)
+    chunks, place, room = [], {}, 0
+    for r in sorted(blocks, key=lambda r: r["_b"]):
+        parts = -(-r["n"] // most)
+        if parts > 1 or r["n"] > room:
+            chunks.extend([] for _ in range(parts))
+            room = 0 if parts > 1 else most
+        place[r["_b"]] = (len(chunks) - parts, parts)
+        for c in chunks[-parts:]:
+            c.append(r)
+        room -= r["n"] if parts == 1 else 0
+    return chunks, place
+
+
+def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows padded with zeros; a null entry counts as zero."""
+    lists = vectors.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy()
+    n = np.diff(ends)
+    out = np.zeros((len(n), width))
+    flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(0.0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    col = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], n)
+    out[row[col < width], col[col < width]] = flat[col < width]     # longer queries meet zeros
+    return out
+
+
+def _best_of_chunk(queries: pa.Table, items: pa.Table, n: int, width: int) -> tuple[np.ndarray, ...]:
+    """(query row, item row, score): the ``n`` best items of every query by score and item
+    among those of its blocks that reach its floor (others that reach it do no harm)."""
+    v, blk = _matrix(items.column("_iv"), width), items.column("_b").to_numpy()
+    by_id = items.column("_i").combine_chunks()
+    rank = np.empty(len(v), np.int64)
+    rank[pc.sort_indices(by_id, null_placement="at_start").to_numpy()] = np.arange(len(v))
+    order = np.argsort(blk, kind="stable")
+    v, blk, rank = v[order], blk[order], rank[order]
+    names, first = np.unique(blk, return_index=True)
+    last = np.append(first[1:], len(blk))
+    u = _matrix(queries.column("_uv"), width)
+    floor = queries.column("_fs").to_numpy()
+    none = np.asarray(queries.column("_fs").is_null())
+    # room for the rounding of the product of matrices
+    room = 1e-12 * (width + 1) * np.linalg.norm(u, axis=1) * np.linalg.norm(v, axis=1).max()
+    least = np.where(none, -np.inf, floor - room)
+    lists = queries.column("_bs").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy()
+    wants = np.zeros((len(u), len(names)), bool)
+    asked = lists.values.to_numpy()[ends[0]:ends[-1]]
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    here = names[at] == asked           # a part of a large block may be without items
+    wants[np.repeat(np.arange(len(u)), np.diff(ends))[here], at[here]] = True
+    out = []
+    for lo in range(0, len(u), SLICE):
+        x, w = u[lo:lo + SLICE], wants[lo:lo + SLICE]
+        if w.mean() > 0.25:
+            s = x @ v.T
+        else:
+            s = np.full((len(x), len(v)), -np.inf)
+            for b in np.flatnonzero(w.any(axis=0)):
+                rows = np.flatnonzero(w[:, b])
+                s[rows, first[b]:last[b]] = x[rows] @ v[first[b]:last[b]].T
+        q, i = np.nonzero(~(s < least[lo:lo + SLICE, None]) & (s != -np.inf))
+        near = s[q, i]
+        by = np.lexsort((-near, q))
+        place = np.arange(len(q)) - np.searchsorted(q, q)          # q ascends
+        nth = np.full(len(x), -np.inf)
+        nth[q[place == n - 1]] = near[by][place == n - 1]
+        kept = ~(near < nth[q] - 2 * room[lo + q])
+        q, i = q[kept], i[kept]
+        terms = (x[q, k] * v[i, k] for k in range(width))
+        exact = next(terms, np.zeros(len(q))) + (0.0 if width > UNROLL else -0.0)
+        for t in terms:
+            exact = exact + t
+        kept = none[lo + q] | ~(exact < floor[lo + q])
+        q, i, exact = q[kept], i[kept], exact[kept]
+        by = np.lexsort((rank[i], -exact, ~np.isnan(exact), q))
+        q, i, exact = q[by], i[by], exact[by]
+        kept = np.arange(len(q)) - np.searchsorted(q, q) < n
+        out.append((lo + q[kept], order[i[kept]], exact[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _meet_chunks(rows: DataFrame, items: DataFrame, n: int, width: int, n_queries: int) -> DataFrame:
+    """(_u, _i, _s): the best ``n`` items of every query and chunk; ``rows`` are queries with
+    ``_bs``, their wanted blocks, as (_u, _uv, _fs, _g, _bs), ``_g`` the chunk."""
+    parts = -(-max(1, n_queries) // _share(n_queries, 8, PART_QUERIES))
+    left = rows.withColumn("_q", F.pmod(F.xxhash64("_u"), F.lit(parts)).cast("int"))
+    right = items.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = rows.select("_u").schema
+    schema = schema.add(items.schema["_i"]).add("_s", "double")
+
+    def score(queries: pa.Table, near: pa.Table) -> pa.Table:
+        if not queries.num_rows or not near.num_rows:
+            return pa.table({"_u": queries.column("_u")[:0], "_i": near.column("_i")[:0], "_s": pa.array([], pa.float64())})
+        q, i, s = _best_of_chunk(queries, near, n, width)
+        return pa.table({"_u": queries.column("_u").take(pa.array(q)), "_i": near.column("_i").take(pa.array(i)),
+                         "_s": pa.array(s)})
+
+    return left.groupBy("_g", "_q").cogroup(right.groupBy("_g", "_q")).applyInArrow(score, schema)
+
+
 def _top(rows: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("_u").orderBy(F.desc("_s"), F.asc("_i"))
     return rows.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= n)
@@ -139,9 +260,12 @@ def top_items(queries: DataFrame, items: DataFrame, n: int, query: str, item: st
         F.max("_ang").alias("r"), F.count(F.lit(1)).alias("n"), F.max(F.size("_iv")).alias("w")).collect()
     width = max((r["w"] for r in found), default=0)
     size = sum(r["n"] for r in found) * (8 * width + 48)
-    blocks = queries.sparkSession.createDataFrame(
-        [([(r["_b"], r["cell"], r["lo"], r["hi"], r["r"]) for r in found],)],
-        "l array<struct<b:int,cell:int,lo:double,hi:double,r:double>>").select("l").scalar()
+    block = "array<struct<b:int,cell:int,lo:double,hi:double,r:double>>"
+    entry = lambda r: (r["_b"], r["cell"], r["lo"], r["hi"], r["r"])
+    scalar = lambda value, kind: queries.sparkSession.createDataFrame(
+        [(value,)], f"l {kind}").select("l").scalar()
+    blocks = scalar([entry(r) for r in found], block)
+    chunks, place = _chunks(found, sum(r["n"] for r in found))
 
     probe = _vectors(queries, query, query_vec, "_u", "_uv", "_un")
     zero = probe.where("_un = 0").select("_u")
@@ -159,7 +283,15 @@ def top_items(queries: DataFrame, items: DataFrame, n: int, query: str, item: st
     rows = _bounds(probe.join(floor, "_u", "left"), blocks)
     wanted = rows.select("_u", "_uv", "_fs", "_fi", F.explode(F.transform(F.filter(
         "_bd", lambda b: F.col("_fs").isNull() | (b["bound"] >= F.col("_fs"))), lambda b: b["b"])).alias("_b"))
-    out = _top(_meet(wanted, placed.select("_b", "_i", "_iv"), size, width), n)
+    asked = probe.join(floor, "_u", "left").select("_u", "_uv", "_un", "_al", "_fs", F.posexplode(
+        scalar([[entry(r) for r in c] for c in chunks], f"array<{block}>")).alias("_g", "_bl"))
+    asked = asked.withColumn("_bd", F.filter(F.transform("_bl", _bound), lambda b: F.col("_fs").isNull() | (
+        b["bound"] >= F.col("_fs")))).where(F.size("_bd") > 0)
+    where = queries.sparkSession.createDataFrame([(b, *at) for b, at in place.items()], "_b int, at int, k int")
+    dealt = placed.select("_b", "_i", "_iv").join(F.broadcast(where), "_b").select(
+        "_b", "_i", "_iv", (F.col("at") + F.pmod(F.xxhash64("_i"), F.col("k"))).cast("int").alias("_g"))
+    out = _top(_meet_chunks(asked.select("_u", "_uv", "_fs", "_g", F.transform("_bd", lambda b: b["b"]).alias("_bs")),
+                            dealt, n, width, probe.count()), n)
     smallest = placed.select("_i").orderBy("_i").limit(n).agg(
         F.array_sort(F.collect_list("_i")).alias("l")).select("l").scalar()
     nothing = zero.select("_u", F.posexplode(smallest).alias("_p", "_i")).select(

@@ -115,3 +115,21 @@ def test_pivots_are_units_and_bounded(spark):
     for r in cells:
         cos = p @ np.array(r.features)
         assert abs(cos[r.cell] - cos.max()) < 1e-9 and abs(np.cos(r.angle) - cos.max()) < 1e-9
+
+
+def test_second_round_multiplies_matrices_in_bounded_chunks(spark, monkeypatch):
+    """Many queries and weak pruning: (part of the queries, chunk of items) meet as matrices, and the rows
+    are those of every pair scored; a block larger than a chunk is dealt to several."""
+    monkeypatch.setattr(M, "CHUNK_ITEMS", (50, 50))
+    monkeypatch.setattr(M, "PART_QUERIES", (20, 20))
+    rng = np.random.default_rng(9)
+    items = np.repeat(rng.normal(size=(150, 20)), 3, axis=0)        # copies: ties in every list
+    users = rng.normal(size=(70, 20))
+    top, got = found(spark, users, items, 4)
+    assert got == brute(users, items, 4)
+    plan = top.rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    blocks = [{"_b": b, "n": n} for b, n in ((-1, 10), (0, 30), (1, 170), (2, 20), (3, 30))]
+    chunks, place = M._chunks(blocks, 260)
+    assert [[r["_b"] for r in c] for c in chunks] == [[-1, 0], [1], [1], [1], [1], [2, 3]]
+    assert place == {-1: (0, 1), 0: (0, 1), 1: (1, 4), 2: (5, 1), 3: (5, 1)}
