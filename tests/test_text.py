@@ -178,3 +178,23 @@ def test_tasks_grow_with_the_texts(spark, monkeypatch):
     d = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 20).alias("words"))
     assert T.term_freq(d).rdd.getNumPartitions() == 36
     assert [r.tf for r in T.term_freq(d).collect()] == [20] * 60
+
+
+def test_keyword_partitions_grow_with_the_texts(spark, monkeypatch):
+    """More text than the set shuffle partitions hold: the term join and the ranking run in
+    as many tasks as the texts need, with the same rows."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 30))) for i in range(40)],
+                                 "doc_id long, words string")
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    deltas = T.doc_freq_delta(docs)
+    plain = [sorted(map(tuple, q.collect())) for q in (T.keywords(docs, 5), T.keywords_with_df(docs, deltas, 5))]
+    chars = sum(len(r.words) for r in docs.collect())
+    monkeypatch.setattr(T, "TEXT_PER_TASK", -(-chars // (few + 3)))
+    tasks = T._text_tasks(docs, "words")
+    assert tasks > few
+    for q, rows in zip((T.keywords(docs, 5), T.keywords_with_df(docs, deltas, 5)), plain):
+        assert sorted(map(tuple, q.collect())) == rows and q.rdd.getNumPartitions() == tasks
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(term" in plan and plan.count(f", {tasks})") >= 1
+        joins = [line for line in plan.splitlines() if "Exchange hashpartitioning(term" in line]
+        assert sum(f", {tasks})" in line for line in joins) >= 2
