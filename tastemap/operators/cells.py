@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,3 +75,17 @@ def with_cell(df: DataFrame, unit: str, pivots: list[list[float]], cell: str, an
     """Add the nearest pivot's number and the angle to it."""
     df = with_angles(df, unit, pivots, "_every").withColumn(angle, F.array_min("_every"))
     return df.withColumn(cell, (F.array_position("_every", F.col(angle)) - 1).cast("int")).drop("_every")
+
+
+def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows padded with zeros; a null entry counts as zero."""
+    lists = vectors.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy()
+    n = np.diff(ends)
+    out = np.zeros((len(n), width))
+    flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(0.0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    col = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], n)
+    out[row[col < width], col[col < width]] = flat[col < width]     # longer queries meet zeros
+    return out

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemap.functions.scalar import dot, l2_norm
-from tastemap.operators.cells import MAX_CELLS, n_cells, pivots_of, with_angles, with_cell
+from tastemap.operators.cells import MAX_CELLS, matrix, n_cells, pivots_of, with_angles, with_cell
 from tastemap.session import materialise
 
 BLOCK_ROWS = 256            # items of a block, until MAX_CELLS * MAX_BANDS blocks are reached
@@ -152,24 +152,10 @@ def _chunks(blocks: list, n_items: int) -> tuple[list[list], dict[int, tuple[int
     return chunks, place
 
 
-def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows padded with zeros; a null entry counts as zero."""
-    lists = vectors.combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    ends = lists.offsets.to_numpy()
-    n = np.diff(ends)
-    out = np.zeros((len(n), width))
-    flat = lists.values.slice(ends[0], ends[-1] - ends[0]).fill_null(0.0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(n)), n)
-    col = np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], n)
-    out[row[col < width], col[col < width]] = flat[col < width]     # longer queries meet zeros
-    return out
-
-
 def _best_of_chunk(queries: pa.Table, items: pa.Table, n: int, width: int) -> tuple[np.ndarray, ...]:
     """(query row, item row, score): the ``n`` best items of every query by score and item
     among those of its blocks that reach its floor (others that reach it do no harm)."""
-    v, blk = _matrix(items.column("_iv"), width), items.column("_b").to_numpy()
+    v, blk = matrix(items.column("_iv"), width), items.column("_b").to_numpy()
     by_id = items.column("_i").combine_chunks()
     rank = np.empty(len(v), np.int64)
     rank[pc.sort_indices(by_id, null_placement="at_start").to_numpy()] = np.arange(len(v))
@@ -177,7 +163,7 @@ def _best_of_chunk(queries: pa.Table, items: pa.Table, n: int, width: int) -> tu
     v, blk, rank = v[order], blk[order], rank[order]
     names, first = np.unique(blk, return_index=True)
     last = np.append(first[1:], len(blk))
-    u = _matrix(queries.column("_uv"), width)
+    u = matrix(queries.column("_uv"), width)
     floor = queries.column("_fs").to_numpy()
     none = np.asarray(queries.column("_fs").is_null())
     # room for the rounding of the product of matrices

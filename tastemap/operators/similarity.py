@@ -16,7 +16,11 @@ Cosine (threshold join)
     each cell with the smallest and largest angle to its pivot.  By the triangle
     inequality a left row within ``acos(t)`` of a right row is as close in its angle to
     any pivot, so a left row joins only with the cells whose interval it reaches, and a
-    pair gets its dot product only if the two angles to the pivot differ by less.
+    pair gets its dot product only if the two angles to the pivot differ by less.  From
+    ``CHUNK_ROWS`` right rows on, neighbouring cells make up chunks of bounded size: a
+    bounded part of the left rows and a chunk meet in one task as matrices (numpy).  The
+    product of matrices only finds the pairs near or above the threshold; their cosines are
+    summed term by term, as in the plan.
 
     The right side (new articles) is packed into blocks and broadcast only after
     a size check (rows x vector width <= ``BROADCAST_INDEX_BYTES``).  Beyond it
@@ -33,13 +37,18 @@ Jaccard (set overlap)
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemap.functions.scalar import blend_score, dot, l2_norm
-from tastemap.operators.cells import ANGLE_EPS, n_cells, pivots_of, with_angles, with_cell
-from tastemap.session import materialise
+from tastemap.operators.cells import ANGLE_EPS, matrix, n_cells, pivots_of, with_angles, with_cell
+from tastemap.session import materialise, spread
 
 _EPS = 1e-9
 
@@ -94,6 +103,11 @@ MAX_MASKS = 4096        # distinct masks that a left row looks through
 FEW_BITS = 12           # masks folded to this width are never more than MAX_MASKS
 BLOCK_ROWS = 256        # right rows packed together
 DENSE_ROWS = 256        # a dense right side of fewer rows is one cell
+CHUNK_ROWS = 1024       # a dense right side of fewer rows meets the left rows one by one
+CHUNK_BYTES = 4 << 20   # vectors of a chunk, at most (and a 32nd of all)
+PART_BYTES = 8 << 20    # vectors of the left rows that meet a chunk at once, at most (and an eighth of all)
+SLICE = 256             # left rows multiplied at once
+PAIRS_AT_ONCE = 1 << 18  # pairs summed at once
 
 
 def _mask(dims: Column, bits: int = MASK_BITS) -> Column:
@@ -125,9 +139,10 @@ def _masked(lu: DataFrame, ru: DataFrame, left_keys: list[str], bits: int) -> tu
 
 
 def _celled(lu: DataFrame, ru: DataFrame, left_keys: list[str], n: int,
-            near: float) -> tuple[DataFrame, DataFrame]:
+            near: float, each: bool = True) -> tuple[DataFrame, DataFrame]:
     """Both sides keyed by ``_rm``: the right side's cells, and those that a left row reaches;
-    ``_la`` and ``_ra`` are the angles to the cell's pivot."""
+    ``_la`` and ``_ra`` are the angles to the cell's pivot.  Without ``each`` a left row comes
+    once, with the list ``_rms`` of its cells."""
     pivots = pivots_of(ru, "_ru", n_cells(n))
     ru = with_cell(ru.drop("_nz"), "_ru", pivots, "_rm", "_ra")
     info = ru.groupBy("_rm").agg(F.min("_ra").alias("lo"), F.max("_ra").alias("hi"))
@@ -139,26 +154,25 @@ def _celled(lu: DataFrame, ru: DataFrame, left_keys: list[str], n: int,
     reach = F.filter(F.transform(F.arrays_zip("_cl", "_al"), lambda z, i: F.struct(
         i.alias("_rm"), z["_al"].alias("_la"), z["_cl"]["lo"].alias("lo"), z["_cl"]["hi"].alias("hi"))),
         lambda c: (c["_la"] - c["hi"] < near) & (c["lo"] - c["_la"] < near))
+    if not each:
+        return probe.select(*left_keys, "_lu", F.transform(reach, lambda c: c["_rm"]).alias("_rms")), ru
     return probe.select(*left_keys, "_lu", F.inline(reach)).drop("lo", "hi"), ru
 
 
-def cosine_candidates(lu: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
-                      right_vec: str, broadcast_bytes: int, threshold: float = 0.0) -> DataFrame:
-    """(left keys, _lu, right keys, _ru): every pair that can exceed ``threshold``, each once
-    (sparse sides: a right vector non-zero on a prefix dimension, up to folding; dense
-    sides: angles to a pivot that allow it)."""
+def _right_side(right: DataFrame, right_keys: list[str], right_vec: str) -> tuple[DataFrame, int, int, int]:
+    """(unit vectors ``_ru`` with their non-zero dimensions ``_nz``, rows, width, about how many masks)."""
     ru = (with_unit(right.select(*right_keys, right_vec), right_vec, "_ru")
           .where(F.col("_ru").isNotNull()).select(*right_keys, "_ru"))
-    # read several times below: computed once
+    # read several times: computed once
     ru = materialise(ru.withColumn("_nz", nonzero_dims(F.col("_ru"))), "cosine-right")
     r = ru.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_ru")).alias("k"),
                F.approx_count_distinct(_mask(F.col("_nz"))).alias("m")).first()
-    n, width = int(r["n"] or 0), int(r["k"] or 0)
-    near = math.acos(min(1.0, threshold)) + ANGLE_EPS
-    if r["m"] == 1 and n >= DENSE_ROWS:
-        probe, ru = _celled(lu, ru, left_keys, n, near)
-    else:
-        probe, ru = _masked(lu, ru, left_keys, MASK_BITS if r["m"] <= MAX_MASKS // 2 else FEW_BITS)
+    return ru, int(r["n"] or 0), int(r["k"] or 0), r["m"]
+
+
+def _candidates(probe: DataFrame, ru: DataFrame, left_keys: list[str], right_keys: list[str],
+                broadcast_bytes: int, n: int, width: int, near: float) -> DataFrame:
+    """The pairs of two sides that are keyed by ``_rm``."""
     size = n * (8 * width + 64)
     if size <= broadcast_bytes:
         chunk = F.pmod(F.xxhash64(*right_keys), F.lit(max(1, -(-n // BLOCK_ROWS))))
@@ -168,7 +182,7 @@ def cosine_candidates(lu: DataFrame, right: DataFrame, left_keys: list[str], rig
                  .select(*left_keys, "_lu", F.inline(F.filter(
                      "_rows", lambda x: F.abs(x["_ra"] - F.col("_la")) < near))))
         return pairs.select(*left_keys, "_lu", *right_keys, "_ru")
-    parts = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(ru.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     across = max(1, -(-size // max(broadcast_bytes, 1 << 20)))      # parts of at least 1 MB
     down = max(1, -(-parts // across))
     cells = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
@@ -178,6 +192,94 @@ def cosine_candidates(lu: DataFrame, right: DataFrame, left_keys: list[str], rig
             .select(*left_keys, "_lu", *right_keys, "_ru"))
 
 
+def _chunk_of_cells(cells: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """First chunk and number of chunks of every cell (of so many rows): cells in order fill
+    a chunk of ``most`` rows, a larger one is dealt to several of its own."""
+    place, n, room = {}, 0, 0
+    for c in sorted(cells):
+        parts = -(-cells[c] // most)
+        if parts > 1 or cells[c] > room:
+            n, room = n + parts, 0 if parts > 1 else most
+        place[c] = (n - parts, parts)
+        room -= cells[c] if parts == 1 else 0
+    return place
+
+
+def _pairs_above(u: np.ndarray, v: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row of ``u``, row of ``v``, dot product), some at a time, of the pairs above the threshold."""
+    least = threshold - 1e-12 * (u.shape[1] + 1)    # room for the rounding of a product of unit vectors
+    for lo in range(0, len(u), SLICE):
+        near = np.flatnonzero(~(u[lo:lo + SLICE] @ v.T < least))
+        for at in range(0, len(near), PAIRS_AT_ONCE):
+            i, j = np.divmod(near[at:at + PAIRS_AT_ONCE], len(v))
+            exact = np.zeros(len(i))
+            for k in range(u.shape[1]):
+                exact += u[lo + i, k] * v[j, k]
+            kept = ~(exact <= threshold)
+            yield lo + i[kept], j[kept], exact[kept]
+
+
+def dense_join(lu: DataFrame, ru: DataFrame, left_keys: list[str], right_keys: list[str], n: int, width: int,
+               threshold: float, out: str) -> DataFrame:
+    """Keys and cosine of the pairs above the threshold: parts of the left rows and chunks of the
+    right side (unit vectors ``_lu`` and ``_ru``) as matrices.  A left row goes to the chunks
+    with a cell that it reaches."""
+    lu = spread(materialise(lu.select(*left_keys, "_lu"), "cosine-left"))
+    probe, ru = _celled(lu, spread(ru), left_keys, n, math.acos(min(1.0, threshold)) + ANGLE_EPS, each=False)
+    ru = materialise(ru, "cosine-cells")
+    place = _chunk_of_cells({r["_rm"]: r["n"] for r in ru.groupBy("_rm").agg(F.count(F.lit(1)).alias("n")).collect()},
+                            max(1, min(CHUNK_BYTES // (8 * width), max(CHUNK_ROWS, n // 32))))
+    n_left = lu.count()
+    parts = max(1, -(-n_left // max(1, min(PART_BYTES // (8 * width), max(CHUNK_ROWS, n_left // 8)))))
+    row = lu.sparkSession.createDataFrame([(place,)], "p map<int,struct<at:int,k:int>>")
+    at = row.select("p").scalar()
+    asked = F.array_distinct(F.flatten(F.transform("_rms", lambda c: F.sequence(
+        F.col("_p")[c]["at"], F.col("_p")[c]["at"] + F.col("_p")[c]["k"] - 1))))
+    none = lambda df, keys: [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
+    left = probe.withColumn("_p", at).select(
+        F.explode(asked).alias("_g"), F.pmod(F.xxhash64(*left_keys, "_lu"), F.lit(parts)).cast("int").alias("_q"),
+        F.lit(True).alias("_left"), *left_keys, *none(ru, right_keys), F.col("_lu").alias("_v"))
+    right = ru.withColumn("_p", at).select(
+        (F.col("_p")[F.col("_rm")]["at"] + F.pmod(F.xxhash64(*right_keys, "_ru"), F.col("_p")[F.col("_rm")]["k"])).cast("int").alias("_g"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_q"),
+        F.lit(False).alias("_left"), *none(lu, left_keys), *right_keys, F.col("_ru").alias("_v"))
+    schema = T.StructType([*[lu.schema[k] for k in left_keys], *[ru.schema[k] for k in right_keys],
+                           T.StructField(out, T.DoubleType())])
+    names = schema.names
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        a, b = rows.filter(rows.column("_left")), rows.filter(pc.invert(rows.column("_left")))
+        if not a.num_rows or not b.num_rows:
+            return
+        wide = max(width, 1)
+        for i, j, sim in _pairs_above(matrix(a.column("_v"), wide), matrix(b.column("_v"), wide), threshold):
+            columns = [a.column(k).take(pa.array(i)).combine_chunks() for k in left_keys]
+            columns += [b.column(k).take(pa.array(j)).combine_chunks() for k in right_keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sim)], names)
+
+    return left.unionByName(right).groupBy("_g", "_q").applyInArrow(score, schema)
+
+
+def cosine_candidates(lu: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
+                      right_vec: str, broadcast_bytes: int, threshold: float = 0.0) -> DataFrame:
+    """(left keys, _lu, right keys, _ru): every pair that can exceed ``threshold``, each once
+    (sparse sides: a right vector non-zero on a prefix dimension, up to folding; dense
+    sides: angles to a pivot that allow it)."""
+    ru, n, width, masks = _right_side(right, right_keys, right_vec)
+    return _cosine_candidates(lu, ru, left_keys, right_keys, broadcast_bytes, threshold, n, width, masks)
+
+
+def _cosine_candidates(lu: DataFrame, ru: DataFrame, left_keys: list[str], right_keys: list[str],
+                       broadcast_bytes: int, threshold: float, n: int, width: int, masks: int) -> DataFrame:
+    near = math.acos(min(1.0, threshold)) + ANGLE_EPS
+    if masks == 1 and n >= DENSE_ROWS:
+        probe, ru = _celled(lu, ru, left_keys, n, near)
+    else:
+        probe, ru = _masked(lu, ru, left_keys, MASK_BITS if masks <= MAX_MASKS // 2 else FEW_BITS)
+    return _candidates(probe, ru, left_keys, right_keys, broadcast_bytes, n, width, near)
+
+
 def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str],
                 left_vec: str, right_vec: str, threshold: float, out: str = "sim",
                 broadcast_bytes: int | None = None,
@@ -190,7 +292,10 @@ def cosine_join(left: DataFrame, right: DataFrame, left_keys: list[str], right_k
     limit = BROADCAST_INDEX_BYTES if broadcast_bytes is None else broadcast_bytes
     lu = prepared_left if prepared_left is not None else prepare_left(
         left, left_keys, left_vec, threshold)
-    j = cosine_candidates(lu, right, left_keys, right_keys, right_vec, limit, threshold)
+    ru, n, width, masks = _right_side(right, right_keys, right_vec)
+    if masks == 1 and n >= max(CHUNK_ROWS, DENSE_ROWS):
+        return dense_join(lu, ru, left_keys, right_keys, n, width, threshold, out)
+    j = _cosine_candidates(lu, ru, left_keys, right_keys, limit, threshold, n, width, masks)
     return (j.select(*left_keys, *right_keys, dot("_lu", "_ru").alias(out))
             .where(F.col(out) > F.lit(threshold)))
 

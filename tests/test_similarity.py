@@ -226,6 +226,31 @@ def test_dense_pairs_are_pruned_by_angles(spark, broadcast, monkeypatch):
         assert all(r[2] == pytest.approx(exp[(r[0], r[1])], abs=1e-12) for r in got)
 
 
+def test_dense_pairs_meet_as_matrices(spark, monkeypatch):
+    """A large dense right side: no pair is a row before its cosine is known; parts, chunks and
+    slices of any size give the exact pairs, repeated rows and null keys too."""
+    for name, value in (("DENSE_ROWS", 64), ("CHUNK_ROWS", 100), ("PART_BYTES", 8 * 12 * 70), ("SLICE", 16),
+                        ("CHUNK_BYTES", 8 * 12 * 90), ("PAIRS_AT_ONCE", 37)):
+        monkeypatch.setattr(S, name, value)
+    rng = np.random.default_rng(23)
+    def side(n, centres, noise):
+        x = centres[rng.integers(0, len(centres), n)] + noise * rng.normal(size=(n, 12))
+        return [(i, [float(e) for e in v]) for i, v in enumerate(x)]
+    for centres, noise, t in ((rng.normal(size=(9, 12)), 0.05, 0.8), (np.zeros((1, 12)), 1.0, 0.3)):
+        L, R = side(150, centres, noise), side(330, centres, noise)
+        L += [(150, [0.0] * 12), (151, [1.0, 2.0])]
+        extra = [(0, L[0][1]), (None, L[1][1])]
+        ldf = spark.createDataFrame(L + extra, "user_id long, v array<double>")
+        rdf = spark.createDataFrame(R + R[:3], "doc_id long, w array<double>")
+        got = S.cosine_join(ldf, rdf, ["user_id"], ["doc_id"], "v", "w", t)
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((-1 if u is None else u, d, s) for u, d, s in got.collect())
+        exp = [(-1 if u is None else u, d, s) for u, v in L + extra
+               for (_, d), s in brute_cos([(u, v)], R, t).items() for _ in range(2 if d < 3 else 1)]
+        assert [r[:2] for r in rows] == [r[:2] for r in sorted(exp)] and len(exp) > 100
+        assert all(r[2] == pytest.approx(e[2], abs=1e-12) for r, e in zip(rows, sorted(exp)))
+
+
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_cosine_join_long_left_short_right(spark, broadcast):
     """Left vectors longer than 64 against right vectors of at most 64 dims:
