@@ -27,6 +27,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,11 @@ def _slot(d: Column, table: int) -> Column:
     return F.pmod(F.shiftrightunsigned(d, 8 * table), F.lit(SLOTS)).cast("int") + table * SLOTS
 
 
+def _mark(slot: int, table: int) -> int:
+    """The bits of a digest that name this slot of a table, in place (``SLOTS`` is a power of two)."""
+    return slot << 8 * table
+
+
 def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.alias("n"), key.alias("key"), check.alias("check"))
 
@@ -71,8 +78,9 @@ def sketch(d: Column) -> Column:
     empty = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0))
 
     def table(t: int) -> Column:
-        return F.transform(F.sequence(F.lit(t * SLOTS), F.lit((t + 1) * SLOTS - 1)), lambda i: F.aggregate(
-            F.filter(d, lambda x: _slot(x, t) == i), empty,
+        bits = F.lit(_mark(SLOTS - 1, t)).cast("long")
+        return F.transform(F.array(*[F.lit(_mark(i, t)).cast("long") for i in range(SLOTS)]), lambda m: F.aggregate(
+            F.filter(d, lambda x: x.bitwiseAND(bits) == m), empty,
             lambda c, x: _cell(c["n"] + 1, c["key"].bitwiseXOR(x), c["check"].bitwiseXOR(_check(x)))))
     return F.concat(*[table(t) for t in range(TABLES)])
 
@@ -88,21 +96,25 @@ def peel(cells: Column) -> Column:
     none = F.array().cast("array<bigint>")
     start = F.struct(cells.alias("cells"), none.alias("left"), none.alias("right"), F.lit(True).alias("go"))
     single = lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"]))
+    # the cells of a digest, as bits: one in each table
+    bit = lambda key, t: F.call_function("shiftleft", F.lit(1), _slot(key, t))
+    at = lambda key: reduce(Column.bitwiseOR, [bit(key, t) for t in range(TABLES)])
 
     def remove(st: Column, pure: Column) -> Column:
         cell = lambda c, i: F.aggregate(pure, c, lambda acc, p: F.when(
-            F.array_contains(p["at"], i), _cell(acc["n"] - p["n"], acc["key"].bitwiseXOR(p["key"]),
+            F.getbit(p["at"], i) == 1, _cell(acc["n"] - p["n"], acc["key"].bitwiseXOR(p["key"]),
                                                 acc["check"].bitwiseXOR(p["check"]))).otherwise(acc))
         keys = lambda n: F.transform(F.filter(pure, lambda p: p["n"] == n), lambda p: p["key"])
         return F.struct(F.transform(st["cells"], cell).alias("cells"),
                         F.concat(st["left"], keys(1)).alias("left"),
-                        F.concat(st["right"], keys(-1)).alias("right"), (F.size(pure) > 0).alias("go"))
+                        F.concat(st["right"], keys(-1)).alias("right"), F.lit(True).alias("go"))
 
     def one_round(st: Column, _: Column) -> Column:
-        pure = F.array_distinct(F.transform(F.filter(st["cells"], single), lambda c: F.struct(
-            c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"),
-            F.array(*[_slot(c["key"], t) for t in range(TABLES)]).alias("at"))))
-        return F.when(st["go"], let(pure, lambda p: remove(st, p))).otherwise(st)
+        pure = F.transform(F.array_distinct(F.filter(st["cells"], single)), lambda c: F.struct(
+            c["n"].alias("n"), c["key"].alias("key"), c["check"].alias("check"), at(c["key"]).alias("at")))
+        stop = F.struct(st["cells"].alias("cells"), st["left"].alias("left"), st["right"].alias("right"),
+                        F.lit(False).alias("go"))
+        return F.when(st["go"], let(pure, lambda p: F.when(F.size(p) > 0, remove(st, p)).otherwise(stop))).otherwise(st)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round)
 
@@ -118,9 +130,9 @@ def _peeled(r: Column, a: Column, b: Column) -> Column:
 
 def _parts(a: Column, b: Column, level: Column) -> Column:
     """The ``FAN`` parts of two sets at a level: array<struct<a, b>>."""
-    in_part = lambda x, q: F.pmod(F.call_function(
-        "shiftrightunsigned", x, 64 - 3 * level), F.lit(FAN)) == q
-    return F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda q: F.struct(
+    in_part = lambda x, q: F.call_function(
+        "shiftrightunsigned", x, 64 - 3 * level).bitwiseAND(F.lit(FAN - 1).cast("long")) == q
+    return F.transform(F.array(*[F.lit(q).cast("long") for q in range(FAN)]), lambda q: F.struct(
         F.filter(a, lambda x: in_part(x, q)).alias("a"), F.filter(b, lambda x: in_part(x, q)).alias("b")))
 
 
