@@ -12,7 +12,9 @@ which is Cauchy-Schwarz sharpened by the direction.  Two rounds use it:
    its n-th score so far is a floor under the final n-th score;
 2. the blocks whose bound reaches the floor are scored in full.
 
-A query and a block below its floor never meet.  The heads are joined on the block:
+A query and a block below its floor never meet.  The bounds of a slice of queries for all
+blocks are one matrix (numpy, ``BOUNDS_AT_ONCE`` entries), in as many tasks as the queries
+need.  The heads are joined on the block:
 broadcast after a size check, else shuffled with a salt.  In the second round neighbouring
 blocks make up chunks of bounded size; a bounded part of the queries and a chunk meet in one
 task as matrices (numpy), where a query keeps the n best of the chunk.  A product of matrices
@@ -27,6 +29,7 @@ zero; no items, no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemap.functions.scalar import dot, l2_norm
 from tastemap.operators.cells import MAX_CELLS, matrix, n_cells, pivots_of, with_angles, with_cell
@@ -48,6 +52,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 CHUNK_ITEMS = (2048, 32_768)    # items of a chunk: a 64th of all, within these
 PART_QUERIES = (1024, 16_384)   # queries that meet a chunk at once: an eighth of all, within these
 SLICE = 256                 # queries multiplied at once
+TASK_QUERIES = 8192         # queries whose bounds one task works out
+BOUNDS_AT_ONCE = 1 << 20    # entries of a matrix of bounds
 UNROLL = 16                 # widest dot product written out term by term (one code path, no lambda)
 
 
@@ -118,6 +124,63 @@ def _bounds(probe: DataFrame, blocks: Column) -> DataFrame:
         "_bd", F.reverse(F.array_sort(F.transform("_bl", _bound)))).drop("_bl")
 
 
+def _bound_matrix(norms: np.ndarray, angles: np.ndarray, blocks: list) -> np.ndarray:
+    """``_bound`` of every query (row) and block."""
+    cell = np.array([r["cell"] for r in blocks], int)
+    lo, hi, r = (np.array([b[k] for b in blocks], float) for k in ("lo", "hi", "r"))
+    with np.errstate(invalid="ignore", over="ignore"):
+        cos = np.cos(np.maximum(0.0, np.where(cell >= 0, angles[:, np.maximum(cell, 0)], 0.0) - r))
+        top = norms[:, None] * np.where(cos >= 0, hi, lo) * cos
+        return top + (norms[:, None] * hi + 1) * 1e-9
+
+
+def _slices(batches: Iterator[pa.RecordBatch], blocks: list, n_pivots: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Queries (_un, _al, ...) and their bounds, some at a time."""
+    rows = max(1, BOUNDS_AT_ONCE // max(1, len(blocks)))
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            b = whole.slice(at, rows)
+            yield b, _bound_matrix(b.column("_un").to_numpy(zero_copy_only=False),
+                                   matrix(pa.chunked_array([b.column("_al")]), n_pivots), blocks)
+
+
+def _best_blocks(probe: DataFrame, blocks: list, n_pivots: int) -> DataFrame:
+    """(_u, _uv, _b): the ``FIRST_BLOCKS`` best-bound blocks of every query."""
+    names = np.array([r["_b"] for r in blocks], np.int32)
+    k = min(FIRST_BLOCKS, len(blocks))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bound in _slices(batches, blocks, n_pivots):
+            bound[np.isnan(bound)] = np.inf
+            first = np.argpartition(-bound, k - 1, axis=1)[:, :k] if k else np.zeros((len(bound), 0), int)
+            q = pa.array(np.repeat(np.arange(len(bound)), k))
+            yield pa.RecordBatch.from_arrays([b.column("_u").take(q), b.column("_uv").take(q),
+                                              pa.array(names[first.ravel()])], ["_u", "_uv", "_b"])
+
+    return probe.select("_u", "_uv", "_un", "_al").mapInArrow(best, probe.select("_u", "_uv").schema.add("_b", "integer"))
+
+
+def _asked_chunks(rows: DataFrame, blocks: list, chunks: list[list], n_pivots: int) -> DataFrame:
+    """(_u, _uv, _fs, _g, _bs): the chunks with a block that reaches a query's floor, and
+    these blocks."""
+    place = {r["_b"]: i for i, r in enumerate(blocks)}
+    entries = [(g, place[r["_b"]], r["_b"]) for g, c in enumerate(chunks) for r in c]
+    chunk, col, name = (np.array(e, np.int32) for e in (zip(*entries) if entries else ([], [], [])))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, bound in _slices(batches, blocks, n_pivots):
+            floor, none = b.column("_fs").to_numpy(zero_copy_only=False), np.asarray(b.column("_fs").is_null())
+            q, e = np.nonzero((none[:, None] | ~(bound < floor[:, None]))[:, col])
+            start = np.flatnonzero(np.diff(q, prepend=-1) | np.diff(chunk[e], prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(q)), pa.int32()), pa.array(name[e], pa.int32()))
+            at = pa.array(q[start])
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in ("_u", "_uv", "_fs")],
+                                              pa.array(chunk[e[start]], pa.int32()), lists], ["_u", "_uv", "_fs", "_g", "_bs"])
+
+    schema = rows.select("_u", "_uv", "_fs").schema.add("_g", "integer").add("_bs", T.ArrayType(T.IntegerType()))
+    return rows.select("_u", "_uv", "_un", "_al", "_fs").mapInArrow(ask, schema)
+
+
 def _meet(wanted: DataFrame, items: DataFrame, size: int, width: int) -> DataFrame:
     """(_u, _i, _s): scores of queries with the items of their wanted blocks."""
     if size <= BROADCAST_BYTES:
@@ -259,9 +322,13 @@ def top_items(queries: DataFrame, items: DataFrame, n: int, query: str, item: st
     probe = materialise(with_angles(probe, "_unit", pivots or [[0.0]], "_al").drop("_unit"), "mips-probe")
     none = [F.lit(None).cast("double").alias("_fs"), F.lit(None).cast(placed.schema["_i"].dataType).alias("_fi")]
 
+    # few bytes but much work a row: dealt to tasks by number
+    n_queries = probe.count()
+    tasks = max(queries.sparkSession.sparkContext.defaultParallelism, -(-n_queries // TASK_QUERIES))
+    n_pivots = max(1, len(pivots))
+
     # 1: a floor from the heads of the best blocks
-    best = _bounds(probe, blocks).select("_u", "_uv", F.explode(F.transform(
-        F.slice("_bd", 1, FIRST_BLOCKS), lambda b: b["b"])).alias("_b"), *none)
+    best = _best_blocks(probe.repartition(tasks), found, n_pivots).select("_u", "_uv", "_b", *none)
     heads = placed.where("_head").select("_b", "_i", "_iv")
     floor = materialise(_floor(_top(_meet(best, heads, size, width), n), n), "mips-floor")
 
@@ -269,15 +336,11 @@ def top_items(queries: DataFrame, items: DataFrame, n: int, query: str, item: st
     rows = _bounds(probe.join(floor, "_u", "left"), blocks)
     wanted = rows.select("_u", "_uv", "_fs", "_fi", F.explode(F.transform(F.filter(
         "_bd", lambda b: F.col("_fs").isNull() | (b["bound"] >= F.col("_fs"))), lambda b: b["b"])).alias("_b"))
-    asked = probe.join(floor, "_u", "left").select("_u", "_uv", "_un", "_al", "_fs", F.posexplode(
-        scalar([[entry(r) for r in c] for c in chunks], f"array<{block}>")).alias("_g", "_bl"))
-    asked = asked.withColumn("_bd", F.filter(F.transform("_bl", _bound), lambda b: F.col("_fs").isNull() | (
-        b["bound"] >= F.col("_fs")))).where(F.size("_bd") > 0)
+    asked = _asked_chunks(probe.join(floor, "_u", "left").repartition(tasks), found, chunks, n_pivots)
     where = queries.sparkSession.createDataFrame([(b, *at) for b, at in place.items()], "_b int, at int, k int")
     dealt = placed.select("_b", "_i", "_iv").join(F.broadcast(where), "_b").select(
         "_b", "_i", "_iv", (F.col("at") + F.pmod(F.xxhash64("_i"), F.col("k"))).cast("int").alias("_g"))
-    out = _top(_meet_chunks(asked.select("_u", "_uv", "_fs", "_g", F.transform("_bd", lambda b: b["b"]).alias("_bs")),
-                            dealt, n, width, probe.count()), n)
+    out = _top(_meet_chunks(asked, dealt, n, width, n_queries), n)
     smallest = placed.select("_i").orderBy("_i").limit(n).agg(
         F.array_sort(F.collect_list("_i")).alias("l")).select("l").scalar()
     nothing = zero.select("_u", F.posexplode(smallest).alias("_p", "_i")).select(

@@ -133,3 +133,26 @@ def test_second_round_multiplies_matrices_in_bounded_chunks(spark, monkeypatch):
     chunks, place = M._chunks(blocks, 260)
     assert [[r["_b"] for r in c] for c in chunks] == [[-1, 0], [1], [1], [1], [1], [2, 3]]
     assert place == {-1: (0, 1), 0: (0, 1), 1: (1, 4), 2: (5, 1), 3: (5, 1)}
+
+
+def test_bounds_are_worked_out_in_as_many_tasks_as_the_queries_need(spark, monkeypatch):
+    """A query is a few bytes but meets every block's bound: the tasks follow the number of queries, and a
+    slice's bounds are those of the plan."""
+    monkeypatch.setattr(M, "TASK_QUERIES", 10)
+    monkeypatch.setattr(M, "BOUNDS_AT_ONCE", 100)
+    monkeypatch.setattr(M, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(31)
+    items = [None, [0.0] * 6, *(rng.normal(size=(500, 6)) * rng.lognormal(0, 0.8, size=(500, 1)))]
+    users = rng.normal(size=(65, 6))
+    top, got = found(spark, users, items, 3)
+    assert got == brute(users, items, 3)
+    plan = top.rows._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(7)" in plan and "MapInArrow" in plan
+    blocks = [{"_b": i, "b": i, "cell": c, "lo": lo, "hi": lo + 1.0, "r": r} for i, (c, lo, r) in enumerate(
+        [(-1, 0.0, 0.0), (0, 0.5, 0.2), (1, 2.0, 1.5), (1, 0.1, 3.0)])]
+    rows = [(0.5, [0.1, 2.5]), (3.0, [3.1, 0.0]), (1.0, [1.2, 1.6])]
+    df = spark.createDataFrame([(u, a, blocks) for u, a in rows], "_un double, _al array<double>, bl array<struct<"
+                               "b:int,cell:int,lo:double,hi:double,r:double>>")
+    plan_bounds = [[x["bound"] for x in r.bd] for r in df.select(F.transform("bl", M._bound).alias("bd")).collect()]
+    assert np.allclose(M._bound_matrix(np.array([u for u, _ in rows]), np.array([a for _, a in rows]), blocks),
+                       plan_bounds, rtol=1e-14)
