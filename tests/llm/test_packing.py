@@ -118,3 +118,15 @@ print(before - held())
         pytest.skip("needs /proc")
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
     assert float(out.stdout) > 30
+
+
+def test_second_tokenizer_is_loaded_when_a_text_needs_it():
+    """Plain texts go through the rank file alone; the first other text loads the exact tokenizer."""
+    from tastemap.llm.catalogue import tokenizer_files
+    from tastemap.llm.packing import Encoder
+    both = Encoder(*tokenizer_files().values())
+    alone = Encoder(tokenizer_files()["tokenizer"], None)
+    plain = "Plain words, été and 12 numbers.\n"
+    assert both(plain).tolist() == alone(plain).tolist() and "exact" not in vars(both)
+    for text in ("漢字 and words", "a <|endoftext|> inside"):
+        assert both(text).tolist() == alone(text).tolist() and "exact" in vars(both)
