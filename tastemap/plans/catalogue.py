@@ -17,7 +17,7 @@ from tastemap.operators.blend import blend_lists
 from tastemap.sources import log as L
 from tastemap.sources import news as N
 from tastemap.sources import testdata as TD
-from tastemap.session import spread
+from tastemap.session import materialise, spread
 
 PARAMS = DEFAULT_PARAMS
 R = 6  # rounding of floating results
@@ -436,10 +436,14 @@ def q_score_single(spark, d):
 
 
 def _hybrid(spark, d, threshold, sigma, beta, floor=0.0):
-    h = S.hybrid_join(morning_profiles(spark, d), TD.new_article_topics(spark, d),
-                      _morning_terms(spark, d), new_keywords(spark, d).select("doc_id", "term"),
+    # the join reads each of these several times, in several jobs, and they come from the
+    # whole corpus and log: computed once
+    profiles = materialise(morning_profiles(spark, d), "hybrid-profiles")
+    terms = materialise(_morning_terms(spark, d), "hybrid-terms")
+    new_terms = materialise(new_keywords(spark, d).select("doc_id", "term"), "hybrid-new-terms")
+    h = S.hybrid_join(profiles, TD.new_article_topics(spark, d), terms, new_terms,
                       ["user_id"], ["doc_id"], "topic", "topic", threshold, sigma, beta,
-                      salt_buckets=PARAMS.salt_buckets, keyword_floor=floor)
+                      salt_buckets=PARAMS.salt_buckets, checkpoint_pairs=True, keyword_floor=floor)
     return h.select("user_id", "doc_id", _r("sim_t"), _r("sim_k"), _r("score"))
 
 

@@ -77,3 +77,11 @@ def test_attach_words_hashes_a_text_once(spark, tmp_path):
         texts = [t for n, t, _s in docs if "news" + str(n)[:4].rjust(4, "0") == key] or [""]
         want |= {(i, key, len(t), hashlib.md5(t.encode()).hexdigest()) for t in texts}
     assert rows == want
+
+
+@pytest.mark.parametrize("name", ["score_hybrid", "score_hybrid_floor", "score_hybrid_keywords"])
+def test_hybrid_queries_read_the_corpus_once(spark, name):
+    """Profiles, their keywords and the new articles' keywords are stored before the join, which reads
+    them several times: neither texts nor events are in its plan."""
+    p = plan(QUERIES[name](spark, SF_SMALL))
+    assert "text:string" not in p and "event_type" not in p
