@@ -116,3 +116,54 @@ def test_dense_dictionary_is_a_bijection(spark):
     assert len(d) == 137
     assert sorted(r["user_idx"] for r in d) == list(range(137))
     assert len({r["user_id"] for r in d}) == 137
+
+
+def test_em_blocks_follow_the_updates_entry_by_entry():
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    vocab, k, alpha, eta = ["a", "b", "c", "d"], 3, 50 / 3 + 1, 1.1
+    texts = ["a b\ta  c", "zz", "", "d d\n d", "b"]
+    words, counts, ends = TP._count_texts(pa.array(texts), pa.array(vocab))
+    assert words.tolist() == [0, 1, 2, 3, 1] and counts.tolist() == [2, 1, 1, 3, 1] and ends.tolist() == [0, 3, 4, 5]
+    blocks = list(TP._blocks(words, counts, ends))
+    assert len(blocks) == 1 and blocks[0][2].tolist() == [0, 3, 4, 5]
+    by_doc, by_word = rng.random((k, 3)) * 5, rng.random((k, 4)) * 5
+    total = by_word.sum(axis=1)
+    by_term = (by_word + (eta - 1)) / (total[:, None] + 4 * (eta - 1))
+    topics, share = TP.em_step(words, counts, ends, by_doc, by_term, alpha)
+    summed = np.zeros((k, 4))
+    TP._add_terms(summed, words, share)
+    want_doc, want_word = np.zeros((k, 3)), np.zeros((k, 4))
+    for d in range(3):
+        for e in range(ends[d], ends[d + 1]):
+            p = [(by_word[t, words[e]] + eta - 1) * (by_doc[t, d] + alpha - 1) / (total[t] + 4 * (eta - 1)) for t in range(k)]
+            for t in range(k):
+                want_doc[t, d] += counts[e] * p[t] / sum(p)
+                want_word[t, words[e]] += counts[e] * p[t] / sum(p)
+    assert np.allclose(topics, want_doc) and np.allclose(summed, want_word)
+
+
+def test_em_blocks_hold_whole_documents(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(TP, "BLOCK_ENTRIES", 4)
+    ends = np.array([0, 3, 5, 6, 16, 17])       # the fourth document is larger than a block
+    parts = list(TP._blocks(np.arange(17), np.arange(17), ends))
+    assert [p[2].tolist() for p in parts] == [[0, 3], [0, 2, 3], [0, 10], [0, 1]]
+    assert np.concatenate([p[0] for p in parts]).tolist() == list(range(17))
+
+
+def test_em_trains_without_a_graph(spark, monkeypatch):
+    """Text by text and in many parts: every token is dealt to the topics, no graph is kept."""
+    monkeypatch.setattr(TP, "TEXT_AT_ONCE", 64)
+    monkeypatch.setattr(TP, "FEW_PARTS", 1)
+    monkeypatch.setattr(TP, "CUT_EVERY", 2)
+    rows = [(i, None if i == 7 else " ".join(f"w{(i * j) % 11}" for j in range(i % 9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, words string").repartition(3)
+    model = TP.build_topic_model(docs, Params(n_topics=3, vocab_multiplier=4), max_iter=5)
+    assert not model.lda.isDistributed()
+    tokens = sum(len(t.split()) for _, t in rows if t)
+    counts = model.lda.topicsMatrix().toArray()
+    assert counts.sum() == pytest.approx(tokens) and counts.shape == (11, 3)
+    again = TP.build_topic_model(docs, Params(n_topics=3, vocab_multiplier=4), max_iter=5)
+    assert again.lda.topicsMatrix().toArray().sum() == pytest.approx(tokens)
