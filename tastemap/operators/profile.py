@@ -22,8 +22,6 @@ Update rules
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +30,29 @@ from tastemap.functions.scalar import merge_mean
 UB = ["user_id", "bucket"]
 
 
-def topic_delta(log: DataFrame, article_topics: DataFrame) -> DataFrame:
+def topic_delta(log: DataFrame, article_topics: DataFrame, width: int | None = None) -> DataFrame:
     """(user_id, bucket, topic_sum array<double>, n bigint).
 
-    The log is pre-aggregated per (user, bucket, article); the weighted vector sum
-    is one map-side combined aggregate (``Summarizer.sum``) with one row per group.
-    All vectors must have the same length."""
+    The log is pre-aggregated per (user, bucket, article); the weighted vector sum is one
+    map-side combined aggregate with a plain sum for every component, so a group travels as
+    ``width`` numbers.  All vectors must have the same length, ``width`` (looked up if not given)."""
     pre = (log.groupBy("user_id", "bucket", "doc_id")
            .agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")))
-    vec = article_topics.where(F.size("topic") > 0).select(
-        "doc_id", array_to_vector("topic").alias("_v"))
     cnt = pre.groupBy(*UB).agg(F.sum("n").alias("n"))       # articles without a vector count too
-    sums = pre.join(vec, "doc_id").groupBy(*UB).agg(
-        vector_to_array(Summarizer.sum(F.col("_v"), F.col("w"))).alias("topic_sum"))
-    return cnt.join(sums, UB, "left").select(
-        *UB, F.coalesce("topic_sum", F.array().cast("array<double>")).alias("topic_sum"), "n")
+    none = F.array().cast("array<double>")
+    vec = article_topics.where(F.size("topic") > 0)
+    if width is None:
+        first = vec.select(F.size("topic")).first()
+        width = first[0] if first else 0
+    if not width:
+        return cnt.select(*UB, none.alias("topic_sum"), "n")
+    same = F.when(F.size("topic") == width, F.col("topic")).otherwise(
+        F.raise_error(F.lit(f"topic vectors differ in length from {width}")))
+    rows = pre.join(vec.select("doc_id", same.alias("_v")), "doc_id")
+    parts = [f"_s{i}" for i in range(width)]
+    sums = rows.groupBy(*UB).agg(*[F.sum(F.col("w") * F.coalesce(F.get("_v", F.lit(i)), F.lit(0.0))).alias(c)
+                                   for i, c in enumerate(parts)]).select(*UB, F.array(*parts).alias("topic_sum"))
+    return cnt.join(sums, UB, "left").select(*UB, F.coalesce("topic_sum", none).alias("topic_sum"), "n")
 
 
 def topic_delta_long(log: DataFrame, article_topics: DataFrame) -> DataFrame:

@@ -104,9 +104,10 @@ FEW_BITS = 12           # masks folded to this width are never more than MAX_MAS
 BLOCK_ROWS = 256        # right rows packed together
 DENSE_ROWS = 256        # a dense right side of fewer rows is one cell
 CHUNK_ROWS = 1024       # a dense right side of fewer rows meets the left rows one by one
-CHUNK_BYTES = 4 << 20   # vectors of a chunk, at most (and a 32nd of all)
-PART_BYTES = 8 << 20    # vectors of the left rows that meet a chunk at once, at most (and an eighth of all)
-SLICE = 256             # left rows multiplied at once
+CHUNK_BYTES = 32 << 20  # vectors of a chunk, at most (and a 16th of all): every left row that reaches it is sent to it
+PART_BYTES = 32 << 20   # vectors of the left rows that meet a chunk at once, at most (and an eighth of all): a chunk is sent to each
+SLICE = 256             # left rows multiplied at once, at most
+PRODUCTS = 1 << 21      # products at once
 PAIRS_AT_ONCE = 1 << 18  # pairs summed at once
 
 
@@ -208,8 +209,9 @@ def _chunk_of_cells(cells: dict[int, int], most: int) -> dict[int, tuple[int, in
 def _pairs_above(u: np.ndarray, v: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
     """(row of ``u``, row of ``v``, dot product), some at a time, of the pairs above the threshold."""
     least = threshold - 1e-12 * (u.shape[1] + 1)    # room for the rounding of a product of unit vectors
-    for lo in range(0, len(u), SLICE):
-        near = np.flatnonzero(~(u[lo:lo + SLICE] @ v.T < least))
+    some = max(1, min(SLICE, PRODUCTS // max(len(v), 1)))
+    for lo in range(0, len(u), some):
+        near = np.flatnonzero(~(u[lo:lo + some] @ v.T < least))
         for at in range(0, len(near), PAIRS_AT_ONCE):
             i, j = np.divmod(near[at:at + PAIRS_AT_ONCE], len(v))
             exact = np.zeros(len(i))
@@ -219,6 +221,13 @@ def _pairs_above(u: np.ndarray, v: np.ndarray, threshold: float) -> Iterator[tup
             yield lo + i[kept], j[kept], exact[kept]
 
 
+def _dense_sizes(n: int, n_left: int, width: int) -> tuple[int, int]:
+    """(rows of a chunk, left parts) for so many right and left rows.  A left row is sent to every
+    chunk that it reaches and a chunk to every part, so both are as large as a task can hold."""
+    chunk = max(1, min(CHUNK_BYTES // (8 * width), max(CHUNK_ROWS, n // 16)))
+    return chunk, max(1, -(-n_left // max(1, min(PART_BYTES // (8 * width), max(CHUNK_ROWS, n_left // 8)))))
+
+
 def dense_join(lu: DataFrame, ru: DataFrame, left_keys: list[str], right_keys: list[str], n: int, width: int,
                threshold: float, out: str) -> DataFrame:
     """Keys and cosine of the pairs above the threshold: parts of the left rows and chunks of the
@@ -227,10 +236,8 @@ def dense_join(lu: DataFrame, ru: DataFrame, left_keys: list[str], right_keys: l
     lu = spread(materialise(lu.select(*left_keys, "_lu"), "cosine-left"))
     probe, ru = _celled(lu, spread(ru), left_keys, n, math.acos(min(1.0, threshold)) + ANGLE_EPS, each=False)
     ru = materialise(ru, "cosine-cells")
-    place = _chunk_of_cells({r["_rm"]: r["n"] for r in ru.groupBy("_rm").agg(F.count(F.lit(1)).alias("n")).collect()},
-                            max(1, min(CHUNK_BYTES // (8 * width), max(CHUNK_ROWS, n // 32))))
-    n_left = lu.count()
-    parts = max(1, -(-n_left // max(1, min(PART_BYTES // (8 * width), max(CHUNK_ROWS, n_left // 8)))))
+    chunk, parts = _dense_sizes(n, lu.count(), width)
+    place = _chunk_of_cells({r["_rm"]: r["n"] for r in ru.groupBy("_rm").agg(F.count(F.lit(1)).alias("n")).collect()}, chunk)
     row = lu.sparkSession.createDataFrame([(place,)], "p map<int,struct<at:int,k:int>>")
     at = row.select("p").scalar()
     asked = F.array_distinct(F.flatten(F.transform("_rms", lambda c: F.sequence(
@@ -253,7 +260,9 @@ def dense_join(lu: DataFrame, ru: DataFrame, left_keys: list[str], right_keys: l
         if not a.num_rows or not b.num_rows:
             return
         wide = max(width, 1)
-        for i, j, sim in _pairs_above(matrix(a.column("_v"), wide), matrix(b.column("_v"), wide), threshold):
+        u, v = matrix(a.column("_v"), wide), matrix(b.column("_v"), wide)
+        a, b, rows = a.select(left_keys), b.select(right_keys), None        # the vectors are held once
+        for i, j, sim in _pairs_above(u, v, threshold):
             columns = [a.column(k).take(pa.array(i)).combine_chunks() for k in left_keys]
             columns += [b.column(k).take(pa.array(j)).combine_chunks() for k in right_keys]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sim)], names)

@@ -110,3 +110,19 @@ def test_read_keywords_defaults(spark):
     users = spark.createDataFrame([(1,), (0,)], "user_id long")
     got = {r["user_id"]: r["keywords"] for r in P.read_keywords(kws, users, "上午").collect()}
     assert got == {1: {"体育": 0.12, "音乐": 0.3}, 0: {}}
+
+
+def test_topic_sums_travel_as_plain_numbers(spark):
+    """Sums of weighted vectors, articles without a vector counted; a vector of another length is refused."""
+    log = spark.createDataFrame([(1, "m", 1, 0.2), (1, "m", 1, 0.3), (1, "m", 2, 0.2), (1, "e", 9, 0.3), (2, "m", 2, 0.3),
+                                 (2, "m", 3, 0.3)], "user_id long, bucket string, doc_id long, weight double")
+    schema = "doc_id long, topic array<double>"
+    vecs = spark.createDataFrame([(1, [1.0, None, 2.0]), (2, [0.5, 1.0, 0.0]), (3, []), (4, None)], schema)
+    delta = P.topic_delta(log, vecs)
+    got = {(r.user_id, r.bucket): ([round(x, 9) for x in r.topic_sum], r.n) for r in delta.collect()}
+    assert got == {(1, "m"): ([0.6, 0.2, 1.0], 3), (1, "e"): ([], 1), (2, "m"): ([0.15, 0.3, 0.0], 2)}
+    plan = delta._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    assert [r.topic_sum for r in P.topic_delta(log, vecs.where("doc_id > 2")).collect()] == [[], [], []]
+    with pytest.raises(Exception, match="differ in length"):
+        P.topic_delta(log, vecs.unionByName(spark.createDataFrame([(9, [1.0])], schema)), 3).collect()

@@ -331,3 +331,25 @@ def test_hybrid_checkpointed_pairs_same_result(spark):
     a = sorted(map(tuple, S.hybrid_join(*args).collect()))
     b = sorted(map(tuple, S.hybrid_join(*args, checkpoint_pairs=True).collect()))
     assert a == b and len(a) > 0
+
+
+def test_dense_sides_are_sent_a_bounded_number_of_times():
+    """650,000 vectors of 64 doubles and 540,000 profiles: copies sent, and what a task holds."""
+    n, n_left, width = 650_000, 540_000, 64
+    chunk, parts = S._dense_sizes(n, n_left, width)
+    assert 8 * width * max(chunk, -(-n_left // parts)) <= 32 << 20
+    assert -(-n // chunk) <= 17 and parts <= 9
+    assert 8 * width * (n_left * -(-n // chunk) + n * parts) < 8e9
+    assert S._dense_sizes(1024, 100, 64) == (1024, 1) and S._dense_sizes(10, 0, 8)[1] == 1
+
+
+def test_products_at_once_are_bounded(monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(6)
+    u, v = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(50, 5)), rng.normal(size=(70, 5))))
+    pairs = lambda: {(int(i), int(j)): x for a, b, c in S._pairs_above(u, v, 0.4) for i, j, x in zip(a, b, c)}
+    want = pairs()
+    assert set(want) == set(zip(*(x.tolist() for x in np.nonzero(u @ v.T > 0.4))))
+    for most in (1, 100, 1000):
+        monkeypatch.setattr(S, "PRODUCTS", most)
+        assert pairs() == want
