@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tastemap.config import DEFAULT_STOP_WORDS
 from tastemap.functions.text import tokens_regex_gap, tokens_regex_match, tokens_ws
+from tastemap.operators.terms import doc_freqs, frequency_bounds, top_candidates
 from tastemap.session import materialise, spread
 
 TOKENIZERS = {"ws": tokens_ws, "gap": tokens_regex_gap, "match": tokens_regex_match}
@@ -134,10 +135,12 @@ def keywords(docs: DataFrame, top: int = 10, doc_col: str = "doc_id",
     ranked by the weight rounded to ``round_to`` places (ties by term).
     Returns (doc_col, term, weight, rk); ``keep_raw`` keeps the unrounded weight."""
     tasks = _text_tasks(docs, text_col)
-    tf = term_freq(docs, doc_col, text_col, tasks=tasks)
-    m = docs.select(F.count(F.lit(1))).scalar()
-    some = can_be_top(tf, doc_freq(tf), m, top, round_to, doc_col)
-    w = tfidf(_in_tasks(some, tasks, "term"), _in_tasks(idf(tf, m, doc_col), tasks, "term"), doc_col)
+    m = docs.count()
+    df = materialise(doc_freqs(docs, doc_col, text_col, tasks), "doc-freqs")     # used three times
+    idf_t = df.select("term", F.log((F.lit(m) + F.lit(1)) / (F.col("df") + F.lit(1))).alias("idf"))
+    some = top_candidates(docs, frequency_bounds(df, m, COMMON_SHARE, DF_BUCKETS), top, round_to, doc_col, text_col,
+                          tasks=tasks)
+    w = tfidf(_in_tasks(some, tasks, "term"), _in_tasks(idf_t, tasks, "term"), doc_col)
     return top_per_group(_in_tasks(w, tasks, doc_col), [doc_col], "weight", top, rank_col="rk", round_to=round_to,
                          keep_raw=keep_raw)
 
@@ -192,7 +195,7 @@ def doc_freq_delta(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "wo
             F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bitmap"))
     else:
         counted = has.select(F.col(doc_col).cast("string").alias("doc_id"))
-    terms = doc_freq(term_freq(docs, doc_col, text_col))
+    terms = doc_freqs(docs, doc_col, text_col)
     schema = {"doc_id": "string", "bucket": "long", "bitmap": "binary", "term": "string", "df": "long"}
 
     def full(rows: DataFrame) -> DataFrame:
@@ -241,10 +244,21 @@ def keywords_with_df(docs: DataFrame, deltas: DataFrame, top: int = 10,
     ``doc_freq_delta`` tables that cover it: only the subset is tokenised.  Same
     result as ``keywords`` over the whole corpus, restricted to ``docs``."""
     tasks = _text_tasks(docs, text_col)
-    tf = term_freq(docs, doc_col, text_col, tasks=tasks)
     terms, m = total_doc_freq(deltas)
-    idf_t = terms.select("term", F.log((m + F.lit(1)) / (F.col("df") + F.lit(1))).alias("idf"))
-    some = can_be_top(tf, terms, m, top, round_to, doc_col, covered=False)
+    terms = materialise(terms, "doc-freqs")     # used three times
+    m = docs.sparkSession.range(1).select(m).first()[0]
+    idf_t = terms.select("term", F.log((F.lit(m) + F.lit(1)) / (F.col("df") + F.lit(1))).alias("idf"))
+    bounds = frequency_bounds(terms, m, COMMON_SHARE, DF_BUCKETS)
+    some = materialise(top_candidates(docs, bounds, top, round_to, doc_col, text_col, tasks=tasks), "keyword-candidates")
+    # the terms that made up a document's bounds are among its candidates; if one was never counted
+    # (a text that changed since), the document is done again without trusting its hashed terms
+    odd = _in_tasks(some.select(doc_col, "term"), tasks, "term").join(
+        _in_tasks(terms.select("term"), tasks, "term"), "term", "left_anti").select(doc_col).distinct()
+    odd = materialise(odd, "keyword-changed")
+    if not odd.isEmpty():
+        again = top_candidates(docs.join(odd, doc_col, "left_semi"), bounds, top, round_to, doc_col, text_col,
+                               covered=False, tasks=tasks)
+        some = some.join(odd, doc_col, "left_anti").unionByName(again)
     w = tfidf(_in_tasks(some, tasks, "term"), _in_tasks(idf_t, tasks, "term"), doc_col)
     return top_per_group(_in_tasks(w, tasks, doc_col), [doc_col], "weight", top, rank_col="rk", round_to=round_to,
                          keep_raw=keep_raw)

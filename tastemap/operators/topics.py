@@ -202,7 +202,7 @@ def _term_topics(blocks: DataFrame, k: int, width: int) -> np.ndarray:
     if tasks > FEW_PARTS:
         parts = parts.repartition(math.isqrt(tasks)).mapInArrow(add, "part binary")
     total = np.zeros(k * width)
-    for row in parts.toLocalIterator() if tasks > FEW_PARTS else parts.collect():
+    for row in parts.collect():
         total += np.frombuffer(row["part"])
     return total.reshape(k, width)
 

@@ -27,7 +27,7 @@ from tastemap.operators.blend import blend_lists, quota_bound
 from tastemap.sources import news as N
 from tastemap.sources import store as ST
 from tastemap.sources.delta_store import DeltaStore, Table
-from tastemap.session import ensure_checkpoint_dir
+from tastemap.session import ensure_checkpoint_dir, materialise
 
 
 @dataclass
@@ -148,11 +148,13 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     # the shared checkpoint folder (also cuts the lineage before the merges)
     ensure_checkpoint_dir(spark)
     extra = [c for c in ("ts", "article_id") if c in log.columns]
-    log = log.select("user_id", "doc_id", "behaviour", "weight", "bucket", *extra).checkpoint(eager=True)
+    log = log.select("user_id", "doc_id", "behaviour", "weight", "bucket", *extra)
+    log = materialise(log, "profile-log")
+    width = None
     if article_topics is None:
         model = model or TP.TopicModel.load(paths.model)
-        article_topics = article_topics_from_model(model, news, log)
-    delta = P.topic_delta(log, article_topics)
+        article_topics, width = article_topics_from_model(model, news, log), model.lda.getK()
+    delta = P.topic_delta(log, article_topics, width)
     # article keywords: IDF over the whole corpus (the read articles are part of
     # it) from the stored frequencies; only the articles read here are tokenised
     read = N.select_keys(_corpus(news), log.where("doc_id IS NOT NULL").select("doc_id").distinct(),
@@ -171,7 +173,7 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
         _commit(spark, paths, versions)
     else:
         # read again for every attempt of the commit, and to find the touched entries
-        delta, new_kw = delta.checkpoint(eager=True), new_kw.checkpoint(eager=True)
+        delta, new_kw = materialise(delta, "profile-topics"), materialise(new_kw, "profile-keywords")
         store = profile_store(spark, paths)
         at = store.transact(lambda at: merged(store.read("topics", at, touched=delta),
                                               store.read("keywords", at, touched=new_kw)), batch)
