@@ -25,8 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tastemap.session import spread
-
 TEXT_AT_ONCE = 4 << 20      # bytes of text counted at once
 FEW_REPEATED = 1_000_000    # ids of documents in several rows that are broadcast
 RANGE = 1 << 16             # buckets packed together
@@ -108,7 +106,7 @@ def one_by_one(docs: DataFrame, doc_col: str, text_col: str, tasks: int | None =
     again = rows.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(doc_col)
     n = again.limit(FEW_REPEATED + 1).count()
     if not n:
-        return [(spread(rows), False)]
+        return [(rows, False)]
     again = F.broadcast(again) if n <= FEW_REPEATED else again
     several = rows.join(again, doc_col, "left_semi")
     several = several.repartition(tasks, doc_col) if tasks else several.repartition(doc_col)
@@ -192,7 +190,8 @@ class Bounds:
         level = 2.0 ** (np.arange(256) / 8)
         level[_NONE] = np.nan
         top = np.append(level[:_NONE - 1], [max(self.m, 1)] * 2)        # the last level is open
-        least, most = level[self.least[at]], top[self.most[at]]
+        least = level[self.least[at]]
+        most = np.where(np.isnan(least), np.nan, top[self.most[at]])
         exact = self.df[found.fill_null(0).to_numpy()] if len(self.df) else np.ones(len(terms))
         least, most = np.where(known, exact, least), np.where(known, exact, most)
         idf = lambda df: np.log((self.m + 1) / (df + 1))

@@ -16,6 +16,7 @@ from tastemap.config import DEFAULT_STOP_WORDS
 from tastemap.functions.text import tokens_regex_gap, tokens_regex_match, tokens_ws
 from tastemap.operators.terms import doc_freqs, frequency_bounds, term_counts, top_candidates
 from tastemap.session import materialise, spread
+from tastemap.sources.news import bit_of
 
 TOKENIZERS = {"ws": tokens_ws, "gap": tokens_regex_gap, "match": tokens_regex_match}
 
@@ -135,7 +136,7 @@ def keywords(docs: DataFrame, top: int = 10, doc_col: str = "doc_id",
     ranked by the weight rounded to ``round_to`` places (ties by term).
     Returns (doc_col, term, weight, rk); ``keep_raw`` keeps the unrounded weight."""
     tasks = _text_tasks(docs, text_col)
-    m = docs.count()
+    m, docs = docs.count(), spread(docs)
     df = materialise(doc_freqs(docs, doc_col, text_col, tasks), "doc-freqs")     # used three times
     idf_t = df.select("term", F.log((F.lit(m) + F.lit(1)) / (F.col("df") + F.lit(1))).alias("idf"))
     some = top_candidates(docs, frequency_bounds(df, m, COMMON_SHARE, DF_BUCKETS), top, round_to, doc_col, text_col,
@@ -222,10 +223,8 @@ def added_docs(docs: DataFrame, stored: DataFrame | None, doc_col: str = "doc_id
         return docs.join(seen, F.col(doc_col).cast("string") == F.col("_seen"), "left_anti")
     key = F.col(doc_col).cast("long")
     seen = _counted(stored).select(F.col("bucket").alias("_bucket"), F.col("bitmap").alias("_bitmap"))
-    at = F.bitmap_bit_position(key)
-    byte = F.conv(F.hex(F.substring("_bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     rows = docs.join(seen, F.bitmap_bucket_number(key) == F.col("_bucket"), "left")
-    return rows.where(F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0)) == 0).select(*docs.columns)
+    return rows.where(F.coalesce(bit_of("_bitmap", key), F.lit(0)) == 0).select(*docs.columns)
 
 
 def total_doc_freq(deltas: DataFrame) -> tuple[DataFrame, Column]:
@@ -314,6 +313,7 @@ def _scope_rows(reads: DataFrame, corpus: DataFrame, top: int = 10) -> tuple[Dat
     article that is read, and the corpus size.  ``best`` are the terms that can be among the
     ``top`` for some user, by the bounds of ``scope_candidates`` at the largest m_u and r_max:
     computed once an article instead of once a read."""
+    corpus = spread(corpus)
     tf = term_counts(corpus, "doc_id", "words")
     df_c = doc_freqs(corpus, "doc_id", "words").withColumnRenamed("df", "df_c")
     rc = reads.groupBy("user_id", "doc_id").agg(F.count(F.lit(1)).alias("r"))

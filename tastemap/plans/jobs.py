@@ -27,7 +27,7 @@ from tastemap.operators.blend import blend_lists, quota_bound
 from tastemap.sources import news as N
 from tastemap.sources import store as ST
 from tastemap.sources.delta_store import DeltaStore, Table
-from tastemap.session import ensure_checkpoint_dir, materialise
+from tastemap.session import ensure_checkpoint_dir, materialise, spread
 
 
 @dataclass
@@ -100,7 +100,7 @@ def _commit(spark: SparkSession, paths: Paths, versions: dict[str, int]) -> None
 def corpus_doc_freq(spark: SparkSession, news: DataFrame, paths: Paths) -> DataFrame:
     """The stored document-frequency deltas, after the articles that were added since
     have been counted (and stored as one more delta): they always cover the corpus."""
-    corpus = _corpus(news)
+    corpus = spread(_corpus(news))
     new = T.added_docs(corpus, ST.read_all(spark, paths.doc_freq))
     if not new.isEmpty():
         ST.write_version(spark, T.doc_freq_delta(new), paths.doc_freq)
@@ -157,7 +157,7 @@ def update_profiles(spark: SparkSession, log: DataFrame, news: DataFrame, paths:
     delta = P.topic_delta(log, article_topics, width)
     # article keywords: IDF over the whole corpus (the read articles are part of
     # it) from the stored frequencies; only the articles read here are tokenised
-    read = N.select_keys(_corpus(news), log.where("doc_id IS NOT NULL").select("doc_id").distinct(),
+    read = N.select_keys(spread(_corpus(news)), log.where("doc_id IS NOT NULL").select("doc_id").distinct(),
                          "doc_id", "doc_id")
     kw = T.keywords_with_df(read, corpus_doc_freq(spark, news, paths), params.keywords_per_doc, keep_raw=True)
     new_kw = P.keyword_delta(log, kw, params.keywords_per_update)

@@ -54,16 +54,33 @@ IN_KEYS = 1_000            # article keys that go into the scan as a pushed IN f
 BROADCAST_KEYS = 1_000_000  # article keys that are broadcast (some 64 MB)
 
 
+BITMAPS = 16_384           # bitmaps of 32,768 whole-number keys each that are broadcast (64 MB)
+
+
+def bit_of(bitmap: str, key) -> F.Column:
+    """Whether ``key`` is in the bitmap of its bucket (1 or 0; null without a bitmap)."""
+    at = F.bitmap_bit_position(key)
+    byte = F.conv(F.hex(F.substring(bitmap, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int"))
+
+
 def select_keys(news: DataFrame, keys: DataFrame, key: str, news_key: str = "rowkey") -> DataFrame:
     """The corpus rows of the distinct ``keys`` (not null).  Few keys become a
-    filter that the scan prunes row groups by, more are broadcast after a count,
-    and beyond that the semi-join is left to Spark.  In the first two cases no
-    text is shuffled."""
+    filter that the scan prunes row groups by, more are broadcast after a count, still
+    more whole numbers as bitmaps, and beyond that the semi-join is left to Spark.
+    Only in the last case texts are shuffled."""
     head = [r[0] for r in keys.limit(IN_KEYS + 1).collect()]     # bounded
     if len(head) <= IN_KEYS:
         return news.where(F.col(news_key).isin(head)) if head else news.where("false")
     k = keys.select(F.col(key).alias(news_key))
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    whole = ("bigint", "int", "smallint", "tinyint")
+    if not few and {k.schema[0].dataType.simpleString(), news.schema[news_key].dataType.simpleString()} <= set(whole):
+        number, of = F.col(news_key).cast("long"), F.bitmap_bucket_number(F.col(news_key).cast("long"))
+        bits = k.groupBy(of.alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bitmap"))
+        if bits.limit(BITMAPS + 1).count() <= BITMAPS:
+            found = news.join(F.broadcast(bits), of == F.col("_bucket"))
+            return found.where(bit_of("_bitmap", number) == 1).select(*news.columns)
     return news.join(F.broadcast(k) if few else k, news_key, "left_semi")
 
 

@@ -211,3 +211,23 @@ def test_queue_and_lookup_with_sample_values(spark):
     log = spark.createDataFrame([(1, "news0001"), (2, "news0002"), (3, "news9999")], "event_id long, doc_id string")
     got = {r["event_id"]: r["words"] for r in N.attach_words(log, news).collect()}
     assert got == {1: "w1 w2", 2: "", 3: ""}
+
+
+def test_many_whole_number_keys_select_texts_by_bitmaps(spark, monkeypatch):
+    """Too many keys to broadcast one by one: bitmaps, so no text is shuffled; same rows."""
+    from tastemap.sources import news as NS
+    monkeypatch.setattr(NS, "IN_KEYS", 3)
+    monkeypatch.setattr(NS, "BROADCAST_KEYS", 5)
+    ids = [-40_000, -1, 0, 1, 7, 8, 32_767, 32_768, 32_769, 65_536, 2 ** 40]
+    news = spark.createDataFrame([(i, f"t{i}") for i in ids + ids[:2]] + [(None, "none")], "rowkey long, words string")
+    keys = spark.createDataFrame([(i,) for i in ids[::2] + [99, 5]], "doc_id long")
+    got = NS.select_keys(news, keys, "doc_id")
+    assert got.columns == news.columns
+    assert sorted(r.words for r in got.collect()) == sorted(f"t{i}" for i in ids + ids[:2] if i in ids[::2])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(NS, "BITMAPS", 1)
+    assert sorted(map(tuple, NS.select_keys(news, keys, "doc_id").collect())) == sorted(map(tuple, got.collect()))
+    text = news.where("rowkey IS NOT NULL").selectExpr("CAST(rowkey AS string) AS rowkey", "words")
+    by_text = NS.select_keys(text, keys.selectExpr("CAST(doc_id AS string) AS doc_id"), "doc_id")
+    assert sorted(r.words for r in by_text.collect()) == sorted(r.words for r in got.collect())
